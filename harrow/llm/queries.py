@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from harrow.llm import decontamination, quality_rules, secret_scan, sentence_pieces, token_counts
+from harrow.llm import chat_format, decontamination, html_text, language_id, quality_rules, secret_scan, sentence_pieces, token_counts
 from harrow.session import table
 
 
@@ -13,14 +13,27 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.render(table(spark, sf_dir, "conversations"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs))
+
+
 def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -29,5 +42,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op5_quality_rules, op7_decontamination, op9_sentence_pieces, op10_secret_scan)}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_token_counts, op4_chat_format, op5_quality_rules, op6_html_text, op7_decontamination, op8_language_id,
+        op9_sentence_pieces, op10_secret_scan,
+    )
+}
+SQL: dict[str, str] = {"op4_chat_format": chat_format.SQL}
