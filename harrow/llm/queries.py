@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from harrow.llm import chat_format, decontamination, html_text, language_id, quality_rules, secret_scan, sentence_pieces, token_counts
+from harrow.llm import chat_format, decontamination, html_text, language_id, quality_rules, secret_scan, sentence_pieces, similarity_join, token_counts
 from harrow.session import table
 
 
@@ -13,6 +13,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_join.similarity_components(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.render(table(spark, sf_dir, "conversations"))
 
@@ -45,8 +49,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_token_counts, op4_chat_format, op5_quality_rules, op6_html_text, op7_decontamination, op8_language_id,
+        op2_token_counts, op3_similarity_join, op4_chat_format, op5_quality_rules, op6_html_text, op7_decontamination, op8_language_id,
         op9_sentence_pieces, op10_secret_scan,
     )
 }
-SQL: dict[str, str] = {"op4_chat_format": chat_format.SQL}
+SQL: dict[str, str] = {"op3_similarity_join": similarity_join.SQL, "op4_chat_format": chat_format.SQL}
