@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from harrow.llm import chat_format, decontamination, html_text, language_id, quality_rules, secret_scan, sentence_pieces, similarity_join, token_counts
+from harrow.llm import chat_format, decontamination, html_text, language_id, quality_model, quality_rules, secret_scan, sentence_pieces, similarity_join, token_counts
 from harrow.session import table
 
 
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -49,7 +53,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_token_counts, op3_similarity_join, op4_chat_format, op5_quality_rules, op6_html_text, op7_decontamination, op8_language_id,
+        op1_quality_model, op2_token_counts, op3_similarity_join, op4_chat_format, op5_quality_rules, op6_html_text, op7_decontamination, op8_language_id,
         op9_sentence_pieces, op10_secret_scan,
     )
 }
