@@ -1,9 +1,35 @@
-"""Every query by name, and its SQL."""
+"""Every query by name, and its SQL. The modules of this package add theirs with ``query``."""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
-FLAGSHIP = "flagship"
+FLAGSHIP = "page_report"
+MODULES = ("urls",)
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function (spark, sf_dir) -> DataFrame under its own name."""
+
+    def add(f: Callable) -> Callable:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def names(values) -> str:
+    """A list of strings for SQL's IN."""
+    return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
+
+
+def load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"harrow.plans.{m}")
