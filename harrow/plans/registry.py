@@ -8,7 +8,7 @@ from collections.abc import Callable
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 FLAGSHIP = "page_report"
-MODULES = ("urls", "pages", "changes", "knowledge", "jobs", "network", "social", "roundtrip")
+MODULES = ("urls", "pages", "changes", "knowledge", "jobs", "network", "social", "roundtrip", "documents", "evaluation", "streams")
 
 
 def query(sql: str | None = None) -> Callable:
