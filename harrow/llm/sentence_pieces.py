@@ -133,7 +133,7 @@ class Codec(dict):
         self.unknown_id = next((i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN), 0)
         cut_mark = not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, _ in usable)
         cut_line = not any("\n" in p for p, _, _ in usable)
-        self.parts = re.compile(r"\n| *[^ \n]+| +" if cut_mark and cut_line else r" *[^ ]+| +" if cut_mark else r"(?s).+").findall
+        self.parts = re.compile(r"\n|[ ▁]*[^ ▁\n]+|[ ▁]+" if cut_mark and cut_line else r"[ ▁]*[^ ▁]+|[ ▁]+" if cut_mark else r"(?s).+").findall
         self.text_of = [b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.pieces]
 
     def __missing__(self, part: str) -> bytes:
