@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from harrow.functions import social as S
 from harrow.operators import layout as L
 from harrow.operators import sinks as K
-from harrow.plans.registry import query
+from harrow.plans.registry import doubles, query
 from harrow.plans.roundtrip import cat
 from harrow.session import table
 
@@ -106,7 +106,7 @@ def videos(spark: SparkSession, d: str) -> DataFrame:
     return j.select("p_brand", F.explode(F.from_json("j", VIDEO)["data"]["videos"]).alias("v"))
 
 
-@query("SELECT p_brand, 'v' || p_partkey AS video_id, p_name AS title, p_size * 1000.0 AS views FROM part")
+@query(doubles("SELECT p_brand, 'v' || p_partkey AS video_id, p_name AS title, p_size * 1000.0 AS views FROM part", "views"))
 def p06_video_rows(spark: SparkSession, d: str) -> DataFrame:
     return videos(spark, d).select("p_brand", F.col("v.videoId").alias("video_id"), F.col("v.title.text").alias("title"), S.compact_number(F.col("v.views")).alias("views"))
 
@@ -120,7 +120,7 @@ def p07_video_details(spark: SparkSession, d: str) -> DataFrame:
     return v.select("s_suppkey", F.substring("v.desc", 1, 12).alias("description"), F.coalesce(english, F.get("v.tracks", F.lit(0))["url"]).alias("captions"))
 
 
-@query("SELECT s_suppkey, unnest([0.5, 7.25]) AS start, unnest(['It''s', s_name || ' & co']) AS text FROM supplier")
+@query(doubles("SELECT s_suppkey, unnest([0.5, 7.25]) AS start, unnest(['It''s', s_name || ' & co']) AS text FROM supplier", "start"))
 def p08_timed_text(spark: SparkSession, d: str) -> DataFrame:
     from harrow.functions import text as X
 
@@ -153,7 +153,7 @@ def p24_scout(spark: SparkSession, d: str) -> DataFrame:
     return c.select("c_custkey", (F.when(F.col("c_acctbal") > 5000, 40).otherwise(10) + F.when(F.col("c_nationkey") % 3 == 0, 30).otherwise(0)).alias("ready"))
 
 
-@query("SELECT p_partkey, p_size * 1000.0 AS views, p_partkey % 2 = 0 AS verified FROM part")
+@query(doubles("SELECT p_partkey, p_size * 1000.0 AS views, p_partkey % 2 = 0 AS verified FROM part", "views"))
 def p27_normalise_records(spark: SparkSession, d: str) -> DataFrame:
     j = F.to_json(F.struct(F.when(F.col("p_partkey") % 2 == 0, cat(F.col("p_size").cast("string"), "K")).otherwise((F.col("p_size") * 1000).cast("string")).alias("views"), (F.col("p_partkey") % 2 == 0).alias("verified")))
     r = table(spark, d, "part").select("p_partkey", F.from_json(j, "views string, verified boolean").alias("r"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.operators import knowledge as K
-from harrow.plans.registry import query
+from harrow.plans.registry import doubles, query
 from harrow.session import table
 
 NOW = "TIMESTAMP '2024-03-01 00:00:00'"
@@ -42,7 +42,7 @@ def a02_best_level(spark: SparkSession, d: str) -> DataFrame:
     return K.best_level(K.level_stats(outcomes(spark, d), "domain"), "domain")
 
 
-@query(f"SELECT domain, CASE WHEN epoch({NOW}) - epoch(max(ts)) > 7 * 86400 THEN 0.5 ELSE 1.0 END AS weight FROM ({O}) GROUP BY domain")
+@query(doubles(f"SELECT domain, CASE WHEN epoch({NOW}) - epoch(max(ts)) > 7 * 86400 THEN 0.5 ELSE 1.0 END AS weight FROM ({O}) GROUP BY domain", "weight"))
 def a03_decay(spark: SparkSession, d: str) -> DataFrame:
     return outcomes(spark, d).groupBy("domain").agg(F.max("ts").alias("last")).select("domain", K.decay(F.col("last"), F.expr(NOW)).alias("weight"))
 
@@ -134,7 +134,7 @@ def a12_throttle(spark: SparkSession, d: str) -> DataFrame:
     return K.throttle(e, "user_id", ["t", "event_id"], "t", F.lit(7)).select("event_id", "delay_ms", "wait_ms")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 5000.0 ELSE 0.0 END AS least, least(30000.0, 1000.0 * pow(2.0, event_id % 8)) + CASE WHEN event_id % 3 = 0 THEN 15000.0 ELSE 0.0 END AS most FROM events")
+@query(doubles("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 5000.0 ELSE 0.0 END AS least, least(30000.0, 1000.0 * pow(2.0, event_id % 8)) + CASE WHEN event_id % 3 = 0 THEN 15000.0 ELSE 0.0 END AS most FROM events", "least", "most"))
 def a13_backoff_bounds(spark: SparkSession, d: str) -> DataFrame:
     lo, hi = K.backoff_bounds(F.col("event_id") % 8, F.when(F.col("event_id") % 3 == 0, 429).otherwise(500))
     return table(spark, d, "events").select("event_id", lo.alias("least"), hi.alias("most"))

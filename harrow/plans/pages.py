@@ -9,7 +9,7 @@ from harrow.functions import text as X
 from harrow.functions import url as U
 from harrow.operators import classify as C
 from harrow.operators import graph as G
-from harrow.plans.registry import names, query
+from harrow.plans.registry import doubles, names, query
 from harrow.plans.urls import HOST, NORMAL, PATH, SCHEME
 from harrow.session import table
 
@@ -67,9 +67,9 @@ def b03_needs_scripts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", html.alias("html")).select("page_id", C.needs_scripts(F.col("html")).alias("needs_scripts"))
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'cloudflare' WHEN page_id % 7 = 0 OR page_id % 7 <> 0 THEN 'cloudflare' END AS system,
+@query(doubles("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'cloudflare' WHEN page_id % 7 = 0 OR page_id % 7 <> 0 THEN 'cloudflare' END AS system,
 CASE WHEN page_id % 3 = 0 THEN CASE WHEN page_id % 7 = 0 THEN 1.0 ELSE 1.0 END ELSE CASE WHEN page_id % 7 = 0 THEN 0.3 ELSE 0.2 END END AS confidence, 3 AS level,
-CASE WHEN page_id % 3 = 0 THEN 'cf_clearance cookie,cf_ cookie prefix,' ELSE '' END || CASE WHEN page_id % 7 = 0 THEN 'cf-ray header' ELSE 'server: cloudflare' END AS signals FROM pages""")
+CASE WHEN page_id % 3 = 0 THEN 'cf_clearance cookie,cf_ cookie prefix,' ELSE '' END || CASE WHEN page_id % 7 = 0 THEN 'cf-ray header' ELSE 'server: cloudflare' END AS signals FROM pages""", "confidence"))
 def b04_protection(spark: SparkSession, d: str) -> DataFrame:
     out = C.protection(planted(spark, d), "page_id", "html", "headers", "cookies")
     return out.withColumn("signals", F.array_join("signals", ","))

@@ -30,6 +30,11 @@ def names(values) -> str:
     return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
 
 
+def doubles(sql: str, *columns: str) -> str:
+    """``sql`` with decimal columns as doubles."""
+    return f"SELECT * REPLACE ({', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in columns)}) FROM ({sql})"
+
+
 def load() -> None:
     for m in MODULES:
         importlib.import_module(f"harrow.plans.{m}")

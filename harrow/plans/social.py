@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harrow.functions import social as S
-from harrow.plans.registry import query
+from harrow.plans.registry import doubles, query
 from harrow.session import table
 
 
-@query("SELECT p_partkey, [p_size * 1000.0, floor(p_size * 1.5 * 1000000 + 0.5), 1000.0 + p_size, NULL, 3000000.0][p_partkey % 5 + 1] AS n FROM part")
+@query(doubles("SELECT p_partkey, [p_size * 1000.0, floor(p_size * 1.5 * 1000000 + 0.5), 1000.0 + p_size, NULL, 3000000.0][p_partkey % 5 + 1] AS n FROM part", "n"))
 def p01_compact_numbers(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("p_size")
     text = F.element_at(F.array(F.concat(s.cast("string"), F.lit("K")), F.concat((s * 1.5).cast("string"), F.lit(" m views")), F.concat(F.lit("1,"), F.lpad(s.cast("string"), 3, "0"), F.lit("+")), F.lit("n/a"), F.lit("3 months")), (F.col("p_partkey") % 5 + 1).cast("int"))
@@ -49,7 +49,7 @@ def p10_seconds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.seconds_text(F.col("l_quantity") * 37).alias("shown"))
 
 
-@query("SELECT s_suppkey, unnest([0, 65, 3600 + s_suppkey % 60]) AS seconds, unnest(['Intro', 'Part one', s_name]) AS title FROM supplier")
+@query("SELECT s_suppkey, CAST(unnest([0, 65, 3600 + s_suppkey % 60]) AS INT) AS seconds, unnest(['Intro', 'Part one', s_name]) AS title FROM supplier")
 def p09_chapters(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("About\n0:00 Intro\n 1:05 - Part one\n1:00:"), F.lpad((F.col("s_suppkey") % 60).cast("string"), 2, "0"), F.lit(" "), F.col("s_name"), F.lit("\nend"))
     return table(spark, d, "supplier").select("s_suppkey", F.explode(S.chapters(text)).alias("c")).select("s_suppkey", "c.*")
