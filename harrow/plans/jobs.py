@@ -62,18 +62,19 @@ def j06_seo_audit(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-ORDER = F.to_json(F.struct(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.array(F.struct(F.col("o_custkey").alias("n")), F.struct((F.col("o_custkey") + 1).alias("n"))).alias("items")).alias("result")))
+def order_json():
+    return F.to_json(F.struct(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.array(F.struct(F.col("o_custkey").alias("n")), F.struct((F.col("o_custkey") + 1).alias("n"))).alias("items")).alias("result")))
 
 
 @query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey + 1 AS VARCHAR) AS second, NULL::VARCHAR AS missing FROM orders")
 def j07_paths(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderkey", ORDER.alias("v")).select("o_orderkey", E.at_path(F.col("v"), "result.id").alias("id"), E.at_path(F.col("v"), "result.items[1].n").alias("second"), E.at_path(F.col("v"), "result.items[7].n").alias("missing"))
+    return table(spark, d, "orders").select("o_orderkey", order_json().alias("v")).select("o_orderkey", E.at_path(F.col("v"), "result.id").alias("id"), E.at_path(F.col("v"), "result.items[1].n").alias("second"), E.at_path(F.col("v"), "result.items[7].n").alias("missing"))
 
 
 @query("SELECT o_orderkey, ((o_orderkey > 100 AND o_orderstatus = 'F') OR o_custkey <> 5) AS a, (o_custkey > 3 OR o_orderstatus = 'O') AND o_orderkey <= 9000 AS b, true AS c, false AS d FROM orders")
 def j08_conditions(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("v")
-    return table(spark, d, "orders").select("o_orderkey", ORDER.alias("v")).select(
+    return table(spark, d, "orders").select("o_orderkey", order_json().alias("v")).select(
         "o_orderkey", E.condition("$result.id > 100 && $result.status === 'F' || $result.items[0].n != 5", v).alias("a"),
         E.condition("$result.items[0].n > 3 || $result.status == \"O\" && $result.id <= 9000", v).alias("b"), E.condition("$result.items", v).alias("c"), E.condition("$nothing.here", v).alias("d"),
     )
@@ -81,7 +82,7 @@ def j08_conditions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey, 'order ' || o_orderkey || ' of ' || o_custkey || '!' AS text FROM orders")
 def j09_interpolate(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderkey", ORDER.alias("v")).select("o_orderkey", E.interpolate("order $result.id of $result.items[0].n$none!", F.col("v")).alias("text"))
+    return table(spark, d, "orders").select("o_orderkey", order_json().alias("v")).select("o_orderkey", E.interpolate("order $result.id of $result.items[0].n$none!", F.col("v")).alias("text"))
 
 
 @query("SELECT c_custkey, c_name AS name, 'b' AS kind, c_mktsegment AS segment FROM customer")
