@@ -186,3 +186,18 @@ def report(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col:
         F.col(id_col), F.col(WORDS).alias("n_words"), hit_words().alias("n_hit"), F.size(ITEMS).cast("long").alias("n_items"),
         F.sha2(F.array_join(ITEMS, ","), 256).alias("items_sha256"), contaminated().alias("contaminated"),
     )
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: The same rows as ``report`` in DuckDB.
+SQL = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT DISTINCT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+t AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS win FROM b),
+p AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (SELECT DISTINCT n FROM t) WHERE len(w) >= n),
+h AS (SELECT p.doc_id, p.i, p.n, t.item_id FROM p JOIN t ON t.n = p.n AND t.win = array_to_string(p.w[p.i:p.i + p.n - 1], ' ')),
+c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM h) GROUP BY doc_id),
+d AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated FROM w LEFT JOIN c USING (doc_id) LEFT JOIN d USING (doc_id)
+"""

@@ -57,4 +57,4 @@ QUERIES = {
         op9_sentence_pieces, op10_secret_scan,
     )
 }
-SQL: dict[str, str] = {"op3_similarity_join": similarity_join.SQL, "op4_chat_format": chat_format.SQL}
+SQL: dict[str, str] = {"op3_similarity_join": similarity_join.SQL, "op4_chat_format": chat_format.SQL, "op7_decontamination": decontamination.SQL}
