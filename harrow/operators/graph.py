@@ -39,13 +39,18 @@ def links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     return each.groupBy(key, url, "target").agg(F.min("pos").alias("pos"), F.min_by("anchor", "pos").alias("anchor"))
 
 
+def sequence(wave: int, depth: Column, src: Column, pos: Column, dst: Column) -> Column:
+    """When a URL was found, as a value to sort by: no numbering, so no task sees a whole wave."""
+    return F.struct(F.lit(wave).alias("wave"), depth.cast("int").alias("depth"), src.alias("src"), pos.cast("int").alias("pos"), dst.alias("dst")).alias("seq")
+
+
 def crawl(pages: DataFrame, edges: DataFrame, seed: DataFrame, max_pages: int, max_depth: int, batch: int) -> DataFrame:
     """Best-first waves over a table of edges (src, dst, anchor, pos): (url, depth, wave, place).
 
     Every wave takes the ``batch`` best of the frontier (highest score, newest first among equals), then adds their unseen
     same-origin targets. What is carried between waves is checkpointed, so a wave's plan doesn't grow with the crawl.
     """
-    frontier = durable(seed.select("url", F.lit(0).alias("depth"), F.lit(200).alias("score"), F.lit(0).cast("long").alias("seq")))
+    frontier = durable(seed.select("url", F.lit(0).alias("depth"), F.lit(200).alias("score"), sequence(0, F.lit(0), F.lit(""), F.lit(0), F.col("url"))))
     seen, out, done, wave = frontier.select("url"), None, 0, 0
     while done < max_pages:
         take = durable(frontier.orderBy(F.col("score").desc(), F.col("seq").desc(), "url").limit(min(batch, max_pages - done)))
@@ -58,8 +63,8 @@ def crawl(pages: DataFrame, edges: DataFrame, seed: DataFrame, max_pages: int, m
         found = take.where(F.col("depth") < max_depth).join(edges, F.col("url") == F.col("src")).where(U.same_origin(F.col("src"), F.col("dst")))
         found = found.groupBy("dst").agg(F.min(F.struct("depth", "src", "pos", "anchor")).alias("m")).join(seen.withColumnRenamed("url", "dst"), "dst", "left_anti")
         depth = F.col("m.depth") + 1
-        order = F.row_number().over(Window.orderBy("m.depth", "m.src", "m.pos", "dst"))
-        fresh = found.select(F.col("dst").alias("url"), depth.alias("depth"), score(F.col("dst"), depth, F.col("m.anchor")).alias("score"), (F.lit(wave * 1_000_000_000) + order).cast("long").alias("seq"))
+        seq = sequence(wave, F.col("m.depth"), F.col("m.src"), F.col("m.pos"), F.col("dst"))
+        fresh = found.select(F.col("dst").alias("url"), depth.alias("depth"), score(F.col("dst"), depth, F.col("m.anchor")).alias("score"), seq)
         fresh = durable(fresh)
         frontier = durable(frontier.join(take.select("url"), "url", "left_anti").unionByName(fresh))
         seen = durable(seen.unionByName(fresh.select("url")))
