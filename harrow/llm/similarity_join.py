@@ -8,15 +8,17 @@ at least ``percent`` / 100. The result is exact: every link between different te
    one made most of frequent shingles, as the original of many copies is), and what links forms a group. This
    needs no completeness; it keeps large families of near copies from meeting as pairs.
 3. Token-group matrix: shingles are ordered, frequent ones last, and only the first 15 % of a set (which two similar
-   sets must share a member of) are entered, once for each group (blocks of at most ``BLOCK_SIZE`` classes). A class is
-   a query to the groups that share such a shingle and that position and sizes leave within reach.
+   sets must share a member of) are entered, once for each group (blocks of at most ``BLOCK_SIZE`` classes). Most
+   shingles are one group's alone: a bitmap of fixed size tells which hash buckets hold several groups, and the
+   others are not entered. A class is a query to the groups that share such a shingle and that position and sizes leave
+   within reach.
 4. A group's token union bounds the overlap that any member can have with the query; only groups that qualify are
    opened, and members compared. One link to a group is enough, as its members are connected already.
 5. Components of all links give each class its smallest document.
 
-The order of shingles comes from counts over all documents: shingles with ``limit`` or more occurrences are
-frequent, where ``limit`` is at least 1 / MOST_FREQUENT of all shingles, so at most MOST_FREQUENT (of 8 bytes)
-are broadcast. Any order gives the same result. No task holds more than a block of classes and a block of queries.
+The order of shingles comes from counts over all documents (of those that a task meets twice among CHUNK shingles):
+the MOST_FREQUENT of them with LEAST_LIMIT or more occurrences, 8 bytes each, are broadcast and come last. Any
+order gives the same result. No task holds more than a block of classes and a block of queries.
 
 Defined results: null, empty and wordless texts have no shingles and link with nothing; texts of fewer words than a
 shingle are one shingle; repeated rows give repeated results; rows without an id have no component; an empty
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +40,11 @@ from harrow.llm.components import components
 from harrow.session import durable, ship, written
 
 SHINGLE, PERCENT = 4, 85
-MOST_FREQUENT, LEAST_LIMIT = 1 << 22, 32
+MOST_FREQUENT, LEAST_LIMIT = 1 << 22, 8
 KEYS, BUCKETS, AGREE = 8, 4, 5  # min-hashes kept, those that make buckets, those that must agree with the leader's
 BLOCK_SIZE = 256
-BROADCAST_IDS = 4_000_000  # ids (8 bytes each) that may be broadcast; beyond that the join shuffles
+BROADCAST_ROWS = 1_000_000  # rows of a few numbers that may be broadcast; beyond that a join shuffles
+SHARD_BITS, SHARDS = 20, 256  # the bitmap of crowded buckets: 2**28 bits, 32 MB
 CHUNK = 1 << 22  # shingles counted at once by a task
 
 
@@ -89,10 +93,8 @@ def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, size: int) ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list[np.ndarray]) -> pa.RecordBatch:
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= 3
-            return pa.RecordBatch.from_arrays(
-                [pa.array([None, *tokens[often].astype(np.int64).tolist()], pa.int64()), pa.array([int(n.sum()), *n[often].tolist()], pa.int64())], names=["token", "n"]
-            )
+            often = n >= 2
+            return pa.RecordBatch.from_arrays([pa.array(tokens[often].astype(np.int64)), pa.array(n[often].astype(np.int64))], names=["token", "n"])
 
         held, total = [], 0
         for batch in batches:
@@ -106,10 +108,11 @@ def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, size: int) ->
             yield flush(held)
 
     counted = docs.select(text_col).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    counted = durable(counted.where(F.col("token").isNull() | (F.col("n") >= LEAST_LIMIT)))
-    total = counted.where("token is null").select("n").first()
-    limit = max(LEAST_LIMIT, -(-(total[0] if total else 0) // MOST_FREQUENT))
-    found = counted.where(F.col("token").isNotNull() & (F.col("n") >= limit)).select("token").toArrow()
+    counted = durable(counted.where(F.col("n") >= LEAST_LIMIT))
+    held, limit = counted.count(), LEAST_LIMIT
+    if held > MOST_FREQUENT:
+        limit = 1 + counted.agg(F.percentile_approx("n", 1 - MOST_FREQUENT / held * 0.99, 10000)).first()[0]
+    found = counted.where(F.col("n") >= limit).select("token").toArrow()
     return np.sort(found.column(0).to_numpy().astype(A.U))
 
 
@@ -150,6 +153,22 @@ def sketches(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str,
     return docs.select(id_col, text_col).mapInArrow(run, f"id {id_type}, n long, cid long, heavy double, keys array<long>, prefix array<long>")
 
 
+def packed(texts: DataFrame) -> DataFrame:
+    """(id, body): the texts compressed, for the one shuffle that they take part in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            body = pa.array([press((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), body], names=["id", "body"])
+
+    return texts.select("id", "text").mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, body binary")
+
+
+def unpacked(body: bytes) -> str:
+    return zstandard.decompress(body).decode()
+
+
 def open_groups(queries: DataFrame, members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (u, v) between queries (g, b, cid, id) and members (g, b, cid, id) of the blocks (g, b) they name.
 
@@ -159,7 +178,10 @@ def open_groups(queries: DataFrame, members: DataFrame, texts: DataFrame, size:
     loads = queries.groupBy("g", "b").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SIZE).alias("parts"))
     asked = queries.join(loads, ["g", "b"]).select("g", "b", F.pmod(F.xxhash64("cid"), "parts").alias("part"), F.lit(1).alias("kind"), "cid", "id")
     held = members.join(loads, ["g", "b"]).select("g", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "cid", "id")
-    rows = asked.unionByName(held).join(texts, "id").select("g", "b", "part", "kind", "cid", "text")
+    wanted = durable(asked.unionByName(held))
+    few = wanted.count() <= BROADCAST_ROWS
+    rows = packed(texts.join(wanted.select("id").distinct(), "id", "left_semi") if not few else texts.join(F.broadcast(wanted.select("id").distinct()), "id", "left_semi"))
+    rows = rows.join(F.broadcast(wanted) if few else wanted, "id").select("g", "b", "part", "kind", "cid", "body")
     rows = rows.repartition("g", "b", "part").sortWithinPartitions("g", "b", "part", "kind")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +193,7 @@ def open_groups(queries: DataFrame, members: DataFrame, texts: DataFrame, size:
             key = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
             kinds, cids = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             out: tuple[list, list] = ([], [])
-            for a, found in shingle_sets(batch.column(5), size):
+            for a, found in shingle_sets(pa.array(map(unpacked, batch.column(5).to_pylist()), pa.large_string()), size):
                 for r, tokens in enumerate(found, a):
                     if digest(tokens) != cids[r]:
                         continue  # another text under the same id
@@ -211,14 +233,6 @@ def open_groups(queries: DataFrame, members: DataFrame, texts: DataFrame, size:
     return rows.mapInArrow(compare, "u long, v long")
 
 
-def needed_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) of the documents named; the names are broadcast when there are few enough, else joined by shuffle."""
-    ids = durable(ids.select("id").distinct())
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-
-
 def leader_links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """Links of classes to a leader that shares a min-hash with them."""
     own = classes.select("cid", "id", "n", "heavy", "keys")
@@ -230,27 +244,97 @@ def leader_links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str
     pairs = durable(pairs.select("cid", "id", F.col("lead.cid").alias("g"), F.col("lead.id").alias("lid")).distinct())
     queries = pairs.select("g", F.lit(0).cast("long").alias("b"), "cid", "id")
     members = pairs.select("g", F.lit(0).cast("long").alias("b"), F.col("g").alias("cid"), F.col("lid").alias("id")).distinct()
-    texts = needed_texts(docs, pairs.select("id").unionByName(pairs.select(F.col("lid").alias("id"))), id_col, text_col)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return open_groups(queries, members, texts, size, percent)
 
 
-def matrix_links(grouped: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Links between classes of different groups, by the token-group matrix. ``grouped``: cid, id, n, prefix, g, size, b."""
-    entries = grouped.select("cid", "id", "n", "g", "size", "b", F.posexplode("prefix").alias("pos", "token"))
-    # what stands at this place or later must hold the whole overlap, on either side
-    entries = entries.select("token", "cid", "id", "n", "g", "size", "b", (100 * F.col("n") - (100 + percent) * F.col("pos")).alias("reach"))
-    between = entries.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
-    shared = entries.join(between, "token", "left_semi")
-    shared = written(shared, "prefix-entries")
+def crowded_buckets(entries: DataFrame) -> np.ndarray:
+    """A bitmap of the hash buckets (2**(SHARD_BITS + 8)) whose prefix shingles belong to more than one group.
+
+    ``entries``: prefix, g. A task's entries travel as sorted arrays of (bucket, 32 bits of the group), one row for
+    each shard of buckets; two groups of the same 32 bits are told apart by nothing here, so those bits come from a
+    hash of the group that differs for each bucket, and a pair is missed only where its every shared shingle is.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column(0)
+            lengths = np.diff(np.asarray(prefix.offsets))
+            tokens = prefix.flatten().to_numpy(zero_copy_only=False).astype(A.U)
+            if not len(tokens):
+                continue
+            owner = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(A.U), lengths)
+            bucket = tokens & A.U(SHARDS * (1 << SHARD_BITS) - 1)
+            value = np.sort((bucket << A.U(32)) | (A.splitmix(owner ^ A.splitmix(bucket)) >> A.U(32)))
+            shard = (value >> A.U(32 + SHARD_BITS)).astype(np.int64)
+            cut = np.searchsorted(shard, np.arange(SHARDS + 1))
+            press = zstandard.ZstdCompressor(level=1).compress
+            which = [k for k in range(SHARDS) if cut[k] < cut[k + 1]]
+            low = [press(np.diff((value[cut[k] : cut[k + 1]] >> A.U(32)).astype(np.int64), prepend=k << SHARD_BITS).astype("<u4").tobytes()) for k in which]
+            own = [(value[cut[k] : cut[k + 1]] & A.U(0xFFFFFFFF)).astype("<u4").tobytes() for k in which]
+            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(low, pa.binary()), pa.array(own, pa.binary())], names=["shard", "low", "own"])
+
+    def merge(rows: pa.Table) -> pa.Table:
+        values = []
+        for low, own in zip(rows.column("low").to_pylist(), rows.column("own").to_pylist(), strict=True):
+            place = np.cumsum(np.frombuffer(zstandard.decompress(low), "<u4"), dtype=np.uint64)
+            values.append((place << A.U(32)) | np.frombuffer(own, "<u4"))
+        k = rows.column("shard")[0].as_py()
+        value = np.unique(np.concatenate(values)) if values else np.zeros(0, A.U)
+        bucket = value >> A.U(32)
+        crowded = bucket[1:][bucket[1:] == bucket[:-1]].astype(np.int64)  # counted from the first of the shard
+        bits = np.zeros(1 << SHARD_BITS, dtype=bool)
+        bits[crowded] = True
+        return pa.table({"shard": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    dealt = entries.select("prefix", "g").mapInArrow(deal, "shard int, low binary, own binary")
+    found = dealt.groupBy("shard").applyInArrow(merge, "shard int, bits binary").toArrow()
+    bits = np.zeros((SHARDS, 1 << (SHARD_BITS - 3)), dtype=np.uint8)
+    for k, raw in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+        bits[k] = np.frombuffer(raw, np.uint8)
+    return bits.reshape(-1)
+
+
+def matrix_entries(entries: DataFrame, bits: np.ndarray, percent: int) -> DataFrame:
+    """(token, cid, n, g, size, b, reach) of the prefix shingles in crowded buckets.
+
+    ``reach``: what stands at a shingle's place or later must hold the whole overlap, so a set of ``m`` shingles can be
+    similar by this first common shingle only where reach >= percent * m, on either side.
+    """
+    given = entries.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column(0)
+            offs = np.asarray(prefix.offsets).astype(np.int64)
+            lengths = np.diff(offs)
+            tokens = prefix.flatten().to_numpy(zero_copy_only=False)
+            bucket = tokens & (SHARDS * (1 << SHARD_BITS) - 1)
+            on = np.flatnonzero((given.value[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1)
+            row = np.repeat(np.arange(len(lengths)), lengths)[on]
+            place = on - (offs[:-1] - offs[0])[row]
+            own = [batch.column(k).take(pa.array(row)) for k in range(1, 6)]
+            reach = 100 * own[1].to_numpy(zero_copy_only=False) - (100 + percent) * place
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[on]), *own, pa.array(reach.astype(np.int64))], names=["token", "cid", "n", "g", "size", "b", "reach"])
+
+    return entries.select("prefix", "cid", "n", "g", "size", "b").mapInArrow(run, "token long, cid long, n long, g long, size long, b long, reach long")
+
+
+def matrix_links(entries: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """Links between classes of different groups, by the token-group matrix.
+
+    ``entries``: cid, n, prefix, g, size, b (a class may have several rows); ``classes``: cid, id, g, b, one row each.
+    """
+    shared = matrix_entries(entries, crowded_buckets(entries), percent)
     matrix = shared.groupBy("token", "g", "size", "b").agg(F.min("n").alias("least"), F.max("reach").alias("most"))
-    q, m = shared.alias("q"), matrix.alias("m")
+    q, m = shared.select("token", "cid", "n", "g", "size", "reach").alias("q"), matrix.alias("m")
     within = f"q.g <> m.g and (m.size > q.size or (m.size = q.size and m.g > q.g)) and q.reach >= {percent} * m.least and m.most >= {percent} * q.n"
-    queries = q.join(m, F.col("q.token") == F.col("m.token")).where(within).select(F.col("m.g").alias("g"), F.col("m.b").alias("b"), F.col("q.cid").alias("cid"), F.col("q.id").alias("id"))
+    queries = q.join(m, F.col("q.token") == F.col("m.token")).where(within).select(F.col("m.g").alias("g"), F.col("m.b").alias("b"), F.col("q.cid").alias("cid"))
     queries = durable(queries.distinct())
-    members = grouped.select("g", "b", "cid", "id").join(queries.select("g", "b").distinct(), ["g", "b"], "left_semi")
-    members = durable(members)
-    texts = needed_texts(docs, queries.select("id").unionByName(members.select("id")), id_col, text_col)
-    return open_groups(queries, members, texts, size, percent)
+    asked = queries.join(classes.select("cid", "id"), "cid").select("g", "b", "cid", "id")
+    members = classes.select("g", "b", "cid", "id").join(queries.select("g", "b").distinct(), ["g", "b"], "left_semi")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return open_groups(asked, members, texts, size, percent)
 
 
 def similarity_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,19 +342,22 @@ def similarity_components(docs: DataFrame, size: int = SHINGLE, percent: int = P
     ship(docs.sparkSession)
     frequent = frequent_shingles(docs, id_col, text_col, size)
     base = written(sketches(docs, frequent, id_col, text_col, size, percent), "sketches")
-    classes = base.where(F.col("cid").isNotNull() & F.col("id").isNotNull()).groupBy("cid").agg(
-        F.min("id").alias("id"), F.first("n").alias("n"), F.max(F.struct("heavy", "keys", "prefix")).alias("own"),
-    )
-    classes = written(classes.select("cid", "id", "n", "own.heavy", "own.keys", "own.prefix"), "classes")
+    known = base.where(F.col("cid").isNotNull() & F.col("id").isNotNull())
+    classes = known.groupBy("cid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.max(F.struct("heavy", "keys")).alias("own"))
+    classes = written(classes.select("cid", "id", "n", "own.heavy", "own.keys"), "classes")
     near = durable(leader_links(classes, docs, id_col, text_col, size, percent))
-    groups = durable(components(near, "u", "v"))
+    groups = components(near, "u", "v")
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    placed = classes.join(groups.join(sizes, "root").select(F.col("node").alias("cid"), "root", "size"), "cid", "left")
-    grouped = placed.select(
-        "cid", "id", "n", "prefix", F.coalesce("root", "cid").alias("g"), F.coalesce("size", F.lit(1)).alias("size"),
+    groups = durable(groups.join(sizes, "root").select(F.col("node").alias("cid"), "root", "size"))
+    if groups.count() <= BROADCAST_ROWS:
+        groups = F.broadcast(groups)
+    grouped = [
+        F.coalesce("root", "cid").alias("g"), F.coalesce("size", F.lit(1)).alias("size"),
         F.pmod(F.xxhash64("cid"), F.ceil(F.coalesce("size", F.lit(1)) / BLOCK_SIZE)).alias("b"),
-    )
-    links = near.unionByName(matrix_links(grouped, docs, id_col, text_col, size, percent))
+    ]
+    entries = base.where(F.col("prefix").isNotNull() & F.col("id").isNotNull()).join(groups, "cid", "left").select("cid", "n", "prefix", *grouped)
+    placed = classes.join(groups, "cid", "left").select("cid", "id", *grouped)
+    links = near.unionByName(matrix_links(entries, placed, docs, id_col, text_col, size, percent))
     whole = components(links, "u", "v")
     smallest = classes.select("cid", "id").join(whole.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     roots = smallest.groupBy("root").agg(F.min("id").alias("component_id"))
