@@ -26,15 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm import arrays as A
 from harrow.session import durable, shared_dir, ship
 
-ORDER = 5
-BLOCK = 16 << 20
+ORDER = 4
+BLOCK = 32 << 20
+HELD = 1 << 20  # distinct n-grams that a counting task holds before it passes them on
 QUANTILE, SLACK = 0.995, 1.03
 BROADCAST_IDS = 4_000_000  # ids (8 bytes each) that may be broadcast; beyond that the join shuffles
 FIELD = 8 * ORDER
@@ -72,12 +72,23 @@ def held_out(id_col: str) -> Column:
 def count_grams(texts: DataFrame) -> DataFrame:
     """(g, c) of all texts (one column)."""
 
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        g, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+        return g, np.bincount(at, weights=np.concatenate([x[1] for x in held])).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             data, offs = A.buffers(batch.column(0))
-            for a, b in A.blocks(offs, 8 * A.BLOCK):
-                g, n = np.unique(grams(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int64))], names=["g", "c"])
+            for a, b in A.blocks(offs):
+                held.append(np.unique(grams(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]), return_counts=True))
+                if len(held) > 16:
+                    held = [merged(held)]
+                    if len(held[0][0]) > HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["g", "c"])
+                        held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(held)], names=["g", "c"])
 
     return texts.mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
@@ -132,29 +143,30 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> D
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        wanted: list[np.ndarray] = []
-        total = 0
+        sink = stream = writer = None
+        wanted, total = np.zeros(0, np.int64), 0
 
         def flush() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema) as writer:
-                for x in held:
-                    writer.write_batch(x)
-            body = zstandard.compress(sink.getvalue().to_pybytes(), 3)
-            own = np.unique(np.concatenate(wanted)) if wanted else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([body], pa.binary()), pa.array([own], pa.list_(pa.int64()))], names=["block", "body", "grams"])
+            writer.close()
+            stream.close()
+            body = sink.getvalue().to_pybytes()
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([body], pa.binary()), pa.array([wanted], pa.list_(pa.int64()))], names=["block", "body", "grams"])
 
         for batch in batches:
             data, offs = A.buffers(batch.column(1))
-            for a, b in A.blocks(offs, 2 * A.BLOCK):
-                held.append(pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns], names=["id", "text", "lang"]))
-                wanted.append(np.unique(grams(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])))
+            for a, b in A.blocks(offs):
+                part = pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns], names=["id", "text", "lang"])
+                if writer is None:
+                    sink = pa.BufferOutputStream()
+                    stream = pa.CompressedOutputStream(sink, "zstd")
+                    writer = pa.ipc.new_stream(stream, part.schema)
+                writer.write_batch(part)
+                wanted = np.union1d(wanted, grams(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]))
                 total += int(offs[b] - offs[a])
                 if total >= BLOCK:
                     yield flush()
-                    held, wanted, total = [], [], 0
-        if held:
+                    writer, wanted, total = None, np.zeros(0, np.int64), 0
+        if writer is not None:
             yield flush()
 
     rows = docs.select(F.col(id_col), F.col(text_col), F.col(lang_col)).mapInArrow(run, "block string, body binary, grams array<long>")
@@ -195,7 +207,7 @@ def score(docs: DataFrame, model: DataFrame, floor: float, id_col: str = "doc_id
         for batch in batches:
             for r in range(len(batch)):
                 known, cost = (batch.column(k).slice(r, 1).flatten().to_numpy(zero_copy_only=False) for k in (1, 2))
-                body = zstandard.decompress(batch.column(0)[r].as_py())
+                body = pa.CompressedInputStream(pa.BufferReader(batch.column(0)[r].as_buffer()), "zstd")
                 for part in pa.ipc.open_stream(body):
                     data, offs = A.buffers(part.column(1))
                     if len(known):
