@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from harrow.session import durable
 
 
+BROADCAST_ROWS = 1_000_000  # pairs of numbers that may be broadcast; beyond that a join shuffles
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
 
@@ -23,11 +26,12 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = durable(edges)
     state = _state(edges)
     while state[0]:
+        small_enough = state[0] <= BROADCAST_ROWS
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(F.broadcast(low) if small_enough else low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = large.join(F.broadcast(low) if small_enough else low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = durable(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         if (now := _state(edges)) == state:
             break
