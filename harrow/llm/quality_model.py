@@ -33,7 +33,7 @@ from harrow.llm import arrays as A
 from harrow.session import durable, shared_dir, ship
 
 ORDER = 4
-BLOCK = 32 << 20
+BLOCK = 16 << 20
 HELD = 1 << 20  # distinct n-grams that a counting task holds before it passes them on
 QUANTILE, SLACK = 0.995, 1.03
 BROADCAST_IDS = 4_000_000  # ids (8 bytes each) that may be broadcast; beyond that the join shuffles
@@ -90,7 +90,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(held)], names=["g", "c"])
 
-    return texts.mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(A.tidied(run), "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -169,7 +169,7 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> D
         if writer is not None:
             yield flush()
 
-    rows = docs.select(F.col(id_col), F.col(text_col), F.col(lang_col)).mapInArrow(run, "block string, body binary, grams array<long>")
+    rows = docs.select(F.col(id_col), F.col(text_col), F.col(lang_col)).mapInArrow(A.tidied(run), "block string, body binary, grams array<long>")
     name = f"harrow_blocks_{uuid.uuid4().hex}"
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows.write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
@@ -221,7 +221,7 @@ def score(docs: DataFrame, model: DataFrame, floor: float, id_col: str = "doc_id
                     )
 
     both = blocks.select("block", "body").join(answers, "block", "left").select("body", F.coalesce("g", F.array().cast("array<long>")).alias("g"), F.coalesce("bits", F.array().cast("array<float>")).alias("bits"))
-    return both.mapInArrow(run, f"id {id_type}, lang {lang_type}, n_bytes long, bits double")
+    return both.mapInArrow(A.tidied(run), f"id {id_type}, lang {lang_type}, n_bytes long, bits double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

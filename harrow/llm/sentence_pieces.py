@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from harrow.llm import arrays as A
 from harrow.session import ship
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
-PARTS = 700_000  # distinct parts remembered by a Python worker
+PARTS = 200_000  # distinct parts remembered by a Python worker
 SHORT = 64  # bytes of a part that is solved together with others and remembered
 
 
@@ -308,7 +309,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), lists], names=[id_col, "n_tokens", "token_ids"])
 
     fields = [docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType()))]
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
+    return docs.select(id_col, text_col).mapInArrow(A.tidied(run), T.StructType(fields))
 
 
 def decode(ids: DataFrame, model: str, ids_col: str = "token_ids", out_col: str = "text") -> DataFrame:
@@ -345,4 +346,4 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=[id_col, "n_bytes", "n_tokens", "ids_sha256", "round_trip"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, ids_sha256 string, round_trip boolean")
+    return docs.select(id_col, text_col).mapInArrow(A.tidied(run), f"`{id_col}` {kind}, n_bytes long, n_tokens long, ids_sha256 string, round_trip boolean")

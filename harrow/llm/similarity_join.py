@@ -107,7 +107,7 @@ def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, size: int) ->
         if total:
             yield flush(held)
 
-    counted = docs.select(text_col).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = docs.select(text_col).mapInArrow(A.tidied(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counted = durable(counted.where(F.col("n") >= LEAST_LIMIT))
     held, limit = counted.count(), LEAST_LIMIT
     if held > MOST_FREQUENT:
@@ -150,7 +150,7 @@ def sketches(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str,
                     names=["id", "n", "cid", "heavy", "keys", "prefix"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {id_type}, n long, cid long, heavy double, keys array<long>, prefix array<long>")
+    return docs.select(id_col, text_col).mapInArrow(A.tidied(run), f"id {id_type}, n long, cid long, heavy double, keys array<long>, prefix array<long>")
 
 
 def packed(texts: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def open_groups(queries: DataFrame, members: DataFrame, texts: DataFrame, size:
                         out[1].append(owners[hit[0]])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["u", "v"])
 
-    return rows.mapInArrow(compare, "u long, v long")
+    return rows.mapInArrow(A.tidied(compare), "u long, v long")
 
 
 def leader_links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
