@@ -6,8 +6,9 @@ by joining its counts to the totals of their contexts and to the next lower orde
 
 Scoring never broadcasts the model. Documents are packed into blocks of about ``BLOCK`` bytes; a block asks for its
 distinct n-grams only, the requests of all blocks are joined to the n-grams' shards (probability, or back-off weights
-down to the longest known suffix), and the code lengths go back to the block, whose texts are then scored. The blocks
-are a table bucketed by block, so texts are not shuffled.
+down to the longest known suffix), and the code lengths go back to the block, whose texts are then scored. Requests
+and answers travel as compressed arrays, one for each block and shard (n-gram modulo ``SHARDS``). The blocks are a
+table bucketed by block, so texts are not shuffled.
 
 A document's bits per byte (log2 of its perplexity) is held against a quantile of its language's held-out trusted
 documents; a language without such documents takes the quantile of all. Beyond ``slack`` times the threshold the
@@ -26,18 +27,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm import arrays as A
 from harrow.session import durable, shared_dir, ship
 
-ORDER = 4
+ORDER = 5
 BLOCK = 16 << 20
 HELD = 1 << 20  # distinct n-grams that a counting task holds before it passes them on
 QUANTILE, SLACK = 0.995, 1.03
 BROADCAST_IDS = 4_000_000  # ids (8 bytes each) that may be broadcast; beyond that the join shuffles
 FIELD = 8 * ORDER
+SHARDS = 251
 
 
 def grams(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -138,8 +141,31 @@ def train(texts: DataFrame) -> tuple[DataFrame, float]:
     return model, floor
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, those of equal weight beside each other."""
+    return zstandard.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 3)
+
+
+def restored(body: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(np.frombuffer(zstandard.decompress(body), np.uint8).reshape(width, -1).T.tobytes(), kind)
+
+
+def dealt(g: np.ndarray) -> list[bytes]:
+    """Sorted distinct n-grams as one compressed array for each shard."""
+    shard = g % SHARDS
+    order = np.argsort(shard, kind="stable")
+    cut = np.searchsorted(shard[order], np.arange(SHARDS + 1))
+    whole = g[order] // SHARDS
+    return [squeezed(np.diff(whole[a:b], prepend=0)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def undealt(body: bytes, shard: int) -> np.ndarray:
+    return np.cumsum(restored(body, np.int64)) * SHARDS + shard
+
+
 def pack_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(block, body, grams): a block's documents (Arrow, compressed) and its distinct n-grams; bucketed by block."""
+    """(block, body, grams): a block's documents (Arrow, compressed) and its distinct n-grams by shard; bucketed by block."""
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +176,7 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> D
             writer.close()
             stream.close()
             body = sink.getvalue().to_pybytes()
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([body], pa.binary()), pa.array([wanted], pa.list_(pa.int64()))], names=["block", "body", "grams"])
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([body], pa.binary()), pa.array([dealt(wanted)], pa.list_(pa.binary()))], names=["block", "body", "grams"])
 
         for batch in batches:
             data, offs = A.buffers(batch.column(1))
@@ -169,7 +195,7 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> D
         if writer is not None:
             yield flush()
 
-    rows = docs.select(F.col(id_col), F.col(text_col), F.col(lang_col)).mapInArrow(A.tidied(run), "block string, body binary, grams array<long>")
+    rows = docs.select(F.col(id_col), F.col(text_col), F.col(lang_col)).mapInArrow(A.tidied(run), "block string, body binary, grams array<binary>")
     name = f"harrow_blocks_{uuid.uuid4().hex}"
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows.write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
@@ -194,19 +220,63 @@ def code_lengths(wanted: DataFrame, model: DataFrame, floor: float) -> DataFrame
     return found.select("g", (-F.log2(p)).cast("float").alias("bits"))
 
 
+def answered(wanted: DataFrame, bits: DataFrame) -> DataFrame:
+    """(block, shard, bits) of the requests ``wanted`` (block, shard, body): the code lengths in the order of the n-grams.
+
+    A shard's code lengths come before its requests, which are answered one by one.
+    """
+    known = bits.select(F.pmod("g", F.lit(SHARDS)).cast("int").alias("shard"), F.lit(0).alias("kind"), "g", "bits", F.lit(None).cast("string").alias("block"), F.lit(None).cast("binary").alias("body"))
+    asked = wanted.select("shard", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("g"), F.lit(None).cast("float").alias("bits"), "block", "body")
+    rows = known.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind", "g")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held_g, held_bits, g, cost = None, [], [], None, None
+        for batch in batches:
+            shards, kinds = (batch.column(k).to_numpy() for k in (0, 1))
+            edge = np.flatnonzero(np.concatenate([[True], (shards[1:] != shards[:-1]) | (kinds[1:] != kinds[:-1]), [True]])) if len(batch) else []
+            out: tuple[list, list, list] = ([], [], [])
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if shards[a] != of:
+                    of, held_g, held_bits, g = int(shards[a]), [], [], None
+                part = batch.slice(a, b - a)
+                if kinds[a] == 0:
+                    held_g.append(part.column(2).to_numpy())
+                    held_bits.append(part.column(3).to_numpy())
+                    continue
+                if g is None:
+                    g, cost = np.concatenate(held_g), np.concatenate(held_bits)
+                for block, body in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True):
+                    out[0].append(block)
+                    out[1].append(of)
+                    out[2].append(squeezed(cost[np.searchsorted(g, undealt(body, of))]))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=["block", "shard", "bits"])
+
+    return rows.select("shard", "kind", "g", "bits", "block", "body").mapInArrow(A.tidied(run), "block string, shard int, bits binary")
+
+
 def score(docs: DataFrame, model: DataFrame, floor: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, lang, n_bytes, bits) of every document; bits is null for texts without bytes."""
     blocks = pack_blocks(docs, id_col, text_col, lang_col)
-    wanted = blocks.select("block", F.explode("grams").alias("g"))
-    bits = code_lengths(wanted.select("g"), model, floor)
-    answers = wanted.join(bits, "g").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("g", "bits"))).alias("found"))
-    answers = answers.select("block", F.col("found.g").alias("g"), F.col("found.bits").alias("bits"))
+    none = squeezed(np.zeros(0, np.int64))
+    wanted = blocks.select("block", F.posexplode("grams").alias("shard", "body")).where(F.col("body") != F.lit(none))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(undealt(body, shard))], names=["g"])
+
+    bits = code_lengths(wanted.select("shard", "body").mapInArrow(A.tidied(spread), "g long"), model, floor)
+    answers = answered(wanted, bits).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("shard", "bits"))).alias("found"))
     id_type, lang_type = docs.schema[id_col].dataType.simpleString(), docs.schema[lang_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(len(batch)):
-                known, cost = (batch.column(k).slice(r, 1).flatten().to_numpy(zero_copy_only=False) for k in (1, 2))
+                pieces, found = batch.column(1)[r].as_py(), batch.column(2)[r].as_py() or []
+                known = np.concatenate([np.zeros(0, np.int64), *(undealt(pieces[x["shard"]], x["shard"]) for x in found)])
+                cost = np.concatenate([np.zeros(0, np.float32), *(restored(x["bits"], np.float32) for x in found)])
+                order = np.argsort(known)
+                known, cost = known[order], cost[order]
                 body = pa.CompressedInputStream(pa.BufferReader(batch.column(0)[r].as_buffer()), "zstd")
                 for part in pa.ipc.open_stream(body):
                     data, offs = A.buffers(part.column(1))
@@ -220,7 +290,7 @@ def score(docs: DataFrame, model: DataFrame, floor: float, id_col: str = "doc_id
                         [part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(total, pa.float64(), mask=n == 0)], names=["id", "lang", "n_bytes", "bits"]
                     )
 
-    both = blocks.select("block", "body").join(answers, "block", "left").select("body", F.coalesce("g", F.array().cast("array<long>")).alias("g"), F.coalesce("bits", F.array().cast("array<float>")).alias("bits"))
+    both = blocks.join(answers, "block", "left").select("body", "grams", "found")
     return both.mapInArrow(A.tidied(run), f"id {id_type}, lang {lang_type}, n_bytes long, bits double")
 
 

@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from harrow.llm import quality_model as qm
@@ -90,3 +91,16 @@ def test_hard_rows_without_labels(spark):
 def test_trust_needs_every_label(spark):
     rows = [(1, 1, 0), (1, 0, 0), (2, 1, 0), (2, 1, None), (3, 1, 1), (4, None, 0)]
     assert [r.doc_id for r in qm.trusted_ids(spark.createDataFrame(rows, "doc_id long, quality int, toxic int"), "doc_id").collect()] == [2]
+
+
+def test_the_byte_four_places_back_counts(spark):
+    model, floor = qm.train(spark.createDataFrame([("abcdX ebcdY " * 20,)], "text string"))
+    docs = spark.createDataFrame([(1, "abcdX", "en"), (2, "abcdY", "en")], "doc_id long, text string, lang string")
+    bits = {r.id: r.bits for r in qm.score(docs, model, floor).collect()}
+    assert bits[2] > bits[1] + 2
+
+
+def test_requests_come_back_from_their_shards():
+    g = np.unique(np.random.default_rng(1).integers(0, 1 << qm.FIELD, 5000))
+    back = [qm.undealt(body, k) for k, body in enumerate(qm.dealt(g))]
+    assert np.array_equal(np.sort(np.concatenate(back)), g) and all((x % qm.SHARDS == k).all() for k, x in enumerate(back))
