@@ -11,8 +11,9 @@ and answers travel as compressed arrays, one for each block and shard (n-gram mo
 table bucketed by block, so texts are not shuffled.
 
 A document's bits per byte (log2 of its perplexity) is held against a quantile of its language's held-out trusted
-documents; a language without such documents takes the quantile of all. Beyond ``slack`` times the threshold the
-document is rejected.
+documents. Where fewer than ``TAIL`` of them lie beyond the quantile it is an outlier's place, and the threshold is the
+language's median times the quantile of all held-out documents' ratios to their own language's median; a language
+without such documents takes the quantile of all. Beyond ``slack`` times the threshold the document is rejected.
 
 Defined results: null and empty texts have no perplexity (null) and are rejected; a null language is a language of its
 own; without trusted text every n-gram costs 8 bits and nothing with text is rejected; repeated rows repeat;
@@ -37,7 +38,8 @@ from harrow.session import durable, shared_dir, ship
 ORDER = 5
 BLOCK = 16 << 20
 HELD = 1 << 20  # distinct n-grams that a counting task holds before it passes them on
-QUANTILE, SLACK = 0.995, 1.03
+QUANTILE, SLACK = 0.98, 1.0
+TAIL = 10  # held-out documents beyond the quantile that make it a language's own
 BROADCAST_IDS = 4_000_000  # ids (8 bytes each) that may be broadcast; beyond that the join shuffles
 FIELD = 8 * ORDER
 SHARDS = 251
@@ -294,6 +296,16 @@ def score(docs: DataFrame, model: DataFrame, floor: float, id_col: str = "doc_id
     return both.mapInArrow(A.tidied(run), f"id {id_type}, lang {lang_type}, n_bytes long, bits double")
 
 
+def thresholds(fold: DataFrame, quantile: float) -> DataFrame:
+    """(__lang, at) from a fold (__lang, bits_per_byte): the language's quantile, or its median times the common spread."""
+    own = [F.percentile_approx("bits_per_byte", q, 10000).alias(name) for q, name in ((quantile, "__own"), (0.5, "__mid"))]
+    by_lang = durable(fold.groupBy("__lang").agg(*own, F.count(F.lit(1)).alias("__n")))
+    ratio = F.col("bits_per_byte") / F.nullif(F.col("__mid"), F.lit(0.0))
+    spread = fold.join(by_lang, "__lang").agg(F.percentile_approx(ratio, quantile, 10000)).first()[0]
+    enough = F.col("__n") * (1 - quantile) >= TAIL
+    return by_lang.select("__lang", F.when(enough, F.col("__own")).otherwise(F.coalesce(F.col("__mid") * F.lit(spread).cast("double"), "__own")).alias("at"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, lang, n_bytes, bits_per_byte, perplexity, threshold, kept) of every document."""
     ship(docs.sparkSession)
@@ -304,11 +316,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     scored = score(docs, model, floor, id_col, text_col, lang_col)
     scored = durable(scored.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "n_bytes", (F.col("bits") / F.col("n_bytes")).alias("bits_per_byte")))
     fold = semi(scored.where(held_out(id_col) & F.col("bits_per_byte").isNotNull()), trusted, id_col, "left_semi")
-    at = F.percentile_approx("bits_per_byte", quantile, 10000).alias("at")
-    overall = fold.agg(at).first()[0]
-    by_lang = fold.groupBy(F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit("")).alias("__lang")).agg(at, F.count(F.lit(1)).alias("__n"))
-    out = scored.withColumn("__lang", F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit("")))
-    out = out.join(by_lang, "__lang", "left")
+    tag = F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit("")).alias("__lang")
+    out = scored.select("*", tag).join(thresholds(fold.select(tag, "bits_per_byte"), quantile), "__lang", "left")
+    overall = fold.agg(F.percentile_approx("bits_per_byte", quantile, 10000)).first()[0]
     threshold = F.coalesce(F.col("at"), F.lit(overall).cast("double")) * slack
     return out.select(
         id_col, lang_col, "n_bytes", "bits_per_byte", F.pow(F.lit(2.0), "bits_per_byte").alias("perplexity"), threshold.alias("threshold"),

@@ -104,3 +104,9 @@ def test_requests_come_back_from_their_shards():
     g = np.unique(np.random.default_rng(1).integers(0, 1 << qm.FIELD, 5000))
     back = [qm.undealt(body, k) for k, body in enumerate(qm.dealt(g))]
     assert np.array_equal(np.sort(np.concatenate(back)), g) and all((x % qm.SHARDS == k).all() for k, x in enumerate(back))
+
+
+def test_an_outlier_is_no_threshold(spark):
+    rows = [("=de", 2.0 + i / 1000) for i in range(99)] + [("=de", 4.0)] + [("=en", 3.0 + i / 5000) for i in range(1000)] + [("=fr", 5.0)]
+    at = {r["__lang"]: r["at"] for r in qm.thresholds(spark.createDataFrame(rows, "__lang string, bits_per_byte double"), qm.QUANTILE).collect()}
+    assert 2.0 < at["=de"] < 2.3 and abs(at["=en"] - 3.196) < 0.01 and 5.0 <= at["=fr"] < 5.6
