@@ -49,6 +49,15 @@ def test_random_strings_and_what_is_left_alone():
     assert spans("thionerandwhathaningestiontherandanble") == []
 
 
+def test_letters_alone_and_short_keys_are_judged_by_the_ratio():
+    enc = ss.encoding(RANKS)
+    spans = lambda t: [t[a:b] for a, k, b in ss.find(t, enc)[1] if k == 3]
+    for key in ("qZxKvJwPmTbHrDlCnFgSyUeA", "q7Zx9Lk2Vb8Nw4Tp", "Xq7Zk9Lw2VbR", "zqxjkvwpmtbhrdlcnfgsyq"):
+        assert spans(f"key {key} end") == [key]
+    for name in ("internationalisation", "Verantwortungsbewusstsein", "getElementById", "configuration_2024", "============"):
+        assert spans(f"name {name} end") == []
+
+
 def test_table_and_hard_rows(spark, sf):
     texts = common.texts(spark, sf)
     rows = ss.scan_secrets(spark.read.parquet(f"{sf}/documents.parquet"), RANKS).collect()
