@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages, each over all that its predecessor kept.
 
 1. quality classifier: documents that the language model rejects go;
-2. n-gram Jaccard join: of each group of near copies the document of the smallest id stays;
+2. n-gram Jaccard join (five words, 0.8): of each group of near copies the document of the smallest id stays;
 3. benchmark decontamination: documents that the test set contaminates go;
 4. secret scan: secrets are masked in the texts;
 5. SentencePiece: texts become token ids.
@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return similarity_join.keep_first(docs)
+    return similarity_join.keep_first(docs, size=5, percent=80)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,3 +42,10 @@ def test_hard_rows(spark):
         docs = spark.createDataFrame(stage(spark, docs, SF).collect(), stage(spark, docs, SF).schema)
     assert docs.columns == ["doc_id", "n_tokens", "token_ids"]
     assert similarity_join.SHINGLE == 4
+
+
+def test_near_copies_are_five_words_and_four_fifths(spark):
+    words = [f"w{i}" for i in range(480)]
+    near = [w + "x" if i % 48 == 24 else w for i, w in enumerate(words)]  # 0.81 in five words, 0.846 in four
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near))], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SF).collect()] == [1]
