@@ -117,7 +117,7 @@ def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, size: int) ->
 
 
 def sketches(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """(id, n, cid, heavy, keys, prefix); the last three are null where the same task saw an equal set before."""
+    """(id, n, cid, heavy, keys, prefix); the last three are null where the same task saw an equal set with an id before, and without an id."""
     given = docs.sparkSession.sparkContext.broadcast(frequent)
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -126,11 +126,11 @@ def sketches(docs: DataFrame, frequent: np.ndarray, id_col: str, text_col: str,
         for batch in batches:
             for a, sets in shingle_sets(batch.column(1), size):
                 n, cid, heavy, keys, prefix = [], [], [], [], []
-                for tokens in sets:
+                for r, tokens in enumerate(sets, a):
                     n.append(len(tokens))
                     c = digest(tokens) if len(tokens) else None
                     cid.append(c)
-                    if c is None or c in seen:
+                    if c is None or c in seen or not batch.column(0)[r].is_valid:
                         heavy.append(None), keys.append(None), prefix.append(None)
                         continue
                     seen.add(c)

@@ -95,6 +95,12 @@ def test_null_ids_and_empty_table(spark):
     assert sj.similarity_components(common.empty(spark)).count() == 0
 
 
+def test_a_row_without_id_does_not_take_the_sketch(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([(None, text), (1, text), (2, text + " more")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.component_id for r in sj.similarity_components(docs).collect()} == {None: 1, 1: 1, 2: 1}
+
+
 def test_blocks_do_not_change_sets():
     column = pa.array([t for _, t in family()])
     whole = [list(map(int, x)) for _, sets in sj.shingle_sets(column, 4) for x in sets]
