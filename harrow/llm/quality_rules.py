@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from harrow.llm import arrays as A
 from harrow.session import ship
 
-MIN_REPEAT, MAX_COVERED, MAX_REPEAT = 10, 0.5, 400
+MIN_REPEAT, MAX_COVERED, MAX_REPEAT = 10, 0.4, 60
 SYMBOLS = A.table_of(*((ord(c), ord(c)) for c in "#*$%&|<>"))
 SPACE = " \t\n\x0b\x0c\r"
 

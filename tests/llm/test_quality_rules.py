@@ -69,3 +69,9 @@ def test_verdicts_and_hard_rows(spark):
     hard = sorted((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in qr.quality_rules(common.hard(spark)).collect())
     assert hard == sorted((i, *brute(t)[:5]) for i, t, *_ in common.HARD)
     assert qr.quality_rules(common.empty(spark)).count() == 0
+
+
+def test_long_repeats_fail_texts_that_pass_the_base(spark):
+    again = lambda n, m: " ".join([*(f"p{i}" for i in range(n)), *(f"x{i}" for i in range(m)), *(f"p{i}" for i in range(n))])
+    docs = spark.createDataFrame([(1, again(100, 800)), (2, again(50, 120))], "doc_id long, text string")
+    assert [(r.base_failed, r.kept) for r in qr.quality_rules(docs).orderBy("doc_id").collect()] == [(False, False), (False, False)]
