@@ -1,13 +1,25 @@
 """HTML extraction: main text by two passes of block rules.
 
-A page is cut into blocks at block-level tags. Pass one classifies each block by length, link density and the
-share of stop words in it; what lies in menus, forms, notices and the like (by element or by class and id words) is
-out, and what lies in the page's article element is held to length and links only. Pass two gives every
-ambiguous short block (headings, one-liners) the label of its nearest decided neighbour.
+A page is read once, from left to right, into blocks cut at block-level tags. Pass one classifies each block by length,
+link density and the share of stop words in it. Pass two gives every ambiguous short block the label of its nearest
+decided neighbour; a heading takes the label of the section that it heads.
+
+What a page says of its parts weighs in, and is weighed against what the parts hold:
+
+* Menus, footers, asides and hidden parts are out, and so are headers that do not belong to an article.
+* Forms, and elements whose class or id consists of words like "sidebar", "cookie-notice" or "comment-list", are out
+  unless they hold most of the page's running text (``SHARE`` times what the rest holds), as a wrapper of the whole page
+  does. Names that only contain such a word ("has-sidebar", "copyright-law") say nothing.
+* In an article or main element that holds a fair part of the running text, blocks need fewer stop words, its borders
+  count as decided neighbours that are main text, and what lies outside is out.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined in page order by
-an empty line. Defined results: null, empty or text-free html gives an empty text; malformed markup never fails
-(unclosed elements end with their parents); repeated pages repeat; an empty table gives an empty result.
+an empty line. Reading takes time in proportion to the page, however its markup is broken: a tag without an end is the
+end of the page, and once quotes do not match, tags end at the next ``>``.
+
+Defined results: null, empty or text-free html gives an empty text; unclosed elements end with their parents, deeply
+nested ones need no recursion; a page is held whole by one task and nothing of it is cut; repeated pages repeat; columns
+other than the three are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +32,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from harrow.llm import arrays as A
 from harrow.session import ship
 
 # Frequent function words.
@@ -40,147 +53,301 @@ STOP_WORDS = frozenset(
     """.split()
 )
 # Elements by their part in a page.
-SKIPPED = frozenset("script style noscript template svg iframe textarea select button head title object canvas math audio video datalist dialog".split())
-OUTSIDE = frozenset("nav aside footer form menu".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())  # hold text without markup
+LEFT_OUT = frozenset("noscript template svg select button canvas object audio video datalist annotation annotation-xml".split())
+OUTSIDE = frozenset("nav aside footer menu dialog".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr input link meta".split()
+    """
+    a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr input link meta
+    math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mtable mtr mtd mspace semantics
+    """.split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-LOOSE = frozenset("p li dt dd tr td th option h1 h2 h3 h4 h5 h6 tbody thead tfoot".split())  # may be left unclosed
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 summary legend caption figcaption dt".split())
-# Class and id words of what is not main text.
+CELLS = ("td", "th", "caption")  # an element opened outside ends outside
+CLOSE_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split()
+)
+ENDS = {  # an element, the open ones that it ends, and what they have to lie in
+    **dict.fromkeys(CLOSE_P, (("p",), (*CELLS, "button"))),
+    "li": (("li", "p"), (*CELLS, "ul", "ol", "menu")), "dd": (("dd", "dt", "p"), (*CELLS, "dl")), "dt": (("dd", "dt", "p"), (*CELLS, "dl")), "td": (("td", "th", "p"), ("table", "tr")),
+    "th": (("td", "th", "p"), ("table", "tr")), "tr": (("tr", "td", "th", "p"), ("table",)), "tbody": (("tr", "thead", "tbody"), ("table",)), "tfoot": (("tr", "tbody"), ("table",)),
+}
+# Class and id words of what is not main text; those of reader comments; words that go with either; and words that turn a name into something else.
 HINTS = frozenset(
     """
-    ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies
-    copyright disclaimer disqus dropdown footer gdpr login masthead menu modal nav navbar navigation newsletter notice overlay pager
-    pagination popup promo promotion recommended related respond reviews share sharing sidebar signup skip social sponsor sponsored
-    subscribe subscription tagcloud tags teaser toolbar topbar widget
+    ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies copyright disclaimer
+    dropdown footer gdpr login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo
+    promotion recommended related share sharing sidebar signup skip social sponsor sponsored subscribe subscription tagcloud
+    teaser toolbar topbar widget
     """.split()
 )
-HEADER_HINTS = frozenset({"header"})
+COMMENTS = frozenset("comment comments commentlist disqus respond replies reviews".split())
+PLAIN = frozenset(
+    """
+    area article bar block body bottom box btn button buttons container content default desktop entry feed fixed form global google
+    group head header holder icon icons inline inner item items large left link links list listing local main mobile native
+    outer page panel post posts primary reader right row secondary section site slot small space sticky story text title top
+    unit user wrap wrapper
+    """.split()
+)
+TURNS = frozenset("has have with without no not hide hidden is show layout body open".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-SPLIT = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
+SPLIT = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])")
+SHARE = 3  # times the rest of the running text that a part must hold to be the page itself
 
 
 @dataclass(slots=True)
 class Block:
     text: str
     linked: int  # characters inside links
-    heading: bool
+    heading: int  # 1 to 6, 7 for other headings, 0 for none
     outside: bool  # in a part that is never main text
     article: int  # which article or main element it lies in, 0 for none
+    part: int = -1  # the innermost part in question that it lies in, -1 for none
+
+
+@dataclass(slots=True)
+class Part:
+    """An element that is out unless it holds most of the page."""
+
+    kind: str  # form, named, comments
+    parent: int  # the part in question around it, -1 for none
+    article: int  # which article or main element it lies in
 
 
 def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)}
 
 
-def cut_off(name: str, raw: str, in_article: bool) -> bool:
-    """Whether an element opens a part that is not main text."""
-    if name in OUTSIDE or (name == "header" and not in_article):
-        return True
-    if not raw or "=" not in raw and "hidden" not in raw:
-        return False
-    got = attributes(raw)
-    if "hidden" in got or got.get("aria-hidden") == "true" or HIDDEN.search(got.get("style", "")) or got.get("role", "").lower() in ROLES:
-        return True
-    if name in ("article", "main", "body", "html"):
-        hints = HINTS - {"sidebar", "widget", "nav", "menu", "footer"} if name in ("body", "html") else HINTS
-        return name in ("article", "main") and not hints.isdisjoint(w.lower() for w in SPLIT.split(got.get("class", "") + " " + got.get("id", "")))
-    words = {w.lower() for w in SPLIT.split(got.get("class", "") + " " + got.get("id", ""))}
-    return not HINTS.isdisjoint(words) or (not in_article and not HEADER_HINTS.isdisjoint(words))
-
-
-def blocks_of(page: str) -> list[Block]:
-    out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, outside, article
-    text: list[str] = []
-    linked = link = article = articles = breaks = 0
-    heading = outside = False
-    loose: str | None = None  # the open p, li, ... and whether it alone is outside
-    loose_out = False
-
-    def flush() -> None:
-        nonlocal linked, heading
-        if text:
-            joined = " ".join(entities.unescape("".join(text)).split())
-            if joined:
-                out.append(Block(joined, linked, heading, outside or loose_out, article))
-            text.clear()
-        linked, heading = 0, False
-
-    at, end = 0, len(page)
-    while at < end:
-        m = TOKEN.search(page, at)
-        stop = m.start() if m else end
-        if stop > at:
-            piece = page[at:stop]
-            text.append(piece)
-            if link:
-                linked += len(" ".join(piece.split()))
-            if breaks and piece.strip():
-                breaks = 0
-        if not m:
-            break
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            if m[0].startswith("<![CDATA["):
-                text.append(m[0][9:-3])
-            continue
-        closing = bool(m[1])
-        if name == "br":
-            breaks += 1
-            text.append(" ")
-            if breaks > 1:
-                flush()
+def named(names: str) -> str:
+    """What class or id names say: "comments", "named", "header" or nothing."""
+    said = ""
+    for name in names.split():
+        words = {w.lower() for w in SPLIT.split(name) if w and not w.isdigit()}
+        if not words or not TURNS.isdisjoint(words - {"body"} if len(words) > 1 else words):
             continue
+        if words <= HINTS | COMMENTS | PLAIN:
+            if not COMMENTS.isdisjoint(words):
+                return "comments"
+            if not HINTS.isdisjoint(words):
+                said = "named"
+            elif not said and "header" in words and words <= {"header", "site", "page", "top", "main", "global", "wrapper", "container", "inner"}:
+                said = "header"
+    return said
+
+
+_judged: dict[tuple[str, str], str] = {}
+
+
+def judge(name: str, raw: str) -> str:
+    """What an element's name and attributes say: "out", "form", "comments", "named", "header" or nothing."""
+    if name in OUTSIDE:
+        return "out"
+    said = "form" if name == "form" else "header" if name == "header" else ""
+    if not TELLING.search(raw):
+        return said
+    if (got := _judged.get((name, raw))) is not None:
+        return got
+    at = attributes(raw)
+    role = at.get("role", "").lower()
+    if "hidden" in at or at.get("aria-hidden") == "true" or HIDDEN.search(at.get("style", "")) or (role in ROLES and role != "form"):
+        out = "out"
+    elif name in ("body", "html"):
+        out = ""
+    else:
+        out = said if said == "form" else named(at.get("class", "") + " " + at.get("id", "")) or said
+    if len(_judged) > 4096:
+        _judged.clear()
+    if len(raw) < 512:
+        _judged[name, raw] = out
+    return out
+
+
+class Reader:
+    """Reads a page into ``blocks`` and ``parts``."""
+
+    def __init__(self, page: str):
+        self.page, self.blocks, self.parts = page, [], []
+        self.stack: list[tuple] = []  # open elements: name, and the state before them
+        self.places: dict[str, list[int]] = {}  # where in the stack elements of a name stand
+        self.text: list[str] = []
+        self.linked = self.heading = self.article = self.articles = self.level = 0
+        self.outside, self.link, self.part, self.left_out = False, False, -1, 0
+        self.missing: set[str] = set()  # elements that end nowhere in the rest of the page
+        self.read()
+        self.flush()
+
+    def flush(self) -> None:
+        if self.text:
+            joined = " ".join(entities.unescape("".join(self.text)).split())
+            if joined:
+                self.blocks.append(Block(joined, min(self.linked, len(joined)), self.heading, self.outside, self.article, self.part))
+                self.heading = 0
+            self.text.clear()
+        self.linked = 0
+
+    def add(self, piece: str) -> None:
+        if piece and not self.left_out:
+            self.text.append(piece)
+            if self.link:
+                self.linked += len(" ".join(entities.unescape(piece).split()))
+
+    def ends(self, name: str, at: int) -> int:
+        """The place behind the end tag of an element of plain text, -1 where it has none."""
+        if name in self.missing:
+            return -1
+        m = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+>", re.I).search(self.page, at)
+        if m is None:
+            self.missing.add(name)
+            return -1
+        return m.end()
+
+    def last(self, names) -> int:
+        return max((p[-1] for x in names if (p := self.places.get(x))), default=-1)
+
+    def pop_to(self, depth: int) -> None:
+        """Close all elements from ``depth`` on."""
+        while len(self.stack) > depth:
+            name, self.outside, self.part, self.article, self.link, left_out, self.heading = self.stack.pop()
+            self.left_out = min(self.left_out, left_out)
+            self.places[name].pop()
+
+    def push(self, name: str) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, self.outside, self.part, self.article, self.link, self.left_out, self.heading))
+
+    def read(self) -> None:
+        page, at, tag, breaks = self.page, 0, TAG, 0
+        while at < len(page):
+            stop = page.find("<", at)
+            if stop < 0:
+                self.add(page[at:])
+                return
+            if stop > at:
+                self.add(page[at:stop])
+                if breaks and page[at:stop].strip():
+                    breaks = 0
+            after = page[stop + 1 : stop + 2]
+            if after in ("!", "?"):
+                if page.startswith("<!--", stop):
+                    end, size = page.find("-->", stop + 4), 3
+                elif page.startswith("<![CDATA[", stop) and (end := page.find("]]>", stop)) >= 0:
+                    self.add(page[stop + 9 : end])
+                    size = 3
+                else:
+                    end, size = page.find(">", stop), 1
+                if end < 0:
+                    return
+                at = end + size
+                continue
+            if not (after.isalpha() and after.isascii() or after == "/"):
+                self.add("<")
+                at = stop + 1
+                continue
+            m = tag.match(page, stop)
+            if m is None:
+                if page.find(">", stop) < 0:
+                    return  # the page ends within a tag
+                if after == "/" and not page[stop + 2 : stop + 3].isalpha():
+                    at = page.find(">", stop) + 1
+                    continue
+                if tag is LOOSE_TAG:
+                    self.add("<")
+                    at = stop + 1
+                else:
+                    tag = LOOSE_TAG
+                    at = stop
+                continue
+            at = m.end()
+            name, closing, raw = m[2].lower(), bool(m[1]), m[3]
+            if name == "br":
+                breaks += 1
+                self.add(" ")
+                if breaks > 1 and not self.left_out:
+                    self.flush()
+            elif closing:
+                breaks = self.close(name, breaks)
+            else:
+                at, breaks = self.open(name, raw, at, breaks)
+
+    def close(self, name: str, breaks: int) -> int:
         if name == "a":
-            link = 0 if closing else 1
-            continue
-        if name in SKIPPED:
-            if not closing and not m[3].endswith("/"):
-                tail = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                if name == "head" and not tail:
-                    tail = re.compile(r"(?=<body)", re.I).search(page, at)
-                at = tail.end() if tail else (end if name in ("script", "style") else at)
-            if name not in ("button", "svg"):
-                flush()
-            continue
+            self.link = False
+            return breaks
+        places = self.places.get(name)
+        if name in INLINE and not places:
+            return breaks
+        if name not in INLINE and name not in LEFT_OUT and not self.left_out:
+            self.flush()
+            breaks = 0
+        if places and (name in CELLS or name in ("table", "tr", "tbody", "thead", "tfoot") or places[-1] > self.last(CELLS)):
+            if self.left_out and name not in LEFT_OUT and name not in INLINE:
+                self.flush()
+            self.pop_to(places[-1])
+        return breaks
+
+    def open(self, name: str, raw: str, at: int, breaks: int) -> tuple[int, int]:
+        if name in RAW:
+            end = self.ends(name, at)
+            if end < 0:
+                return (len(self.page) if name in ("script", "style") else at), breaks
+            return end, breaks
+        if self.left_out and name not in LEFT_OUT:
+            if name not in INLINE and name not in VOID and self.places.get(name):
+                self.push(name)  # its end is not the end of one further out
+            return at, breaks
+        if name in LEFT_OUT:
+            if not raw.endswith("/") and self.ends(name, at) >= 0:
+                self.push(name)
+                self.left_out += 1
+            return at, breaks
         if name in INLINE:
-            continue
-        flush()
-        breaks = 0
-        if name in LOOSE:
-            loose = None if closing else name
-            loose_out = not closing and cut_off(name, m[3], article > 0)
-            if not closing:
-                heading = name in HEADINGS
-            continue
+            if name == "a":
+                self.link = True
+            elif name not in VOID and raw and judge(name, raw) == "out" and not raw.endswith("/"):
+                self.push(name)
+                self.left_out += 1
+            elif self.places.get(name):
+                self.push(name)
+            return at, breaks
+        self.flush()
         if name in VOID:
-            continue
-        loose, loose_out, link = None, False, 0
-        if not closing:
-            heading = name in HEADINGS
-            if m[3].endswith("/"):
-                continue
-            stack.append((name, outside, article))
-            outside = outside or cut_off(name, m[3], article > 0)
-            if name in ("article", "main") and not outside:
-                articles += 1
-                article = article or articles
-        elif any(s[0] == name for s in stack):
-            while True:
-                last, outside, article = stack.pop()
-                if last == name:
-                    break
-    flush()
-    return out
+            return at, 0
+        if (rule := ENDS.get(name)) is not None:
+            ended, scope = rule
+            limit = self.last(scope)
+            deepest = min((p[-1] for x in ended if (p := self.places.get(x)) and p[-1] > limit), default=-1)
+            if deepest >= 0:
+                self.pop_to(deepest)
+        self.heading = int(name[1]) if name in ("h1", "h2", "h3", "h4", "h5", "h6") else 7 if name in HEADINGS else 0
+        if raw.endswith("/"):
+            return at, 0
+        self.push(name)
+        said = judge(name, raw)
+        if said == "header" and (self.article or (name == "header" and sum(x[0] not in ("html", "body") for x in self.stack[:4]) > 1)):
+            said = ""  # the header of an article
+        if said in ("out", "header"):
+            self.outside = True
+        elif said and not self.outside:
+            self.parts.append(Part(said, self.part, self.article))
+            self.part = len(self.parts) - 1
+        if name in ("article", "main") and not self.outside and not said:
+            self.articles += 1
+            self.article = self.article or self.articles
+        return at, 0
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[Part]]:
+    got = Reader(page)
+    return got.blocks, got.parts
 
 
 def stop_share(text: str) -> float:
@@ -189,72 +356,128 @@ def stop_share(text: str) -> float:
 
 
 GOOD, BAD, OPEN = 1, 0, -1
+LONG, SHORT, HIGH, LOW, LINKS = 140, 70, 0.3, 0.12, 0.4
+
+
+def cut_parts(found: list[Block], parts: list[Part], running: list[int]) -> list[bool]:
+    """Which parts are out: those that do not hold most of the page's running text."""
+    own = [0] * len(parts)
+    loose = [0, 0]  # running text outside of all parts: elsewhere, in articles
+    for b, n in zip(found, running, strict=True):
+        if not b.outside:
+            if b.part >= 0:
+                own[b.part] += n
+            else:
+                loose[b.article > 0] += n
+    held = own.copy()
+    for k in range(len(parts) - 1, -1, -1):  # a part follows the one around it
+        if parts[k].parent >= 0:
+            held[parts[k].parent] += held[k]
+    total, out = sum(own) + sum(loose), []
+    for k, p in enumerate(parts):
+        if p.parent >= 0 and out[p.parent]:
+            out.append(True)
+            continue
+        rest = total - held[k]
+        wraps = held[k] >= 200 and held[k] >= SHARE * rest
+        if p.kind == "comments":
+            wraps = wraps and rest == 0 and not p.article
+        elif p.kind == "named" and (loose[1] if not p.article else 0):
+            wraps = False
+        out.append(not wraps)
+    return out
 
 
-def labels(found: list[Block], long: int = 140, short: int = 70, high: float = 0.3, low: float = 0.12, links: float = 0.4) -> list[int]:
-    """Both passes over a page's blocks."""
-    inside = sum(len(b.text) for b in found if b.article and not b.outside)
-    free = sum(len(b.text) for b in found if not b.article and not b.outside and len(b.text) >= long and b.linked < links * len(b.text))
-    contained = inside > 0 and inside >= 0.25 * free
+def first_pass(found: list[Block], parts: list[Part]) -> tuple[list[int], list[bool], bool]:
+    """The labels by the blocks' own text, which blocks lie in parts that are out, and whether the page has an article."""
     shares = [stop_share(b.text) if not b.outside else 0.0 for b in found]
-    wide = [x for x, b in zip(shares, found, strict=True) if not b.outside and len(b.text) >= short]
-    known = not wide or max(wide) >= low  # else a language without a list here: stop words say nothing
-    first = []
-    for b, share in zip(found, shares, strict=True):
+    running = [
+        0 if b.heading or b.linked > LINKS * (n := len(b.text)) else n if n >= LONG or (n >= SHORT and share >= HIGH) else 0
+        for b, share in zip(found, shares, strict=True)
+    ]
+    cut = cut_parts(found, parts, running)
+    out = [b.outside or (b.part >= 0 and cut[b.part]) for b in found]
+    inside = sum(len(b.text) for b, x in zip(found, out, strict=True) if b.article and not x)
+    free = sum(n for b, n, x in zip(found, running, out, strict=True) if not b.article and not x)
+    contained = inside > 0 and inside >= 0.25 * free
+    wide = [share for share, b, x in zip(shares, found, out, strict=True) if not x and len(b.text) >= SHORT]
+    known = not wide or max(wide) >= LOW  # else a language without a list here: stop words say nothing
+    labels = []
+    for b, share, x in zip(found, shares, out, strict=True):
         n = len(b.text)
-        if b.outside or b.linked > links * n or (contained and not b.article):
-            first.append(BAD)
+        if x or (contained and not b.article):
+            labels.append(BAD)
         elif b.heading:
-            first.append(OPEN)
+            labels.append(OPEN)
+        elif b.linked > LINKS * n:
+            labels.append(BAD)
+        elif n < SHORT:
+            labels.append(OPEN)
         elif contained:
-            first.append(GOOD if n >= short else OPEN)
-        elif n < short:
-            first.append(OPEN)
+            labels.append(GOOD if share >= LOW or n >= LONG else OPEN)
         elif not known:
-            first.append(GOOD if n >= long else OPEN)
-        elif share >= high or (share >= low and n >= long):
-            first.append(GOOD)
-        elif share >= low or n >= long:
-            first.append(OPEN)
+            labels.append(GOOD if n >= LONG else OPEN)
+        elif share >= HIGH or (share >= LOW and n >= LONG):
+            labels.append(GOOD)
+        elif share >= LOW or n >= LONG:
+            labels.append(OPEN)
         else:
-            first.append(BAD)
-    return second_pass(found, first, contained)
-
-
-def second_pass(found: list[Block], first: list[int], contained: bool) -> list[int]:
-    n = len(first)
-    before, after = [(BAD, n + 1)] * n, [(BAD, n + 1)] * n  # label and distance of the nearest decided block
-    last = None
-    for i in range(n):
-        if first[i] != OPEN:
-            last = i
-        elif last is not None:
-            before[i] = (first[last], i - last)
-    last = None
+            labels.append(BAD)
+    return labels, out, contained
+
+
+def second_pass(found: list[Block], first: list[int], out: list[bool], contained: bool) -> list[int]:
+    """Ambiguous blocks take the label of the nearest decided one (of two as near ones main text wins within an article
+    only); headings that of their section.
+
+    Within an article only its own blocks are neighbours, and its borders are main text.
+    """
+    n = len(found)
+    places = [i for i in range(n) if found[i].article and not out[i]] if contained else list(range(n))
+    labels = list(first)
+    m = len(places)
+    before, after = [(GOOD, 0)] * m, [(GOOD, 0)] * m
+    for nearest, order in ((before, range(m)), (after, range(m - 1, -1, -1))):
+        label, far = (GOOD, 1) if contained else (BAD, n + 1)
+        for k in order:
+            i = places[k]
+            if first[i] != OPEN:
+                label, far = first[i], 0
+            nearest[k] = (label, far)
+            far += 1
+    for k, i in enumerate(places):
+        if first[i] == OPEN and not found[i].heading:
+            (x, far_x), (y, far_y) = before[k], after[k]
+            labels[i] = x if far_x < far_y or x == y else y if far_y < far_x else GOOD if contained else BAD
+    section: int | None = None  # label of what follows up to the next heading, None for nothing
+    left, ahead = False, BAD  # whether something that is out stands there; the label of the next heading
     for i in range(n - 1, -1, -1):
-        if first[i] != OPEN:
-            last = i
-        elif last is not None:
-            after[i] = (first[last], last - i)
-    out = []
-    for i, b in enumerate(found):
-        if first[i] != OPEN:
-            out.append(first[i])
-        elif contained:
-            out.append(GOOD)  # decided neighbours outside the article don't count for what is in it
-        elif b.heading:
-            out.append(after[i][0])  # a heading goes with what it heads
-        else:
-            (x, far_x), (y, far_y) = before[i], after[i]
-            out.append(x if x == y or far_x < far_y else y if far_y < far_x else BAD)
-    return out
+        b = found[i]
+        if out[i]:
+            left = True
+        elif not b.heading:
+            if not contained or b.article:
+                section = GOOD if GOOD in (labels[i], section) else BAD
+        elif first[i] == OPEN:
+            if contained:
+                labels[i] = GOOD if b.heading == 1 or (section == GOOD if section is not None else not left) else BAD
+            else:
+                labels[i] = ahead if section is None else section
+            section, left, ahead = None, False, labels[i]
+    return labels
+
+
+def labels(found: list[Block], parts: list[Part]) -> list[int]:
+    """Both passes over a page's blocks."""
+    first, out, contained = first_pass(found, parts)
+    return second_pass(found, first, out, contained)
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found = blocks_of(page)
-    return "\n\n".join(b.text for b, x in zip(found, labels(found), strict=True) if x == GOOD)
+    found, parts = blocks_of(page)
+    return "\n\n".join(b.text for b, x in zip(found, labels(found, parts), strict=True) if x == GOOD)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -267,4 +490,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(id_col, url_col, html_col).mapInArrow(run, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")
+    return pages.select(id_col, url_col, html_col).mapInArrow(A.tidied(run), f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")
