@@ -15,14 +15,21 @@ at least ``percent`` / 100. The result is exact: every link between different te
 4. A group's token union bounds the overlap that any member can have with the query; only groups that qualify are
    opened, and members compared. One link to a group is enough, as its members are connected already.
 5. Components of all links give each class its smallest document.
+6. Numbers of links: an opened block counts for each query, and each member, the documents of the classes that link
+   with it. Within a group every class is written as its difference from one reference member (``|A & B|`` follows from
+   the sizes and from what two differences share), packed in panels of at most ``PANEL`` classes; a panel meets the
+   other panels of its group one after another and returns one number a class, so pairs are compared but never rows.
 
 The order of shingles comes from counts over all documents (of those that a task meets twice among CHUNK shingles):
 the MOST_FREQUENT of them with LEAST_LIMIT or more occurrences, 8 bytes each, are broadcast and come last. Any
-order gives the same result. No task holds more than a block of classes and a block of queries.
+order gives the same result. No task holds more than a block of classes and a block of queries, or two panels. The
+bitmap's shards grow in number with the shingles entered (``SHARD_ENTRIES`` each), its size does not: with many more
+entries than bits it lets more shingles through, which costs shuffling and changes nothing in the result.
 
 Defined results: null, empty and wordless texts have no shingles and link with nothing; texts of fewer words than a
-shingle are one shingle; repeated rows give repeated results; rows without an id have no component; an empty
-table gives an empty result; other columns are not read.
+shingle are one shingle; repeated rows give repeated results, and each counts as a link of the others; rows without an
+id have the component of an equal text that has one, no number of links, and are no one's link; an empty table gives
+an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -44,8 +51,11 @@ MOST_FREQUENT, LEAST_LIMIT = 1 << 22, 8
 KEYS, BUCKETS, AGREE = 8, 4, 5  # min-hashes kept, those that make buckets, those that must agree with the leader's
 BLOCK_SIZE = 256
 BROADCAST_ROWS = 1_000_000  # rows of a few numbers that may be broadcast; beyond that a join shuffles
-SHARD_BITS, SHARDS = 20, 256  # the bitmap of crowded buckets: 2**28 bits, 32 MB
-CHUNK = 1 << 22  # shingles counted at once by a task
+PANEL = 1024
+BITS = 28  # the bitmap of crowded buckets: 2**28 bits, 32 MB
+SHARD_ENTRIES = 1 << 22  # prefix shingles that a shard of the bitmap is made from, on average
+DENSE = 1 << 13  # pairs that a token may bring one by one; beyond that it is a column of a matrix
+CHUNK = 1 << 20  # shingles counted at once by a task
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -169,43 +179,71 @@ def unpacked(body: bytes) -> str:
     return zstandard.decompress(body).decode()
 
 
+def with_bodies(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """``wanted`` (with id) joined to the packed texts of its ids, in place of the ids; ``wanted`` must be durable."""
+    few = wanted.count() <= BROADCAST_ROWS
+    small = F.broadcast if few else lambda df: df
+    rows = packed(texts.join(small(wanted.select("id").distinct()), "id", "left_semi"))
+    return rows.join(small(wanted), "id").drop("id")
+
+
 def open_groups(queries: DataFrame, members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (u, v) between queries (g, b, cid, id) and members (g, b, cid, id) of the blocks (g, b) they name.
+    """(u, v, w): links between queries (g, b, cid, id, copies) and members (same) of the blocks (g, b) they name.
 
     A block's members and at most BLOCK_SIZE of its queries are one group of rows; the members' token union bounds each
-    query first. Of a block's members only the first that links is returned.
+    query first. Of the members of a block that link with a query ``u`` the first is ``v``; ``w`` counts the documents
+    of all of them. A member has a row as ``u`` too, without ``v``, with the documents of the queries that link with it.
     """
     loads = queries.groupBy("g", "b").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SIZE).alias("parts"))
-    asked = queries.join(loads, ["g", "b"]).select("g", "b", F.pmod(F.xxhash64("cid"), "parts").alias("part"), F.lit(1).alias("kind"), "cid", "id")
-    held = members.join(loads, ["g", "b"]).select("g", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "cid", "id")
-    wanted = durable(asked.unionByName(held))
-    few = wanted.count() <= BROADCAST_ROWS
-    rows = packed(texts.join(wanted.select("id").distinct(), "id", "left_semi") if not few else texts.join(F.broadcast(wanted.select("id").distinct()), "id", "left_semi"))
-    rows = rows.join(F.broadcast(wanted) if few else wanted, "id").select("g", "b", "part", "kind", "cid", "body")
+    asked = queries.join(loads, ["g", "b"]).select("g", "b", F.pmod(F.xxhash64("cid"), "parts").alias("part"), F.lit(1).alias("kind"), "cid", "id", "copies")
+    held = members.join(loads, ["g", "b"]).select("g", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "cid", "id", "copies")
+    rows = with_bodies(durable(asked.unionByName(held)), texts).select("g", "b", "part", "kind", "cid", "copies", "body")
     rows = rows.repartition("g", "b", "part").sortWithinPartitions("g", "b", "part", "kind")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = None
-        owners: list[int] = []
+        owners: dict[int, int] = {}
+        copies: list[int] = []
         sets: list[np.ndarray] = []
-        union = where = starts = sizes = None
+        done: set[int] = set()
+        union = where = starts = sizes = weight = gained = None
+        out: tuple[list, list, list] = ([], [], [])
+
+        def put(u: int, v: int | None, w: int) -> None:
+            for column, x in zip(out, (u, v, w), strict=True):
+                column.append(x)
+
+        def end() -> None:
+            if gained is not None:
+                for c, w in zip(owners, gained.tolist(), strict=True):
+                    if w:
+                        put(c, None, w)
+
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["u", "v", "w"])
+            for column in out:
+                column.clear()
+            return made
+
         for batch in batches:
             key = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-            kinds, cids = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            out: tuple[list, list] = ([], [])
-            for a, found in shingle_sets(pa.array(map(unpacked, batch.column(5).to_pylist()), pa.large_string()), size):
+            kinds, cids, n_copies = (batch.column(k).to_pylist() for k in (3, 4, 5))
+            for a, found in shingle_sets(pa.array(map(unpacked, batch.column(6).to_pylist()), pa.large_string()), size):
                 for r, tokens in enumerate(found, a):
                     if digest(tokens) != cids[r]:
                         continue  # another text under the same id
                     if key[r] != group:
-                        group, owners, sets, union = key[r], [], [], None
+                        end()
+                        group, owners, copies, sets, done, union, gained = key[r], {}, [], [], set(), None, None
                     if kinds[r] == 0:
                         if cids[r] not in owners:
-                            owners.append(cids[r])
+                            owners[cids[r]] = len(sets)
+                            copies.append(n_copies[r])
                             sets.append(tokens)
                         continue
-                    if not sets:
+                    if not sets or cids[r] in done:
                         continue
+                    done.add(cids[r])
                     if union is None:
                         every, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
                         order = np.argsort(every, kind="stable")
@@ -213,6 +251,8 @@ def open_groups(queries: DataFrame, members: DataFrame, texts: DataFrame, size:
                         union, starts = np.unique(every, return_index=True)
                         starts = np.append(starts, len(every))
                         sizes = np.array([len(x) for x in sets])
+                        weight, gained = np.array(copies, dtype=np.int64), np.zeros(len(sets), dtype=np.int64)
+                        names = list(owners)
                     at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
                     at = at[union[at] == tokens]
                     if 100 * len(at) < percent * len(tokens):
@@ -223,14 +263,17 @@ def open_groups(queries: DataFrame, members: DataFrame, texts: DataFrame, size:
                         count = starts[at + 1] - starts[at]
                         place = np.repeat(starts[at] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
                         shared = np.bincount(where[place], minlength=len(sets))
-                    hit = np.flatnonzero(100 * shared >= percent * (len(tokens) + sizes - shared))
-                    hit = [k for k in hit.tolist() if owners[k] != cids[r]]
-                    if hit:
-                        out[0].append(cids[r])
-                        out[1].append(owners[hit[0]])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["u", "v"])
+                    hit = 100 * shared >= percent * (len(tokens) + sizes - shared)
+                    if cids[r] in owners:
+                        hit[owners[cids[r]]] = False
+                    if hit.any():
+                        put(cids[r], names[int(hit.argmax())], int(weight[hit].sum()))
+                        gained[hit] += n_copies[r]
+            yield flush()
+        end()
+        yield flush()
 
-    return rows.mapInArrow(A.tidied(compare), "u long, v long")
+    return rows.mapInArrow(A.tidied(compare), "u long, v long, w long")
 
 
 def leader_links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
@@ -242,19 +285,27 @@ def leader_links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str
     near = f"cid <> lead.cid and 100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)"
     pairs = entries.join(leaders.select("r", "key", "lead"), ["r", "key"]).where(near).where(agree >= AGREE)
     pairs = durable(pairs.select("cid", "id", F.col("lead.cid").alias("g"), F.col("lead.id").alias("lid")).distinct())
-    queries = pairs.select("g", F.lit(0).cast("long").alias("b"), "cid", "id")
-    members = pairs.select("g", F.lit(0).cast("long").alias("b"), F.col("g").alias("cid"), F.col("lid").alias("id")).distinct()
+    block, one = F.lit(0).cast("long").alias("b"), F.lit(1).cast("long").alias("copies")
+    queries = pairs.select("g", block, "cid", "id", one)
+    members = pairs.select("g", block, F.col("g").alias("cid"), F.col("lid").alias("id"), one).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return open_groups(queries, members, texts, size, percent)
+    return open_groups(queries, members, texts, size, percent).where("v is not null").select("u", "v")
+
+
+def shard_bits(entries: int) -> int:
+    """log2 of the shards of the bitmap, for so many prefix shingles."""
+    return min(20, max(8, (entries // SHARD_ENTRIES).bit_length()))
 
 
-def crowded_buckets(entries: DataFrame) -> np.ndarray:
-    """A bitmap of the hash buckets (2**(SHARD_BITS + 8)) whose prefix shingles belong to more than one group.
+def crowded_buckets(entries: DataFrame, split: int) -> np.ndarray:
+    """A bitmap of the hash buckets (2**BITS) whose prefix shingles belong to more than one group.
 
     ``entries``: prefix, g. A task's entries travel as sorted arrays of (bucket, 32 bits of the group), one row for
-    each shard of buckets; two groups of the same 32 bits are told apart by nothing here, so those bits come from a
-    hash of the group that differs for each bucket, and a pair is missed only where its every shared shingle is.
+    each of the 2**split shards of buckets; two groups of the same 32 bits are told apart by nothing here, so those
+    bits come from a hash of the group that differs for each bucket, and a pair is missed only where its every shared
+    shingle is.
     """
+    shards, width = 1 << split, BITS - split  # a shard has 2**width buckets
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,14 +315,16 @@ def crowded_buckets(entries: DataFrame) -> np.ndarray:
             if not len(tokens):
                 continue
             owner = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(A.U), lengths)
-            bucket = tokens & A.U(SHARDS * (1 << SHARD_BITS) - 1)
+            bucket = tokens & A.U((1 << BITS) - 1)
             value = np.sort((bucket << A.U(32)) | (A.splitmix(owner ^ A.splitmix(bucket)) >> A.U(32)))
-            shard = (value >> A.U(32 + SHARD_BITS)).astype(np.int64)
-            cut = np.searchsorted(shard, np.arange(SHARDS + 1))
+            shard = (value >> A.U(32 + width)).astype(np.int64)
+            which, cut = np.unique(shard, return_index=True)
+            ends = [*cut[1:].tolist(), len(value)]
             press = zstandard.ZstdCompressor(level=1).compress
-            which = [k for k in range(SHARDS) if cut[k] < cut[k + 1]]
-            low = [press(np.diff((value[cut[k] : cut[k + 1]] >> A.U(32)).astype(np.int64), prepend=k << SHARD_BITS).astype("<u4").tobytes()) for k in which]
-            own = [(value[cut[k] : cut[k + 1]] & A.U(0xFFFFFFFF)).astype("<u4").tobytes() for k in which]
+            low, own = [], []
+            for k, x, y in zip(which.tolist(), cut.tolist(), ends, strict=True):
+                low.append(press(np.diff((value[x:y] >> A.U(32)).astype(np.int64), prepend=k << width).astype("<u4").tobytes()))
+                own.append((value[x:y] & A.U(0xFFFFFFFF)).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(low, pa.binary()), pa.array(own, pa.binary())], names=["shard", "low", "own"])
 
     def merge(rows: pa.Table) -> pa.Table:
@@ -279,19 +332,17 @@ def crowded_buckets(entries: DataFrame) -> np.ndarray:
         for low, own in zip(rows.column("low").to_pylist(), rows.column("own").to_pylist(), strict=True):
             place = np.cumsum(np.frombuffer(zstandard.decompress(low), "<u4"), dtype=np.uint64)
             values.append((place << A.U(32)) | np.frombuffer(own, "<u4"))
-        k = rows.column("shard")[0].as_py()
-        value = np.unique(np.concatenate(values)) if values else np.zeros(0, A.U)
+        value = np.unique(np.concatenate(values))
         bucket = value >> A.U(32)
-        crowded = bucket[1:][bucket[1:] == bucket[:-1]].astype(np.int64)  # counted from the first of the shard
-        bits = np.zeros(1 << SHARD_BITS, dtype=bool)
-        bits[crowded] = True
-        return pa.table({"shard": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+        bits = np.zeros(1 << width, dtype=bool)
+        bits[bucket[1:][bucket[1:] == bucket[:-1]].astype(np.int64)] = True  # counted from the first of the shard
+        return pa.table({"shard": rows.column("shard").slice(0, 1).combine_chunks(), "bits": pa.array([zstandard.compress(np.packbits(bits).tobytes(), 1)], pa.binary())})
 
-    dealt = entries.select("prefix", "g").mapInArrow(deal, "shard int, low binary, own binary")
+    dealt = entries.select("prefix", "g").mapInArrow(A.tidied(deal), "shard int, low binary, own binary")
     found = dealt.groupBy("shard").applyInArrow(merge, "shard int, bits binary").toArrow()
-    bits = np.zeros((SHARDS, 1 << (SHARD_BITS - 3)), dtype=np.uint8)
+    bits = np.zeros((shards, 1 << (width - 3)), dtype=np.uint8)
     for k, raw in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
-        bits[k] = np.frombuffer(raw, np.uint8)
+        bits[k] = np.frombuffer(zstandard.decompress(raw), np.uint8)
     return bits.reshape(-1)
 
 
@@ -309,7 +360,7 @@ def matrix_entries(entries: DataFrame, bits: np.ndarray, percent: int) -> DataFr
             offs = np.asarray(prefix.offsets).astype(np.int64)
             lengths = np.diff(offs)
             tokens = prefix.flatten().to_numpy(zero_copy_only=False)
-            bucket = tokens & (SHARDS * (1 << SHARD_BITS) - 1)
+            bucket = tokens & ((1 << BITS) - 1)
             on = np.flatnonzero((given.value[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1)
             row = np.repeat(np.arange(len(lengths)), lengths)[on]
             place = on - (offs[:-1] - offs[0])[row]
@@ -317,34 +368,167 @@ def matrix_entries(entries: DataFrame, bits: np.ndarray, percent: int) -> DataFr
             reach = 100 * own[1].to_numpy(zero_copy_only=False) - (100 + percent) * place
             yield pa.RecordBatch.from_arrays([pa.array(tokens[on]), *own, pa.array(reach.astype(np.int64))], names=["token", "cid", "n", "g", "size", "b", "reach"])
 
-    return entries.select("prefix", "cid", "n", "g", "size", "b").mapInArrow(run, "token long, cid long, n long, g long, size long, b long, reach long")
+    return entries.select("prefix", "cid", "n", "g", "size", "b").mapInArrow(A.tidied(run), "token long, cid long, n long, g long, size long, b long, reach long")
 
 
-def matrix_links(entries: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Links between classes of different groups, by the token-group matrix.
+def matrix_links(entries: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, split: int) -> DataFrame:
+    """Links (u, v, w) between classes of different groups, by the token-group matrix.
 
-    ``entries``: cid, n, prefix, g, size, b (a class may have several rows); ``classes``: cid, id, g, b, one row each.
+    ``entries``: cid, n, prefix, g, size, b (a class may have several rows); ``classes``: cid, id, copies, g, b, one row each.
     """
-    shared = matrix_entries(entries, crowded_buckets(entries), percent)
+    shared = matrix_entries(entries, crowded_buckets(entries, split), percent)
     matrix = shared.groupBy("token", "g", "size", "b").agg(F.min("n").alias("least"), F.max("reach").alias("most"))
     q, m = shared.select("token", "cid", "n", "g", "size", "reach").alias("q"), matrix.alias("m")
     within = f"q.g <> m.g and (m.size > q.size or (m.size = q.size and m.g > q.g)) and q.reach >= {percent} * m.least and m.most >= {percent} * q.n"
     queries = q.join(m, F.col("q.token") == F.col("m.token")).where(within).select(F.col("m.g").alias("g"), F.col("m.b").alias("b"), F.col("q.cid").alias("cid"))
     queries = durable(queries.distinct())
-    asked = queries.join(classes.select("cid", "id"), "cid").select("g", "b", "cid", "id")
-    members = classes.select("g", "b", "cid", "id").join(queries.select("g", "b").distinct(), ["g", "b"], "left_semi")
+    asked = queries.join(classes.select("cid", "id", "copies"), "cid").select("g", "b", "cid", "id", "copies")
+    members = classes.select("g", "b", "cid", "id", "copies").join(queries.select("g", "b").distinct(), ["g", "b"], "left_semi")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return open_groups(asked, members, texts, size, percent)
 
 
-def similarity_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every document."""
+class Panel:
+    """Classes of one group: cid, copies, size, shingles of the reference that each lacks, and differences by token."""
+
+    def __init__(self, body: bytes):
+        rows = pa.ipc.open_stream(body).read_all().combine_chunks()
+        self.cid, self.copies, self.n, self.lacks = (rows.column(k).to_numpy() for k in range(4))
+        delta = rows.column(4).combine_chunks()
+        token = delta.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(self.cid)), np.diff(np.asarray(delta.offsets)))
+        order = np.argsort(token, kind="stable")
+        self.row = row[order]
+        self.token, self.start = np.unique(token[order], return_index=True)
+        self.count = np.diff(np.append(self.start, len(token)))
+
+    @staticmethod
+    def packed(cid: list[int], copies: list[int], n: list[int], lacks: list[int], delta: list[np.ndarray]) -> bytes:
+        columns = [pa.array(x, pa.int64()) for x in (cid, copies, n, lacks)]
+        columns.append(pa.array([x.astype(np.int64) for x in delta], pa.list_(pa.int64())))
+        sink = pa.BufferOutputStream()
+        batch = pa.RecordBatch.from_arrays(columns, names=["cid", "copies", "n", "lacks", "delta"])
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(batch)
+        return sink.getvalue().to_pybytes()
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], ..., starts[0] + counts[0] - 1, starts[1], ..."""
+    return np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(int(counts.sum()))
+
+
+def shared_counts(a: Panel, b: Panel) -> np.ndarray:
+    """For every class of ``a`` and of ``b``, how many tokens their differences share."""
+    na, nb = len(a.cid), len(b.cid)
+    out = np.zeros(na * nb, dtype=np.int64)
+    _, i, j = np.intersect1d(a.token, b.token, assume_unique=True, return_indices=True)
+    pairs = a.count[i] * b.count[j]
+    few = pairs < DENSE
+    x, y, size = i[few], j[few], pairs[few]
+    done = np.concatenate([[0], np.cumsum(size)])
+    lo = 0
+    while lo < len(x):
+        hi = max(lo + 1, int(np.searchsorted(done, done[lo] + (1 << 22), "right")) - 1)
+        k = np.repeat(np.arange(lo, hi), size[lo:hi])
+        nth = np.arange(len(k)) - (done[k] - done[lo])
+        first, second = a.row[a.start[x[k]] + nth // b.count[y[k]]], b.row[b.start[y[k]] + nth % b.count[y[k]]]
+        out += np.bincount(first * nb + second, minlength=na * nb)
+        lo = hi
+    out = out.reshape(na, nb)
+    i, j = i[~few], j[~few]
+    for lo in range(0, len(i), 1024):
+        sides = []
+        for p, at in ((a, i[lo : lo + 1024]), (b, j[lo : lo + 1024])):
+            m = np.zeros((len(p.cid), len(at)), dtype=np.float32)
+            m[p.row[_ranges(p.start[at], p.count[at])], np.repeat(np.arange(len(at)), p.count[at])] = 1
+            sides.append(m)
+        out += np.rint(sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def linked_copies(a: Panel, b: Panel, reference: int, percent: int) -> np.ndarray:
+    """For every class of ``a``, the documents of the classes of ``b`` that link with it; ``reference``: the reference's size."""
+    both = a.n[:, None] + b.n[None, :]
+    sure = reference - a.lacks[:, None] - b.lacks[None, :]
+    common = sure if (100 * sure >= percent * (both - sure)).all() else sure + shared_counts(a, b)
+    hit = (100 * common >= percent * (both - common)) & (a.cid[:, None] != b.cid[None, :])
+    return hit @ b.copies
+
+
+def family_counts(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """(cid, w): the documents of the other classes of a class's group that link with it. ``classes``: cid, id, copies, heavy, g, size."""
+    own = classes.where("size > 1").withColumn("panels", F.ceil(F.col("size") / PANEL))
+    members = own.select("g", "panels", F.pmod(F.xxhash64("cid"), "panels").alias("p"), F.lit(1).alias("kind"), "cid", "id", "copies")
+    first = own.groupBy("g").agg(F.max_by(F.struct("cid", "id", "panels"), F.struct("heavy", "cid")).alias("ref"))
+    refs = first.select(
+        "g", "ref.panels", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ref.panels") - 1)).alias("p"), F.lit(0).alias("kind"), "ref.cid", "ref.id", F.lit(0).cast("long").alias("copies")
+    )
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = with_bodies(durable(members.unionByName(refs)), texts).select("g", "p", "kind", "panels", "cid", "copies", "body")
+    rows = rows.repartition("g", "p").sortWithinPartitions("g", "p", "kind")
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ref, held, known = None, None, None, set()
+
+        def made() -> Iterator[pa.RecordBatch]:
+            if held and held[0]:
+                g, p, panels = group
+                columns = [pa.array([x], pa.int64()) for x in (g, p, panels, len(ref))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([Panel.packed(*held)], pa.binary())], names=["g", "p", "panels", "reference", "body"])
+
+        for batch in batches:
+            key = list(zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True))
+            kinds, cids, copies = (batch.column(k).to_pylist() for k in (2, 4, 5))
+            for a, found in shingle_sets(pa.array(map(unpacked, batch.column(6).to_pylist()), pa.large_string()), size):
+                for r, tokens in enumerate(found, a):
+                    if digest(tokens) != cids[r]:
+                        continue  # another text under the same id
+                    if key[r] != group:
+                        yield from made()
+                        group, ref, held, known = key[r], None, ([], [], [], [], []), set()
+                    if kinds[r] == 0:
+                        ref = tokens
+                    elif cids[r] not in known:
+                        known.add(cids[r])
+                        delta = np.setxor1d(ref, tokens, assume_unique=True)
+                        lacks = (len(delta) + len(ref) - len(tokens)) // 2
+                        for column, x in zip(held, (cids[r], copies[r], len(tokens), lacks, delta), strict=True):
+                            column.append(x)
+        yield from made()
+
+    panels = rows.mapInArrow(A.tidied(differences), "g long, p long, panels long, reference long, body binary")
+    aimed = panels.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("panels") - 1)).alias("aim"), "p", "reference", "body")
+    aimed = aimed.select("g", "aim", (F.col("aim") != F.col("p")).alias("other"), "reference", "body").repartition("g", "aim").sortWithinPartitions("g", "aim", "other")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, own, total = None, None, None
+
+        def made() -> Iterator[pa.RecordBatch]:
+            if own is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(own.cid), pa.array(total)], names=["cid", "w"])
+
+        for batch in batches:
+            for k in range(len(batch)):
+                key = (batch.column(0)[k].as_py(), batch.column(1)[k].as_py())
+                panel, reference = Panel(batch.column(4)[k].as_py()), batch.column(3)[k].as_py()
+                if key != group:
+                    yield from made()
+                    group, own, total = key, panel, np.zeros(len(panel.cid), dtype=np.int64)
+                total += linked_copies(own, panel, reference, percent)
+        yield from made()
+
+    return aimed.mapInArrow(A.tidied(count), "cid long, w long")
+
+
+def similarity_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", counted: bool = True) -> DataFrame:
+    """(id, n_shingles, component_id, n_links) of every document; ``counted``: with the last, the other documents that link with it."""
     ship(docs.sparkSession)
     frequent = frequent_shingles(docs, id_col, text_col, size)
     base = written(sketches(docs, frequent, id_col, text_col, size, percent), "sketches")
     known = base.where(F.col("cid").isNotNull() & F.col("id").isNotNull())
-    classes = known.groupBy("cid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.max(F.struct("heavy", "keys")).alias("own"))
-    classes = written(classes.select("cid", "id", "n", "own.heavy", "own.keys"), "classes")
+    classes = known.groupBy("cid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.max(F.struct("heavy", "keys")).alias("own"), F.count(F.lit(1)).alias("copies"))
+    classes = written(classes.select("cid", "id", "n", "own.heavy", "own.keys", "copies"), "classes")
     near = durable(leader_links(classes, docs, id_col, text_col, size, percent))
     groups = components(near, "u", "v")
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
@@ -356,20 +540,28 @@ def similarity_components(docs: DataFrame, size: int = SHINGLE, percent: int = P
         F.pmod(F.xxhash64("cid"), F.ceil(F.coalesce("size", F.lit(1)) / BLOCK_SIZE)).alias("b"),
     ]
     entries = base.where(F.col("prefix").isNotNull() & F.col("id").isNotNull()).join(groups, "cid", "left").select("cid", "n", "prefix", *grouped)
-    placed = classes.join(groups, "cid", "left").select("cid", "id", *grouped)
-    links = near.unionByName(matrix_links(entries, placed, docs, id_col, text_col, size, percent))
-    whole = components(links, "u", "v")
-    smallest = classes.select("cid", "id").join(whole.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    placed = classes.join(groups, "cid", "left").select("cid", "id", "copies", "heavy", *grouped)
+    entered = (classes.agg(F.sum("n")).first()[0] or 0) * (100 - percent) // 100
+    across = matrix_links(entries, placed, docs, id_col, text_col, size, percent, shard_bits(entered))
+    if counted:
+        across = durable(across)
+        within = family_counts(placed, docs, id_col, text_col, size, percent)
+        counts = across.select(F.col("u").alias("cid"), "w").unionByName(within).groupBy("cid").agg(F.sum("w").alias("w"))
+    whole = components(near.unionByName(across.where("v is not null").select("u", "v")), "u", "v")
+    smallest = classes.select("cid", "id", "copies").join(whole.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     roots = smallest.groupBy("root").agg(F.min("id").alias("component_id"))
-    by_class = smallest.select("cid", "root").join(roots, "root").select("cid", "component_id")
+    by_class = smallest.select("cid", "root", "copies").join(roots, "root").select("cid", "component_id", "copies")
+    if counted:
+        by_class = by_class.join(counts, "cid", "left").select("cid", "component_id", (F.col("copies") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"))
     out = base.select("id", "n", "cid").join(by_class, "cid", "left")
     own = F.when(F.col("cid").isNull() | F.col("component_id").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    links = [F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links")] if counted else []
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), *links)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One document of each component (the smallest id), with all its columns; rows without an id stay."""
-    found = similarity_components(docs, id_col=id_col, **options)
+    found = similarity_components(docs, id_col=id_col, counted=False, **options)
     dropped = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__drop")).distinct()
     return docs.join(dropped, docs[id_col] == dropped["__drop"], "left_anti")
 
@@ -388,5 +580,6 @@ i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM t a JOIN t b ON a.
 l AS (SELECT a, b FROM i JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = s.doc_id), s.doc_id)) AS component_id FROM s
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = s.doc_id), s.doc_id)) AS component_id,
+  coalesce((SELECT count(*) FROM e WHERE e.a = s.doc_id), 0) AS n_links FROM s
 """

@@ -19,6 +19,19 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)])
 
 
+def links(rows):
+    """{id: number of other rows that link}, by all pairs."""
+    sets = [(i, shingles(t)) for i, t in rows]
+    out = {i: 0 for i, _ in rows}
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[k + 1 :]:
+            n = len(a & b)
+            if n and 100 * n >= 85 * len(a | b):
+                out[i] += 1
+                out[j] += 1
+    return out
+
+
 def brute(rows):
     """{id: (n, component)} by all pairs."""
     sets = {i: shingles(t) for i, t in rows}
@@ -70,18 +83,41 @@ def family(seed=1):
 def test_all_links_of_a_family(spark, monkeypatch):
     monkeypatch.setattr(sj, "LEAST_LIMIT", 5)
     monkeypatch.setattr(sj, "BLOCK_SIZE", 4)
+    monkeypatch.setattr(sj, "PANEL", 7)
     rows = family()
-    assert got(sj.similarity_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute(rows)
+    out = sj.similarity_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).cache()
+    assert got(out) == brute(rows)
+    assert {r.doc_id: r.n_links for r in out.collect()} == links(rows)
 
 
 def test_table(spark, sf):
     rows = list(common.texts(spark, sf).items())
-    assert got(sj.similarity_components(spark.read.parquet(f"{sf}/documents.parquet"))) == brute(rows)
+    out = sj.similarity_components(spark.read.parquet(f"{sf}/documents.parquet")).cache()
+    assert got(out) == brute(rows)
+    assert {r.doc_id: r.n_links for r in out.collect()} == links(rows)
+
+
+def test_shared_counts(monkeypatch):
+    rnd = random.Random(5)
+    sets = [np.array(sorted(rnd.sample(range(60), rnd.randrange(30)))) for _ in range(40)]
+    panels = [sj.Panel(sj.Panel.packed(list(range(len(x))), [1] * len(x), [0] * len(x), [0] * len(x), x)) for x in (sets[:25], sets[25:])]
+    want = [[len(np.intersect1d(a, b)) for b in sets[25:]] for a in sets[:25]]
+    for limit in (1, 40, 1 << 13):
+        monkeypatch.setattr(sj, "DENSE", limit)
+        assert sj.shared_counts(*panels).tolist() == want
+
+
+def test_shards_grow_with_the_entries():
+    assert [sj.shard_bits(n) for n in (0, 1 << 29, 1 << 32, 1 << 50)] == [8, 8, 11, 20]
+    for split in (8, 12):
+        assert 1 << split and sj.BITS - split > 3
 
 
 def test_hard_rows_and_first(spark):
     docs = common.hard(spark)
-    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in sj.similarity_components(docs).collect())
+    out = sj.similarity_components(docs).collect()
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in out)
+    assert {r.doc_id: r.n_links for r in out} == {1: 0, 2: 0, 3: 0, 4: 2, 5: 2, 6: 1, 7: 1, 8: 0, 9: 0, 10: 0, 11: 0}
     want = brute([(i, t) for i, t, *_ in common.HARD])
     assert found == sorted((i, *want[i]) for i, *_ in common.HARD)
     kept = [r.doc_id for r in sj.keep_first(docs).collect()]
@@ -91,7 +127,7 @@ def test_hard_rows_and_first(spark):
 
 def test_null_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (2, "a b c d e")], "doc_id long, text string")
-    assert sorted(((r.doc_id, r.component_id) for r in sj.similarity_components(docs).collect()), key=str) == sorted([(1, 1), (2, 1), (None, 1)], key=str)
+    assert sorted(((r.doc_id, r.component_id, r.n_links) for r in sj.similarity_components(docs).collect()), key=str) == sorted([(1, 1, 1), (2, 1, 1), (None, 1, None)], key=str)
     assert sj.similarity_components(common.empty(spark)).count() == 0
 
 
