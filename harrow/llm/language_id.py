@@ -7,11 +7,17 @@ exclusions), down to 1 / 256. The exact code length of a text is the sum over it
 shortest code wins, and the score is its share of the probabilities under equal priors.
 
 The trees are learned from a bounded sample: at most about ``per_language`` bytes of training text for each language
-and ``in_all`` bytes for all, taken by a hash of the document id; they are broadcast (a sample's contexts cannot be
-more than its bytes). Statistics do not change while texts are scored, so a code length depends only on the text.
+and ``in_all`` bytes for all, taken by a hash of the document id; a language always has the document of the smallest
+hash, and of each document the first ``per_language`` bytes (or its share of ``in_all``) at most are learned, so that no
+language is lost and no long text exceeds the bound. The trees are broadcast (a sample's contexts cannot be more than
+its bytes). Statistics do not change while texts are scored, so a code length depends only on the text.
 
-Defined results: null texts and texts without letters give ``und`` and score 0; a tie goes to the language first in
-sort order; without any training text everything is ``und``; repeated rows repeat; other columns are not read.
+A task remembers ``KNOWN`` code lengths, whatever the number of languages; a block of texts with more distinct contexts
+than that is scored one language after another.
+
+Defined results: null texts and texts without letters (Unicode category L) give ``und`` and score 0; a tie goes to the
+language first in sort order; without any training text everything is ``und``; repeated rows repeat; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,12 +33,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm import arrays as A
-from harrow.session import ship
+from harrow.session import durable, ship
 
 ORDER = 3
 PER_LANGUAGE, IN_ALL = 4 << 20, 32 << 20
-LETTER = re.compile(r"[^\W\d_]")
-KNOWN = 1 << 21  # distinct contexts whose code lengths a task remembers
+BROADCAST_ROWS = 100_000  # languages, a few numbers each, that may be broadcast; beyond that the join shuffles
+LATIN = re.compile("[A-Za-z]")
+KNOWN = 1 << 22  # code lengths that a task remembers, 8 bytes each
+SAMPLE = 1 << 20  # steps of a share
+
+
+def has_letter(text: str | None) -> bool:
+    return bool(text) and (LATIN.search(text) is not None or any(map(str.isalpha, text)))
 
 
 def packs(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -80,19 +92,23 @@ class Coder:
         self.trees = [Trees(*model[x]) for x in self.languages]
         self.known, self.bits = np.zeros(0, dtype=np.uint32), np.zeros((0, len(self.trees)))
 
-    def lengths(self, pack: np.ndarray) -> np.ndarray:
-        """Code lengths of distinct packs, one column per language."""
+    def columns(self, pack: np.ndarray) -> Iterator[np.ndarray]:
+        """Code lengths of distinct packs, one language after another."""
+        room = KNOWN // len(self.trees)
+        if len(pack) > room:
+            yield from (t.bits(pack) for t in self.trees)
+            return
         at = np.minimum(np.searchsorted(self.known, pack), max(0, len(self.known) - 1))
         new = pack if not len(self.known) else pack[self.known[at] != pack]
         if len(new):
-            if len(self.known) + len(new) > KNOWN:
+            if len(self.known) + len(new) > room:
                 self.known, self.bits, new = self.known[:0], self.bits[:0], pack
             new = np.sort(new)
-            more = np.stack([t.bits(new) for t in self.trees], axis=1)
-            order = np.argsort(np.concatenate([self.known, new]), kind="stable")
-            self.known, self.bits = np.concatenate([self.known, new])[order], np.concatenate([self.bits, more])[order]
+            at = np.searchsorted(self.known, new)
+            self.bits = np.insert(self.bits, at, np.stack([t.bits(new) for t in self.trees], axis=1), axis=0)
+            self.known = np.insert(self.known, at, new)
             at = np.searchsorted(self.known, pack)
-        return self.bits[at]
+        yield from (self.bits[at, k] for k in range(len(self.trees)))
 
     def code_lengths(self, column: pa.Array) -> np.ndarray:
         """Bits of each text under each language."""
@@ -101,10 +117,9 @@ class Coder:
         for a, b in A.blocks(offs):
             own = offs[a : b + 1] - offs[a]
             which, distinct = pd.factorize(packs(data[offs[a] : offs[b]], own))
-            bits = self.lengths(np.asarray(distinct))
             row = np.repeat(np.arange(b - a), np.diff(own))
-            for k in range(len(self.languages)):
-                out[a:b, k] = np.bincount(row, weights=bits[which, k], minlength=b - a)
+            for k, bits in enumerate(self.columns(np.asarray(distinct))):
+                out[a:b, k] = np.bincount(row, weights=bits[which], minlength=b - a)
         return out
 
 
@@ -118,12 +133,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ship(docs.sparkSession)
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     given = given.where(in_training("id") & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
-    totals = {r[0]: r[1] for r in given.groupBy("lang").agg(F.sum(F.octet_length("text"))).collect()}
-    if not totals:
+    at = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(SAMPLE))
+    totals = durable(given.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), F.min(F.xxhash64(F.lit("sample"), "id")).alias("first")))
+    languages = totals.count()
+    if not languages:
         return {}
-    bound = min(per_language, in_all // len(totals))
-    shares = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, bound / n))])
-    sample = given.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 20)) < F.element_at(shares, F.col("lang")) * (1 << 20))
+    bound = max(1, min(per_language, in_all // languages))
+    shares = totals.select("lang", F.greatest(F.lit(1), F.least(F.lit(SAMPLE), F.floor(F.lit(float(bound) * SAMPLE) / F.col("bytes")))).alias("share"), "first")
+    sample = given.join(F.broadcast(shares) if languages <= BROADCAST_ROWS else shares, "lang")
+    sample = sample.where((at < F.col("share")) | (F.xxhash64(F.lit("sample"), "id") == F.col("first")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,10 +150,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 chosen = table.filter(pa.compute.equal(table.column("lang"), lang)).column("text")
                 data, offs = A.buffers(chosen)
                 for a, b in A.blocks(offs, 8 << 20):
-                    pack, n = np.unique(packs(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]), return_counts=True)
+                    part, own = data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+                    learned = np.arange(len(part)) - np.repeat(own[:-1], np.diff(own)) < bound
+                    pack, n = np.unique(packs(part, own)[learned], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(pack), pa.string()), pa.array(pack.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "pack", "n"])
 
-    counted = sample.select("lang", "text").mapInArrow(count, "lang string, pack long, n long").groupBy("lang", "pack").agg(F.sum("n").alias("n"))
+    counted = sample.select("lang", "text").mapInArrow(A.tidied(count), "lang string, pack long, n long").groupBy("lang", "pack").agg(F.sum("n").alias("n"))
     found = counted.toArrow()
     out = {}
     for lang in found.column("lang").unique().to_pylist():
@@ -153,7 +173,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
         coder = Coder(given.value)
         for batch in batches:
             texts = batch.column(1)
-            letters = np.array([bool(LETTER.search(t)) if t else False for t in texts.to_pylist()], dtype=bool)
+            letters = np.array([has_letter(t) for t in texts.to_pylist()], dtype=bool)
             pred, score = ["und"] * len(texts), np.zeros(len(texts))
             if coder.languages and len(texts):
                 bits = coder.code_lengths(texts)
@@ -165,4 +185,4 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False)).alias("held_out")
-    return docs.select(id_col, text_col, held).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
+    return docs.select(id_col, text_col, held).mapInArrow(A.tidied(run), f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")

@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -66,6 +67,36 @@ def test_hard_rows_and_no_training(spark):
     assert li.train(common.empty(spark)) == {} and li.predict(common.empty(spark), {}).count() == 0
 
 
+def test_only_letters_count(spark):
+    rows = [(i, "the cat sat on the mat", "en") for i in range(20)]
+    model = li.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = ["\u00bd \u00b2", "\u2167", "12_3", "\u0663", "a", "\u6f22", "\u00aa"]
+    out = {r.doc_id: r.lang_pred for r in li.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert [out[i] for i in range(len(texts))] == ["und", "und", "und", "und", "en", "en", "en"]
+
+
+def test_no_language_is_lost(spark):
+    rows = [(i, "the cat sat on the mat " * 20, "en") for i in range(40)] + [(1000 + i, "le chat est sur la table et il dort " * 3000, "fr") for i in range(1)]
+    model = li.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=2000)
+    assert set(model) == {"en", "fr"} and 1000 < model["fr"][1].sum() <= 2000 and model["en"][1].sum() < 6000
+
+
+def test_many_languages(spark, monkeypatch):
+    rnd = random.Random(4)
+    words = {f"l{k:02}": ["".join(rnd.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(30)] for k in range(64)}
+    text = lambda lang: " ".join(rnd.choice(words[lang]) for _ in range(60))
+    rows = [(64 * i + k, text(lang), lang) for i in range(8) for k, lang in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = li.train(docs, in_all=64 * 1500)
+    assert set(model) == set(words)
+    for known in (1 << 22, 64 * 50):  # remembered, and one language after another
+        monkeypatch.setattr(li, "KNOWN", known)
+        coder = li.Coder(model)
+        best = coder.code_lengths(pa.array([t for _, t, _ in rows])).argmin(axis=1)
+        assert sum(coder.languages[k] == lang for k, (*_, lang) in zip(best, rows, strict=True)) > 0.98 * len(rows)
+        assert coder.bits.size <= max(known, 0)
+
+
 def test_the_sample_is_bounded(spark):
     rows = [(i, "word " * 200, "en") for i in range(400)]
     got = li.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=20_000)
