@@ -7,7 +7,8 @@ or more key characters holding a letter, whose characters per token under a byte
 and runs shaped like one word must stay below a share of the ratio. Digests of known lengths, UUIDs and path-like
 names are excluded, and so is what a base span covers already.
 
-Spans are code point offsets, end exclusive. Defined results: null and empty texts have no spans; repeated rows
+A text is swept once, base spans beside runs, in time in proportion to its length. Spans are code point offsets, end
+exclusive. Defined results: null and empty texts have no spans; repeated rows
 repeat; an empty table gives an empty result; other columns pass through untouched in ``redact``.
 """
 
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harrow.llm import arrays as A
 from harrow.session import ship
 
 KINDS = ("assign", "access", "hex", "random")
@@ -34,6 +36,7 @@ DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 DIGEST_LENGTHS = frozenset({32, 40, 48, 56, 64, 96, 128})
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 PART = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]+|[0-9]{1,8}")
+LETTER = re.compile(r"[A-Za-z]")
 SEPARATORS = re.compile(r"[/_=+-]+")
 WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 RATIO, LONG = 2.2, 20
@@ -74,13 +77,15 @@ def excluded(run: str) -> bool:
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], enc, ratio: float) -> list[tuple[int, int, int]]:
-    out = []
+    """Runs of few characters a token; base spans, in order of their starts, are swept along with the runs."""
+    out, reached, far = [], 0, 0  # base spans that start by now, and the furthest end among them
     for m in RUN.finditer(text):
-        run = m[0]
-        if not any(map(str.isalpha, run)) or excluded(run):
-            continue
         a, b = m.span()
-        if any(s <= a and b <= e for s, _, e in base):
+        while reached < len(base) and base[reached][0] <= a:
+            far = max(far, base[reached][2])
+            reached += 1
+        run = m[0]
+        if b <= far or LETTER.search(run) is None or excluded(run):
             continue
         share = SHARES[WORD.fullmatch(run) is not None, len(run) < LONG]
         if len(run) < share * ratio * len(enc.encode_ordinary(run)):
@@ -128,7 +133,7 @@ def scan_secrets(docs: DataFrame, vocabulary: str, ratio: float = RATIO, id_col:
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select(id_col, text_col).mapInArrow(A.tidied(run), f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, vocabulary: str, ratio: float = RATIO, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -142,7 +147,7 @@ def redact(docs: DataFrame, vocabulary: str, ratio: float = RATIO, text_col: str
             new = [None if t is None else masked(t, find(t, enc, ratio)[1]) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(A.tidied(run), docs.schema)
     if length_col in docs.columns:
         changed = F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col).cast(docs.schema[length_col].dataType))
         out = out.withColumn(length_col, changed)

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import public_tokenizers
 from hypothesis import given, settings
@@ -39,6 +40,49 @@ def test_base_spans_of_any_text(text):
     assert ss.base_spans(text) == brute(text)
 
 
+def brute_random(text, enc, ratio=2.2):
+    """Random spans by looking at every character, every base span and every part of a run."""
+    key = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+    low, high, digits = set("abcdefghijklmnopqrstuvwxyz"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), set("0123456789")
+    out, a = [], 0
+    while a < len(text):
+        b = a
+        while b < len(text) and text[b] in key:
+            b += 1
+        run = text[a:b]
+        one_word = bool(run) and set(run) <= low | high and (set(run[1:]) <= low or set(run) <= high)
+        digest = len(run) in (32, 40, 48, 56, 64, 96, 128) and (set(run) <= digits | set("abcdef") or set(run) <= digits | set("ABCDEF"))
+        groups = run.split("-")
+        uuid = [len(g) for g in groups] == [8, 4, 4, 4, 12] and set("".join(groups)) <= digits | set("abcdefABCDEF")
+        parts = [p for p in "".join(" " if c in "/_=+-" else c for c in run).split(" ") if p]
+        plain = all(set(p[1:]) <= low and p[0] in low | high or set(p) <= high or (set(p) <= digits and len(p) <= 8) for p in parts)
+        base = any(s <= a and b <= e for s, _, e in brute(text))
+        if len(run) >= 12 and set(run) & (low | high) and not (digest or uuid or base) and (one_word or not plain):
+            share = {(False, False): 1.0, (False, True): 0.82, (True, False): 0.9, (True, True): 0.68}[one_word, len(run) < 20]
+            if len(run) / len(enc.encode_ordinary(run)) < share * ratio:
+                out.append((a, 3, b))
+        a = max(b, a + 1)
+    return out
+
+
+PARTS = ["q7Zx9Lk2Vb8N", "w4Tp6Rj1Ys3", "qZxKvJwPmTbH", "zqxjkvwpmtbh", "configuration", "password", "=", ":", " ", "'", "AKIA", "A1B2C3D4", "deadbeef01234567", "2024", "_", "/", "-", "é", "hello", "D41D8CD98F00B204E9800998ECF8427E", "123E4567-E89B-12D3-A456-426614174000"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=14).map("".join))
+def test_random_spans_equal_brute_force(text):
+    enc = ss.encoding(RANKS)
+    assert ss.find(text, enc)[1] == sorted(brute(text) + brute_random(text, enc))
+
+
+def test_many_base_spans_take_linear_time():
+    enc, unit = ss.encoding(RANKS), "token=abcdefghijkl deadbeefdeadbeef0 q7Zx9Lk2Vb8Nw4Tp6Rj1 "
+    ss.find(unit, enc)
+    began = time.perf_counter()
+    base, every = ss.find(unit * 20_000, enc)
+    assert len(base) == 40_000 and len(every) == 60_000 and time.perf_counter() - began < 5
+
+
 def test_random_strings_and_what_is_left_alone():
     enc = ss.encoding(RANKS)
     spans = lambda t: [t[a:b] for a, k, b in ss.find(t, enc)[1] if k == 3]
