@@ -26,7 +26,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,4 +57,6 @@ QUERIES = {
         op9_sentence_pieces, op10_secret_scan,
     )
 }
-SQL: dict[str, str] = {"op3_similarity_join": similarity_join.SQL, "op4_chat_format": chat_format.SQL, "op7_decontamination": decontamination.SQL}
+SQL: dict[str, str] = {
+    "op3_similarity_join": similarity_join.SQL, "op4_chat_format": chat_format.SQL, "op5_quality_rules": quality_rules.SQL, "op7_decontamination": decontamination.SQL,
+}

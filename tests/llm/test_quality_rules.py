@@ -49,14 +49,21 @@ def test_suffix_array_and_repeats(words):
         while max(a, b) + k < len(words) and words[a + k] == words[b + k]:
             k += 1
         assert k == n
-    found = {tuple(words[s[0] : s[0] + n]): s for n, s in qr.maximal_repeats(h, 1)}
-    for i in range(len(words)):
-        for j in range(i + 1, len(words) + 1):
-            starts = [k for k in range(len(words)) if words[k : k + j - i] == words[i:j]]
-            right = {words[k + j - i] if k + j - i < len(words) else ("end", k) for k in starts}
-            left = {words[k - 1] if k else None for k in starts}
-            if len(starts) > 1 and len(right) > 1 and (len(left) > 1 or None in left):
-                assert found[tuple(words[i:j])] == starts
+    for least in (1, 3):
+        found = set(zip(*(x.tolist() for x in qr.maximal_spans(sa, common_, h, np.zeros(len(h), np.int64), least)), strict=True))
+        maximal, union, longest = set(), set(), 0
+        for i in range(len(words)):
+            for j in range(i + least, len(words) + 1):
+                starts = [k for k in range(len(words)) if words[k : k + j - i] == words[i:j]]
+                right = {words[k + j - i] if k + j - i < len(words) else ("end", k) for k in starts}
+                left = {words[k - 1] if k else None for k in starts}
+                if len(starts) > 1:
+                    union |= set(range(i, j))
+                    longest = max(longest, j - i)
+                    if len(right) > 1 and (len(left) > 1 or None in left):
+                        maximal.add((i, j - i))
+        assert found <= maximal and {i + k for i, n in found for k in range(n)} == union
+        assert max((n for _, n in found), default=0) == longest
 
 
 def test_verdicts_and_hard_rows(spark):
