@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -36,7 +39,9 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_harrow_shipped", False):
         return
-    path = os.path.join(tempfile.mkdtemp(prefix="harrow-"), f"harrow-{uuid.uuid4().hex[:8]}.zip")
+    folder = tempfile.mkdtemp(prefix="harrow-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"harrow-{uuid.uuid4().hex[:8]}.zip")
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted(PACKAGE.rglob("*.py")):
             z.write(f, f"harrow/{f.relative_to(PACKAGE)}")
@@ -45,16 +50,39 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; only where that is unset, a folder of our own (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder: ``spark.checkpoint.dir``, or else the directory given to ``setCheckpointDir``.
+
+    Without either, a session whose executors are threads of the driver gets a folder of its own (tests); on a cluster
+    that is an error, as a folder of the driver's machine is not the executors'.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_harrow_shared", None)
     if not named:
-        named = getattr(spark.sparkContext, "_harrow_shared", None)
-        if not named:
-            named = "file://" + tempfile.mkdtemp(prefix="harrow-shared-")
-            spark.sparkContext._harrow_shared = named
+        given = sc._jsc.sc().getCheckpointDir()
+        named = given.get() if given.isDefined() else None
+    if not named:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="harrow-shared-")
+        atexit.register(shutil.rmtree, named.removeprefix("file://"), ignore_errors=True)
+        sc._harrow_shared = named
     return named.rstrip("/")
 
 
+def passing(spark: SparkSession, path: str) -> str:
+    """``path``, which the driver's file system removes when the application ends."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a folder that was written."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` materialised by ``checkpoint()`` in the shared folder: a lost executor costs a task, not the lineage."""
     spark = df.sparkSession
@@ -65,10 +93,11 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder (columnar, compressed; pruned when read again)."""
+    """``df`` as a Parquet table in the shared folder (columnar, compressed; pruned when read again), there until the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    passing(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
