@@ -4,12 +4,14 @@ Both sides are lower-cased (A-Z) and cut into words of digits, letters and non-A
 consecutive words of a test item are a window; an item of fewer words is one window. A training window whose
 hash is in the set is verified on its bytes; the words inside verified windows are hit.
 
-The broadcast has a checked size: the test items are dealt into slices of at most ``slice_bytes`` of text, and
-the documents pass the slices one after another, each adding its hits to those that the row carries along.
-One slice is the usual case; more change nothing in the result and shuffle nothing.
-
-Defined results: null and empty texts have no words and no hits; an empty test set hits nothing; repeated
-documents give repeated results, repeated items count once; an item without words has no window.
+The broadcast has a checked size: the test items are dealt into slices of about ``slice_bytes`` of text (an item is not
+split), and the documents pass the slices one after another, each adding its hits to those that the row carries along.
+One slice is the usual case; more change nothing in the result and shuffle nothing. A worker holds some 50 bytes for
+each word of a slice, no text of a window.
+
+Defined results: null and empty texts have no words and no hits; an empty test set hits nothing; repeated documents
+give repeated results, repeated items count once; an item without words has no window; items without an id count as
+one item whose id is the empty text; a column of any name in ``docs`` stays as it is.
 """
 
 from __future__ import annotations
@@ -26,51 +28,65 @@ from pyspark.sql import types as T
 from harrow.llm import arrays as A
 from harrow.session import ship
 
-SIZE, SLICE_BYTES = 13, 2 << 20
-WORDS, HITS, ITEMS, SPANS = "__n_words", "__hits", "__items", "__spans"
+SIZE, SLICE_BYTES = 13, 8 << 20
+VERIFIED = 100_000  # distinct window texts whose items a worker remembers
 STATE = T.StructType([
-    T.StructField(WORDS, T.LongType()), T.StructField(HITS, T.ArrayType(T.LongType())),
-    T.StructField(ITEMS, T.ArrayType(T.StringType())), T.StructField(SPANS, T.ArrayType(T.LongType())),
+    T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())),
+    T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.LongType())),
 ])
 
 
-def split_words(text: str | None) -> list[bytes]:
-    data, offs = A.buffers(pa.array([text or ""]))
-    data = A.LOWER[data]
-    s, e, _ = A.words(data, offs, A.ALNUM)
-    raw = data.tobytes()
-    return [raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)]
-
-
 class Windows:
-    """The windows of one slice of test items, by length: exact texts with their items, and a hash filter."""
+    """The windows of one slice of test items, by length: sorted hashes with the places of their words."""
 
     def __init__(self, items: list[tuple], size: int):
-        self.by_length: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            if not (w := split_words(text)):
-                continue
-            n = min(size, len(w))
-            for i in range(len(w) - n + 1):
-                self.by_length[n][b" ".join(w[i : i + n])].add(str(item))
-        self.filters = {}
-        for n, found in self.by_length.items():
-            column = pa.array([x.decode("utf-8", "surrogateescape") for x in found])
-            data, offs = A.buffers(column)
-            s, e, _ = A.words(data, offs, A.ALNUM)
-            h = np.sort(A.window_hashes(A.word_hashes(data, s, e), n)[::n] if n > 1 else A.window_hashes(A.word_hashes(data, s, e), 1))
-            bits = np.zeros(1 << 20, dtype=bool)
-            bits[(h & A.U(0xFFFFF)).astype(np.int64)] = True
-            self.filters[n] = (h, bits)
-        self.by_length = {n: dict(x) for n, x in self.by_length.items()}
-
-    def candidates(self, h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-        known, bits = self.filters[n]
+        self.names = ["" if item is None else str(item) for item, _ in items]
+        data, offs = A.buffers(pa.array([t or "" for _, t in items], pa.large_string()))
+        data = A.LOWER[data]
+        self.raw = data.tobytes()
+        s, e, row = A.words(data, offs, A.ALNUM)
+        h = A.word_hashes(data, s, e)
+        self.starts, self.ends, self.row = s, e, row
+        counts = np.bincount(row, minlength=len(items))
+        first = np.concatenate([[0], np.cumsum(counts)[:-1]]) if len(items) else np.zeros(0, np.int64)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted({min(size, int(c)) for c in np.unique(counts)} - {0}):
+            at = first[counts == n]
+            if n == size:
+                at = np.arange(max(0, len(h) - size + 1))
+                at = at[row[at] == row[at + size - 1]]
+            win = A.window_hashes(h, n)[at]
+            order = np.argsort(win, kind="stable")
+            bits = np.zeros(1 << min(24, max(16, (8 * len(win)).bit_length())), dtype=bool)
+            bits[(win & A.U(len(bits) - 1)).astype(np.int64)] = True
+            self.by_length[n] = (win[order], at[order], bits)
+        self.verified: dict[bytes, frozenset[str]] = {}
+
+    def candidates(self, h: np.ndarray, row: np.ndarray, n: int) -> list[tuple[int, int]]:
+        """(place in the words, place among the sorted hashes) of the windows whose hash is known."""
+        known, _, bits = self.by_length[n]
         win = A.window_hashes(h, n)
-        at = np.flatnonzero(bits[(win & A.U(0xFFFFF)).astype(np.int64)])
+        at = np.flatnonzero(bits[(win & A.U(len(bits) - 1)).astype(np.int64)])
         at = at[row[at] == row[at + n - 1]]
         place = np.minimum(np.searchsorted(known, win[at]), len(known) - 1)
-        return at[known[place] == win[at]]
+        hit = known[place] == win[at]
+        return list(zip(at[hit].tolist(), place[hit].tolist(), strict=True))
+
+    def items(self, key: bytes, n: int, place: int) -> frozenset[str]:
+        """The items that hold the window of this text; ``place``: the first of its hash."""
+        if (got := self.verified.get(key)) is not None:
+            return got
+        known, at, _ = self.by_length[n]
+        out, k = set(), place
+        while k < len(known) and known[k] == known[place]:
+            i = int(at[k])
+            if b" ".join([self.raw[x:y] for x, y in zip(self.starts[i : i + n].tolist(), self.ends[i : i + n].tolist(), strict=True)]) == key:
+                out.add(self.names[int(self.row[i])])
+            k += 1
+        if len(self.verified) >= VERIFIED:
+            self.verified.clear()
+        got = self.verified[key] = frozenset(out)
+        return got
 
 
 def runs(mark: np.ndarray) -> list[int]:
@@ -91,15 +107,15 @@ def scan(windows: Windows, column: pa.Array, before: list | None) -> tuple[list,
         found: dict[int, set[str]] = defaultdict(set)
         h = A.word_hashes(part, s, e)
         raw = None
-        for n, exact in windows.by_length.items():
+        for n in windows.by_length:
             if len(h) < n:
                 continue
-            for i in windows.candidates(h, row, n).tolist():
+            for i, place in windows.candidates(h, row, n):
                 raw = raw or part.tobytes()
                 key = b" ".join([raw[x:y] for x, y in zip(s[i : i + n].tolist(), e[i : i + n].tolist(), strict=True)])
-                if key in exact:
+                if items_of := windows.items(key, n, place):
                     mark[i : i + n] = True
-                    found[int(row[i])] |= exact[key]
+                    found[int(row[i])] |= items_of
         for r in range(b - a):
             lo, hi = int(first[r]), int(first[r + 1])
             old = before[a + r] if before else None
@@ -132,59 +148,76 @@ def test_slices(tests: DataFrame, item_col: str, text_col: str, slice_bytes: int
 
 def find_hits(
     docs: DataFrame, tests: DataFrame, text_col: str = "text", item_col: str = "item_id", test_text_col: str = "text",
-    size: int = SIZE, slice_bytes: int = SLICE_BYTES,
+    size: int = SIZE, slice_bytes: int = SLICE_BYTES, out_col: str = "contamination",
 ) -> DataFrame:
-    """``docs`` with four more columns (WORDS, HITS, ITEMS, SPANS): the words, hit word ranges, items, hit character ranges."""
+    """``docs`` with a column ``out_col``, a struct of the words, hit word ranges, items and hit character ranges."""
+    if out_col in docs.columns:
+        raise ValueError(f"there is a column {out_col} already")
     ship(docs.sparkSession)
     out = docs
     for items in test_slices(tests, item_col, test_text_col, slice_bytes):
         given = docs.sparkSession.sparkContext.broadcast(items)
-        schema = T.StructType([*docs.schema.fields, *STATE.fields])
+        schema = T.StructType([*docs.schema.fields, T.StructField(out_col, STATE)])
         at, width, first = docs.columns.index(text_col), len(docs.columns), out is docs
 
         def run(batches: Iterator[pa.RecordBatch], given=given, first=first) -> Iterator[pa.RecordBatch]:
             windows = Windows(given.value, size)
             for batch in batches:
-                before = None if first else list(zip(batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist(), strict=True))
+                before = None if first else [(x["hits"], x["items"]) for x in batch.column(width).to_pylist()]
                 counts, hits, found, spans = scan(windows, batch.column(at), before)
                 new = [pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], names=[f.name for f in schema.fields])
+                state = pa.StructArray.from_arrays(new, names=STATE.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], state], names=[f.name for f in schema.fields])
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(A.tidied(run), schema)
     return out
 
 
-def hit_words() -> F.Column:
-    return F.expr(f"aggregate(sequence(0, cast(size({HITS}) / 2 as int) - 1), 0L, (acc, i) -> if(i < 0 or size({HITS}) = 0, acc, acc + {HITS}[2 * i + 1] - {HITS}[2 * i]))")
+def free_name(df: DataFrame) -> str:
+    """A column name that ``df`` does not have, whatever the case of its letters."""
+    name, taken = "contamination", {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def hit_words(state: str = "contamination") -> F.Column:
+    hits = f"`{state}`.hits"
+    return F.expr(f"aggregate(sequence(0, cast(size({hits}) / 2 as int) - 1), 0L, (acc, i) -> if(i < 0 or size({hits}) = 0, acc, acc + {hits}[2 * i + 1] - {hits}[2 * i]))")
 
 
-def contaminated(share: int = 20) -> F.Column:
+def contaminated(state: str = "contamination", share: int = 20) -> F.Column:
     """At least one hit word in ``share``."""
-    return (hit_words() > 0) & (F.lit(share) * hit_words() >= F.col(WORDS))
+    n = hit_words(state)
+    return (n > 0) & (F.lit(share) * n >= F.col(f"`{state}`.n_words"))
 
 
 def drop_contaminated(docs: DataFrame, tests: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    return find_hits(docs, tests, **options).where(~contaminated()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    state = free_name(docs)
+    return find_hits(docs, tests, out_col=state, **options).where(~contaminated(state)).drop(state)
 
 
 def cut_spans(docs: DataFrame, tests: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """All documents, the hit character ranges cut out of their texts."""
+    state = free_name(docs)
+    spans = f"`{state}`.spans"
     cut = F.expr(
-        f"if(size({SPANS}) = 0, `{text_col}`, aggregate(sequence(0, cast(size({SPANS}) / 2 as int) - 1), "
-        f"substring(`{text_col}`, 1, cast({SPANS}[0] as int)), (acc, i) -> concat(acc, substring(`{text_col}`, cast({SPANS}[2 * i + 1] + 1 as int), "
-        f"cast(coalesce(try_element_at({SPANS}, 2 * i + 3), cast(length(`{text_col}`) as long)) - {SPANS}[2 * i + 1] as int)))))"
+        f"if(size({spans}) = 0, `{text_col}`, aggregate(sequence(0, cast(size({spans}) / 2 as int) - 1), "
+        f"substring(`{text_col}`, 1, cast({spans}[0] as int)), (acc, i) -> concat(acc, substring(`{text_col}`, cast({spans}[2 * i + 1] + 1 as int), "
+        f"cast(coalesce(try_element_at({spans}, 2 * i + 3), cast(length(`{text_col}`) as long)) - {spans}[2 * i + 1] as int)))))"
     )
-    marked = find_hits(docs, tests, text_col=text_col, **options)
-    return marked.withColumn(text_col, cut).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return find_hits(docs, tests, text_col=text_col, out_col=state, **options).withColumn(text_col, cut).drop(state)
 
 
 def report(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per document: id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    marked = find_hits(docs.select(id_col, text_col), tests, text_col=text_col, **options)
-    return marked.select(
-        F.col(id_col), F.col(WORDS).alias("n_words"), hit_words().alias("n_hit"), F.size(ITEMS).cast("long").alias("n_items"),
-        F.sha2(F.array_join(ITEMS, ","), 256).alias("items_sha256"), contaminated().alias("contaminated"),
+    own = docs.select(id_col, text_col)
+    state = free_name(own)
+    x = lambda name: F.col(f"`{state}`.{name}")
+    return find_hits(own, tests, text_col=text_col, out_col=state, **options).select(
+        F.col(id_col), x("n_words").alias("n_words"), hit_words(state).alias("n_hit"), F.size(x("items")).cast("long").alias("n_items"),
+        F.sha2(F.array_join(x("items"), ","), 256).alias("items_sha256"), contaminated(state).alias("contaminated"),
     )
 
 
@@ -192,12 +225,12 @@ _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 #: The same rows as ``report`` in DuckDB.
 SQL = f"""
 WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-b AS (SELECT DISTINCT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+b AS (SELECT DISTINCT item_id, w, least(13, len(w)) AS n FROM (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
 t AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS win FROM b),
 p AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (SELECT DISTINCT n FROM t) WHERE len(w) >= n),
 h AS (SELECT p.doc_id, p.i, p.n, t.item_id FROM p JOIN t ON t.n = p.n AND t.win = array_to_string(p.w[p.i:p.i + p.n - 1], ' ')),
 c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM h) GROUP BY doc_id),
-d AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+d AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id AS item FROM h) GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
 coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated FROM w LEFT JOIN c USING (doc_id) LEFT JOIN d USING (doc_id)
 """

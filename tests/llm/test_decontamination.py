@@ -47,6 +47,23 @@ def test_cases_in_one_slice_and_in_many(spark):
     assert rows(dc.report(table, tests, slice_bytes=30)) == want
 
 
+def test_items_without_an_id_and_remembered_windows(spark, monkeypatch):
+    monkeypatch.setattr(dc, "VERIFIED", 1)
+    items = [(None, "one two three"), (None, "four five"), (2, "four five"), (7, "one two three four five")]
+    docs = [(1, "one two three four five one two three"), (2, "four five"), (3, "three")]
+    tests, table = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    want = [(i, *brute(t, [("" if x is None else x, y) for x, y in items])) for i, t in docs]
+    assert rows(dc.report(table, tests)) == want and rows(dc.report(table, tests, slice_bytes=10)) == want
+    assert rows(dc.report(table, tests.where("item_id is null")))[1][3] == 1
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "one two three", 5, "x", "y", [1])], "doc_id long, text string, contamination int, Contamination_ string, `__hits` string, spans array<int>")
+    tests = spark.createDataFrame([(1, "nine ten")], "item_id long, text string")
+    for out in (dc.drop_contaminated(docs, tests), dc.cut_spans(docs, tests)):
+        assert out.columns == docs.columns and out.collect() == docs.collect()
+
+
 def test_spans_and_dropping(spark):
     _, docs, tests, table = case(spark)
     assert sorted(r.doc_id for r in dc.drop_contaminated(table, tests).collect()) == [2, 3, 4, 7]
