@@ -7,11 +7,12 @@ the one with the smallest id stays. What stays is rendered turn by turn.
 
 A conversation is handled in segments of ``segment`` turn numbers: places and hashes are found within segments and
 carried over from a table of segments, and rendering gives one row per segment, so no task has to hold (or order) a
-whole conversation, however long.
+whole conversation, however long. A conversation of up to ``segment`` turns, numbered from 0, is one row. Turns without
+a number are dealt into 65,536 segments of their own by the first 16 bits of their hash.
 
 Defined results: null roles and texts count as empty; rows without a conversation id form one conversation whose id is
-null; rows without a turn number come first; rows repeated in all columns count once; rows that share a turn number
-are ordered by hash; an empty table gives an empty result; other columns are ignored. Turn markers within texts
+null; rows without a turn number come first, ordered by hash; rows repeated in all columns count once; rows that share
+a turn number are ordered by hash; an empty table gives an empty result; other columns are ignored. Turn markers within texts
 are broken up by a space, so that no text can end its own turn.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEGMENT = 64
+SEGMENT = 256
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -31,11 +32,13 @@ def _hashes(role: Column, text: Column) -> list[Column]:
 def turns(log: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, segment: int) -> DataFrame:
     """Distinct turns: key, id, segment, turn, hashes, role, text."""
     role, text = F.coalesce(F.col(role_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    hashes = _hashes(role, text)
+    unnumbered = F.shiftright(F.xxhash64(role, text), 48) + F.lit(32768 - (1 << 63))
     rows = log.select(
         F.coalesce(F.concat(F.lit("="), F.col(conv_col).cast("string")), F.lit("")).alias("__key"),
         F.col(conv_col).alias("__conv"),
-        F.coalesce(F.floor(F.col(turn_col) / segment), F.lit(-1).cast("long")).alias("__seg"),
-        F.col(turn_col).alias("__turn"), *_hashes(role, text), role.alias("__role"), text.alias("__text"),
+        F.coalesce(F.floor(F.col(turn_col) / segment), unnumbered).alias("__seg"),
+        F.col(turn_col).alias("__turn"), *hashes, role.alias("__role"), text.alias("__text"),
     )
     return rows
 
@@ -104,7 +107,7 @@ def render(
     return out.select(F.col(conv_col), F.col("__seg").alias("part"), "n_turns", "n_copies", "text")
 
 
-#: The same rows in DuckDB, for logs whose turns have numbers of their own.
+#: The same rows in DuckDB, for logs whose turns have numbers of their own (ties are ordered by a hash that DuckDB lacks).
 SQL = """
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
 c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn) AS l, count(*) AS n FROM t GROUP BY conv_id),
@@ -112,8 +115,8 @@ u AS (SELECT min(conv_id) AS conv_id, l, n, count(*) AS n_copies FROM c GROUP BY
 kept AS (
   SELECT * FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.l[1] = a.l[1] AND b.n > a.n AND b.l[1:a.n] = a.l)
 )
-SELECT kept.conv_id, CAST(floor(turn / 64) AS BIGINT) AS part, max(n) AS n_turns, max(n_copies) AS n_copies,
+SELECT kept.conv_id, CAST(floor(turn / 256) AS BIGINT) AS part, max(n) AS n_turns, max(n_copies) AS n_copies,
   string_agg('<|im_start|>' || replace(replace(role, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || chr(10)
     || replace(replace(text, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text
-FROM kept JOIN t ON t.conv_id = kept.conv_id GROUP BY kept.conv_id, CAST(floor(turn / 64) AS BIGINT)
+FROM kept JOIN t ON t.conv_id = kept.conv_id GROUP BY kept.conv_id, CAST(floor(turn / 256) AS BIGINT)
 """

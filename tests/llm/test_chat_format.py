@@ -61,3 +61,19 @@ def test_copies_and_empty_table(spark):
     out = cf.render(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [(r.conv_id, r.n_turns, r.n_copies) for r in out] == [(1, 2, 3)]
     assert cf.render(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_turns_without_a_number_and_tied_ones(spark):
+    rows = [(1, None, "user", f"n{k}", 0) for k in range(40)] + [(1, -300, "user", "low", 0), (1, 2, "user", "a", 0), (1, 2, "user", "b", 0), (1, 3, "user", "end", 0)]
+    rows += [(2, None, "user", f"n{k}", 0) for k in range(40)] + [(2, -300, "user", "low", 0), (2, 2, "user", "b", 0), (2, 2, "user", "a", 0)]
+    first = rendered(cf.render(spark.createDataFrame(rows, SCHEMA).repartition(5)))
+    assert rendered(cf.render(spark.createDataFrame(rows[::-1], SCHEMA).coalesce(1), segment=1)) == first
+    assert list(first) == [1]  # the second is a prefix of the first
+    texts = [x.split("\n")[1].removesuffix("<|im_end|>") for x in first[1].split("<|im_start|>")[1:]]
+    assert sorted(texts[:40]) == sorted(f"n{k}" for k in range(40)) and texts[40] == "low" and sorted(texts[41:43]) == ["a", "b"] and texts[43:] == ["end"]
+
+
+def test_a_conversation_of_usual_length_is_one_row(spark):
+    rows = [(1, k, "user", f"x{k}", 0) for k in range(256)]
+    out = cf.render(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [(r.part, r.n_turns, r.text.count("<|im_start|>")) for r in out] == [(0, 256, 256)]
