@@ -8,7 +8,8 @@ Scoring never broadcasts the model. Documents are packed into blocks of about ``
 distinct n-grams only, the requests of all blocks are joined to the n-grams' shards (probability, or back-off weights
 down to the longest known suffix), and the code lengths go back to the block, whose texts are then scored. Requests
 and answers travel as compressed arrays, one for each block and shard (n-gram modulo ``SHARDS``). The blocks are a
-table bucketed by block, so texts are not shuffled.
+table bucketed by block, so texts are not shuffled; it is dropped when the texts are scored. A block is a row and
+nearly every block a file: with larger blocks (``BLOCK``) a big cluster writes fewer.
 
 A document's bits per byte (log2 of its perplexity) is held against a quantile of its language's held-out trusted
 documents. Where fewer than ``TAIL`` of them lie beyond the quantile it is an outlier's place, and the threshold is the
@@ -33,14 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm import arrays as A
-from harrow.session import durable, shared_dir, ship
+from harrow.session import durable, passing, removed, shared_dir, ship
 
 ORDER = 5
 BLOCK = 16 << 20
 HELD = 1 << 20  # distinct n-grams that a counting task holds before it passes them on
-QUANTILE, SLACK = 0.98, 1.0
+QUANTILE, SLACK = 0.99, 1.0
 TAIL = 10  # held-out documents beyond the quantile that make it a language's own
-BROADCAST_IDS = 4_000_000  # ids (8 bytes each) that may be broadcast; beyond that the join shuffles
+BROADCAST_BYTES = 64 << 20  # of ids that may be broadcast; beyond that the join shuffles
 FIELD = 8 * ORDER
 SHARDS = 251
 
@@ -60,7 +61,8 @@ def grams(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def semi(df: DataFrame, ids: DataFrame, id_col: str, kind: str) -> DataFrame:
     """``df`` joined (left_semi, left_anti) to distinct ids, which are broadcast when there are few enough."""
     ids = durable(ids.select(F.col(id_col).alias("__id")).where("__id is not null").distinct())
-    small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    size = ids.agg(F.sum(F.octet_length(F.col("__id").cast("string")) + 16)).first()[0] or 0
+    small = F.broadcast(ids) if size <= BROADCAST_BYTES else ids
     return df.join(small, df[id_col] == small["__id"], kind)
 
 
@@ -166,8 +168,8 @@ def undealt(body: bytes, shard: int) -> np.ndarray:
     return np.cumsum(restored(body, np.int64)) * SHARDS + shard
 
 
-def pack_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(block, body, grams): a block's documents (Arrow, compressed) and its distinct n-grams by shard; bucketed by block."""
+def pack_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> str:
+    """The table (block, body, grams): a block's documents (Arrow, compressed) and its distinct n-grams by shard; bucketed by block."""
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,8 +202,8 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> D
     rows = docs.select(F.col(id_col), F.col(text_col), F.col(lang_col)).mapInArrow(A.tidied(run), "block string, body binary, grams array<binary>")
     name = f"harrow_blocks_{uuid.uuid4().hex}"
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows.write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    rows.write.bucketBy(buckets, "block").option("path", passing(spark, f"{shared_dir(spark)}/{name}")).saveAsTable(name)
+    return name
 
 
 def code_lengths(wanted: DataFrame, model: DataFrame, floor: float) -> DataFrame:
@@ -258,7 +260,9 @@ def answered(wanted: DataFrame, bits: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, model: DataFrame, floor: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, lang, n_bytes, bits) of every document; bits is null for texts without bytes."""
-    blocks = pack_blocks(docs, id_col, text_col, lang_col)
+    spark = docs.sparkSession
+    name = pack_blocks(docs, id_col, text_col, lang_col)
+    blocks = spark.table(name)
     none = squeezed(np.zeros(0, np.int64))
     wanted = blocks.select("block", F.posexplode("grams").alias("shard", "body")).where(F.col("body") != F.lit(none))
 
@@ -293,7 +297,10 @@ def score(docs: DataFrame, model: DataFrame, floor: float, id_col: str = "doc_id
                     )
 
     both = blocks.join(answers, "block", "left").select("body", "grams", "found")
-    return both.mapInArrow(A.tidied(run), f"id {id_type}, lang {lang_type}, n_bytes long, bits double")
+    out = durable(both.mapInArrow(A.tidied(run), f"id {id_type}, lang {lang_type}, n_bytes long, bits double"))
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    removed(spark, f"{shared_dir(spark)}/{name}")
+    return out
 
 
 def thresholds(fold: DataFrame, quantile: float) -> DataFrame:
@@ -314,7 +321,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     texts = semi(own.where(~held_out(id_col) & (F.octet_length(text_col) > 0)), trusted, id_col, "left_semi").select(text_col)
     model, floor = train(texts)
     scored = score(docs, model, floor, id_col, text_col, lang_col)
-    scored = durable(scored.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "n_bytes", (F.col("bits") / F.col("n_bytes")).alias("bits_per_byte")))
+    scored = scored.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "n_bytes", (F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"))
     fold = semi(scored.where(held_out(id_col) & F.col("bits_per_byte").isNotNull()), trusted, id_col, "left_semi")
     tag = F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit("")).alias("__lang")
     out = scored.select("*", tag).join(thresholds(fold.select(tag, "bits_per_byte"), quantile), "__lang", "left")
