@@ -97,8 +97,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    passing(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(passing(spark, path))
+    out.written_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove the table behind a result of ``written``; nothing made from it may be asked for any more."""
+    removed(df.sparkSession, df.written_at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
