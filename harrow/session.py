@@ -14,6 +14,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
+BATCH_BYTES = 4 << 20  # of an Arrow batch, unless the session names a limit: a batch of long texts stays small
 
 
 def local_session(cpus: int | str = 8, shuffle: int = 8) -> SparkSession:
@@ -35,7 +36,9 @@ def local_session(cpus: int | str = 8, shuffle: int = 8) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per context, so Arrow functions can import it there."""
+    """Send this package to the executors once per context, so Arrow functions can import it there; bound their batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_harrow_shipped", False):
         return
