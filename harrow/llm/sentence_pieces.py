@@ -28,8 +28,10 @@ from harrow.session import ship
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
-PARTS = 200_000  # distinct parts remembered by a Python worker
+PARTS = 200_000  # distinct parts remembered by a task
 SHORT = 64  # bytes of a part that is solved together with others and remembered
+TOGETHER = 1 << 20  # characters of texts that are cut and encoded together
+SOLVED = 8_000  # parts solved at once
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -142,18 +144,19 @@ class Codec(dict):
 
     def learn(self, parts: set[str]) -> None:
         """Solve the short parts that are new, all at once: the steps of ``viterbi`` over arrays."""
-        new = sorted(parts.difference(self))
-        raws = [p.replace(" ", MARK).encode() for p in new]
-        pick = [k for k, r in enumerate(raws) if len(r) <= SHORT]
-        if len(self) + len(pick) > PARTS:
+        new = parts.difference(self)
+        if len(self) + len(new) > PARTS:  # what is in use stays
+            held = {p: self[p] for p in parts if p in self}
             self.clear()
-        if not pick:
-            return
-        ids, ends, odd = self._solve([raws[k] for k in pick])
-        raw, at = ids.astype("<u4").tobytes(), 0
-        for k, end, strange in zip(pick, (4 * ends).tolist(), odd.tolist(), strict=True):
-            self[new[k]] = array("I", self.viterbi(raws[k])).tobytes() if strange else raw[at:end]
-            at = end
+            self.update(held)
+        pick = [(p, r) for p in new if len(r := p.replace(" ", MARK).encode()) <= SHORT]
+        for k in range(0, len(pick), SOLVED):
+            part = pick[k : k + SOLVED]
+            ids, ends, odd = self._solve([r for _, r in part])
+            raw, at = ids.astype("<u4").tobytes(), 0
+            for (p, r), end, strange in zip(part, (4 * ends).tolist(), odd.tolist(), strict=True):
+                self[p] = array("I", self.viterbi(r)).tobytes() if strange else raw[at:end]
+                at = end
 
     def _solve(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all parts one after another, where each part's end, and which parts hold a character without a piece."""
@@ -264,11 +267,18 @@ class Codec(dict):
     def cut(self, text: str) -> list[str]:
         return self.parts(" " + text if self.prefix else text) if text else []
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes."""
-        cuts = [self.cut(t) for t in texts]
-        self.learn(set().union(*cuts))
-        return [b"".join(map(self.__getitem__, c)) for c in cuts]
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, as bytes; texts of about TOGETHER characters are held at once."""
+        at = 0
+        while at < len(texts):
+            cuts, size = [], 0
+            while at < len(texts) and (size < TOGETHER):
+                cuts.append(self.cut(texts[at]))
+                size += len(texts[at])
+                at += 1
+            self.learn(set().union(*cuts))
+            for c in cuts:
+                yield b"".join(map(self.__getitem__, c))
 
     def encode(self, text: str) -> list[int]:
         return array("I", self.encode_bytes(text)).tolist()
@@ -295,18 +305,17 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to = codec(model).encode_all
+        c = codec(model)
         for batch in batches:
-            for at in range(0, len(batch), 250):
-                part = batch.slice(at, 250)
-                ids = to([t or "" for t in part.column(1).to_pylist()])
-                ends = array("i", [0])
-                for x in ids:
-                    ends.append(ends[-1] + len(x) // 4)
-                n = ends[-1]
-                flat = pa.Array.from_buffers(pa.int32(), n, [None, pa.py_buffer(b"".join(ids))])
-                lists = pa.ListArray.from_arrays(pa.Array.from_buffers(pa.int32(), len(ends), [None, pa.py_buffer(ends)]), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), lists], names=[id_col, "n_tokens", "token_ids"])
+            ids = list(c.encode_all([t or "" for t in batch.column(1).to_pylist()]))
+            ends = array("i", [0])
+            for x in ids:
+                ends.append(ends[-1] + len(x) // 4)
+            n = ends[-1]
+            flat = pa.Array.from_buffers(pa.int32(), n, [None, pa.py_buffer(b"".join(ids))])
+            lists = pa.ListArray.from_arrays(pa.Array.from_buffers(pa.int32(), len(ends), [None, pa.py_buffer(ends)]), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), lists], names=[id_col, "n_tokens", "token_ids"])
+        c.clear()
 
     fields = [docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType()))]
     return docs.select(id_col, text_col).mapInArrow(A.tidied(run), T.StructType(fields))
@@ -336,14 +345,14 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
         c = codec(model)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
-            for at in range(0, len(batch), 250):
-                texts = [t or "" for t in batch.column(1).slice(at, 250).to_pylist()]
-                for t, ids in zip(texts, c.encode_all(texts), strict=True):
-                    row = (len(t.encode()), len(ids) // 4, hashlib.sha256(ids).hexdigest(), c.decode(array("I", ids)) == t)
-                    for column, x in zip(out, row, strict=True):
-                        column.append(x)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for t, ids in zip(texts, c.encode_all(texts), strict=True):
+                row = (len(t.encode()), len(ids) // 4, hashlib.sha256(ids).hexdigest(), c.decode(array("I", ids)) == t)
+                for column, x in zip(out, row, strict=True):
+                    column.append(x)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=[id_col, "n_bytes", "n_tokens", "ids_sha256", "round_trip"])
+        c.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(A.tidied(run), f"`{id_col}` {kind}, n_bytes long, n_tokens long, ids_sha256 string, round_trip boolean")
