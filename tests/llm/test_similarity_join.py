@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from harrow.llm import components as components_module
 from harrow.llm import similarity_join as sj
 from harrow.llm.components import components
 from tests.llm import common
@@ -151,7 +152,24 @@ def test_prefix_length():
         assert 1 <= p <= n and n - p == int(np.ceil(85 * n / 100)) - 1
 
 
-def test_components_of_a_path(spark):
+def test_components_of_a_path(spark, monkeypatch):
     rows = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
-    out = components(spark.createDataFrame(rows, "a long, b long"), "a", "b")
-    assert {r.node: r.root for r in out.collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+    links = spark.createDataFrame(rows, "a long, b long").repartition(5)
+    for limit in (250_000, 6):  # in one task, and in rounds
+        monkeypatch.setattr(components_module, "TASK_ROWS", limit)
+        out = components(links, "a", "b").collect()
+        assert len(out) == 43 and {r.node: r.root for r in out} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+    assert components(links.limit(0), "a", "b").count() == 0
+
+
+def test_smallest_of_any_links():
+    rnd = random.Random(2)
+    for n in (1, 5, 50, 300):
+        links = [(rnd.randrange(200) - 50, rnd.randrange(200) - 50) for _ in range(n)]
+        nodes, roots = components_module.smallest(*(np.array(x) for x in zip(*links, strict=True)))
+        group = {i: {i} for link in links for i in link}
+        for a, b in links:
+            both = group[a] | group[b]
+            for i in both:
+                group[i] = both
+        assert dict(zip(nodes.tolist(), roots.tolist(), strict=True)) == {i: min(g) for i, g in group.items()}
