@@ -5,8 +5,8 @@ hold continuation counts; each order has three discounts from its counts of coun
 by joining its counts to the totals of their contexts and to the next lower order, all keyed by n-gram.
 
 Scoring never broadcasts the model. Documents are packed into blocks of about ``BLOCK`` bytes; a block asks for its
-distinct n-grams only, the requests of all blocks are joined to the n-grams' shards (probability, or back-off weights
-down to the longest known suffix), and the code lengths go back to the block, whose texts are then scored. Requests
+distinct n-grams only, the requests of all blocks are joined to the model order by order (probability, or back-off
+weight times that of the next shorter suffix), and the code lengths go back to the block, whose texts are then scored. Requests
 and answers travel as compressed arrays, one for each block and shard (n-gram modulo ``SHARDS``). The blocks are a
 table bucketed by block, so texts are not shuffled; it is dropped when the texts are scored. A block is a row and
 nearly every block a file: with larger blocks (``BLOCK``) a big cluster writes fewer.
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.llm import arrays as A
-from harrow.session import durable, passing, removed, shared_dir, ship
+from harrow.session import durable, forget, passing, removed, shared_dir, ship, written
 
 ORDER = 5
 BLOCK = 16 << 20
@@ -42,7 +42,6 @@ HELD = 1 << 20  # distinct n-grams that a counting task holds before it passes t
 QUANTILE, SLACK = 0.99, 1.0
 TAIL = 10  # held-out documents beyond the quantile that make it a language's own
 BROADCAST_BYTES = 64 << 20  # of ids that may be broadcast; beyond that the join shuffles
-FIELD = 8 * ORDER
 SHARDS = 251
 
 
@@ -113,13 +112,30 @@ def mask(k: int) -> int:
     return (1 << 8 * k) - 1
 
 
-def train(texts: DataFrame) -> tuple[DataFrame, float]:
-    """(key, value) of all orders, and the probability of a byte that was never seen. Keys: order << FIELD | n-gram
-    for probabilities, (ORDER + order) << FIELD | context for the weights of the next lower order."""
-    counts = {ORDER: durable(count_grams(texts))}
+class Model:
+    """Per order, the probabilities (g, p) of its n-grams and the weights (ctx, weight) of the order below; all in the shared folder."""
+
+    def __init__(self) -> None:
+        self.probabilities: dict[int, DataFrame] = {}
+        self.weights: dict[int, DataFrame] = {}
+        self.floor = 1 / 256  # the probability of a byte that was never seen
+        self.tables: list[DataFrame] = []
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        self.tables.append(written(df, "grams"))
+        return self.tables[-1]
+
+    def forget(self) -> None:
+        for df in self.tables:
+            forget(df)
+
+
+def train(texts: DataFrame) -> Model:
+    """The model of all orders from texts (one column)."""
+    model = Model()
+    counts = {ORDER: model.kept(count_grams(texts))}
     for k in range(ORDER - 1, 0, -1):
-        counts[k] = durable(counts[k + 1].groupBy(F.col("g").bitwiseAND(F.lit(mask(k))).alias("g")).agg(F.count(F.lit(1)).alias("c")))
-    model, lower, floor = None, None, 1 / 256
+        counts[k] = model.kept(counts[k + 1].groupBy(F.col("g").bitwiseAND(F.lit(mask(k))).alias("g")).agg(F.count(F.lit(1)).alias("c")))
     for k in range(1, ORDER + 1):
         own = counts[k]
         of = own.agg(*[F.count_if(F.col("c") == i) for i in range(1, 5)]).first()
@@ -127,22 +143,19 @@ def train(texts: DataFrame) -> tuple[DataFrame, float]:
         discount = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
         context = F.shiftright("g", 8) if k > 1 else F.lit(0).cast("long")
         stats = own.groupBy(context.alias("ctx")).agg(F.sum("c").alias("total"), F.sum(discount).alias("freed"))
-        stats = stats.select("ctx", "total", (F.col("freed") / F.col("total")).alias("weight"))
+        stats = model.kept(stats.select("ctx", "total", (F.col("freed") / F.col("total")).alias("weight")))
         rows = own.withColumn("ctx", context).join(stats, "ctx")
         if k == 1:
             first = stats.select("weight").first()
-            floor = first[0] / 256 if first else 1 / 256
+            model.floor = first[0] / 256 if first else 1 / 256
             probability = (F.col("c") - discount) / F.col("total") + F.col("weight") / 256
         else:
+            lower = model.probabilities[k - 1].select(F.col("g").alias("sub"), F.col("p").alias("below"))
             rows = rows.withColumn("sub", F.col("g").bitwiseAND(F.lit(mask(k - 1)))).join(lower, "sub")
             probability = (F.col("c") - discount) / F.col("total") + F.col("weight") * F.col("below")
-        made = durable(rows.select("g", probability.alias("p")))
-        part = made.select(F.col("g").bitwiseOR(F.lit(k << FIELD)).alias("key"), F.col("p").alias("value"))
-        if k > 1:
-            part = part.unionByName(stats.select(F.col("ctx").bitwiseOR(F.lit((ORDER + k) << FIELD)).alias("key"), F.col("weight").alias("value")))
-        model = part if model is None else model.unionByName(part)
-        lower = made.select(F.col("g").alias("sub"), F.col("p").alias("below"))
-    return model, floor
+        model.probabilities[k] = model.kept(rows.select("g", probability.alias("p")))
+        model.weights[k] = stats.select("ctx", "weight")
+    return model
 
 
 def squeezed(x: np.ndarray) -> bytes:
@@ -206,22 +219,22 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> s
     return name
 
 
-def code_lengths(wanted: DataFrame, model: DataFrame, floor: float) -> DataFrame:
-    """(g, bits) of the n-grams ``wanted`` (g): the longest known suffix, weighted for each longer context that is known."""
-    asked = wanted.distinct()
-    keys = []
-    for k in range(1, ORDER + 1):
-        suffix = F.col("g").bitwiseAND(F.lit(mask(k)))
-        keys.append(F.struct(F.lit(k).alias("slot"), suffix.bitwiseOR(F.lit(k << FIELD)).alias("key")))
-        if k > 1:
-            keys.append(F.struct(F.lit(ORDER + k).alias("slot"), F.shiftright(suffix, 8).bitwiseOR(F.lit((ORDER + k) << FIELD)).alias("key")))
-    looked = asked.select("g", F.explode(F.array(*keys)).alias("x")).select("g", "x.slot", "x.key").join(model, "key", "left")
-    slots = [k for k in range(1, 2 * ORDER + 1) if k != ORDER + 1]
-    found = looked.groupBy("g").agg(*[F.max(F.when(F.col("slot") == k, F.col("value"))).alias(f"s{k}") for k in slots])
-    p: Column = F.coalesce(F.col("s1"), F.lit(floor))
+def code_lengths(wanted: DataFrame, model: Model) -> DataFrame:
+    """(g, bits) of the n-grams ``wanted`` (g): the longest known suffix, weighted for each longer context that is known.
+
+    The suffixes of each length are looked up once each, from the shortest to the n-grams themselves; most n-grams share
+    their suffixes with others, so the joins grow from order to order.
+    """
+    asked = {ORDER: wanted.distinct()}
+    for k in range(ORDER - 1, 0, -1):
+        asked[k] = asked[k + 1].select(F.col("g").bitwiseAND(F.lit(mask(k))).alias("g")).distinct()
+    found = asked[1].join(model.probabilities[1], "g", "left").select("g", F.coalesce("p", F.lit(model.floor)).alias("p"))
     for k in range(2, ORDER + 1):
-        p = F.coalesce(F.col(f"s{k}"), F.coalesce(F.col(f"s{ORDER + k}"), F.lit(1.0)) * p)
-    return found.select("g", (-F.log2(p)).cast("float").alias("bits"))
+        lower = found.select(F.col("g").alias("sub"), F.col("p").alias("below"))
+        rows = asked[k].select("g", F.col("g").bitwiseAND(F.lit(mask(k - 1))).alias("sub"), F.shiftright("g", 8).alias("ctx")).join(lower, "sub")
+        rows = rows.join(model.weights[k], "ctx", "left").join(model.probabilities[k], "g", "left")
+        found = rows.select("g", F.coalesce("p", F.coalesce("weight", F.lit(1.0)) * F.col("below")).alias("p"))
+    return found.select("g", (-F.log2("p")).cast("float").alias("bits"))
 
 
 def answered(wanted: DataFrame, bits: DataFrame) -> DataFrame:
@@ -258,7 +271,7 @@ def answered(wanted: DataFrame, bits: DataFrame) -> DataFrame:
     return rows.select("shard", "kind", "g", "bits", "block", "body").mapInArrow(A.tidied(run), "block string, shard int, bits binary")
 
 
-def score(docs: DataFrame, model: DataFrame, floor: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, lang, n_bytes, bits) of every document; bits is null for texts without bytes."""
     spark = docs.sparkSession
     name = pack_blocks(docs, id_col, text_col, lang_col)
@@ -271,7 +284,7 @@ def score(docs: DataFrame, model: DataFrame, floor: float, id_col: str = "doc_id
             for shard, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(undealt(body, shard))], names=["g"])
 
-    bits = code_lengths(wanted.select("shard", "body").mapInArrow(A.tidied(spread), "g long"), model, floor)
+    bits = code_lengths(wanted.select("shard", "body").mapInArrow(A.tidied(spread), "g long"), model)
     answers = answered(wanted, bits).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("shard", "bits"))).alias("found"))
     id_type, lang_type = docs.schema[id_col].dataType.simpleString(), docs.schema[lang_col].dataType.simpleString()
 
@@ -319,8 +332,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     trusted = durable(trusted_ids(labels, id_col))
     own = docs.select(id_col, text_col)
     texts = semi(own.where(~held_out(id_col) & (F.octet_length(text_col) > 0)), trusted, id_col, "left_semi").select(text_col)
-    model, floor = train(texts)
-    scored = score(docs, model, floor, id_col, text_col, lang_col)
+    model = train(texts)
+    scored = score(docs, model, id_col, text_col, lang_col)
+    model.forget()
     scored = scored.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "n_bytes", (F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"))
     fold = semi(scored.where(held_out(id_col) & F.col("bits_per_byte").isNotNull()), trusted, id_col, "left_semi")
     tag = F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit("")).alias("__lang")

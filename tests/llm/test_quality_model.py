@@ -51,11 +51,11 @@ TRUSTED = ["the cat sat on the mat and the dog ran", "a dog and a cat ran to the
 
 
 def test_scores_equal_brute_force(spark):
-    model, floor = qm.train(spark.createDataFrame([(t,) for t in TRUSTED], "text string").repartition(2))
+    model = qm.train(spark.createDataFrame([(t,) for t in TRUSTED], "text string").repartition(2))
     p = brute_model(TRUSTED)
     assert abs(sum(p(b"\0the"[-3:] + bytes([b])) for b in range(256)) - 1) < 1e-9
     docs = [(1, "the cat", "en"), (2, "zzz qqq ÿ", "en"), (3, None, None), (4, "", "en"), (5, common.LONG[:5000], "en"), (5, "the dog", "de")]
-    got = qm.score(spark.createDataFrame(docs, "doc_id long, text string, lang string"), model, floor)
+    got = qm.score(spark.createDataFrame(docs, "doc_id long, text string, lang string"), model)
     seen = sorted(((r.id, r.n_bytes, r.bits) for r in got.collect()), key=str)
     want = sorted(((i, len((t or "").encode()), bits(p, t) if t else None) for i, t, _ in docs), key=str)
     for a, b in zip(seen, want, strict=True):
@@ -63,10 +63,10 @@ def test_scores_equal_brute_force(spark):
 
 
 def test_small_blocks_change_nothing(spark, monkeypatch):
-    model, floor = qm.train(spark.createDataFrame([(t,) for t in TRUSTED], "text string"))
+    model = qm.train(spark.createDataFrame([(t,) for t in TRUSTED], "text string"))
     docs = spark.createDataFrame([(i, t * 3, "en") for i, t in enumerate(TRUSTED * 5)], "doc_id long, text string, lang string")
-    one = {r.id: r.bits for r in qm.score(docs, model, floor).collect()}
-    many = {r.id: r.bits for r in qm.score(docs.repartition(7), model, floor).collect()}
+    one = {r.id: r.bits for r in qm.score(docs, model).collect()}
+    many = {r.id: r.bits for r in qm.score(docs.repartition(7), model).collect()}
     assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-6 for k in one)
 
 
@@ -95,14 +95,14 @@ def test_trust_needs_every_label(spark):
 
 
 def test_the_byte_four_places_back_counts(spark):
-    model, floor = qm.train(spark.createDataFrame([("abcdX ebcdY " * 20,)], "text string"))
+    model = qm.train(spark.createDataFrame([("abcdX ebcdY " * 20,)], "text string"))
     docs = spark.createDataFrame([(1, "abcdX", "en"), (2, "abcdY", "en")], "doc_id long, text string, lang string")
-    bits = {r.id: r.bits for r in qm.score(docs, model, floor).collect()}
+    bits = {r.id: r.bits for r in qm.score(docs, model).collect()}
     assert bits[2] > bits[1] + 2
 
 
 def test_requests_come_back_from_their_shards():
-    g = np.unique(np.random.default_rng(1).integers(0, 1 << qm.FIELD, 5000))
+    g = np.unique(np.random.default_rng(1).integers(0, 1 << 8 * qm.ORDER, 5000))
     back = [qm.undealt(body, k) for k, body in enumerate(qm.dealt(g))]
     assert np.array_equal(np.sort(np.concatenate(back)), g) and all((x % qm.SHARDS == k).all() for k, x in enumerate(back))
 
