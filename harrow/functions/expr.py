@@ -24,59 +24,85 @@ def at_path(json: Column, path: str) -> Column:
 TOKEN = re.compile(r"""\$([\w.\[\]]+)|"([^"]*)"|'([^']*)'|(-?\d+(?:\.\d+)?)|\b(true|false|null)\b|(===|!==|==|!=|>=|<=|>|<|&&|\|\|)""")
 
 
+def _typed(variables: Column, path: str) -> Column:
+    """The value at a path with its kind: undefined, null, boolean, number, string or object."""
+    text = at_path(variables, path)
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(variables), json_path(path), "variant"))
+    name = (
+        F.when(kind.isNull(), "undefined").when(kind == "VOID", "null").when(kind == "BOOLEAN", "boolean").when(kind == "STRING", "string")
+        .when(kind.rlike("^(OBJECT|ARRAY)"), "object").otherwise("number")
+    )
+    number = (
+        F.when(name == "number", text.try_cast("double")).when(name == "boolean", (text == "true").cast("double")).when(name == "null", 0.0)
+        .when((name == "string") & (F.trim(text) == ""), 0.0).when(name == "string", F.trim(text).try_cast("double"))
+    )
+    return F.struct(name.alias("kind"), number.alias("number"), text.alias("text"))
+
+
+def _literal(kind: str, v: str | None) -> Column:
+    number = {"number": float(v) if kind == "number" else 0.0, "boolean": float(v == "true"), "null": 0.0}.get(kind)
+    if kind == "string":
+        shown = (v or "").strip()
+        number = 0.0 if not shown else float(shown) if re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", shown) else None
+    return F.struct(F.lit(kind).alias("kind"), F.lit(number).cast("double").alias("number"), F.lit(v).cast("string").alias("text"))
+
+
+def _truth(x: Column) -> Column:
+    """Numbers but 0, texts but the empty one, and all objects are true."""
+    return F.coalesce((x["kind"] == "object") | ((x["kind"] == "string") & (x["text"] != "")) | (x["kind"].isin("number", "boolean") & (x["number"] != 0)), F.lit(False))
+
+
+def _compared(x: Column, op: str, y: Column) -> Column:
+    """Equality of kind and value (===), with conversion to numbers (==), and order: texts by text, all else by number."""
+    both = lambda kind: (x["kind"] == kind) & (y["kind"] == kind)
+    no = F.lit(False)
+    if op in ("===", "!=="):
+        same = (x["kind"] == y["kind"]) & (
+            x["kind"].isin("undefined", "null") | (both("string") & (x["text"] == y["text"])) | (x["kind"].isin("number", "boolean") & (x["number"] == y["number"]))
+        )
+        return F.coalesce(same, no) if op == "===" else ~F.coalesce(same, no)
+    if op in ("==", "!="):
+        nothing = [v["kind"].isin("undefined", "null") for v in (x, y)]
+        same = F.when(nothing[0] | nothing[1], nothing[0] & nothing[1]).when(both("string"), x["text"] == y["text"]).when((x["kind"] == "object") | (y["kind"] == "object"), no).otherwise(x["number"] == y["number"])
+        return F.coalesce(same, no) if op == "==" else ~F.coalesce(same, no)
+    order = {">": lambda p, q: p > q, "<": lambda p, q: p < q, ">=": lambda p, q: p >= q, "<=": lambda p, q: p <= q}[op]
+    return F.coalesce(F.when(both("string"), order(x["text"], y["text"])).otherwise(order(x["number"], y["number"])), no)
+
+
 def condition(text: str, variables: Column) -> Column:
-    """A condition over a JSON text of variables. Terms are joined strictly from left to right, without precedence."""
-    tokens = []
+    """A condition over a JSON text of variables. Terms are joined strictly from left to right, without precedence; a term
+    is a comparison of two values or the truth of its first value; no term is false."""
+    groups: list[list[tuple[str, str | None]]] = [[]]
+    joins = []
     for m in TOKEN.finditer(text):
         ref, double, single, number, word, op = m.groups()
-        if op:
-            tokens.append(("op", op))
+        if op in ("&&", "||"):
+            joins.append(op)
+            groups.append([])
+        elif op:
+            groups[-1].append(("op", op))
         elif ref is not None:
-            tokens.append(("ref", ref))
+            groups[-1].append(("ref", ref))
         elif number is not None:
-            tokens.append(("number", number))
+            groups[-1].append(("number", number))
         elif word is not None:
-            tokens.append((word, word))
+            groups[-1].append(("null", None) if word == "null" else ("boolean", word))
         else:
-            tokens.append(("string", double if double is not None else single))
-
-    def value(tok) -> tuple[str, Column]:
-        kind, v = tok
-        if kind == "ref":
-            return kind, at_path(variables, v)
-        if kind == "number":
-            return kind, F.lit(float(v))
-        return kind, F.lit(None) if kind == "null" else F.lit(v)
-
-    def truth(tok) -> Column:
-        kind, v = value(tok)
-        if kind in ("ref", "string"):
-            return F.coalesce(~v.isin("", "0", "false", "null"), F.lit(False))
-        return F.lit(kind == "true" or (kind == "number" and float(tok[1]) != 0))
-
-    def compare(a, op, b) -> Column:
-        (ka, x), (kb, y) = value(a), value(b)
-        if op in (">", "<", ">=", "<=") or "number" in (ka, kb):
-            x, y = x.try_cast("double") if ka == "ref" else x.cast("double"), y.try_cast("double") if kb == "ref" else y.cast("double")
-        if op in ("===", "=="):
-            return x.eqNullSafe(y)
-        if op in ("!==", "!="):
-            return ~x.eqNullSafe(y)
-        return F.coalesce({">": x > y, "<": x < y, ">=": x >= y, "<=": x <= y}[op], F.lit(False))
-
-    terms, joins, k = [], [], 0
-    while k < len(tokens):
-        if tokens[k][0] == "op" and tokens[k][1] in ("&&", "||"):
-            joins.append(tokens[k][1])
-            k += 1
-        elif k + 2 < len(tokens) and tokens[k + 1][0] == "op" and tokens[k + 1][1] not in ("&&", "||"):
-            terms.append(compare(tokens[k], tokens[k + 1][1], tokens[k + 2]))
-            k += 3
+            groups[-1].append(("string", double if double is not None else single))
+    if not joins and not groups[0]:
+        return F.lit(False)
+
+    def value(token: tuple[str, str | None]) -> Column:
+        return _typed(variables, token[1] or "") if token[0] == "ref" else _literal("null", None) if token[0] == "op" else _literal(*token)
+
+    terms = []
+    for g in groups:
+        if len(g) == 3 and g[1][0] == "op":
+            terms.append(_compared(value(g[0]), g[1][1] or "", value(g[2])))
         else:
-            terms.append(truth(tokens[k]) if tokens[k][0] != "op" else F.lit(False))
-            k += 1
-    out = terms[0] if terms else F.lit(True)
-    for op, t in zip(joins, terms[1:], strict=False):
+            terms.append(_truth(value(g[0])) if g else F.lit(False))
+    out = terms[0]
+    for op, t in zip(joins, terms[1:], strict=True):
         out = (out & t) if op == "&&" else (out | t)
     return out
 
@@ -100,9 +126,14 @@ def unresolved(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(\{\{[^}]+\}\})"), F.lit(1))
 
 
-def parameter_kind(selector: Column) -> Column:
-    """Which parameter a recorded input is likely to be."""
-    return F.when(selector.rlike("(?i)pass(word)?|pwd"), "password").when(selector.rlike("(?i)user(name)?|email|login"), "username").when(selector.rlike("(?i)search|query|\\bq\\b"), "search")
+# What the selectors of passwords, of user names and of searches look like.
+PASSWORD, USERNAME, SEARCH = "(?i)password|passwd|pwd|secret", "(?i)username|user|email|login|userid", "(?i)search|query|keyword|term|filter|q=|case|number|id"
+
+
+def parameter_kind(selector: Column, text: Column) -> Column:
+    """Which parameter the text typed into an element is likely to be; templates are none already."""
+    kind = F.when(selector.rlike(PASSWORD) | text.rlike(PASSWORD), "password").when(selector.rlike(USERNAME), "username").when(selector.rlike(SEARCH) & (F.length(text) > 0), "query")
+    return F.when(~text.contains("{{"), kind)
 
 
 def merged(a: Column, b: Column) -> Column:

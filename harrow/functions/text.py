@@ -9,6 +9,11 @@ BODY = r"(?is)<body[^>]*>(.*?)</body>"
 SCRIPT, STYLE, TAG = r"(?is)<script.*?</script>", r"(?is)<style.*?</style>", r"<[^>]*>"
 
 
+def once(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def trim(text: Column) -> Column:
     """Strip all white space at both ends, not the space alone."""
     return F.regexp_replace(text, r"^[\s\x{00A0}\x{FEFF}]+|[\s\x{00A0}\x{FEFF}]+$", "")

@@ -61,9 +61,13 @@ class Node:
             self.parent = None
 
 
+DEEPEST = 200  # as in browsers, what is nested deeper becomes a sibling there
+
+
 def parse(html: str) -> Node:
     root = Node("#document", {}, None)
     here, at, end = root, 0, len(html)
+    depths, over = {id(root): 0}, []  # of open elements; names of those that are open beyond the deepest
 
     def close(names: set[str], stop: set[str]) -> None:
         nonlocal here
@@ -87,6 +91,10 @@ def parse(html: str) -> Node:
             continue
         name = m[2].lower()
         if m[1]:
+            if name in over:
+                while over.pop() != name:
+                    pass
+                continue
             n = here
             while n is not root and n.name != name:
                 n = n.parent
@@ -106,7 +114,11 @@ def parse(html: str) -> Node:
                 node.children.append(unescape(inner) if name in ("title", "textarea") else inner)
             at = tail.end() if tail else end
         elif name not in VOID and not m[3].endswith("/"):
-            here = node
+            if (depth := depths[id(here)] + 1) > DEEPEST:
+                over.append(name)
+            else:
+                depths[id(node)] = depth
+                here = node
     return root
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.functions import text as X
@@ -62,21 +62,26 @@ LEVELS = {"aws-waf": 2, "sucuri": 2, "none": 1}  # every other system needs leve
 
 def is_blocked(html: Column, status: Column, headers: Column) -> Column:
     """Layered: statuses count with a protection's header or script, phrases on small pages only. Header names in lower case."""
-    text, heading = X.body_text(html), X.trim(X.title(html))
-    size = F.length(text)
+    heading = X.trim(X.title(html))
     protected = F.exists(F.map_keys(headers), lambda k: k.isin(*HEADERS)) | X.contains_any(html, SCRIPTS)
-    challenge = X.matches_any(heading, [f"(?i){p}" for p in TITLES])
-    phrase = X.contains_any(F.lower(text), BLOCKED)
-    small = size < 5000
     links = F.size(F.regexp_extract_all(html, F.lit(r"(?i)(<a\s)"), F.lit(1)))
-    return (
-        F.when(F.coalesce(F.try_element_at(headers, F.lit("cf-mitigated")), F.lit("")) != "", True)
-        .when(status.isin(403, 429, 503), protected | (small & (challenge | phrase)))
-        .when((size > 5000) & (links > 10), False)
-        .when(challenge, True)
-        .when(small & phrase & (protected | (size < 1000)), True)
-        .otherwise(html.rlike(r"(?i)<title[^>]*>.*?</title>") & (size < 50) & (status >= 400))
-    )
+    facts = lambda t: F.struct(
+        F.length(t).alias("size"), X.once(F.lower(t), lambda low: X.contains_any(low, BLOCKED)).alias("phrase"), protected.alias("protected"),
+        X.matches_any(heading, [f"(?i){p}" for p in TITLES]).alias("challenge"), links.alias("links"),
+    )
+
+    def verdict(x: Column) -> Column:
+        small = x["size"] < 5000
+        return (
+            F.when(F.coalesce(F.try_element_at(headers, F.lit("cf-mitigated")), F.lit("")) != "", True)
+            .when(status.isin(403, 429, 503), x["protected"] | (small & (x["challenge"] | x["phrase"])))
+            .when((x["size"] > 5000) & (x["links"] > 10), False)
+            .when(x["challenge"], True)
+            .when(small & x["phrase"] & (x["protected"] | (x["size"] < 1000)), True)
+            .otherwise(html.rlike(r"(?i)<title[^>]*>.*?</title>") & (x["size"] < 50) & (status >= 400))
+        )
+
+    return X.once(X.once(X.body_text(html), facts), verdict)
 
 
 def is_captcha(html: Column) -> Column:
@@ -115,36 +120,45 @@ def signals(html: Column, headers: Column, cookies: Column) -> Column:
 
 
 def protection(pages: DataFrame, key: str, html: str, headers: str, cookies: str) -> DataFrame:
-    """(key, system, confidence, level, signals): the system of the greatest weight; the first rule decides ties."""
-    fired = pages.select(key, F.explode(signals(F.col(html), F.col(headers), F.col(cookies))).alias("s")).select(key, "s.*")
-    each = fired.groupBy(key, "system").agg(F.sum(F.col("weight").cast("decimal(10,2)")).cast("double").alias("score"), F.min("rule").alias("first"), F.array_sort(F.collect_list(F.struct("rule", "signal"))).alias("all"))
-    best = each.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), "first"))).where("r = 1").drop("r", "first")
-    unknown = unknown_signals(F.col(html))
-    out = pages.select(key, unknown.alias("odd")).join(best, key, "left")
-    system = F.when(F.col("system").isNotNull(), F.col("system")).when(F.size("odd") > 0, "unknown").otherwise("none")
+    """(key, system, confidence, level, signals): the system of the greatest weight; the first rule decides ties. One projection."""
+    systems = list(dict.fromkeys(r[0] for r in RULES))
+    exact = "decimal(10,2)"
+
+    def weighed(fired: Column) -> Column:
+        def of(name: str) -> Column:
+            return X.once(F.filter(fired, lambda x: x["system"] == name), lambda own: F.when(F.size(own) > 0, F.struct(
+                F.aggregate(own, F.lit(0).cast(exact), lambda acc, x: (acc + x["weight"].cast(exact)).cast(exact)).alias("score"), (-own[0]["rule"]).alias("first"), F.lit(name).alias("system"), own["signal"].alias("signals"),
+            )))
+
+        return F.array_max(F.array(*[of(name) for name in systems]))
+
+    best = X.once(signals(F.col(html), F.col(headers), F.col(cookies)), weighed)
+    out = pages.select(key, X.once(F.struct(best.alias("best"), unknown_signals(F.col(html)).alias("odd")), lambda x: x).alias("x")).select(key, "x.*")
+    known, odd = F.col("best").isNotNull(), F.size("odd") > 0
+    system = F.when(known, F.col("best.system")).when(odd, "unknown").otherwise("none")
     level = F.lit(3)
     for s, n in LEVELS.items():
         level = F.when(system == s, n).otherwise(level)
-    confidence = F.when(F.col("system").isNotNull(), F.least(F.col("score"), F.lit(1.0))).when(F.size("odd") > 0, 0.3).otherwise(0.0)
-    shown = F.when(F.col("system").isNotNull(), F.col("all.signal")).otherwise(F.col("odd"))
-    return out.select(key, system.alias("system"), confidence.alias("confidence"), level.alias("level"), shown.alias("signals"))
+    confidence = F.when(known, F.least(F.col("best.score").cast("double"), F.lit(1.0))).when(odd, 0.3).otherwise(0.0)
+    return out.select(key, system.alias("system"), confidence.alias("confidence"), level.alias("level"), F.when(known, F.col("best.signals")).otherwise(F.col("odd")).alias("signals"))
 
 
 def unknown_signals(html: Column) -> Column:
-    inner = F.regexp_extract(html, X.BODY, 1)
-    text = inner
-    for p in (X.SCRIPT, X.STYLE, X.TAG):
-        text = F.regexp_replace(text, p, "")
-    size, scripts = F.length(X.trim(text)), F.size(F.regexp_extract_all(inner, F.lit("(?i)(<script)"), F.lit(1)))
-    has = html.rlike(X.BODY)
-    return F.filter(
-        F.array(
-            F.when(has & (size < 200) & (scripts >= 2), "small body with multiple scripts"),
-            F.when(has & inner.contains("<noscript>") & (size < 500) & (scripts >= 3), "noscript fallback with script-heavy body"),
+    def facts(inner: Column) -> Column:
+        text = inner
+        for p in (X.SCRIPT, X.STYLE, X.TAG):
+            text = F.regexp_replace(text, p, "")
+        scripts = F.size(F.regexp_extract_all(inner, F.lit("(?i)(<script)"), F.lit(1)))
+        return F.struct(F.length(X.trim(text)).alias("size"), scripts.alias("scripts"), inner.contains("<noscript>").alias("fallback"), html.rlike(X.BODY).alias("has"))
+
+    def found(x: Column) -> Column:
+        return F.array(
+            F.when(x["has"] & (x["size"] < 200) & (x["scripts"] >= 2), "small body with multiple scripts"),
+            F.when(x["has"] & x["fallback"] & (x["size"] < 500) & (x["scripts"] >= 3), "noscript fallback with script-heavy body"),
             F.when(html.contains("window.location") & html.contains("document.cookie"), "JS redirect with cookie manipulation"),
-        ),
-        lambda x: x.isNotNull(),
-    )
+        )
+
+    return F.filter(X.once(X.once(F.regexp_extract(html, X.BODY, 1), facts), found), lambda x: x.isNotNull())
 
 
 def cookie_names(headers: Column) -> Column:

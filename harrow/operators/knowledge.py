@@ -19,25 +19,31 @@ def rounded(x: Column) -> Column:
 
 
 def fold(outcomes: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """(key, success_count, fail_count, avg_response_time_ms, safe_rate_limit, antibot_system, captcha_type, last_updated) of outcomes with
-    success, response_ms, http_status, antibot_system, captcha_type and ``order`` columns."""
-    entry = F.struct(*order, "success", "response_ms", "http_status", "antibot_system", "captcha_type")
+    """(key, success_count, fail_count, avg_response_time_ms, safe_rate_limit, antibot_system, captcha_type, needs_proxy, last_updated) of
+    outcomes with success, response_ms, http_status, antibot_system, captcha_type, blocked, proxy_used and ``order`` columns.
+
+    A proxy is needed where the first outcome succeeded through one, or an outcome was blocked without one after more
+    failures than successes.
+    """
+    entry = F.struct(*order, "success", "response_ms", "http_status", "antibot_system", "captcha_type", "blocked", "proxy_used")
     rows = outcomes.groupBy(key).agg(
         F.array_sort(F.collect_list(entry)).alias("seq"), F.count_if("success").alias("success_count"), F.count_if(~F.col("success")).alias("fail_count"), F.max(order[0]).alias("last_updated")
     )
-    start = F.struct(F.lit(-1.0).alias("avg"), F.lit(60).cast("int").alias("rate"), F.lit(True).alias("first"), F.lit(None).cast("string").alias("antibot"), F.lit(None).cast("string").alias("captcha"))
+    start = F.struct(F.lit(-1.0).alias("avg"), F.lit(60).cast("int").alias("rate"), F.lit(True).alias("first"), F.lit(None).cast("string").alias("antibot"), F.lit(None).cast("string").alias("captcha"), F.lit(False).alias("proxy"), F.lit(0).alias("lead"))
 
     def step(acc: Column, x: Column) -> Column:
         mixed = rounded(acc["avg"] * (1 - ALPHA) + x["response_ms"] * ALPHA)
         avg = F.when(acc["first"], x["response_ms"]).when(acc["avg"] == 0, rounded(x["response_ms"])).otherwise(mixed)
         slower = F.greatest(F.lit(10), F.floor(acc["rate"] * 0.7).cast("int"))
         rate = F.when(x["http_status"] != 429, acc["rate"]).when(acc["first"], F.lit(30)).otherwise(slower)
-        return F.struct(avg.alias("avg"), rate.cast("int").alias("rate"), F.lit(False).alias("first"), F.coalesce(x["antibot_system"], acc["antibot"]).alias("antibot"), F.coalesce(x["captcha_type"], acc["captcha"]).alias("captcha"))
+        proxy = F.when(acc["first"], x["proxy_used"] & x["success"]).otherwise(acc["proxy"] | (x["blocked"] & ~x["proxy_used"] & (acc["lead"] < 0)))
+        lead = (acc["lead"] + F.when(x["success"], 1).otherwise(-1)).cast("int")  # successes beyond failures
+        return F.struct(avg.alias("avg"), rate.cast("int").alias("rate"), F.lit(False).alias("first"), F.coalesce(x["antibot_system"], acc["antibot"]).alias("antibot"), F.coalesce(x["captcha_type"], acc["captcha"]).alias("captcha"), F.coalesce(proxy, F.lit(False)).alias("proxy"), lead.alias("lead"))
 
     done = rows.select(key, "success_count", "fail_count", "last_updated", F.aggregate("seq", start, step).alias("s"))
     return done.select(
         key, "success_count", "fail_count", F.col("s.avg").alias("avg_response_time_ms"), F.col("s.rate").alias("safe_rate_limit"),
-        F.col("s.antibot").alias("antibot_system"), F.col("s.captcha").alias("captcha_type"), "last_updated",
+        F.col("s.antibot").alias("antibot_system"), F.col("s.captcha").alias("captcha_type"), F.col("s.proxy").alias("needs_proxy"), "last_updated",
     )
 
 
@@ -96,21 +102,25 @@ def prune(known: DataFrame, key: str, now: Column, most: int = NEVER, days: int
 
 
 def circuit(events: DataFrame, key: str, order: list[str], at: str, ok: str, fails: int = 5, wait: float = 60.0, probes: int = 3) -> DataFrame:
-    """(key, state, failures, opened) of each key's breaker after its events, as a fold in order. ``at``: seconds."""
+    """(key, state, failures, opened) of each key's breaker after its events, as a fold in order. ``at``: seconds.
+
+    A failed probe opens it again with the failures at the limit; failures while it is open push its opening on, a
+    success while it is open clears them. ``opened`` counts how often it went open.
+    """
     seq = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(at).alias("__at"), F.col(ok).alias("__ok")))).alias("seq"))
     start = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("bad"), F.lit(0).alias("probes"), F.lit(0.0).alias("since"), F.lit(0).alias("opened"))
 
     def step(acc: Column, x: Column) -> Column:
         state = F.when((acc["state"] == "open") & (x["__at"] - acc["since"] >= wait), "half-open").otherwise(acc["state"])
         tried = F.when((acc["state"] == "open") & (state == "half-open"), 0).otherwise(acc["probes"])
-        trips = ~x["__ok"] & ((state == "half-open") | ((state == "closed") & (acc["bad"] + 1 >= fails)))
+        trips = ~x["__ok"] & ((state == "half-open") | (acc["bad"] + 1 >= fails))
         heals = x["__ok"] & (state == "half-open") & (tried + 1 >= probes)
         return F.struct(
             F.when(trips, "open").when(heals, "closed").otherwise(state).alias("state"),
-            F.when(x["__ok"], F.when((state == "closed") | heals, 0).otherwise(acc["bad"])).otherwise(acc["bad"] + 1).cast("int").alias("bad"),
+            F.when(x["__ok"], F.when((state != "half-open") | heals, 0).otherwise(acc["bad"])).when(state == "half-open", fails).otherwise(acc["bad"] + 1).cast("int").alias("bad"),
             F.when(x["__ok"] & (state == "half-open"), tried + 1).otherwise(F.when(trips, 0).otherwise(tried)).cast("int").alias("probes"),
             F.when(trips, x["__at"]).otherwise(acc["since"]).alias("since"),
-            (acc["opened"] + F.when(trips, 1).otherwise(0)).cast("int").alias("opened"),
+            (acc["opened"] + F.when(trips & (state != "open"), 1).otherwise(0)).cast("int").alias("opened"),
         )
 
     return seq.select(key, F.aggregate("seq", start, step).alias("s")).select(key, "s.state", F.col("s.bad").alias("failures"), "s.opened")
@@ -134,5 +144,7 @@ def backoff_bounds(attempt: Column, status: Column, base: float = 1000.0, cap: f
     return more(5000.0), top + more(15000.0)
 
 
-def retry_level(attempt: Column, antibot: Column) -> Column:
-    return F.when(antibot.isNotNull() | (attempt >= 2), 3).when(attempt == 1, 2).otherwise(1)
+def retry_level(attempt: Column, antibot: Column, base: Column) -> Column:
+    """The caller's level (1 where there is none), one more at the second attempt, then 3; 3 at once against a known system."""
+    own = F.when(base > 0, base).otherwise(1)
+    return F.when(antibot.isNotNull() | (attempt >= 2), 3).when(attempt == 1, F.least(own + 1, F.lit(3))).otherwise(own)

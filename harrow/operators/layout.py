@@ -26,16 +26,22 @@ def tables(rows: DataFrame, page: str, order: str, text: str) -> DataFrame:
     return c.select(page, F.col("run").alias("table"), order, "cells")
 
 
+#: white space at the ends of a text, and what is not printable: no printable ASCII, letter, number, punctuation or space.
+SPACE = r"\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+ENDS, ODD, WIDE = f"^[{SPACE}]+|[{SPACE}]+$", rf"[^\x20-\x7E\p{{L}}\p{{N}}\p{{P}}{SPACE}]", r"[^\x{10000}-\x{10FFFF}]"
+
+
 def confidence(text: Column) -> Column:
-    """Share of printable characters, less for texts under 50."""
-    n = F.length(text)
-    printable = F.length(F.regexp_replace(text, r"[^\x20-\x7E\x{00A0}-\x{FFFF}\n\r\t]", ""))
+    """Share of printable characters of the trimmed text, less for texts under 50; a character beyond U+FFFF counts as two in its length."""
+    t = F.regexp_replace(text, ENDS, "")
+    n = F.length(t) + F.length(F.regexp_replace(t, WIDE, ""))
+    printable = F.length(F.regexp_replace(t, ODD, ""))
     return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), printable / n * F.least(F.lit(1.0), n / 50.0)))
 
 
 # Roles that always get a reference, and those that get one unless only interactive ones are asked for.
 INTERACTIVE = ("button", "link", "textbox", "checkbox", "radio", "combobox", "listbox", "menuitem", "option", "searchbox", "slider", "spinbutton", "switch", "tab", "treeitem")
-CONTENT = ("heading", "cell", "gridcell", "columnheader", "rowheader", "listitem", "article", "region", "main")
+CONTENT = ("heading", "cell", "article", "region", "navigation", "img", "figure", "blockquote", "code")
 
 
 def tree_lines(text: Column) -> Column:

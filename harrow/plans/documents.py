@@ -31,18 +31,19 @@ def h31_tables(spark: SparkSession, d: str) -> DataFrame:
     return t.select("user_id", "table", "event_id", F.size("cells").alias("n"))
 
 
-@query(r"SELECT doc_id, CASE WHEN length(text) = 0 THEN 0.0 ELSE least(1.0, length(regexp_replace(text, '[^\x20-\x7E\x{00A0}-\x{FFFF}\n\r\t]', '', 'g')) / length(text) * least(1.0, length(text) / 50.0)) END AS confidence FROM documents")
+@query(f"""SELECT doc_id, CASE WHEN n = 0 THEN 0.0 ELSE least(1.0, length(regexp_replace(t, '{L.ODD}', '', 'g')) / n * least(1.0, n / 50.0)) END AS confidence
+FROM (SELECT *, length(t) + length(regexp_replace(t, '{L.WIDE}', '', 'g')) AS n FROM (SELECT doc_id, regexp_replace(text, '{L.ENDS}', '', 'g') AS t FROM documents))""")
 def h32_confidence(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", L.confidence(F.col("text")).alias("confidence"))
 
 
 def tree(spark: SparkSession, d: str) -> DataFrame:
-    line = cat(F.repeat(F.lit("  "), (F.col("n_nationkey") % 3).cast("int")), "- ", F.element_at(F.array(*[F.lit(x) for x in ("button", "link", "heading", "generic")]), F.col("n_nationkey") % 4 + 1), ' "', F.substring("n_name", 1, 1), '" [x=1]')
+    line = cat(F.repeat(F.lit("  "), (F.col("n_nationkey") % 3).cast("int")), "- ", F.element_at(F.array(*[F.lit(x) for x in ("button", "link", "heading", "generic", "navigation", "main", "code", "listitem")]), F.col("n_nationkey") % 8 + 1), ' "', F.substring("n_name", 1, 1), '" [x=1]')
     t = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
     return t.select("n_regionkey", F.posexplode(L.tree_lines(F.col("text"))).alias("line", "x")).select("n_regionkey", "line", "x.*")
 
 
-TREE = "SELECT n_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INT) AS line, CAST(2 * (n_nationkey % 3) AS INT) AS indent, ['button', 'link', 'heading', 'generic'][n_nationkey % 4 + 1] AS role, substr(n_name, 1, 1) AS name FROM nation"
+TREE = "SELECT n_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INT) AS line, CAST(2 * (n_nationkey % 3) AS INT) AS indent, ['button', 'link', 'heading', 'generic', 'navigation', 'main', 'code', 'listitem'][n_nationkey % 8 + 1] AS role, substr(n_name, 1, 1) AS name FROM nation"
 
 
 @query(TREE)
@@ -51,7 +52,7 @@ def h26_tree_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT n_regionkey, line, role, name, 'e' || row_number() OVER (PARTITION BY n_regionkey ORDER BY line) AS ref, CAST(CASE WHEN count(*) OVER (PARTITION BY n_regionkey, role, name) > 1
-THEN row_number() OVER (PARTITION BY n_regionkey, role, name ORDER BY line) - 1 END AS INT) AS nth FROM ({TREE}) WHERE role <> 'generic'""")
+THEN row_number() OVER (PARTITION BY n_regionkey, role, name ORDER BY line) - 1 END AS INT) AS nth FROM ({TREE}) WHERE role NOT IN ('generic', 'main', 'listitem')""")
 def h27_references(spark: SparkSession, d: str) -> DataFrame:
     return L.references(tree(spark, d), "n_regionkey", "line")
 
@@ -74,9 +75,9 @@ def k03_json_lines(spark: SparkSession, d: str) -> DataFrame:
     return K.json_lines(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
 
 
-@query("""SELECT doc_id || ',' || CASE WHEN regexp_matches(t, '[,"\n]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END || ',' || lang AS line FROM (SELECT doc_id, substr(text, 1, 80) AS t, lang FROM documents)""")
+@query("""SELECT doc_id || ',' || CASE WHEN regexp_matches(t, '[,"\n]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END || ',' || lang AS line FROM (SELECT doc_id, text AS t, lang FROM documents)""")
 def k04_csv_lines(spark: SparkSession, d: str) -> DataFrame:
-    return K.csv_lines(table(spark, d, "documents").select("doc_id", F.substring("text", 1, 80).alias("t"), "lang"))
+    return K.csv_lines(table(spark, d, "documents").select("doc_id", F.col("text").alias("t"), "lang"))
 
 
 @query("SELECT o_custkey, 'id,status' || chr(10) || string_agg(o_orderkey || ',' || o_orderstatus, chr(10) ORDER BY o_orderkey) AS csv FROM orders GROUP BY o_custkey")

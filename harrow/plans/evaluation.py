@@ -10,7 +10,7 @@ from harrow.session import table
 
 # Weights of the composite score and of difficulties.
 COMPOSITE = {"fixtures": 0.30, "live": 0.25, "workflows": 0.15, "perf": 0.10, "tests": 0.10, "docs": 0.10}
-DIFFICULTY = {"easy": 1.0, "medium": 2.0, "hard": 3.0, "nightmare": 4.0}
+DIFFICULTY = {"easy": 0.5, "medium": 1.0, "hard": 2.0, "nightmare": 3.0}
 
 
 def parts(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +28,7 @@ def e02_pass_ratio(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.col("event_type").alias("suite")).agg(F.avg((F.col("event_id") % 5 != 0).cast("int")).alias("ratio"))
 
 
-@query("""WITH r AS (SELECT user_id, event_id, [1.0, 2.0, 3.0, 4.0][event_id % 4 + 1] AS w, CASE WHEN event_id % 5 = 0 THEN 0.0 WHEN event_id % 5 = 1 THEN 0.5 ELSE 1.0 END AS now, CASE WHEN event_id % 3 = 0 THEN (event_id % 10) / 10.0 END AS h FROM events WHERE event_id % 7 <> 0)
+@query("""WITH r AS (SELECT user_id, event_id, [0.5, 1.0, 2.0, 3.0][event_id % 4 + 1] AS w, CASE WHEN event_id % 5 = 0 THEN 0.0 WHEN event_id % 5 = 1 THEN 0.5 ELSE 1.0 END AS now, CASE WHEN event_id % 3 = 0 THEN (event_id % 10) / 10.0 END AS h FROM events WHERE event_id % 7 <> 0)
 SELECT user_id, sum(CASE WHEN h IS NULL THEN now ELSE 0.3 * now + 0.7 * h END * w) / sum(w) AS score FROM r GROUP BY user_id""")
 def e03_live_score(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id")

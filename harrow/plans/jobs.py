@@ -63,7 +63,7 @@ def j06_seo_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def order_json():
-    return F.to_json(F.struct(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.array(F.struct(F.col("o_custkey").alias("n")), F.struct((F.col("o_custkey") + 1).alias("n"))).alias("items")).alias("result")))
+    return F.to_json(F.struct(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderkey").cast("string").alias("text"), F.lit("0").alias("zero"), F.lit("").alias("blank"), (F.col("o_custkey") % 2).alias("odd"), F.col("o_orderstatus").alias("status"), F.array(F.struct(F.col("o_custkey").alias("n")), F.struct((F.col("o_custkey") + 1).alias("n"))).alias("items")).alias("result")))
 
 
 @query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey + 1 AS VARCHAR) AS second, NULL::VARCHAR AS missing FROM orders")
@@ -71,12 +71,16 @@ def j07_paths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", order_json().alias("v")).select("o_orderkey", E.at_path(F.col("v"), "result.id").alias("id"), E.at_path(F.col("v"), "result.items[1].n").alias("second"), E.at_path(F.col("v"), "result.items[7].n").alias("missing"))
 
 
-@query("SELECT o_orderkey, ((o_orderkey > 100 AND o_orderstatus = 'F') OR o_custkey <> 5) AS a, (o_custkey > 3 OR o_orderstatus = 'O') AND o_orderkey <= 9000 AS b, true AS c, false AS d FROM orders")
+@query("SELECT o_orderkey, ((o_orderkey > 100 AND o_orderstatus = 'F') OR o_custkey <> 5) AS a, (o_custkey > 3 OR o_orderstatus = 'O') AND o_orderkey <= 9000 AS b, true AS c, false AS d, false AS nothing, true AS zero_text, false AS blank, o_custkey % 2 = 1 AS odd, false AS strict, true AS loose, CAST(o_orderkey AS VARCHAR) > '5' AS by_text, o_orderkey > 5 AS by_number, true AS missing_is_null, false AS missing_is_strictly_null, o_orderstatus = 'F' AS first_only FROM orders")
 def j08_conditions(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("v")
     return table(spark, d, "orders").select("o_orderkey", order_json().alias("v")).select(
         "o_orderkey", E.condition("$result.id > 100 && $result.status === 'F' || $result.items[0].n != 5", v).alias("a"),
         E.condition("$result.items[0].n > 3 || $result.status == \"O\" && $result.id <= 9000", v).alias("b"), E.condition("$result.items", v).alias("c"), E.condition("$nothing.here", v).alias("d"),
+        E.condition(" ", v).alias("nothing"), E.condition("$result.zero", v).alias("zero_text"), E.condition("$result.blank", v).alias("blank"), E.condition("$result.odd", v).alias("odd"),
+        E.condition("$result.text === $result.id", v).alias("strict"), E.condition("$result.text == $result.id", v).alias("loose"), E.condition("$result.text > '5'", v).alias("by_text"),
+        E.condition("$result.text > 5", v).alias("by_number"), E.condition("$result.gone == null", v).alias("missing_is_null"), E.condition("$result.gone === null", v).alias("missing_is_strictly_null"),
+        (E.condition("$result.status $result.id", v) & E.condition("$result.status === 'F'", v)).alias("first_only"),
     )
 
 
@@ -117,10 +121,21 @@ def j13_unresolved(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", F.array_join(E.unresolved(text), ",").alias("left_over"))
 
 
-@query("SELECT n_nationkey, ['password', 'username', 'search', NULL, 'username'][n_nationkey % 5 + 1] AS kind FROM nation")
+TYPED = """SELECT user_id, event_id, CASE WHEN event_id % 9 = 0 THEN 'click' ELSE 'type' END AS type,
+CASE event_id % 7 WHEN 0 THEN '#pwd' WHEN 1 THEN 'input[name=userName]' WHEN 2 THEN '.site-search' WHEN 3 THEN '#city' WHEN 4 THEN '[data-case]' WHEN 5 THEN '#EMAIL' END AS selector,
+CASE WHEN event_id % 7 = 6 THEN 'ref-filter' END AS ref, CASE event_id % 5 WHEN 0 THEN '{{env:X}}' WHEN 1 THEN 'my Secret' WHEN 2 THEN '' ELSE event_type END AS text FROM events"""
+
+
+@query(f"""SELECT user_id, name, CASE WHEN name = 'query' THEN 'input' ELSE 'env' END AS source, CASE name WHEN 'query' THEN 'query' WHEN 'password' THEN 'SKILL_PASSWORD' ELSE 'SKILL_USERNAME' END AS key, name <> 'query' AS required,
+CASE name WHEN 'query' THEN '{{{{input:query}}}}' WHEN 'password' THEN '{{{{env:SKILL_PASSWORD}}}}' ELSE '{{{{env:SKILL_USERNAME}}}}' END AS template, min(event_id) AS first
+FROM (SELECT user_id, event_id, CASE WHEN event_id % 7 = 0 OR event_id % 5 = 1 THEN 'password' WHEN event_id % 7 IN (1, 5) THEN 'username' WHEN event_id % 7 IN (2, 4, 6) AND text <> '' THEN 'query' END AS name
+FROM ({TYPED}) WHERE event_id % 9 <> 0 AND event_id % 5 <> 0) WHERE name IS NOT NULL GROUP BY user_id, name""")
 def j14_parameters(spark: SparkSession, d: str) -> DataFrame:
-    s = F.element_at(F.array(*[F.lit(x) for x in ("#pwd", "input[name=userName]", ".site-search", "#city", "#EMAIL")]), F.col("n_nationkey") % 5 + 1)
-    return table(spark, d, "nation").select("n_nationkey", E.parameter_kind(s).alias("kind"))
+    k = F.col("event_id")
+    selector = F.element_at(F.array(*[F.lit(x) for x in ("#pwd", "input[name=userName]", ".site-search", "#city", "[data-case]", "#EMAIL", None)]), (k % 7 + 1).cast("int"))
+    text = F.when(k % 5 == 0, "{{env:X}}").when(k % 5 == 1, "my Secret").when(k % 5 == 2, "").otherwise(F.col("event_type"))
+    actions = table(spark, d, "events").select("user_id", "event_id", F.when(k % 9 == 0, "click").otherwise("type").alias("type"), selector.alias("selector"), F.when(k % 7 == 6, "ref-filter").alias("ref"), text.alias("text"))
+    return J.parameter_candidates(actions, "user_id", "event_id")
 
 
 @query("SELECT p_brand AS family, CAST(p_size AS VARCHAR) AS variant, min(p_partkey % 2) AS rank FROM part GROUP BY p_brand, p_size")
@@ -137,30 +152,39 @@ def j17_flow_runs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT n_nationkey, ['click', 'click', 'type', 'select', NULL][n_nationkey % 5 + 1] AS step FROM nation")
+@query("SELECT n_nationkey, ['click', 'click', 'type', 'select', NULL, 'select', 'type', NULL][n_nationkey % 8 + 1] AS step FROM nation")
 def j18_recorded_steps(spark: SparkSession, d: str) -> DataFrame:
-    pick = lambda *x: F.element_at(F.array(*[F.lit(v) for v in x]), F.col("n_nationkey") % 5 + 1)
-    return table(spark, d, "nation").select("n_nationkey", J.step_of(pick("click", "submit", "input", "change", "scroll"), pick("a", "form", "input", "select", "div")).alias("step"))
+    pick = lambda *x: F.element_at(F.array(*[F.lit(v) for v in x]), F.col("n_nationkey") % 8 + 1)
+    step = J.step_of(pick("click", "submit", "input", "change", "scroll", "select", "change", "keydown"), pick("a", "form", "input", "select", "div", "div", None, "select"))
+    return table(spark, d, "nation").select("n_nationkey", step.alias("step"))
 
 
-@query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN '#' || n_name WHEN 1 THEN '[data-testid=\"' || n_name || '\"]' ELSE '[aria-label=\"' || n_name || '\"]' END AS target FROM nation")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '[data-testid="' || p_name || '"]' WHEN p_partkey % 3 = 0 THEN '[data-test="t' || p_size || '"]' WHEN p_partkey % 5 = 0 THEN '[id="' || p_brand || '"]'
+WHEN p_partkey % 7 = 0 THEN '[name="a\\"b"]' WHEN p_partkey % 11 = 0 THEN '[placeholder="' || p_type || '"]' WHEN p_partkey % 13 = 0 THEN '[aria-label="' || p_partkey || '"]' END AS target FROM part""")
 def j19_smart_target(spark: SparkSession, d: str) -> DataFrame:
-    n, k = F.col("n_name"), F.col("n_nationkey") % 3
-    attrs = {"id": F.when(k == 0, n), "data-testid": F.when(k == 1, n), "aria-label": n}
-    target = F.coalesce(F.concat(F.lit("#"), attrs["id"]), *[F.concat(F.lit(f'[{a}="'), attrs[a], F.lit('"]')) for a in ("data-testid", "aria-label")])
-    return table(spark, d, "nation").select("n_nationkey", target.alias("target"))
+    k = F.col("p_partkey")
+    given = {"aria-label": (13, k.cast("string")), "placeholder": (11, F.col("p_type")), "name": (7, F.lit('a"b')), "id": (5, F.col("p_brand")), "data-test": (3, F.concat(F.lit("t"), F.col("p_size").cast("string"))), "data-testid": (2, F.col("p_name"))}
+    attributes = F.create_map(*[x for name, (n, v) in given.items() for x in (F.lit(name), F.when(k % n == 0, v).otherwise(""))])
+    return table(spark, d, "part").select("p_partkey", J.selector_of(attributes).alias("target"))
 
 
-@query("SELECT n_nationkey, ['allow', 'deny', 'confirm', 'deny'][n_nationkey % 4 + 1] AS verdict FROM nation")
+@query("""SELECT p_partkey, CASE WHEN a IN ('evaluate', 'cookie_set') THEN 'deny' WHEN a IN ('upload', 'type', 'select') THEN 'confirm' WHEN a IN ('click', 'hover', 'drag', 'screenshot', 'pdf') THEN 'allow' ELSE ['deny', 'allow'][p_partkey % 2 + 1] END AS verdict
+FROM (SELECT p_partkey, ['click', 'hover', 'drag', 'type', 'select', 'upload', 'evaluate', 'screenshot', 'pdf', 'cookie_get', 'cookie_set', 'scroll', 'press', 'fill', 'unheard'][p_partkey % 15 + 1] AS a FROM part)""")
 def j20_policy(spark: SparkSession, d: str) -> DataFrame:
-    a = F.element_at(F.array(*[F.lit(x) for x in ("click", "evaluate", "upload", "unheard")]), F.col("n_nationkey") % 4 + 1)
-    return table(spark, d, "nation").select("n_nationkey", J.policy(a, ["execute"], ["upload"], ["interact", "upload"], "deny").alias("verdict"))
+    names = ("click", "hover", "drag", "type", "select", "upload", "evaluate", "screenshot", "pdf", "cookie_get", "cookie_set", "scroll", "press", "fill", "unheard")
+    a = F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("p_partkey") % 15 + 1).cast("int"))
+    verdict = [J.policy(a, ["eval", "state_write"], ["fill", "eval"], ["click", "fill", "snapshot"], default) for default in ("deny", "allow")]
+    return table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, verdict[0]).otherwise(verdict[1]).alias("verdict"))
 
 
-@query("SELECT n_nationkey, n_nationkey % 3 <> 2 AS recoverable FROM nation")
+@query("SELECT p_partkey, [true, false, true, true, false, true, false, true, true, false][p_partkey % 10 + 1] AS recoverable FROM part")
 def j21_recoverable(spark: SparkSession, d: str) -> DataFrame:
-    e = F.element_at(F.array(*[F.lit(x) for x in ("Timeout 30000ms exceeded", "Element not visible", "Syntax error")]), F.col("n_nationkey") % 3 + 1)
-    return table(spark, d, "nation").select("n_nationkey", J.recoverable(e).alias("recoverable"))
+    errors = (
+        "Timeout 30000ms exceeded", "TIMEOUT", "page.click: Target closed", "Execution context was destroyed, most likely because of a navigation", "Element not found", "frame was detached", "strict mode violation",
+        "Navigation failed because page crashed", "the element is detached from the document", None,
+    )
+    e = F.concat(F.element_at(F.array(*[F.lit(x) for x in errors]), (F.col("p_partkey") % 10 + 1).cast("int")), F.lit(" "), F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", J.recoverable(e).alias("recoverable"))
 
 
 @query("SELECT o_custkey, count(*) AS files, CAST(sum(o_orderkey) AS BIGINT) AS bytes, count(*) FILTER (o_orderstatus = 'F') AS failed FROM orders GROUP BY o_custkey")

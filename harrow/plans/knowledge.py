@@ -18,17 +18,20 @@ def outcomes(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("h"), (F.col("user_id") % 60).cast("string"), F.lit(".example.com")).alias("domain"), "ts", "event_id", (F.col("event_id") % 7 != 0).alias("success"),
         F.floor(F.col("value") * 10).cast("double").alias("response_ms"), F.when(F.col("event_id") % 41 == 0, 429).otherwise(200).alias("http_status"),
         F.when(F.col("event_id") % 29 == 0, F.col("event_type")).alias("antibot_system"), F.when(F.col("event_id") % 37 == 0, "hcaptcha").alias("captcha_type"), (F.col("event_id") % 3 + 1).cast("int").alias("level"),
+        ((F.col("event_id") % 7 == 0) & (F.col("event_id") % 2 == 0)).alias("blocked"), (F.col("event_id") % 11 == 0).alias("proxy_used"),
     )
 
 
 O = """SELECT 'h' || (user_id % 60) || '.example.com' AS domain, ts, event_id, event_id % 7 <> 0 AS success, CAST(floor(value * 10) AS DOUBLE) AS response_ms,
 CASE WHEN event_id % 41 = 0 THEN 429 ELSE 200 END AS http_status, CASE WHEN event_id % 29 = 0 THEN event_type END AS antibot_system,
-CASE WHEN event_id % 37 = 0 THEN 'hcaptcha' END AS captcha_type, CAST(event_id % 3 + 1 AS INT) AS level FROM events"""
+CASE WHEN event_id % 37 = 0 THEN 'hcaptcha' END AS captcha_type, CAST(event_id % 3 + 1 AS INT) AS level, event_id % 14 = 0 AS blocked, event_id % 11 = 0 AS proxy_used FROM events"""
 STATE = f"""SELECT domain, count(*) FILTER (success) AS success_count, count(*) FILTER (NOT success) AS fail_count,
 list_reduce(list(response_ms ORDER BY ts, event_id), lambda acc, x: CASE WHEN acc = 0 THEN floor(x + 0.5) ELSE floor(acc * (1 - 0.3) + x * 0.3 + 0.5) END) AS avg_response_time_ms,
 CAST(list_reduce(list_concat([CASE WHEN first(http_status ORDER BY ts, event_id) = 429 THEN 30 ELSE 60 END], list(CASE WHEN http_status = 429 THEN 1 ELSE 0 END ORDER BY ts, event_id)[2:]),
  lambda acc, x: CASE WHEN x = 1 THEN greatest(10, CAST(floor(acc * 0.7) AS INT)) ELSE acc END) AS INT) AS safe_rate_limit,
-arg_max(antibot_system, (ts, event_id)) FILTER (antibot_system IS NOT NULL) AS antibot_system, arg_max(captcha_type, (ts, event_id)) FILTER (captcha_type IS NOT NULL) AS captcha_type, max(ts) AS last_updated FROM ({O}) GROUP BY domain"""
+arg_max(antibot_system, (ts, event_id)) FILTER (antibot_system IS NOT NULL) AS antibot_system, arg_max(captcha_type, (ts, event_id)) FILTER (captcha_type IS NOT NULL) AS captcha_type, max(ts) AS last_updated,
+first(proxy_used AND success ORDER BY ts, event_id) OR coalesce(bool_or(blocked AND NOT proxy_used AND before < 0), false) AS needs_proxy
+FROM (SELECT *, sum(CASE WHEN success THEN 1 ELSE -1 END) OVER (PARTITION BY domain ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ({O})) GROUP BY domain"""
 BEST = f"SELECT domain, arg_max(level, (rate, -level)) AS level, max(rate) AS rate FROM (SELECT domain, level, count(*) FILTER (success) / count(*) AS rate FROM ({O}) GROUP BY domain, level) GROUP BY domain"
 
 
@@ -47,7 +50,7 @@ def a03_decay(spark: SparkSession, d: str) -> DataFrame:
     return outcomes(spark, d).groupBy("domain").agg(F.max("ts").alias("last")).select("domain", K.decay(F.col("last"), F.expr(NOW)).alias("weight"))
 
 
-PREDICT = f"""SELECT domain, start_level, CASE WHEN total < 1 THEN 0.0 ELSE floor(c * 100 + 0.5) / 100 END AS confidence, total >= 1 AND bad > good AS proxy, CASE WHEN total < 1 THEN 0.0 ELSE avg_response_time_ms END AS expected_ms,
+PREDICT = f"""SELECT domain, start_level, CASE WHEN total < 1 THEN 0.0 ELSE floor(c * 100 + 0.5) / 100 END AS confidence, total >= 1 AND (needs_proxy OR bad > good) AS proxy, CASE WHEN total < 1 THEN 0.0 ELSE avg_response_time_ms END AS expected_ms,
 CASE WHEN total < 1 THEN 'no data' ELSE CASE WHEN antibot_system IS NULL THEN '' ELSE antibot_system || ', ' END || 'L' || level || ', ' || CAST(floor(r * 100 + 0.5) AS BIGINT) || '% success' END AS reason
 FROM (SELECT *, CASE WHEN total < 1 THEN 1 ELSE level END AS start_level, CASE WHEN good >= 3 AND r >= 0.8 THEN least(0.5 + r * 0.5, 1.0) WHEN total >= 3 THEN 0.3 + r * 0.3 ELSE 0.1 + total / 3 * 0.2 END AS c
 FROM (SELECT *, good + bad AS total, good / (good + bad) AS r FROM (SELECT s.*, b.level, success_count * w AS good, fail_count * w AS bad FROM
@@ -56,7 +59,7 @@ FROM (SELECT *, good + bad AS total, good / (good + bad) AS r FROM (SELECT s.*,
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     o = outcomes(spark, d)
-    known = K.fold(o, "domain", ["ts", "event_id"]).join(K.best_level(K.level_stats(o, "domain"), "domain"), "domain").withColumn("needs_proxy", F.lit(False))
+    known = K.fold(o, "domain", ["ts", "event_id"]).join(K.best_level(K.level_stats(o, "domain"), "domain"), "domain")
     return K.predict(known, F.expr(NOW))
 
 
@@ -100,9 +103,9 @@ def a08_report(spark: SparkSession, d: str) -> DataFrame:
 BREAK = """SELECT user_id, event_id, epoch(ts) AS t, event_id % 4 = 0 AS good FROM events"""
 FSM = f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM ({BREAK})),
 r AS (SELECT user_id, CAST(0 AS BIGINT) AS k, 'closed' AS state, 0 AS bad, 0 AS probes, CAST(0 AS DOUBLE) AS since, 0 AS opened FROM (SELECT DISTINCT user_id FROM e)
-UNION ALL SELECT user_id, k, CASE WHEN trips THEN 'open' WHEN heals THEN 'closed' ELSE st END, CASE WHEN good THEN CASE WHEN st = 'closed' OR heals THEN 0 ELSE bad END ELSE bad + 1 END,
-CASE WHEN good AND st = 'half-open' THEN tried + 1 WHEN trips THEN 0 ELSE tried END, CASE WHEN trips THEN t ELSE since END, opened + CASE WHEN trips THEN 1 ELSE 0 END
-FROM (SELECT *, NOT good AND (st = 'half-open' OR (st = 'closed' AND bad + 1 >= 5)) AS trips, good AND st = 'half-open' AND tried + 1 >= 3 AS heals
+UNION ALL SELECT user_id, k, CASE WHEN trips THEN 'open' WHEN heals THEN 'closed' ELSE st END, CASE WHEN good THEN CASE WHEN st <> 'half-open' OR heals THEN 0 ELSE bad END WHEN st = 'half-open' THEN 5 ELSE bad + 1 END,
+CASE WHEN good AND st = 'half-open' THEN tried + 1 WHEN trips THEN 0 ELSE tried END, CASE WHEN trips THEN t ELSE since END, opened + CASE WHEN trips AND st <> 'open' THEN 1 ELSE 0 END
+FROM (SELECT *, NOT good AND (st = 'half-open' OR bad + 1 >= 5) AS trips, good AND st = 'half-open' AND tried + 1 >= 3 AS heals
 FROM (SELECT *, CASE WHEN state = 'open' AND st = 'half-open' THEN 0 ELSE probes END AS tried
 FROM (SELECT r.user_id, e.k, r.state, r.bad, r.probes, r.since, r.opened, e.t, e.good, CASE WHEN r.state = 'open' AND e.t - r.since >= 60 THEN 'half-open' ELSE r.state END AS st FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))))"""
 
@@ -140,9 +143,9 @@ def a13_backoff_bounds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", lo.alias("least"), hi.alias("most"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 4 >= 2 THEN 3 WHEN event_id % 4 = 1 THEN 2 ELSE 1 END AS level FROM events")
+@query("SELECT event_id, CAST(CASE WHEN event_id % 5 = 0 OR event_id % 4 >= 2 THEN 3 WHEN event_id % 4 = 1 THEN [2, 2, 3, 3][event_id % 7 % 4 + 1] ELSE [1, 1, 2, 3][event_id % 7 % 4 + 1] END AS INT) AS level FROM events")
 def a14_retry_level(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", K.retry_level(F.col("event_id") % 4, F.when(F.col("event_id") % 5 == 0, "x")).alias("level"))
+    return table(spark, d, "events").select("event_id", K.retry_level(F.col("event_id") % 4, F.when(F.col("event_id") % 5 == 0, "x"), (F.col("event_id") % 7 % 4).cast("int")).alias("level"))
 
 
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, epoch(max(ts) OVER ()) - epoch(ts) AS age FROM events) WHERE r <= 3 AND age <= 86400 * 10")

@@ -145,9 +145,9 @@ def h24_body_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.length(t).cast("long").alias("n"), F.md5(t).alias("text_md5"))
 
 
-@query(f"SELECT page_id, md5(substr(regexp_replace(regexp_replace(regexp_replace(substr(html, 1, 3000), '{X.TAG}', ' ', 'g'), '\\s+', ' ', 'g'), {TRIM}, '', 'g'), 1, 1000)) AS text_md5 FROM pages")
+@query(f"SELECT page_id, md5(substr(regexp_replace(regexp_replace(regexp_replace(substr(html, 1, 500000), '{X.TAG}', ' ', 'g'), '\\s+', ' ', 'g'), {TRIM}, '', 'g'), 1, 120000)) AS text_md5 FROM pages")
 def h25_crude_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.md5(X.crude(F.col("html"), 3000, 1000)).alias("text_md5"))
+    return table(spark, d, "pages").select("page_id", F.md5(X.crude(F.col("html"))).alias("text_md5"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || '...' ELSE text END AS text FROM documents")

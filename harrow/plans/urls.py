@@ -106,13 +106,13 @@ def u13_profile_handles(spark: SparkSession, d: str) -> DataFrame:
     return urls.select(U.profile_handle(F.col("url")).alias("handle")).where("handle is not null").distinct()
 
 
-@query("SELECT doc_id, CASE WHEN s = '' THEN 'topic' ELSE s END AS slug, h AS hash FROM (SELECT doc_id, substr(regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40) AS s, substr(sha1(text), 1, 16) AS h FROM documents)")
+@query("SELECT doc_id, CASE WHEN s = '' THEN 'topic' ELSE s END AS slug, h AS hash FROM (SELECT doc_id, substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40) AS s, substr(sha1(text), 1, 16) AS h FROM documents)")
 def u14_slug_and_hash(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", U.slug(F.substring("text", 1, 60)).alias("slug"), U.url_hash(F.col("text")).alias("hash"))
+    return table(spark, d, "documents").select("doc_id", U.slug(F.col("text")).alias("slug"), U.url_hash(F.col("text")).alias("hash"))
 
 
-@query("""SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 300), '[^a-zA-Z0-9._-]', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g'), 1, 200) AS file_name,
+@query("""SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(text, '[^a-zA-Z0-9._-]', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g'), 1, 200) AS file_name,
 CASE WHEN n < 1024 THEN n || 'B' WHEN n < 1048576 THEN printf('%.1fKB', n / 1024) WHEN n < 1073741824 THEN printf('%.1fMB', n / 1048576) ELSE printf('%.1fGB', n / 1073741824) END AS size
 FROM (SELECT doc_id, text, n_chars * 7 AS n FROM documents)""")
 def k13_file_names(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", U.file_name(F.substring("text", 1, 300)).alias("file_name"), U.file_size(F.col("n_chars") * 7).alias("size"))
+    return table(spark, d, "documents").select("doc_id", U.file_name(F.col("text")).alias("file_name"), U.file_size(F.col("n_chars") * 7).alias("size"))

@@ -73,3 +73,11 @@ def test_any_markup_is_read(text):
     parse(text)
     read.to_markdown(text)
     read.patterns(text)
+
+
+def test_deep_pages():
+    from harrow.markup import read
+
+    page = "<div>" * 5000 + "<p>deep <b>text</b></p>" + "</div>" * 5000 + "<p>after</p>"
+    assert read.to_markdown(page).split("\n\n") == ["deep text", "after"]
+    assert "x" in read.to_markdown("<ul><li>" * 3000 + "x") and "x" in read.to_markdown("<b><i>" * 3000 + "x")
