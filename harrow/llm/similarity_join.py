@@ -347,7 +347,7 @@ def crowded_buckets(entries: DataFrame, split: int) -> np.ndarray:
 
 
 def matrix_entries(entries: DataFrame, bits: np.ndarray, percent: int) -> DataFrame:
-    """(token, cid, n, g, size, b, reach) of the prefix shingles in crowded buckets.
+    """(token, cid, n, g, size, reach) of the prefix shingles in crowded buckets.
 
     ``reach``: what stands at a shingle's place or later must hold the whole overlap, so a set of ``m`` shingles can be
     similar by this first common shingle only where reach >= percent * m, on either side.
@@ -364,26 +364,32 @@ def matrix_entries(entries: DataFrame, bits: np.ndarray, percent: int) -> DataFr
             on = np.flatnonzero((given.value[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1)
             row = np.repeat(np.arange(len(lengths)), lengths)[on]
             place = on - (offs[:-1] - offs[0])[row]
-            own = [batch.column(k).take(pa.array(row)) for k in range(1, 6)]
+            own = [batch.column(k).take(pa.array(row)) for k in range(1, 5)]
             reach = 100 * own[1].to_numpy(zero_copy_only=False) - (100 + percent) * place
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[on]), *own, pa.array(reach.astype(np.int64))], names=["token", "cid", "n", "g", "size", "b", "reach"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[on]), *own, pa.array(reach.astype(np.int64))], names=["token", "cid", "n", "g", "size", "reach"])
 
-    return entries.select("prefix", "cid", "n", "g", "size", "b").mapInArrow(A.tidied(run), "token long, cid long, n long, g long, size long, b long, reach long")
+    return entries.select("prefix", "cid", "n", "g", "size").mapInArrow(A.tidied(run), "token long, cid long, n long, g long, size long, reach long")
+
+
+def block_of() -> F.Column:
+    """A class's block of its group, from cid and size."""
+    return F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / BLOCK_SIZE))
 
 
 def matrix_links(entries: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, split: int) -> DataFrame:
     """Links (u, v, w) between classes of different groups, by the token-group matrix.
 
-    ``entries``: cid, n, prefix, g, size, b (a class may have several rows); ``classes``: cid, id, copies, g, b, one row each.
+    ``entries``: cid, n, prefix, g, size (a class may have several rows); ``classes``: cid, id, copies, g, size, one row each.
+    What is entered is shuffled once, by token: the matrix and its queries are made from the same rows.
     """
-    shared = matrix_entries(entries, crowded_buckets(entries, split), percent)
-    matrix = shared.groupBy("token", "g", "size", "b").agg(F.min("n").alias("least"), F.max("reach").alias("most"))
+    shared = matrix_entries(entries, crowded_buckets(entries, split), percent).repartition("token")
+    matrix = shared.groupBy("token", "g", "size", block_of().alias("b")).agg(F.min("n").alias("least"), F.max("reach").alias("most"))
     q, m = shared.select("token", "cid", "n", "g", "size", "reach").alias("q"), matrix.alias("m")
     within = f"q.g <> m.g and (m.size > q.size or (m.size = q.size and m.g > q.g)) and q.reach >= {percent} * m.least and m.most >= {percent} * q.n"
     queries = q.join(m, F.col("q.token") == F.col("m.token")).where(within).select(F.col("m.g").alias("g"), F.col("m.b").alias("b"), F.col("q.cid").alias("cid"))
     queries = durable(queries.distinct())
     asked = queries.join(classes.select("cid", "id", "copies"), "cid").select("g", "b", "cid", "id", "copies")
-    members = classes.select("g", "b", "cid", "id", "copies").join(queries.select("g", "b").distinct(), ["g", "b"], "left_semi")
+    members = classes.select("g", block_of().alias("b"), "cid", "id", "copies").join(queries.select("g", "b").distinct(), ["g", "b"], "left_semi")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return open_groups(asked, members, texts, size, percent)
 
@@ -535,10 +541,7 @@ def similarity_components(docs: DataFrame, size: int = SHINGLE, percent: int = P
     groups = durable(groups.join(sizes, "root").select(F.col("node").alias("cid"), "root", "size"))
     if groups.count() <= BROADCAST_ROWS:
         groups = F.broadcast(groups)
-    grouped = [
-        F.coalesce("root", "cid").alias("g"), F.coalesce("size", F.lit(1)).alias("size"),
-        F.pmod(F.xxhash64("cid"), F.ceil(F.coalesce("size", F.lit(1)) / BLOCK_SIZE)).alias("b"),
-    ]
+    grouped = [F.coalesce("root", "cid").alias("g"), F.coalesce("size", F.lit(1)).alias("size")]
     entries = base.where(F.col("prefix").isNotNull() & F.col("id").isNotNull()).join(groups, "cid", "left").select("cid", "n", "prefix", *grouped)
     placed = classes.join(groups, "cid", "left").select("cid", "id", "copies", "heavy", *grouped)
     entered = (classes.agg(F.sum("n")).first()[0] or 0) * (100 - percent) // 100
