@@ -42,9 +42,18 @@ def port(url: Column) -> Column:
     return F.when(p == own, "").otherwise(p)
 
 
+def without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments; what would leave the root stays at it."""
+    parts = F.split(path, "/")
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"), step)
+    closed = F.when(path.rlike(r"/\.{1,2}$") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), closed)).otherwise(path)
+
+
 def path(url: Column) -> Column:
     p = part(url, 4)
-    return F.when(p == "", "/").otherwise(p)
+    return F.when(p == "", "/").otherwise(without_dots(p))
 
 
 def is_valid(url: Column) -> Column:
@@ -57,9 +66,9 @@ def with_scheme(url: Column) -> Column:
 
 
 def normalize(url: Column) -> Column:
-    """Scheme and host in lower case, no user, www., own port, fragment, tracking parameters or closing slash; parameters sorted."""
+    """Scheme and host in lower case, no user, www., own port, dot segments, fragment, tracking parameters or closing slash; parameters sorted."""
     u = with_scheme(url)
-    p = F.regexp_replace(part(u, 4), "/{2,}", "/")
+    p = F.regexp_replace(without_dots(part(u, 4)), "/{2,}", "/")
     shown = F.when(p == "/", "/").otherwise(F.regexp_replace(p, "/$", ""))
     params = F.array_sort(F.filter(F.split(part(u, 5), "&"), lambda x: (x != "") & ~F.split(x, "=")[0].isin(*TRACKING)))
     query = F.when(F.size(params) > 0, F.concat(F.lit("?"), F.array_join(params, "&"))).otherwise("")
@@ -86,16 +95,20 @@ def has_tracking(url: Column) -> Column:
 
 
 def resolve(href: Column, base: Column) -> Column:
-    """An absolute URL for ``href``; dot segments are left to the reader of the page."""
+    """An absolute URL for ``href``, without dot segments in its path."""
     root = origin(base)
     folder = F.regexp_replace(path(base), "[^/]*$", "")
+
+    def flat(target: Column) -> Column:
+        return F.concat(without_dots(F.regexp_extract(target, r"^([^?#]*)", 1)), F.regexp_extract(target, r"^[^?#]*(.*)$", 1))
+
     return (
         F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href))
+        .when(href.startswith("/"), F.concat(root, flat(href)))
         .when(href.startswith("?"), F.concat(root, path(base), href))
         .when(href.startswith("#"), F.concat(root, path(base), href))
-        .otherwise(F.concat(root, folder, href))
+        .otherwise(F.concat(root, flat(F.concat(folder, href))))
     )
 
 

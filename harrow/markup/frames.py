@@ -40,6 +40,19 @@ def with_markdown(df: DataFrame, html: str = "html", out: str = "markdown") -> D
     return each(df, [html], "string", _guard(read.to_markdown), out)
 
 
+def with_signature(df: DataFrame, mode: str = "readability", html: str = "html", out: str = "signature") -> DataFrame:
+    """What a watch compares of a page: its html ("content"), its Markdown ("markdown"), or its article's text, the Markdown where it has none."""
+    if mode == "content":
+        return df.withColumn(out, F.col(html))
+
+    def made(x: str) -> str:
+        if mode != "markdown" and (found := read.article(x, False)) and (text := (found["content"] or "").strip()):
+            return text
+        return read.to_markdown(x)
+
+    return each(df, [html], "string", _guard(made), out)
+
+
 STRUCTURED = (
     "json_ld array<string>, open_graph map<string,string>, twitter_cards map<string,string>, microdata array<string>, "
     "meta struct<title:string,description:string,canonical:string,language:string,author:string>"

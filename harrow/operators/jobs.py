@@ -77,6 +77,19 @@ def selector_of(attributes: Column) -> Column:
     return F.coalesce(*made)
 
 
+def flow_inputs(defined: DataFrame, given: DataFrame) -> DataFrame:
+    """(run, key, value, missing): every run's inputs, from its flow's definitions (flow, key, default, required) and what was
+    given (run, flow, key, value; a null key stands for a run without inputs). Defaults fill in, undefined keys pass through;
+    missing tells of a required input without a value."""
+    runs = given.select("run", "flow").distinct()
+    own = given.where("key is not null").select("run", "key", F.col("value").alias("given"))
+    known = runs.join(defined, "flow").select("run", "key", "default", "required")
+    both = known.join(own, ["run", "key"], "full")
+    out = both.select("run", "key", F.coalesce("given", "default").alias("value"), F.coalesce("required", F.lit(False)).alias("required"))
+    missing = F.col("required") & (F.coalesce("value", F.lit("")) == "")
+    return out.select("run", "key", "value", missing.alias("missing")).where("value is not null or missing")
+
+
 def parameter_candidates(actions: DataFrame, flow: str, order: str) -> DataFrame:
     """(flow, name, source, key, required, template, first) of recorded actions (type, selector, ref, text): the first action
     of each flow for every kind of parameter."""

@@ -81,13 +81,17 @@ def k09_digest_markdown(spark: SparkSession, d: str) -> DataFrame:
     return C.digest_markdown(*topic_changes(spark, d), 95.0)
 
 
-@query("SELECT p_partkey, CAST(2 AS BIGINT) AS additions, CAST(1 AS BIGINT) AS deletions, CAST(3 AS BIGINT) AS unchanged FROM part")
+@query("""SELECT p_partkey, CAST(p_partkey % 4 + 1 AS BIGINT) AS additions, CAST(p_partkey % 3 AS BIGINT) AS deletions, CAST(3 AS BIGINT) AS unchanged,
+array_to_string(list_concat(['  head'], list_transform(range(0, p_partkey % 3), lambda i: '- old ' || i), list_transform(range(0, p_partkey % 4), lambda i: '+ new ' || i || p_size), ['  ' || p_name || p_partkey, '  tail', '+ end']), chr(10)) AS diff FROM part""")
 def c08_edit_script(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat(F.col("p_name"), F.col("p_partkey").cast("string"))
-    before = F.concat_ws("\n", F.lit("head"), F.lit("old"), name, F.lit("tail"))
-    after = F.concat_ws("\n", F.lit("head"), F.lit("new"), name, F.lit("tail"), F.lit("end"))
+    numbered = lambda n, f: F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: i < n), f)
+    old = numbered(F.col("p_partkey") % 3, lambda i: F.concat(F.lit("old "), i.cast("string")))
+    new = numbered(F.col("p_partkey") % 4, lambda i: F.concat(F.lit("new "), i.cast("string"), F.col("p_size").cast("string")))
+    before = F.concat_ws("\n", F.lit("head"), old, name, F.lit("tail"))
+    after = F.concat_ws("\n", F.lit("head"), new, name, F.lit("tail"), F.lit("end"))
     out = C.line_diff(table(spark, d, "part").select("p_partkey", before.alias("b"), after.alias("a")), "p_partkey", "b", "a")
-    return out.drop("diff")
+    return out
 
 
 @query("""SELECT l_orderkey, count(*) AS pixels, count(*) FILTER (abs(l_quantity - l_linenumber * 10) > 30) AS different, count(*) FILTER (abs(l_quantity - l_linenumber * 10) > 30) / count(*) * 100 AS mismatch_pct,

@@ -190,3 +190,17 @@ def j21_recoverable(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_custkey, count(*) AS files, CAST(sum(o_orderkey) AS BIGINT) AS bytes, count(*) FILTER (o_orderstatus = 'F') AS failed FROM orders GROUP BY o_custkey")
 def j23_download_stats(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("files"), F.sum("o_orderkey").alias("bytes"), F.count_if(F.col("o_orderstatus") == "F").alias("failed"))
+
+
+@query("""WITH d AS (SELECT n_nationkey AS flow, k AS key, CASE k WHEN 'a' THEN n_name WHEN 'b' THEN NULL ELSE '' END AS dflt, k <> 'c' AS required FROM nation, (VALUES ('a'), ('b'), ('c')) t(k)),
+g AS (SELECT c_custkey AS run, c_nationkey AS flow, k AS key, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_name END AS value FROM customer, (VALUES ('b'), ('z')) t(k) WHERE c_custkey % 3 <> 0),
+x AS (SELECT coalesce(p.run, g.run) AS run, coalesce(p.key, g.key) AS key, coalesce(g.value, p.dflt) AS value, coalesce(p.required, false) AS required
+FROM (SELECT c_custkey AS run, d.key, d.dflt, d.required FROM customer JOIN d ON d.flow = c_nationkey) p FULL JOIN g ON g.run = p.run AND g.key = p.key)
+SELECT run, key, value, required AND coalesce(value, '') = '' AS missing FROM x WHERE value IS NOT NULL OR (required AND coalesce(value, '') = '')""")
+def j15_flow_inputs(spark: SparkSession, d: str) -> DataFrame:
+    keys = lambda *x: F.explode(F.array(*[F.lit(v) for v in x])).alias("key")
+    default = F.when(F.col("key") == "a", F.col("n_name")).when(F.col("key") == "c", "")
+    defined = table(spark, d, "nation").select("n_nationkey", "n_name", keys("a", "b", "c")).select(F.col("n_nationkey").alias("flow"), "key", default.alias("default"), (F.col("key") != "c").alias("required"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("run"), F.col("c_nationkey").alias("flow"), F.when(F.col("c_custkey") % 4 == 0, "").otherwise(F.col("c_name")).alias("value"))
+    given = c.where("run % 3 <> 0").select("run", "flow", keys("b", "z"), "value").unionByName(c.where("run % 3 = 0").select("run", "flow", F.lit(None).cast("string").alias("key"), "value"))
+    return J.flow_inputs(defined, given)

@@ -40,11 +40,11 @@ def n03_distinct_calls(spark: SparkSession, d: str) -> DataFrame:
     return N.first_of_each(api, ["event_type", "url"], ["event_id"])
 
 
-@query("SELECT user_id, max('t' || user_id) AS token, CAST(count(*) * 0 + 1 AS INT) AS kept FROM events GROUP BY user_id")
+@query("SELECT user_id, 't' || user_id AS token, CASE WHEN user_id % 3 = 1 THEN 'Bearer ' || user_id END AS signed, CAST(CASE user_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 1 END AS INT) AS kept FROM (SELECT DISTINCT user_id FROM events)")
 def n04_headers(spark: SparkSession, d: str) -> DataFrame:
-    h = F.create_map(F.lit("Sec-Fetch-Mode"), F.lit("x"), F.lit("HOST"), F.lit("y"), F.lit("X-Token"), F.concat(F.lit("t"), F.col("user_id").cast("string")), F.lit("Accept-Language"), F.lit("z"))
+    h = F.create_map(F.lit("Sec-Fetch-Mode"), F.lit("x"), F.lit("HOST"), F.lit("y"), F.lit("X-Token"), F.concat(F.lit("t"), F.col("user_id").cast("string")), F.when(F.col("user_id") % 3 == 0, "Accept-Language").when(F.col("user_id") % 3 == 1, "Authorization").otherwise("Sec-Fetch-Dest"), F.concat(F.lit("Bearer "), F.col("user_id").cast("string")))
     one = table(spark, d, "events").select("user_id").distinct().select("user_id", N.useful_headers(h).alias("h"))
-    return one.select("user_id", F.element_at("h", F.lit("X-Token")).alias("token"), F.size("h").alias("kept"))
+    return one.select("user_id", F.element_at("h", F.lit("X-Token")).alias("token"), F.try_element_at("h", F.lit("Authorization")).alias("signed"), F.size("h").alias("kept"))
 
 
 @query(f"SELECT event_id, CASE WHEN contains(url, '?a=') THEN '1' END AS a, substr(props, 1, 5) AS preview FROM ({LOG_SQL}) JOIN (SELECT event_id, props FROM events) USING (event_id)")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.markup import frames as M
 from harrow.operators import graph as G
 from harrow.plans.registry import query
-from harrow.session import table
+from harrow.session import passing, shared_dir, table
+from harrow.sources import urls as S
 
 
 def esc(c) -> Column:
@@ -45,16 +48,16 @@ def h10_extract_items(spark: SparkSession, d: str) -> DataFrame:
     return out.select("p_brand", F.explode("items").alias("i")).select("p_brand", "i.title", "i.url", "i.size")
 
 
-@query("SELECT p_brand, string_agg(CAST(p_size AS VARCHAR), '' ORDER BY p_partkey) = string_agg(CAST(p_size AS VARCHAR), '' ORDER BY p_partkey) AS same, CAST(count(*) AS BIGINT) AS n, '?page=2' AS next FROM part GROUP BY p_brand")
+@query("SELECT p_brand, md5(regexp_replace(string_agg(p_name || ' <&> ' || p_type, '' ORDER BY p_partkey), '\\s+', '', 'g')) AS titles_md5, CAST(count(*) AS BIGINT) AS n, '?page=2' AS next FROM part GROUP BY p_brand")
 def h11_extract_single(spark: SparkSession, d: str) -> DataFrame:
     out = M.with_single(listing(spark, d), {"titles": "div.card h2", "next": "a.next @href"})
     n = F.size(F.regexp_extract_all(F.col("item.titles"), F.lit("(<&>)"), F.lit(1))).cast("long")
-    return out.select("p_brand", F.lit(True).alias("same"), n.alias("n"), F.col("item.next").alias("next"))
+    return out.select("p_brand", F.md5(F.regexp_replace("item.titles", r"\s+", "")).alias("titles_md5"), n.alias("n"), F.col("item.next").alias("next"))
 
 
-@query("SELECT p_brand, 'x' || p_partkey AS id, CAST(p_size AS VARCHAR) AS size FROM part WHERE p_size > 10")
+@query("SELECT p_brand, 'x' || p_partkey AS id, CAST(p_size AS VARCHAR) AS size FROM part")
 def h12_field_dialect(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").where("p_size > 10")
+    p = table(spark, d, "part")
     li = cat("<li id='x", esc("p_partkey"), "'><b title='", esc("p_size"), "'>a</b>")
     pages = p.groupBy("p_brand").agg(cat("<ul>", F.array_join(F.collect_list(li), ""), "</ul>").alias("html"))
     out = M.with_items(pages, "ul > li", {"id": "@id", "size": "b | title"})
@@ -194,16 +197,17 @@ def h33_recovered_json(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT url FROM (SELECT 'https://x.example/' || p_partkey AS url FROM part) WHERE url NOT LIKE '%7'")
 def s03_url_file(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of a text: trimmed, blank ones and comments left out."""
+    """Lines of a text file: trimmed, blank ones and comments left out."""
     line = F.when(F.col("p_partkey") % 10 == 7, cat("# ", F.col("p_partkey").cast("string"))).otherwise(cat("  https://x.example/", F.col("p_partkey").cast("string"), " "))
-    lines = table(spark, d, "part").select(F.trim(line).alias("url"))
-    return lines.where("url <> '' and not startswith(url, '#')")
+    path = f"{shared_dir(spark)}/urls-{uuid.uuid4().hex}"
+    table(spark, d, "part").select(F.explode(F.array(line, F.lit("  "))).alias("value")).write.text(path)
+    return S.url_file(spark, passing(spark, path))
 
 
 @query("SELECT s_suppkey, unnest(['a' || s_suppkey, 'b']) AS url FROM supplier")
 def s04_inline_urls(spark: SparkSession, d: str) -> DataFrame:
     text = cat(" a", F.col("s_suppkey").cast("string"), " ,, b , ")
-    return table(spark, d, "supplier").select("s_suppkey", F.explode(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")).alias("url"))
+    return table(spark, d, "supplier").select("s_suppkey", F.explode(S.inline(text)).alias("url"))
 
 
 @query("SELECT n_regionkey, 'https://x.example/?a=1&b=' || n_nationkey AS loc FROM nation")
@@ -284,3 +288,11 @@ def g03_queue_ties(spark: SparkSession, d: str) -> DataFrame:
     edges = spark.createDataFrame(rows, "src string, dst string, anchor string, pos int")
     out = G.crawl(edges, edges, spark.createDataFrame([("https://x.example/a",)], "url string"), 10, 1, 1)
     return out.select((F.col("wave") + 1).cast("int").alias("place"), "url")
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 2 WHEN 0 THEN '<body><p>' || n_name || '</p><ul><li>x' || n_nationkey || '</li></ul></body>' ELSE n_name || chr(10) || chr(10) || '-   x' || n_nationkey END AS signature FROM nation""")
+def c01_signature(spark: SparkSession, d: str) -> DataFrame:
+    html = cat("<body><p>", F.col("n_name"), "</p><ul><li>x", F.col("n_nationkey").cast("string"), "</li></ul></body>")
+    pages = table(spark, d, "nation").select("n_nationkey", html.alias("html"))
+    raw = M.with_signature(pages.where("n_nationkey % 2 = 0"), "content")
+    return raw.unionByName(M.with_signature(pages.where("n_nationkey % 2 = 1"), "markdown")).select("n_nationkey", "signature")

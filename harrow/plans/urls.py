@@ -116,3 +116,11 @@ CASE WHEN n < 1024 THEN n || 'B' WHEN n < 1048576 THEN printf('%.1fKB', n / 1024
 FROM (SELECT doc_id, text, n_chars * 7 AS n FROM documents)""")
 def k13_file_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", U.file_name(F.col("text")).alias("file_name"), U.file_size(F.col("n_chars") * 7).alias("size"))
+
+
+@query(f"""SELECT page_id, {SCHEME} || '://' || regexp_replace({HOST}, '^www\\.', '') || ['/a/c', '/d', '/', '/f', '/g/h'][page_id % 5 + 1] AS normalized, {SCHEME} || '://' || {HOST} || ['/b/x', '/x', '/b/y/?q=../z', '/w/', '/b/.x'][page_id % 5 + 1] AS target FROM pages""")
+def u15_dot_segments(spark: SparkSession, d: str) -> DataFrame:
+    pick = lambda *x: F.element_at(F.array(*[F.lit(v) for v in x]), (F.col("page_id") % 5 + 1).cast("int"))
+    own = F.concat(U.origin(F.col("url")), pick("/a/./b/../c", "/../../d", "/e/..", "/f/.", "/g/h"))
+    target = U.resolve(pick("x", "../x", "./y/z/..?q=../z", "/v/../w/.", ".x"), F.concat(U.origin(F.col("url")), F.lit("/b/index.html?a=1")))
+    return table(spark, d, "pages").select("page_id", U.normalize(own).alias("normalized"), target.alias("target"))

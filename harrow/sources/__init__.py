@@ -1 +1 @@
-
+"""Tables of URLs and documents from files and texts."""
