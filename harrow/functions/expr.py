@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PLACEHOLDER = r"\{\{(env|input|computed):([\w.]+)\}\}"
+PLACEHOLDER = r"\{\{(env|input|computed):([^}]+)\}\}"
 
 
 def json_path(path: str) -> str:
@@ -116,10 +116,34 @@ def interpolate(text: str, variables: Column) -> Column:
     return F.concat(*parts, F.lit(text[at:]))
 
 
-def template(text: Column, values: Column) -> Column:
-    """``{{input:name}}`` and the like replaced from a map; what the map lacks stays as it is."""
-    whole, name = F.regexp_extract_all(text, F.lit(r"(\{\{(?:input|computed):[\w.]+\}\})"), F.lit(1)), lambda x: F.regexp_extract(x, PLACEHOLDER, 2)
-    return F.aggregate(F.array_distinct(whole), text, lambda acc, x: F.coalesce(F.replace(acc, x, F.try_element_at(values, name(x))), acc))
+def computed_values(at: Column) -> Column:
+    """The values that templates may compute, by name, at a time ``at`` (a timestamp, read in UTC)."""
+    utc = F.to_utc_timestamp(at, F.current_timezone())
+    day = lambda n: F.date_format(F.date_sub(utc.cast("date"), n), "yyyy-MM-dd")
+    # The names.
+    made = {
+        "date_today": day(0), "date_yesterday": day(1), "date_7_days_ago": day(7), "date_30_days_ago": day(30), "timestamp": F.unix_millis(at).cast("string"),
+        "timestamp_iso": F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "random_string": F.lower(F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 8)),
+        "year": F.date_format(utc, "yyyy"), "month": F.date_format(utc, "MM"), "day": F.date_format(utc, "dd"),
+    }
+    return F.create_map(*[x for k, v in made.items() for x in (F.lit(k), v)])
+
+
+def template(text: Column, values: Column, defaults: Column | None = None, computed: Column | None = None) -> Column:
+    """``{{input:name}}`` replaced from a map, or from one of defaults; ``{{computed:name}}`` from a map of computed values.
+
+    What the maps lack stays as it is, and so does ``{{env:name}}``: an engine's environment is not its data's to read.
+    """
+    none = F.create_map().cast("map<string,string>")
+    known = F.struct(values.alias("input"), (none if defaults is None else defaults).alias("default"), (none if computed is None else computed).alias("computed"))
+    whole = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\{\{(?:input|computed):[^}]+\}\})"), F.lit(1)))
+
+    def put(k: Column, acc: Column, x: Column) -> Column:
+        name = F.trim(F.regexp_extract(x, PLACEHOLDER, 2))
+        value = F.when(x.startswith("{{computed"), F.try_element_at(k["computed"], name)).otherwise(F.coalesce(F.try_element_at(k["input"], name), F.try_element_at(k["default"], name)))
+        return F.coalesce(F.replace(acc, x, value), acc)
+
+    return F.aggregate(whole, text, lambda acc, x: put(known, acc, x))
 
 
 def unresolved(text: Column) -> Column:

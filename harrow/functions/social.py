@@ -135,6 +135,20 @@ def content_score(likes_per_view: Column, views_per_sub: Column, depth: Column,
     return a + b + F.when(depth == "SPECIALIST", 30).when(depth == "MIXED", 15).otherwise(0) + rounded(F.coalesce(consistency, F.lit(0)) / 100 * 20)
 
 
+def partnership_ready(email: Column, collab: Column, business: Column, frequency: Column, photo_followers: Column) -> Column:
+    """How ready a creator is for a partnership, 0 to 100."""
+    points = lambda hit, n: F.when(hit, n).otherwise(0)
+    regular = F.when(frequency == "weekly", 20).when(frequency == "biweekly", 10).otherwise(0)
+    return F.least(F.lit(100), points(email != "", 30) + points(collab, 20) + points(business, 15) + regular + points(photo_followers > 0, 15))
+
+
+def reach_and_trust(subscribers: Column, platforms: Column, views_per_sub: Column, consistency: Column) -> Column:
+    """Audience, platforms, and how true the views are to the audience, 0 to 100."""
+    size = F.when(subscribers >= 10_000, 25).when(subscribers >= 1_000, 15).otherwise(5)
+    true = F.when(views_per_sub >= 0.15, 25).when(views_per_sub >= 0.05, 15).otherwise(0)
+    return F.least(F.lit(100), size + F.when(platforms >= 2, 20).otherwise(0) + true + rounded(F.coalesce(consistency, F.lit(0)) / 100 * 30))
+
+
 def seconds_text(s: Column) -> Column:
     """m:ss, without hours."""
     return F.concat(F.floor(s / 60).cast("string"), F.lit(":"), F.lpad((s % 60).cast("int").cast("string"), 2, "0"))

@@ -17,14 +17,23 @@ def content_hash(text: Column) -> Column:
 
 
 def watch(snapshots: DataFrame, key: str, order: list[str], signature: str) -> DataFrame:
-    """Every snapshot with its watch state: first run, changed, counters so far, place of the last change."""
+    """Every snapshot with its watch state: the hash before, first run, changed, counters so far, place of the last change."""
     by = Window.partitionBy(key).orderBy(*order)
     so_far = by.rowsBetween(Window.unboundedPreceding, 0)
     out = snapshots.withColumn("hash", content_hash(F.col(signature)))
-    out = out.withColumn("before", F.lag("hash").over(by)).withColumn("first_run", F.col("before").isNull())
-    out = out.withColumn("changed", ~F.col("first_run") & (F.col("before") != F.col("hash")))
+    out = out.withColumn("previous_hash", F.lag("hash").over(by)).withColumn("first_run", F.col("previous_hash").isNull())
+    out = out.withColumn("changed", ~F.col("first_run") & (F.col("previous_hash") != F.col("hash")))
     out = out.withColumn("checks", F.count(F.lit(1)).over(so_far)).withColumn("changes", F.sum(F.col("changed").cast("long")).over(so_far))
-    return out.withColumn("last_changed", F.last(F.when(F.col("changed"), F.struct(*order)), ignorenulls=True).over(so_far)).drop("before")
+    return out.withColumn("last_changed", F.last(F.when(F.col("changed"), F.struct(*order, "checks")), ignorenulls=True).over(so_far))
+
+
+def change_payloads(watched: DataFrame, key: str, at: str, diff: Column | None = None) -> DataFrame:
+    """(key, payload): the JSON that tells a subscriber of every change. Sending it is the caller's, in ``foreachBatch`` for a stream."""
+    body = F.struct(
+        F.lit("watch.change").alias("event"), F.col(key).alias("url"), "previous_hash", F.col("hash").alias("current_hash"),
+        F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("detected_at"), (F.lit(None).cast("string") if diff is None else diff).alias("diff"),
+    )
+    return watched.where("changed").select(key, F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"))
 
 
 def removed_added(before: Column, after: Column) -> tuple[Column, Column]:

@@ -165,12 +165,48 @@ def cookie_names(headers: Column) -> Column:
     return F.transform(headers, lambda c: F.trim(F.split(c, "=")[0]))
 
 
+# What tells of a widget, where its key stands, and what tells versions apart.
+UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+TURNSTILE, HCAPTCHA = ("cf-turnstile", "challenges.cloudflare.com/turnstile"), ("h-captcha", "hcaptcha")
+RECAPTCHA = ("g-recaptcha", "grecaptcha", "recaptcha/api")
+TURNSTILE_KEYS = (
+    r"""class=["'][^"']*cf-turnstile[^"']*["'][^>]*data-sitekey=["']([A-Za-z0-9_-]+)["']""",
+    r"""data-sitekey=["']([A-Za-z0-9_-]+)["'][^>]*class=["'][^"']*cf-turnstile""",
+    r"""turnstile\.render\s*\([^,]{0,500},\s*\{[^}]*sitekey['"]\s*:\s*['"]([A-Za-z0-9_-]+)["']""",
+)
+HCAPTCHA_KEYS = (
+    rf"""data-sitekey=["']({UUID})["']""", r"""hcaptcha\.render\s*\([^,]{0,500},\s*\{[^}]*sitekey['"]\s*:\s*['"]([0-9a-f-]{36})["']""", rf"""['"]sitekey['"]\s*:\s*['"]({UUID})["']""",
+)
+RECAPTCHA_KEYS = (
+    r"""data-sitekey=["']([A-Za-z0-9_-]{40})["']""", r"""grecaptcha\.render\s*\([^,]{0,500},\s*\{\s*['"]?sitekey['"]?\s*:\s*['"]([A-Za-z0-9_-]{40})["']""",
+    r"""['"]sitekey['"]\s*:\s*['"]([A-Za-z0-9_-]{40})["']""", r"recaptcha/api2?/anchor\?.*?k=([A-Za-z0-9_-]{40})", r"recaptcha/enterprise/anchor\?.*?k=([A-Za-z0-9_-]{40})",
+)
+RECAPTCHA_RENDER = r"recaptcha/(?:enterprise/)?api\.js\?.*?render=([A-Za-z0-9_-]{40})"
+RECAPTCHA_V3 = ("grecaptcha.execute", "recaptcha/api.js?render=", "recaptcha/enterprise.js?render=", "recaptcha-v3", '"size":"invisible"')
+ENTERPRISE = ("recaptcha/enterprise", "grecaptcha.enterprise")
+ACTION = r"""grecaptcha\.(?:enterprise\.)?execute\s*\(\s*['"][^'"]*['"]\s*,\s*\{\s*action\s*:\s*['"]([^'"]+)['"]"""
+
+
 def captcha(html: Column) -> Column:
-    """(kind, sitekey) of the first of three widgets found; null kind for none."""
-    key = F.regexp_extract(html, r"""(?i)data-sitekey=["']([^"']+)["']""", 1)
-    kind = (
-        F.when(html.contains("cf-turnstile") | html.contains("challenges.cloudflare.com/turnstile"), "turnstile")
-        .when(html.contains("h-captcha") | html.contains("hcaptcha.com"), "hcaptcha")
-        .when(html.contains("g-recaptcha") | html.contains("google.com/recaptcha"), "recaptcha")
-    )
-    return F.struct(kind.alias("kind"), F.when(kind.isNotNull() & (key != ""), key).alias("sitekey"))
+    """(kind, sitekey, action, enterprise, s) of the first of three widgets whose key is found; nulls for none.
+
+    ``kind``: turnstile, hcaptcha, recaptcha_v2 or recaptcha_v3; ``action`` (v3: "verify" where none is named), ``enterprise``
+    and ``s`` belong to the last two.
+    """
+    found = lambda p: F.when(F.regexp_extract(html, p, 1) != "", F.regexp_extract(html, p, 1))
+    key = lambda patterns: F.coalesce(*[found(p) for p in patterns])
+    keys = F.struct(
+        F.when(X.contains_any(html, TURNSTILE), key(TURNSTILE_KEYS)).alias("turnstile"), F.when(X.contains_any(html, HCAPTCHA), key(HCAPTCHA_KEYS)).alias("hcaptcha"),
+        F.coalesce(key(RECAPTCHA_KEYS), F.when(X.contains_any(html, RECAPTCHA), found(RECAPTCHA_RENDER))).alias("recaptcha"),
+    )
+
+    def told(k: Column) -> Column:
+        third = k["turnstile"].isNull() & k["hcaptcha"].isNull() & k["recaptcha"].isNotNull()
+        v3 = X.contains_any(html, RECAPTCHA_V3)
+        kind = F.when(k["turnstile"].isNotNull(), "turnstile").when(k["hcaptcha"].isNotNull(), "hcaptcha").when(third & v3, "recaptcha_v3").when(third, "recaptcha_v2")
+        return F.struct(
+            kind.alias("kind"), F.coalesce(k["turnstile"], k["hcaptcha"], k["recaptcha"]).alias("sitekey"), F.when(third & v3, F.coalesce(found(ACTION), F.lit("verify"))).alias("action"),
+            F.when(third & X.contains_any(html, ENTERPRISE), F.lit(True)).alias("enterprise"), F.when(third, found(r"""data-s=["']([^"']+)["']""")).alias("s"),
+        )
+
+    return X.once(keys, told)

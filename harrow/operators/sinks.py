@@ -29,6 +29,12 @@ def json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("line"))
 
 
+def pretty_json(df: DataFrame) -> DataFrame:
+    """One column of objects over several lines, two spaces a level; arrays of plain values stay on one line."""
+    text = F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"})
+    return df.select(F.regexp_replace(text, r'(?m)^(\s*"(?:[^"\\]|\\.)*") : ', "$1: ").alias("text"))
+
+
 def row_array(json: Column) -> Column:
     """The JSON array of rows in a result: under the first known key that holds one."""
     v = F.try_parse_json(json)

@@ -35,9 +35,7 @@ FROM ({WATCH}) WINDOW w AS (PARTITION BY url ORDER BY checks ROWS UNBOUNDED PREC
 def c03_watch(spark: SparkSession, d: str) -> DataFrame:
     snaps = table(spark, d, "events").select(F.col("user_id").alias("url"), "event_id", "ts", F.col("event_type").alias("body"))
     out = C.watch(snaps, "url", ["ts", "event_id"], "body")
-    place = out.select(F.col("event_id").alias("event_id"), F.col("url"), F.col("checks").alias("place"))
-    joined = out.alias("o").join(place.alias("p"), (F.col("o.last_changed.event_id") == F.col("p.event_id")) & (F.col("o.url") == F.col("p.url")), "left")
-    return joined.select("o.event_id", "hash", "first_run", "changed", "checks", "changes", F.col("p.place").alias("last_changed"))
+    return out.select("event_id", "hash", "first_run", "changed", "checks", "changes", F.col("last_changed.checks").alias("last_changed"))
 
 
 @query(f"""SELECT doc_id, CASE WHEN len(l) > 20 THEN array_to_string(l[1:20], chr(10)) || chr(10) || '... ' || (len(l) - 20) || ' more' ELSE array_to_string(l, chr(10)) END AS diff
@@ -101,3 +99,10 @@ def h35_pixel_diff(spark: SparkSession, d: str) -> DataFrame:
         "l_orderkey", F.col("l_quantity").alias("r1"), (F.col("l_linenumber") * 10.0).alias("r2"), *[F.lit(0.0).alias(x) for x in ("g1", "g2", "b1", "b2")]
     )
     return C.pixel_diff(px, "l_orderkey")
+
+
+@query(f"""SELECT url, '{{"event":"watch.change","url":' || url || ',"previous_hash":"' || sha256(was) || '","current_hash":"' || hash || '","detected_at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') || '","diff":null}}' AS payload
+FROM (SELECT url, ts, sha256(body) AS hash, body, lag(body) OVER (PARTITION BY url ORDER BY ts, event_id) AS was FROM ({SNAPS})) WHERE was <> body""")
+def k12_change_payloads(spark: SparkSession, d: str) -> DataFrame:
+    snaps = table(spark, d, "events").select(F.col("user_id").alias("url"), "event_id", "ts", F.col("event_type").alias("body"))
+    return C.change_payloads(C.watch(snaps, "url", ["ts", "event_id"], "body"), "url", "ts")

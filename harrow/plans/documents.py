@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harrow.functions import social as S
+from harrow.functions import records as R
 from harrow.operators import layout as L
+from harrow.operators import listings as P
 from harrow.operators import sinks as K
 from harrow.plans.registry import doubles, query
 from harrow.plans.roundtrip import cat
@@ -92,33 +93,109 @@ def k06_markdown_or_json(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.coalesce(F.when(k == 0, "md"), F.when(k == 1, F.col("lang")), F.to_json(F.struct("doc_id"))).alias("shown"))
 
 
-@query("SELECT n_name, printf('%-12s|%5d', n_name, count(*)) AS cell FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name")
+@query("""SELECT 'N' || n_nationkey AS "Job ID", n_name AS "Status", done || '/' || total AS "URLs", CASE WHEN total > 0 THEN CAST(floor(done / total * 100 + 0.5) AS BIGINT) ELSE 0 END || '%' AS "Progress"
+FROM (SELECT n_nationkey, n_name, count(c_custkey) AS total, count(*) FILTER (c_acctbal > 3000) AS done FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name)""")
 def k07_table_cells(spark: SparkSession, d: str) -> DataFrame:
-    j = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
-    return j.select("n_name", F.format_string("%-12s|%5d", "n_name", "n").alias("cell"))
+    n = F.broadcast(table(spark, d, "nation"))
+    j = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "right").groupBy("n_nationkey", F.col("n_name").alias("status"))
+    j = j.agg(F.count("c_custkey").alias("urls_total"), F.count_if(F.col("c_acctbal") > 6000).alias("urls_completed"), F.count_if((F.col("c_acctbal") > 3000) & (F.col("c_acctbal") <= 6000)).alias("urls_failed"))
+    return P.jobs(j.withColumn("id", cat("N", F.col("n_nationkey").cast("string"))))
 
 
-VIDEO = "data struct<videos:array<struct<videoId:string,title:struct<text:string>,views:string>>>"
+@query("""SELECT p_name AS "Name", CASE WHEN p_partkey % 3 = 0 THEN 'extract' ELSE p_brand END || CASE WHEN p_size > 25 THEN ' (built-in)' ELSE '' END AS "Type", 'https://s.example/' || p_partkey AS "URL",
+CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_type || ', ' || p_brand END AS "Fields", '2024-05-0' || (p_partkey % 9 + 1) AS "Created" FROM part""")
+def k07_skill_cells(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    s = table(spark, d, "part").select(
+        F.col("p_name").alias("name"), F.when(k % 3 != 0, F.col("p_brand")).alias("tool"), (F.col("p_size") > 25).alias("builtin"), cat("https://s.example/", k.cast("string")).alias("url"),
+        F.when(k % 4 != 0, F.array("p_type", "p_brand")).alias("fields"), cat("2024-05-0", (k % 9 + 1).cast("string"), "T01:02:03Z").alias("created_at"),
+    )
+    return P.skills(s)
 
 
-def videos(spark: SparkSession, d: str) -> DataFrame:
-    v = F.struct(cat("v", F.col("p_partkey").cast("string")).alias("videoId"), F.struct(F.col("p_name").alias("text")).alias("title"), cat(F.col("p_size").cast("string"), "K views").alias("views"))
-    j = table(spark, d, "part").groupBy("p_brand").agg(F.to_json(F.struct(F.struct(F.array_sort(F.collect_list(v)).alias("videos")).alias("data"))).alias("j"))
-    return j.select("p_brand", F.explode(F.from_json("j", VIDEO)["data"]["videos"]).alias("v"))
+@query("""SELECT s_name AS "Domain", 'L' || CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey % 4 ELSE 1 END AS "Level", '0%' AS "Success%", CAST(s_suppkey AS VARCHAR) AS "Reqs", '60' AS "Rate/RPM",
+CASE WHEN s_suppkey % 3 = 0 THEN 'none' ELSE 'wall' || s_nationkey END AS "AntiBot", '' AS "Updated" FROM supplier""")
+def k07_domain_cells(spark: SparkSession, d: str) -> DataFrame:
+    k, none = F.col("s_suppkey"), F.lit(None).cast("string")
+    s = table(spark, d, "supplier").select(
+        F.col("s_name").alias("domain"), F.when(k % 2 == 0, F.col("s_nationkey") % 4).alias("optimal_level"), none.alias("success_rate"), k.alias("requests"), none.alias("rate_limit_rpm"),
+        F.when(k % 3 != 0, cat("wall", F.col("s_nationkey").cast("string"))).alias("antibot"), none.alias("last_updated"),
+    )
+    return P.domains(s)
 
 
-@query(doubles("SELECT p_brand, 'v' || p_partkey AS video_id, p_name AS title, p_size * 1000.0 AS views FROM part", "views"))
-def p06_video_rows(spark: SparkSession, d: str) -> DataFrame:
-    return videos(spark, d).select("p_brand", F.col("v.videoId").alias("video_id"), F.col("v.title.text").alias("title"), S.compact_number(F.col("v.views")).alias("views"))
+@query("""SELECT CAST(r AS VARCHAR) AS "#", substr(text, 1, 50) AS "Title", 'doc:' || doc_id AS "URL" FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 20""")
+def k07_result_cells(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "documents").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")))
+    return P.found(r.select("r", F.lit(None).cast("string").alias("title"), F.col("text").alias("name"), F.lit(None).cast("string").alias("url"), cat("doc:", F.col("doc_id").cast("string")).alias("source")), "r")
+
+
+@query("""SELECT '{' || chr(10) || '  "n_nationkey": ' || n_nationkey || ',' || chr(10) || '  "n_name": "a\\" : ' || n_name || '",' || chr(10) || '  "in": {' || chr(10) || '    "n_regionkey": ' || n_regionkey || ',' || chr(10) || '    "none": null' || chr(10) || '  }' || chr(10) || '}' AS text FROM nation""")
+def k02_pretty_json(spark: SparkSession, d: str) -> DataFrame:
+    inner = F.struct("n_regionkey", F.lit(None).cast("string").alias("none"))
+    return K.pretty_json(table(spark, d, "nation").select("n_nationkey", cat('a" : ', F.col("n_name")).alias("n_name"), inner.alias("in")))
+
+
+def nested(path: str, value) -> Column:
+    """A struct in a struct, along a dotted path."""
+    for name in reversed(path.split(".")):
+        value = F.struct(value.alias(name))
+    return value
+
+
+def simple(c) -> Column:
+    return F.struct(c.alias("simpleText"))
+
 
+def run_of(*fields) -> Column:
+    return F.struct(F.array(F.struct(*fields)).alias("runs"))
 
-@query("SELECT s_suppkey, substr('About ' || s_name, 1, 12) AS description, CASE WHEN s_suppkey % 2 = 0 THEN 'en.vtt' ELSE 'de.vtt' END AS captions FROM supplier")
+
+@query(doubles("""SELECT p_brand, 'v' || p_partkey AS id, p_name AS title, 'https://www.youtube.com/watch?v=v' || p_partkey AS url, 'big' || p_size AS thumbnail, p_size * 1000.0 AS views, 'by ' || p_brand AS author,
+CASE WHEN p_partkey % 2 = 0 THEN 'https://www.youtube.com/@' || p_size END AS author_url, p_size || ' days ago' AS published
+FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part) WHERE r <= 7""", "views"))
+def p06_video_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The first seven videos of a brand's search page; its other entries are adverts."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    at = F.when(k % 2 == 0, nested("browseEndpoint.canonicalBaseUrl", cat("/@", size)))
+    views = cat(size, "K views")
+    v = F.struct(
+        cat("v", k.cast("string")).alias("videoId"), run_of(F.col("p_name").alias("text")).alias("title"), nested("thumbnails", F.array(*[F.struct(cat(x, size).alias("url")) for x in ("small", "big")])).alias("thumbnail"),
+        simple(F.when(k % 3 != 0, views).otherwise("")).alias("viewCountText"), simple(views).alias("shortViewCountText"), run_of(cat("by ", F.col("p_brand")).alias("text"), at.alias("navigationEndpoint")).alias("ownerText"),
+        simple(cat(size, " days ago")).alias("publishedTimeText"),
+    )
+    entry = F.struct(F.lit(None).cast("string").alias("advert"), v.alias("videoRenderer"))
+    advert = F.struct(F.lit("x").alias("advert"), F.lit(None).alias("videoRenderer"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", entry.alias("e")))), lambda x: x["e"])
+    made = table(spark, d, "part").groupBy("p_brand").agg(listed.alias("l")).select("p_brand", F.concat(F.array(advert), "l").alias("l"))
+    half = F.floor(F.size("l") / 2).cast("int")
+    parts = [nested("itemSectionRenderer.contents", x) for x in (F.slice("l", F.lit(1), half), F.slice("l", half + 1, F.size("l")))]
+    j = F.to_json(nested("contents.twoColumnSearchResultsRenderer.primaryContents.sectionListRenderer.contents", F.array(*parts)))
+    return made.select("p_brand", F.inline(R.search_videos(j, 7))).drop("duration")
+
+
+@query(doubles("""SELECT s_suppkey, 'w' || s_suppkey AS id, s_name || ' live' AS title, 1000.0 + s_nationkey AS views, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey * 1000.0 + 1000 END AS likes, s_name AS author,
+substr(repeat('About ' || s_name || '. ', 200), 1, 2000) AS description, CASE s_suppkey % 3 WHEN 0 THEN 'en.vtt' WHEN 1 THEN 'de.vtt' END AS captions,
+CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS channel, CASE WHEN s_suppkey % 2 = 0 THEN (s_nationkey + 1) * 100000.0 END AS subscribers, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 4 = 0 END AS verified FROM supplier""", "views", "likes", "subscribers"))
 def p07_video_details(spark: SparkSession, d: str) -> DataFrame:
-    tracks = F.when(F.col("s_suppkey") % 2 == 0, F.expr("array(struct('de' as lang, 'de.vtt' as url), struct('en' as lang, 'en.vtt' as url))")).otherwise(F.expr("array(struct('de' as lang, 'de.vtt' as url))"))
-    j = F.to_json(F.struct(cat("About ", F.col("s_name")).alias("desc"), tracks.alias("tracks")))
-    v = table(spark, d, "supplier").select("s_suppkey", F.from_json(j, "desc string, tracks array<struct<lang:string,url:string>>").alias("v"))
-    english = F.get(F.filter("v.tracks", lambda t: t["lang"] == "en"), F.lit(0))["url"]
-    return v.select("s_suppkey", F.substring("v.desc", 1, 12).alias("description"), F.coalesce(english, F.get("v.tracks", F.lit(0))["url"]).alias("captions"))
+    k, n, name = F.col("s_suppkey"), F.col("s_nationkey"), F.col("s_name")
+    button = nested("segmentedLikeDislikeButtonViewModel.likeButtonViewModel.likeButtonViewModel.toggleButtonViewModel.toggleButtonViewModel.defaultButtonViewModel.buttonViewModel.title", F.when(k % 2 == 0, cat((n + 1).cast("string"), "K")).otherwise(""))
+    primary = F.struct(
+        F.struct(F.array(F.struct(name.alias("text")), F.struct(F.lit(" live").alias("text"))).alias("runs")).alias("title"),
+        nested("videoViewCountRenderer.viewCount.simpleText", cat("1,0", F.lpad(n.cast("string"), 2, "0"), " views")).alias("viewCount"), nested("menuRenderer.topLevelButtons", F.array(button)).alias("videoActions"),
+    )
+    secondary = F.struct(nested("videoOwnerRenderer.title", run_of(name.alias("text"))).alias("owner"), nested("content", F.repeat(cat("About ", name, ". "), F.lit(200))).alias("attributedDescription"))
+    contents = F.array(F.to_json(F.struct(primary.alias("videoPrimaryInfoRenderer"))), F.lit('{"x":1}'), F.to_json(F.struct(secondary.alias("videoSecondaryInfoRenderer"))))
+    watch = cat('{"currentVideoEndpoint":{"watchEndpoint":{"videoId":"w', k.cast("string"), '"}},"contents":{"twoColumnWatchNextResults":{"results":{"results":{"contents":[', F.array_join(contents, ","), "]}}}}}")
+    tracks = F.when(k % 3 == 0, F.expr("array(struct('de' as languageCode, 'de.vtt' as baseUrl), struct('en' as languageCode, 'en.vtt' as baseUrl))")).when(k % 3 == 1, F.expr("array(struct('de' as languageCode, 'de.vtt' as baseUrl))"))
+    said = cat(((n + 1) / 10).cast("string"), "M subscribers")
+    rows = F.array(F.struct(F.array(nested("text.content", F.lit("@x"))).alias("metadataParts")), F.struct(F.array(nested("text.content", said)).alias("metadataParts")))
+    old = F.struct(F.struct(F.when(k % 4 == 0, said).alias("simpleText")).alias("subscriberCountText"), F.when(k % 4 == 0, F.array(nested("metadataBadgeRenderer.style", F.lit("BADGE_VERIFIED")))).alias("badges"))
+    head = F.struct(old.alias("c4TabbedHeaderRenderer"), nested("content.pageHeaderViewModel.metadata.contentMetadataViewModel.metadataRows", rows).alias("pageHeaderRenderer"))
+    page = F.to_json(F.struct(head.alias("header"), nested("channelMetadataRenderer.title", F.when(k % 2 == 0, name)).alias("metadata")))
+    page = F.when(k % 2 == 0, page).otherwise("{}")
+    t = table(spark, d, "supplier").select(k, R.video(watch).alias("v"), R.captions_url(F.to_json(nested("captions.playerCaptionsTracklistRenderer.captionTracks", tracks))).alias("captions"), R.channel(page).alias("c"))
+    return t.select("s_suppkey", *[f"v.{c}" for c in ("id", "title", "views", "likes", "author", "description")], "captions", F.col("c.name").alias("channel"), "c.subscribers", "c.verified")
 
 
 @query(doubles("SELECT s_suppkey, unnest([0.5, 7.25]) AS start, unnest(['It''s', s_name || ' & co']) AS text FROM supplier", "start"))
@@ -131,31 +208,60 @@ def p08_timed_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select("s_suppkey", F.explode(z).alias("z")).select("s_suppkey", F.col("z.a").cast("double").alias("start"), X.sanitize(F.col("z.b")).alias("text"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '[deleted]' ELSE 'u' || o_custkey END AS author, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_custkey END AS score, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS created FROM orders WHERE o_orderkey % 3 <> 0")
+@query("""SELECT o_custkey, title, n, c AS comment, CASE WHEN c % 5 = 0 THEN '[deleted]' ELSE 'u' || c END AS author, CASE WHEN c % 7 = 0 THEN 0 ELSE c END AS score,
+CASE WHEN c % 2 = 0 THEN 'b ' || c ELSE 'plain' END AS text, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') AS published, CAST(c % 3 AS INT) AS replies_count
+FROM (SELECT o_custkey, o_orderkey AS c, o_orderdate, 'Thread ' || o_custkey AS title, o_custkey * 2 AS n FROM orders WHERE o_orderkey % 3 <> 0)""")
 def p11_forum_comments(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    data = F.struct(k.alias("id"), F.when(k % 5 != 0, cat("u", F.col("o_custkey").cast("string"))).alias("author"), F.when(k % 7 != 0, F.col("o_custkey")).alias("score"), F.col("o_orderdate").cast("timestamp").cast("long").alias("created_utc"))
-    j = table(spark, d, "orders").select(F.to_json(F.struct(F.when(k % 3 == 0, "t3").otherwise("t1").alias("kind"), data.alias("data"))).alias("j"))
-    c = j.select(F.from_json("j", "kind string, data struct<id:long,author:string,score:long,created_utc:long>").alias("c")).where("c.kind = 't1'")
-    return c.select(F.col("c.data.id").alias("o_orderkey"), F.coalesce("c.data.author", F.lit("[deleted]")).alias("author"), F.coalesce("c.data.score", F.lit(0)).alias("score"), F.date_format(F.timestamp_seconds("c.data.created_utc"), "yyyy-MM-dd'T'HH:mm:ss").alias("created"))
-
-
-@query("SELECT c_custkey, CAST(c_nationkey * 1000 AS DOUBLE) AS followers, CAST(c_custkey AS DOUBLE) AS posts, c_name AS name FROM customer WHERE c_custkey % 4 <> 0")
+    """A customer's orders as a thread: entries that are no comments are left out."""
+    k, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    replies = F.when(k % 3 == 0, F.lit(None)).otherwise(nested("data.children", F.array_repeat(F.lit(1), (k % 3).cast("int"))))
+    data = F.struct(
+        none.alias("id"), k.cast("string").alias("name"), F.when(k % 5 != 0, cat("u", k.cast("string"))).alias("author"), F.when(k % 7 != 0, k).alias("score"), F.col("o_orderdate").cast("timestamp").cast("long").alias("created_utc"),
+        F.when(k % 2 == 0, cat("<p>b  ", k.cast("string"), "</p>")).alias("body_html"), F.lit("plain").alias("body"), replies.alias("replies"),
+    )
+    child = F.struct(F.when(k % 3 == 0, "more").otherwise("t1").alias("kind"), data.alias("data"))
+    post = cat('[{"data":{"children":[{"kind":"t3","data":{"title":"Thread ', F.col("o_custkey").cast("string"), '","num_comments":', (F.col("o_custkey") * 2).cast("string"), "}}]}},")
+    t = table(spark, d, "orders").groupBy("o_custkey").agg(F.concat(post, F.to_json(nested("data.children", F.collect_list(child))), F.lit("]")).alias("j"))
+    t = t.select("o_custkey", R.thread_post(F.col("j")).alias("p"), F.explode(R.thread_comments(F.col("j"), 1 << 30)).alias("c"))
+    comment = F.col("c.id").cast("long").alias("comment")
+    return t.select("o_custkey", "p.title", F.col("p.comments_count").alias("n"), comment, "c.author", "c.score", "c.text", "c.published", "c.replies_count")
+
+
+@query("""SELECT c_custkey, c_name AS name, CAST(c_nationkey * 1000 AS DOUBLE) AS followers, 12.0::DOUBLE AS following, CAST(c_custkey AS DOUBLE) AS posts_count, 'I sell ' || c_mktsegment AS description, c_custkey % 2 = 0 AS verified,
+c_custkey % 3 = 0 AS business FROM customer WHERE c_custkey % 4 <> 0 AND c_nationkey > 0""")
 def p12_profile_meta(spark: SparkSession, d: str) -> DataFrame:
-    text = cat(F.col("c_nationkey").cast("string"), "K Followers, 12 Following, ", F.col("c_custkey").cast("string"), " Posts - ", F.col("c_name"), " (@x) on Photos")
-    c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, "private").otherwise(text).alias("t")).where(F.col("t").rlike("Followers"))
-    number = lambda k: F.coalesce(S.compact_number(F.regexp_extract("t", rf"([\d.,]+[KMB]?)\s+{k}", 1)), F.lit(0.0))
-    return c.select("c_custkey", number("Followers").alias("followers"), number("Posts").alias("posts"), F.regexp_extract("t", r"Posts - (.*?) \(@", 1).alias("name"))
-
-
-@query("SELECT c_custkey, CAST(CASE WHEN c_acctbal > 5000 THEN 40 ELSE 10 END + CASE WHEN c_nationkey % 3 = 0 THEN 30 ELSE 0 END AS INT) AS ready FROM customer WHERE c_acctbal BETWEEN 1000 AND 9000 AND c_mktsegment <> 'BUILDING'")
-def p24_scout(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").where("c_acctbal between 1000 and 9000 and c_mktsegment <> 'BUILDING'")
-    return c.select("c_custkey", (F.when(F.col("c_acctbal") > 5000, 40).otherwise(10) + F.when(F.col("c_nationkey") % 3 == 0, 30).otherwise(0)).alias("ready"))
-
-
-@query(doubles("SELECT p_partkey, p_size * 1000.0 AS views, p_partkey % 2 = 0 AS verified FROM part", "views"))
+    k = F.col("c_custkey")
+    said = cat(F.col("c_nationkey").cast("string"), "K Followers, 12 Following, ", k.cast("string"), " Posts - I sell ", F.col("c_mktsegment"), " See Instagram photos and videos from ", F.col("c_name"), " (@x)")
+    html = cat("<title>", F.col("c_name"), " (@x) • Instagram photos</title>", '<meta property="og:description" content="', F.when(k % 4 == 0, "private").otherwise(said), '">',
+               F.when(k % 2 == 0, '"is_verified":true').otherwise(""), F.when(k % 3 == 0, '"is_professional_account":true').otherwise(""))
+    p = table(spark, d, "customer").where("c_nationkey > 0").select(k, R.photo_profile_of_page(html, F.lit("x")).alias("p")).where("p is not null")
+    return p.select("c_custkey", *[f"p.{c}" for c in ("name", "followers", "following", "posts_count", "description", "verified")], F.col("p.is_business").alias("business"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'u' || c_custkey ELSE c_name END AS name, c_nationkey * 100 AS followers, least(n, 3) AS posts,
+CASE WHEN c_nationkey > 0 AND n > 0 THEN floor(coalesce(s, 0) / least(n, 3) / (c_nationkey * 100) * 10000 + 0.5) / 100 ELSE 0 END::DOUBLE AS engagement_rate, c_custkey % 2 = 0 AS business
+FROM (SELECT c_custkey, c_name, c_nationkey, count(o_orderkey) AS n, sum(CASE WHEN r <= 3 THEN o_orderkey % 100 + 7 END) AS s
+FROM customer LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) ON o_custkey = c_custkey GROUP BY ALL) WHERE c_custkey % 7 <> 0""")
+def p12_profile_records(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles as the API gives them, the orders as posts; private ones have no row."""
+    k = F.col("c_custkey")
+    node = nested("node", F.struct(F.col("o_orderkey").cast("string").alias("id"), nested("count", F.col("o_orderkey") % 100).alias("edge_liked_by"), nested("count", F.lit(7)).alias("edge_media_to_comment")))
+    posts = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", node.alias("e")))), lambda x: x["e"]).alias("edges"))
+    user = F.struct(
+        F.when(k % 5 != 0, F.col("c_name")).alias("full_name"), (k % 7 == 0).alias("is_private"), nested("count", F.col("c_nationkey") * 100).alias("edge_followed_by"),
+        nested("edges", F.col("edges")).alias("edge_owner_to_timeline_media"), (k % 2 == 0).alias("is_professional_account"),
+    )
+    p = table(spark, d, "customer").join(posts, "c_custkey", "left").select(k, R.photo_profile(F.to_json(user), cat("u", k.cast("string"))).alias("p")).where("p is not null")
+    return p.select("c_custkey", "p.name", "p.followers", F.size("p.recent_posts").alias("posts"), "p.engagement_rate", F.col("p.is_business").alias("business"))
+
+
+@query(doubles("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END AS title, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE p_size * 1000.0 END AS views, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE p_size * 1000.0 END AS score,
+CASE WHEN p_partkey % 2 = 0 THEN 'n' || p_size ELSE 'u' || p_size END AS name, p_size * 1000.0 AS subscribers, p_partkey % 2 = 0 AS verified, CASE WHEN p_partkey % 4 = 3 THEN 0.0 ELSE p_size * 1000.0 END AS followers FROM part""", "views", "score", "subscribers", "followers"))
 def p27_normalise_records(spark: SparkSession, d: str) -> DataFrame:
-    j = F.to_json(F.struct(F.when(F.col("p_partkey") % 2 == 0, cat(F.col("p_size").cast("string"), "K")).otherwise((F.col("p_size") * 1000).cast("string")).alias("views"), (F.col("p_partkey") % 2 == 0).alias("verified")))
-    r = table(spark, d, "part").select("p_partkey", F.from_json(j, "views string, verified boolean").alias("r"))
-    return r.select("p_partkey", S.compact_number(F.col("r.views")).alias("views"), F.coalesce("r.verified", F.lit(False)).alias("verified"))
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    n = F.element_at(F.array(cat('"', size, 'K"'), cat(size, "000"), cat('"', size, ',000"'), F.lit('"many"')), (k % 4 + 1).cast("int"))
+    title = F.to_json(F.struct(F.when(k % 5 != 0, F.col("p_name")).alias("title"), F.when(k % 2 == 0, cat("n", size)).alias("name"), cat("u", size).alias("username"), (k % 2 == 0).alias("verified")))
+    j = F.concat(F.substring(title, 1, F.length(title) - 1), *[F.lit(x) if isinstance(x, str) else x for x in (',"views":', n, ',"score":', n, ',"followers":', n, ',"subscribers":"', size, 'K"}')])
+    kinds = {"v": "video", "o": "post", "p": "profile", "i": "photos"}
+    r = table(spark, d, "part").select("p_partkey", j.alias("j")).select("p_partkey", *[R.normalised(F.col("j"), kind).alias(a) for a, kind in kinds.items()])
+    return r.select("p_partkey", "v.title", "v.views", "o.score", "p.name", "p.subscribers", "p.verified", "i.followers")

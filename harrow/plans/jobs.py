@@ -121,6 +121,15 @@ def j13_unresolved(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", F.array_join(E.unresolved(text), ",").alias("left_over"))
 
 
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || ' ' || strftime(CAST(o_orderdate AS DATE) - 1, '%Y-%m-%d') || ' ' || strftime(CAST(o_orderdate AS DATE) - 30, '%Y-%m-%d') || ' ' || strftime(o_orderdate, '%Y/%m/%d') || ' ' || CAST(epoch(o_orderdate::TIMESTAMP) AS BIGINT) || '000 '
+|| strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') || ' {{computed:no}} ' || o_orderstatus || ' ' || CASE WHEN o_orderkey % 2 = 0 THEN 'mine' ELSE 'usual' END AS text FROM orders""")
+def j12_computed(spark: SparkSession, d: str) -> DataFrame:
+    text = F.lit("{{computed:date_today}} {{computed: date_yesterday }} {{computed:date_30_days_ago}} {{computed:year}}/{{computed:month}}/{{computed:day}} {{computed:timestamp}} {{computed:timestamp_iso}} {{computed:no}} {{input:status}} {{input:kind}}")
+    given = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("kind"), F.when(F.col("o_orderkey") % 2 == 0, "mine"))
+    usual = F.create_map(F.lit("kind"), F.lit("usual"), F.lit("status"), F.lit("none"))
+    return table(spark, d, "orders").select("o_orderkey", E.template(text, given, usual, E.computed_values(F.col("o_orderdate").cast("timestamp"))).alias("text"))
+
+
 TYPED = """SELECT user_id, event_id, CASE WHEN event_id % 9 = 0 THEN 'click' ELSE 'type' END AS type,
 CASE event_id % 7 WHEN 0 THEN '#pwd' WHEN 1 THEN 'input[name=userName]' WHEN 2 THEN '.site-search' WHEN 3 THEN '#city' WHEN 4 THEN '[data-case]' WHEN 5 THEN '#EMAIL' END AS selector,
 CASE WHEN event_id % 7 = 6 THEN 'ref-filter' END AS ref, CASE event_id % 5 WHEN 0 THEN '{{env:X}}' WHEN 1 THEN 'my Secret' WHEN 2 THEN '' ELSE event_type END AS text FROM events"""

@@ -94,11 +94,21 @@ def b06_cookie_match(spark: SparkSession, d: str) -> DataFrame:
     return cookies.sent(cookies.jar(c), "www.shop1.example", "/a", 1000).select("name", "domain", "value")
 
 
-@query("SELECT p_partkey, ['turnstile', 'hcaptcha', 'recaptcha', NULL][p_partkey % 4 + 1] AS kind, CASE WHEN p_partkey % 4 < 3 THEN 'k' || p_partkey END AS sitekey FROM part")
+@query("""SELECT p_partkey, ['turnstile', 'hcaptcha', 'recaptcha_v2', 'recaptcha_v3', 'recaptcha_v3', NULL, NULL][p_partkey % 7 + 1] AS kind,
+CASE p_partkey % 7 WHEN 0 THEN 'k' || p_partkey WHEN 1 THEN lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '-0000-4000-8000-00000000000a' WHEN 2 THEN lpad(CAST(p_partkey AS VARCHAR), 40, 'x') WHEN 3 THEN lpad(CAST(p_partkey AS VARCHAR), 40, 'x')
+WHEN 4 THEN lpad(CAST(p_partkey AS VARCHAR), 40, 'x') END AS sitekey, CASE p_partkey % 7 WHEN 3 THEN 'login' WHEN 4 THEN 'verify' END AS action, CASE WHEN p_partkey % 7 = 3 THEN true END AS enterprise, CASE WHEN p_partkey % 7 = 2 THEN 's' || p_size END AS s FROM part""")
 def b07_captcha_kind(spark: SparkSession, d: str) -> DataFrame:
-    div = F.element_at(F.array(*[F.lit(x) for x in ("cf-turnstile", "h-captcha", "g-recaptcha", "other")]), (F.col("p_partkey") % 4 + 1).cast("int"))
-    html = F.concat(F.lit('<div class="'), div, F.lit('" data-sitekey="k'), F.col("p_partkey").cast("string"), F.lit('"></div>'))
-    return table(spark, d, "part").select("p_partkey", C.captcha(html).alias("c")).select("p_partkey", "c.kind", "c.sitekey")
+    k = F.col("p_partkey").cast("string")
+    long, uuid = F.lpad(k, 40, "x"), F.concat(F.lpad(k, 8, "0"), F.lit("-0000-4000-8000-00000000000a"))
+    cat = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    forms = [
+        cat('<div class="a cf-turnstile" data-sitekey="k', k, '"></div>'), cat("<script>hcaptcha.render(box, {size: 1, 'sitekey': '", uuid, "'})</script>"),
+        cat('<div class="g-recaptcha" data-s="s', F.col("p_size").cast("string"), '" data-sitekey="', long, '"></div>'),
+        cat('<iframe src="/recaptcha/enterprise/anchor?ar=1&k=', long, "\"></iframe><script>grecaptcha.enterprise.execute('x', {action: 'login'}); grecaptcha.execute</script>"),
+        cat('<script src="/recaptcha/api.js?render=', long, '"></script>'), cat('<div class="g-recaptcha" data-sitekey="short', k, '"></div>'), F.lit('<div data-sitekey="k">'),
+    ]
+    html = F.element_at(F.array(*forms), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", C.captcha(html).alias("c")).select("p_partkey", "c.*")
 
 
 @query(f"SELECT count(*) AS n FROM pages WHERE {sql_any('lower(html)', C.CAPTCHA)}")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harrow.functions import social as S
+from harrow.operators import creators as R
 from harrow.plans.registry import doubles, query
 from harrow.session import table
 
@@ -177,3 +178,54 @@ def p25_discovery(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "supplier").select((F.col("s_suppkey") % 40).alias("channel"), F.col("s_name").alias("name"), F.lit(1).alias("src"), F.col("s_suppkey").alias("k"))
     b = table(spark, d, "customer").select((F.col("c_custkey") % 70).alias("channel"), F.col("c_name").alias("name"), F.lit(2).alias("src"), F.col("c_custkey").alias("k"))
     return a.unionByName(b).groupBy("channel").agg(F.min_by("name", F.struct("src", "k")).alias("name")).orderBy("channel").limit(40)
+
+
+SCOUTED = """SELECT c_custkey AS handle, c_name AS name, least(100, a) AS reach, least(100, b) AS conversion, least(100, c) AS partnership, subscribers, ig_followers, niche_depth, views_per_sub, likes_per_view, view_consistency, email, collab, business FROM
+(SELECT *, CASE WHEN round(likes_per_view, 3) >= 0.08 THEN 25 WHEN round(likes_per_view, 3) >= 0.05 THEN 20 WHEN round(likes_per_view, 3) >= 0.03 THEN 15 WHEN round(likes_per_view, 3) >= 0.01 THEN 8 ELSE 0 END
++ CASE WHEN views_per_sub >= 0.5 THEN 25 WHEN views_per_sub >= 0.3 THEN 20 WHEN views_per_sub >= 0.15 THEN 15 WHEN views_per_sub >= 0.05 THEN 8 ELSE 0 END + CASE niche_depth WHEN 'SPECIALIST' THEN 30 ELSE 15 END + CAST(floor(view_consistency / 100 * 20 + 0.5) AS BIGINT) AS a,
+CASE WHEN email IS NOT NULL THEN 30 ELSE 0 END + CASE WHEN collab THEN 20 ELSE 0 END + CASE WHEN business THEN 15 ELSE 0 END + CASE c_custkey % 4 WHEN 0 THEN 20 WHEN 1 THEN 10 ELSE 0 END + CASE WHEN ig_followers > 0 THEN 15 ELSE 0 END AS b,
+CASE WHEN subscribers >= 10000 THEN 25 WHEN subscribers >= 1000 THEN 15 ELSE 5 END + CASE WHEN ig_followers > 0 THEN 20 ELSE 0 END + CASE WHEN views_per_sub >= 0.15 THEN 25 WHEN views_per_sub >= 0.05 THEN 15 ELSE 0 END + CAST(floor(view_consistency / 100 * 30 + 0.5) AS BIGINT) AS c
+FROM (SELECT c_custkey, c_name, c_custkey * 40 AS subscribers, CASE WHEN c_custkey % 3 = 0 THEN 5000 + c_custkey END AS ig_followers, ['SPECIALIST', 'MIXED', 'GENERALIST'][c_nationkey % 3 + 1] AS niche_depth, c_custkey % 70 / 100 AS views_per_sub,
+c_custkey % 11 / 100 AS likes_per_view, c_custkey % 101 AS view_consistency, CASE WHEN c_custkey % 5 = 0 THEN 'm' || c_custkey END AS email, c_custkey % 2 = 0 AS collab, c_custkey % 6 = 0 AS business FROM customer)
+WHERE subscribers BETWEEN 500 AND 50000 AND niche_depth <> 'GENERALIST')"""
+SCOUT_TIER = "CASE CAST(reach >= 50 AS INT) + CAST(conversion >= 50 AS INT) + CAST(partnership >= 50 AS INT) WHEN 3 THEN 'GOLDEN' WHEN 2 THEN 'SILVER' WHEN 1 THEN 'BRONZE' ELSE 'UNRANKED' END"
+
+
+def scouted(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    pick = lambda n, *x: F.element_at(F.array(*[F.lit(v) for v in x]), (n % len(x) + 1).cast("int"))
+    channels = table(spark, d, "customer").select(
+        k.alias("handle"), F.col("c_name").alias("name"), (k * 40).alias("subscribers"), F.when(k % 3 == 0, k + 5000).alias("ig_followers"), pick(F.col("c_nationkey"), "SPECIALIST", "MIXED", "GENERALIST").alias("niche_depth"),
+        (k % 70 / 100).alias("views_per_sub"), (k % 11 / 100).alias("likes_per_view"), (k % 101).alias("view_consistency"), F.when(k % 5 == 0, F.concat(F.lit("m"), k.cast("string"))).alias("email"), (k % 2 == 0).alias("collab"),
+        (k % 6 == 0).alias("business"), pick(k, "weekly", "biweekly", "monthly", "inactive").alias("posting_frequency"),
+    )
+    return R.scouted(channels, 500, 50_000, 50)
+
+
+@query(f"SELECT handle, reach, conversion, partnership, {SCOUT_TIER} AS tier FROM ({SCOUTED})")
+def p24_scout(spark: SparkSession, d: str) -> DataFrame:
+    return scouted(spark, d).select("handle", "reach", "conversion", "partnership", "tier")
+
+
+def reported(spark: SparkSession, d: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    rate = F.when(F.col("handle") % 4 != 0, F.col("handle") % 10 + 0.75)
+    return scouted(spark, d).withColumn("engagement_rate", rate).withColumn("youtube_url", F.concat(F.lit("https://v.example/"), F.col("handle").cast("string"))).withColumn("instagram_url", none).withColumn("website", none)
+
+
+@query(f"""SELECT handle, concat_ws(',', handle, name, {SCOUT_TIER}, reach, conversion, partnership, subscribers, coalesce(CAST(ig_followers AS VARCHAR), ''), CASE WHEN handle % 4 <> 0 THEN (handle % 10) || '.8' ELSE '' END, niche_depth,
+CASE WHEN views_per_sub = 0 THEN '0' ELSE CAST(views_per_sub AS VARCHAR) END, CASE WHEN likes_per_view = 0 THEN '0' ELSE CAST(likes_per_view AS VARCHAR) END, view_consistency, 'https://v.example/' || handle, '', coalesce(email, '')) AS line FROM ({SCOUTED})""")
+def k10_report_csv(spark: SparkSession, d: str) -> DataFrame:
+    return R.report_csv(reported(spark, d))
+
+
+@query(f"""SELECT handle, '| ' || concat_ws(' | ', CASE tier WHEN 'GOLDEN' THEN '🥇' WHEN 'SILVER' THEN '🥈' WHEN 'BRONZE' THEN '🥉' ELSE '⬜' END || ' ' || tier, handle, CASE WHEN subscribers >= 1000 THEN printf('%.1fK', subscribers / 1000.0) ELSE CAST(subscribers AS VARCHAR) END,
+CASE WHEN ig_followers IS NULL THEN '-' ELSE printf('%.1fK', round(ig_followers / 1000.0 + 1e-9, 1)) END, CASE WHEN handle % 4 <> 0 THEN (handle % 10) || '.8%' ELSE '-' END, niche_depth, printf('%.2f', views_per_sub), printf('%.3f', likes_per_view),
+view_consistency, reach, conversion, partnership, CASE WHEN email IS NOT NULL THEN '📧' WHEN business THEN '💼' ELSE '-' END) || ' |' AS line FROM (SELECT *, {SCOUT_TIER} AS tier FROM ({SCOUTED}))""")
+def k10_report_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return R.report_markdown(reported(spark, d))
+
+
+@query(f"SELECT count(*) AS total_found, {', '.join(f'count(*) FILTER (tier = {t!r}) AS {t.lower()}' for t in R.TIERS)} FROM (SELECT {SCOUT_TIER} AS tier FROM ({SCOUTED}))")
+def k10_tier_counts(spark: SparkSession, d: str) -> DataFrame:
+    return R.tier_counts(scouted(spark, d))
