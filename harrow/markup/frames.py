@@ -16,6 +16,15 @@ from harrow.session import ship
 
 def each(df: DataFrame, columns: list[str], kind: str | T.DataType, f: Callable, out: str) -> DataFrame:
     """``df`` with a column made from the values of ``columns`` in each row."""
+    return _made(df, columns, kind, lambda *lists: [f(*row) for row in zip(*lists, strict=True)], out)
+
+
+def each_batch(df: DataFrame, column: str, kind: str | T.DataType, f: Callable, out: str) -> DataFrame:
+    """``df`` with a column that ``f`` makes from a batch's list of values of ``column``."""
+    return _made(df, [column], kind, f, out)
+
+
+def _made(df: DataFrame, columns: list[str], kind: str | T.DataType, f: Callable, out: str) -> DataFrame:
     ship(df.sparkSession)
     made = T._parse_datatype_string(kind) if isinstance(kind, str) else kind
     schema = T.StructType([*df.schema.fields, T.StructField(out, made)])
@@ -26,7 +35,7 @@ def each(df: DataFrame, columns: list[str], kind: str | T.DataType, f: Callable,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [f(*row) for row in zip(*(batch.column(i).to_pylist() for i in at), strict=True)]
+            values = f(*(batch.column(i).to_pylist() for i in at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, arrow)], names=[x.name for x in schema.fields])
 
     return df.mapInArrow(run, schema)

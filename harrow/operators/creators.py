@@ -21,6 +21,24 @@ def average() -> Column:
     return (F.col("reach") + F.col("conversion") + F.col("partnership")) / 3
 
 
+def discovered(sources: list[DataFrame], key: str, name: str, order: str, most: int) -> DataFrame:
+    """(key, name): the channels that several searches found, each once under the name that came first, the first ``most`` of them.
+
+    A source comes before those after it; within one, ``order`` tells.
+    """
+    each = [s.select(key, name, F.struct(F.lit(i).alias("source"), F.col(order).alias("place")).alias("__at")) for i, s in enumerate(sources)]
+    every = each[0]
+    for s in each[1:]:
+        every = every.unionByName(s)
+    once = every.groupBy(key).agg(F.min_by(name, "__at").alias(name), F.min("__at").alias("__at"))
+    return once.orderBy("__at", key).limit(most).drop("__at")
+
+
+def enriched(channels: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Channels with what is known of them; what their own columns hold stays, unknown channels keep nulls."""
+    return channels.join(facts.select(key, *[c for c in facts.columns if c != key and c not in channels.columns]), key, "left")
+
+
 def scouted(channels: DataFrame, least: float, most: float, threshold: float) -> DataFrame:
     """Channels of a size within bounds that keep to a niche, scored by content, readiness and reach, and ranked by tier.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ ANCHORS = ("read more", "continue reading", "full article", "learn more", "view
 ANCHOR = r"""(?is)<a\s[^>]*href=["']([^"']*)["'][^>]*>(.*?)</a>"""
 
 
+PARTS = 16
+
+
 def either(patterns) -> str:
     return "(?i)" + "|".join(patterns)
 
@@ -48,10 +53,11 @@ def crawl(pages: DataFrame, edges: DataFrame, seed: DataFrame, max_pages: int, m
     """Best-first waves over a table of edges (src, dst, anchor, pos): (url, depth, wave, place).
 
     Every wave takes the ``batch`` best of the frontier (highest score, newest first among equals), then adds their unseen
-    same-origin targets. What is carried between waves is checkpointed, so a wave's plan doesn't grow with the crawl.
+    same-origin targets. What is carried between waves is checkpointed; the URLs seen are kept in parts, one a wave, which
+    are put together every ``PARTS`` waves, so neither a wave's plan nor what it writes grows with the crawl.
     """
     frontier = durable(seed.select("url", F.lit(0).alias("depth"), F.lit(200).alias("score"), sequence(0, F.lit(0), F.lit(""), F.lit(0), F.col("url"))))
-    seen, out, done, wave = frontier.select("url"), None, 0, 0
+    seen, out, done, wave = [frontier.select("url")], None, 0, 0
     while done < max_pages:
         take = durable(frontier.orderBy(F.col("score").desc(), F.col("seq").desc(), "url").limit(min(batch, max_pages - done)))
         n = take.count()
@@ -61,11 +67,13 @@ def crawl(pages: DataFrame, edges: DataFrame, seed: DataFrame, max_pages: int, m
         out = part if out is None else out.unionByName(part)
         done, wave = done + n, wave + 1
         found = take.where(F.col("depth") < max_depth).join(edges, F.col("url") == F.col("src")).where(U.same_origin(F.col("src"), F.col("dst")))
-        found = found.groupBy("dst").agg(F.min(F.struct("depth", "src", "pos", "anchor")).alias("m")).join(seen.withColumnRenamed("url", "dst"), "dst", "left_anti")
+        found = found.groupBy("dst").agg(F.min(F.struct("depth", "src", "pos", "anchor")).alias("m")).join(reduce(DataFrame.unionByName, seen).withColumnRenamed("url", "dst"), "dst", "left_anti")
         depth = F.col("m.depth") + 1
         seq = sequence(wave, F.col("m.depth"), F.col("m.src"), F.col("m.pos"), F.col("dst"))
         fresh = found.select(F.col("dst").alias("url"), depth.alias("depth"), score(F.col("dst"), depth, F.col("m.anchor")).alias("score"), seq)
         fresh = durable(fresh)
         frontier = durable(frontier.join(take.select("url"), "url", "left_anti").unionByName(fresh))
-        seen = durable(seen.unionByName(fresh.select("url")))
+        seen.append(fresh.select("url"))
+        if len(seen) > PARTS:
+            seen = [durable(reduce(DataFrame.unionByName, seen))]
     return out if out is not None else frontier.select("url", "depth", F.lit(0).alias("wave"), F.lit(0).alias("place")).limit(0)

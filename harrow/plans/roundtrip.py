@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from harrow.markup import frames as M
 from harrow.operators import graph as G
+from harrow.operators import recipes
 from harrow.plans.registry import query
 from harrow.session import passing, shared_dir, table
 from harrow.sources import urls as S
@@ -296,3 +297,30 @@ def c01_signature(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "nation").select("n_nationkey", html.alias("html"))
     raw = M.with_signature(pages.where("n_nationkey % 2 = 0"), "content")
     return raw.unionByName(M.with_signature(pages.where("n_nationkey % 2 = 1"), "markdown")).select("n_nationkey", "signature")
+
+
+@query("""SELECT p_partkey, 'T&' || p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN 'about ' || p_type END AS meta_description, CASE WHEN p_partkey % 3 = 0 THEN 'https://a.example/' || p_partkey END AS canonical, p_brand AS h1,
+CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS og_title, CASE p_partkey % 7 WHEN 0 THEN 'noindex' END AS robots, 'utf-8' AS charset, NULL::VARCHAR AS twitter_card FROM part""")
+def j06_seo_page_audit(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    head = cat("<!doctype html><html><head><meta charset=utf-8><title>T&amp;", esc("p_name"), "</title>", F.when(k % 2 == 0, cat('<meta name="description" content="about ', esc("p_type"), '">')).otherwise(""),
+               F.when(k % 3 == 0, cat('<link rel="canonical" href="https://a.example/', k.cast("string"), '">')).otherwise(""), F.when(k % 5 != 0, cat('<meta property="og:title" content="', esc("p_name"), '">')).otherwise(""),
+               F.when(k % 7 == 0, '<meta name="robots" content="noindex">').otherwise(""))
+    page = cat(head, "</head><body><h1> ", esc("p_brand"), " </h1><h1>second</h1></body></html>")
+    out = recipes.seo_page_audit(table(spark, d, "part").select("p_partkey", page.alias("html")), "p_partkey")
+    return out.select("p_partkey", "title", "meta_description", "canonical", "h1", "og_title", "robots", "charset", "twitter_card")
+
+
+@query("""SELECT doc_id, doc_id % 3 = 0 AS "cut", CASE WHEN doc_id % 10 = 0 THEN 'ValueError: no' END AS error, CASE WHEN doc_id % 10 <> 0 THEN doc_id END AS id FROM documents""")
+def h34_extracted(spark: SparkSession, d: str) -> DataFrame:
+    """A model of the caller's reads an id off each text; it fails on some, and on their batches."""
+
+    def model(texts: list[str]) -> list[str]:
+        if any(x.startswith("0:") for x in texts):
+            raise ValueError("no")
+        return ["Sure: ```json\n" + '{"id": ' + x.split(":")[1] + "}\n```" for x in texts]
+
+    k = F.col("doc_id").cast("string")
+    text = cat((F.col("doc_id") % 10).cast("string"), ":", k, ":", F.when(F.col("doc_id") % 3 == 0, F.repeat(F.lit("x"), F.lit(100))).otherwise(""))
+    out = recipes.extracted(table(spark, d, "documents").select("doc_id", text.alias("t")), "t", model, "id long", most=50)
+    return out.select("doc_id", F.col("extracted.truncated").alias("cut"), "extracted.error", "extracted.value.id")

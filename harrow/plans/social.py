@@ -171,13 +171,16 @@ def p26_tier_counts(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).withColumn("tier", S.tier([F.col(k) for k in S.WEIGHTS], 60)).groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("best"))
 
 
-@query("""WITH u AS (SELECT s_suppkey % 40 AS channel, s_name AS name, 1 AS src, s_suppkey AS k FROM supplier UNION ALL SELECT c_custkey % 70, c_name, 2, c_custkey FROM customer)
-SELECT channel, name FROM (SELECT channel, arg_min(name, (src, k)) AS name FROM u GROUP BY channel) ORDER BY channel LIMIT 40""")
+@query("""WITH u AS (SELECT s_suppkey % 40 AS channel, s_name AS name, 1 AS src, s_suppkey AS k FROM supplier UNION ALL SELECT c_custkey % 70, c_name, 2, c_custkey FROM customer),
+f AS (SELECT channel, arg_min(name, (src, k)) AS name, min((src, k)) AS place FROM u GROUP BY channel ORDER BY place, channel LIMIT 50)
+SELECT channel, name, n, CASE WHEN n >= 1 THEN 'known' ELSE 'new' END AS state FROM f LEFT JOIN (SELECT p_size AS channel, count(*) AS n FROM part WHERE p_size % 3 = 0 GROUP BY p_size) USING (channel)""")
 def p25_discovery(spark: SparkSession, d: str) -> DataFrame:
-    """Sources united, one row a channel (the first name wins), capped."""
-    a = table(spark, d, "supplier").select((F.col("s_suppkey") % 40).alias("channel"), F.col("s_name").alias("name"), F.lit(1).alias("src"), F.col("s_suppkey").alias("k"))
-    b = table(spark, d, "customer").select((F.col("c_custkey") % 70).alias("channel"), F.col("c_name").alias("name"), F.lit(2).alias("src"), F.col("c_custkey").alias("k"))
-    return a.unionByName(b).groupBy("channel").agg(F.min_by("name", F.struct("src", "k")).alias("name")).orderBy("channel").limit(40)
+    """Sources united, one row a channel (the first name wins), capped, then enriched."""
+    a = table(spark, d, "supplier").select((F.col("s_suppkey") % 40).alias("channel"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("k"))
+    b = table(spark, d, "customer").select((F.col("c_custkey") % 70).alias("channel"), F.col("c_name").alias("name"), F.col("c_custkey").alias("k"))
+    facts = table(spark, d, "part").where("p_size % 3 = 0").groupBy(F.col("p_size").cast("long").alias("channel")).agg(F.count(F.lit(1)).alias("n"), F.lit("x").alias("name"))
+    found = R.enriched(R.discovered([a, b], "channel", "name", "k", 50), facts, "channel")
+    return found.select("channel", "name", "n", F.when(F.col("n") >= 1, "known").otherwise("new").alias("state"))
 
 
 SCOUTED = """SELECT c_custkey AS handle, c_name AS name, least(100, a) AS reach, least(100, b) AS conversion, least(100, c) AS partnership, subscribers, ig_followers, niche_depth, views_per_sub, likes_per_view, view_consistency, email, collab, business FROM

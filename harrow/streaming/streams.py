@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from harrow.session import shared_dir, ship
+from harrow.session import passing, shared_dir, ship
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -22,18 +22,16 @@ def events(spark: SparkSession, folder: str, files: str = "events*.parquet") ->
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Everything that is there, run through the stream once. Appended rows go to files in the shared folder; whole results to memory."""
+    """Everything that is there, run through the stream once into files of the shared folder; whole results take the place of earlier ones."""
     spark = stream.sparkSession
-    name = f"s{uuid.uuid4().hex}"
-    root = f"{shared_dir(spark)}/{name}"
+    root = passing(spark, f"{shared_dir(spark)}/s{uuid.uuid4().hex}")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
     if mode == "append":
-        q = writer.format("parquet").option("path", f"{root}/rows").start()
-        q.awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{root}/rows")
-    q = writer.format("memory").queryName(name).start()
-    q.awaitTermination()
-    return spark.table(name)
+        writer = writer.format("parquet").option("path", f"{root}/rows")
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{root}/rows"))
+    writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
 def window_counts(stream: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:

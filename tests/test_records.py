@@ -117,3 +117,31 @@ def test_payloads_and_pretty_json(spark):
     value = {"a": 'x" : y\\', "b": None, "c": {"d": 1}}
     made = spark.createDataFrame([(value["a"], None, (1,))], "a string, b string, c struct<d:int>")
     assert sinks.pretty_json(made).first()["text"] == json.dumps(value, indent=2)
+
+
+def test_discovered_first_name_wins(spark):
+    a = spark.createDataFrame([(1, "a", 2), (2, "b", 1)], "id int, name string, at int")
+    b = spark.createDataFrame([(2, "late", 0), (3, "c", 0), (None, "n", 5)], "id int, name string, at int")
+    assert [tuple(r) for r in creators.discovered([a, b], "id", "name", "at", 3).collect()] == [(2, "b"), (1, "a"), (3, "c")]
+
+
+def test_extracted_keeps_errors_to_their_text(spark):
+    from harrow.operators import recipes
+
+    def model(texts):
+        if "bad" in texts:
+            raise ValueError("no")
+        return ['{"n": %d}' % len(x) if x != "words" else "none" for x in texts]
+
+    rows = spark.createDataFrame([(1, "abc"), (2, "bad"), (3, None), (4, "words"), (5, "x" * 99), (6, "")], "id int, t string").repartition(1)
+    got = {r["id"]: r["extracted"] for r in recipes.extracted(rows, "t", model, "n int", most=10).collect()}
+    assert (got[1].value.n, got[1].error) == (3, None) and got[2].error == "ValueError: no" and got[3] is None
+    assert got[4].error == "no JSON in the answer" and (got[5].value.n, got[5].truncated) == (10, True) and got[6].value.n == 0
+
+
+def test_seo_audit_of_empty_pages(spark):
+    from harrow.operators import recipes
+
+    rows = spark.createDataFrame([("a", ""), ("b", None), ("c", "<title>x")], "url string, html string")
+    got = {r["url"]: r for r in recipes.seo_page_audit(rows).collect()}
+    assert len(got) == 3 and got["a"].title is None and got["b"].h1 is None and got["c"].title == "x"
