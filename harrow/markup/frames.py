@@ -99,6 +99,11 @@ def with_media(df: DataFrame, html: str = "html", base: str = "url", out: str =
     return each(df, [html, base], "array<struct<kind:string,url:string>>", _guard(lambda x, b: [{"kind": k, "url": u} for k, u in read.media(x, b or "")]), out)
 
 
+def with_images(df: DataFrame, html: str = "html", base: str = "url", out: str = "images") -> DataFrame:
+    kind = "array<struct<url:string,alt:string,width:int,height:int,selector:string,source:string>>"
+    return each(df, [html, base], kind, _guard(lambda x, b: read.images(x, b or "")), out)
+
+
 def with_script_json(df: DataFrame, name: str, html: str = "html", out: str = "json") -> DataFrame:
     return each(df, [html], "string", _guard(lambda x: read.script_json(x, name)), out)
 

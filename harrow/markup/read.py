@@ -296,15 +296,104 @@ def media(html: str, base: str) -> list[tuple[str, str]]:
     return out
 
 
+# What a URL of an image ends with, and the keys of structured data that hold images.
+IMAGE_ENDS = r"\.(?:jpg|jpeg|png|gif|webp|svg|avif|bmp)"
+IMAGE_KEYS = ("image", "images", "thumbnailUrl")
+BACKGROUND = re.compile(r"""background-image\s*:\s*url\(["']?([^"')]+)["']?\)""", re.I)
+IMAGE_URL = re.compile(rf"^https?://.*{IMAGE_ENDS}(?:\?|$)", re.I | re.S)
+IMAGE_IN_TEXT = re.compile(rf"""https?://[^\s"'<>]+{IMAGE_ENDS}(?:\?[^\s"'<>]*)?""", re.I)
+LAZY = ("src", "data-src", "data-lazy-src")
+
+
+def _srcset(text: str) -> list[str]:
+    return [part.split()[0] for part in text.split(",") if part.strip()]
+
+
+def _selector(n: Node) -> str:
+    return f"#{n.attrs['id']}" if n.attrs.get("id") else ".".join((n.name, *n.classes()))
+
+
+def _stated_images(data) -> list[tuple[str, str]]:
+    """(URL, name) of the images that a JSON-LD value names, level by level."""
+    found, todo = [], [data]
+    while todo:
+        v = todo.pop(0)
+        if isinstance(v, str) and IMAGE_URL.match(v):
+            found.append((v, ""))
+        elif isinstance(v, list):
+            todo[:0] = v
+        elif isinstance(v, dict):
+            content = v.get("contentUrl")
+            if isinstance(content, str) and re.search(IMAGE_ENDS + r"(?:\?|$)", content, re.I):
+                found.append((content, str(v.get("name") or "")))
+            found += [(x, "") for x in v.values() if isinstance(x, str) and IMAGE_URL.match(x)]
+            todo[:0] = [v[k] for k in IMAGE_KEYS if v.get(k)]
+    return found
+
+
+def images(html: str, base: str) -> list[dict]:
+    """url, alt, width, height, selector and source of a page's images, as far as they can be found without a browser.
+
+    Sources, in this order: img, picture, background-inline, background-css, jsonld, inline-script; a URL counts once. The
+    sizes are those that the page states, 0 where it states none.
+    """
+    root = parse(html)
+    found: dict[str, dict] = {}
+
+    def add(url: str | None, source: str, selector: str, n: Node | None = None, alt: str = "") -> None:
+        if url and url not in found:
+            size = {k: int(n.attrs[k]) if n is not None and n.attrs.get(k, "").isdecimal() else 0 for k in ("width", "height")}
+            found[url] = {"url": url, "alt": n.attrs.get("alt", "") if n is not None else alt, **size, "selector": selector, "source": source}
+
+    def full(href: str | None) -> str | None:
+        if not href or href.startswith("data:"):
+            return None
+        try:
+            return urljoin(base, href.strip())
+        except ValueError:
+            return None
+
+    for n in select(root, "img"):
+        shown = next((n.attrs[k] for k in LAZY if n.attrs.get(k)), None)
+        for href in (shown, *_srcset(n.attrs.get("srcset") or n.attrs.get("data-srcset", ""))):
+            add(full(href), "img", _selector(n), n)
+    for n in select(root, "picture source"):
+        top = n
+        while top.name != "picture":
+            top = top.parent
+        for href in _srcset(n.attrs.get("srcset") or n.attrs.get("data-srcset", "")):
+            add(full(href), "picture", _selector(top))
+    for n in select(root, "[style]"):
+        if m := BACKGROUND.search(n.attrs["style"]):
+            add(full(m[1]), "background-inline", _selector(n))
+    for n in select(root, "style"):
+        for m in BACKGROUND.finditer(n.text()):
+            add(full(m[1]), "background-css", "<style>")
+    for n in select(root, 'script[type="application/ld+json"]'):
+        try:
+            stated = _stated_images(json.loads(n.text() or "{}"))
+        except (ValueError, RecursionError):
+            stated = []
+        for url, name in stated:
+            add(url, "jsonld", "<json-ld>", alt=name)
+    for n in select(root, "script"):
+        if "src" not in n.attrs:
+            for m in IMAGE_IN_TEXT.finditer(n.text()):
+                add(m[0], "inline-script", "<inline-script>")
+    return list(found.values())
+
+
 # Class and id words for and against article text.
 AGAINST = re.compile(r"banner|breadcrumb|combx|comment|community|cover-wrap|disqus|extra|footer|gdpr|header|legends|menu|related|remark|replies|rss|shoutbox|sidebar|skyscraper|social|sponsor|supplemental|ad-break|agegate|pagination|pager|popup|newsletter", re.I)
 FOR = re.compile(r"article|body|column|content|main|shadow|post|text|story|entry", re.I)
 
 
 def readable(root: Node, least: float = 20, size: int = 140) -> bool:
-    """Whether enough long paragraphs are there for an article."""
+    """Whether enough long paragraphs are there for an article; blocks broken by br count as paragraphs, those of lists don't."""
     score = 0.0
-    for n in select(root, "p, pre, article"):
+    broken = {id(b.parent): b.parent for b in select(root, "div > br")}
+    listed = {id(p) for p in select(root, "li p")}
+    for n in [*(p for p in select(root, "p, pre, article") if id(p) not in listed), *broken.values()]:
         mark = " ".join((n.attrs.get("class", ""), n.attrs.get("id", "")))
         if AGAINST.search(mark) and not FOR.search(mark):
             continue

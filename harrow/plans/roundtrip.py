@@ -174,6 +174,30 @@ def h20_images(spark: SparkSession, d: str) -> DataFrame:
     return M.with_media(s).select("s_suppkey", F.explode("media").alias("m")).where("m.kind = 'image'").groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""SELECT s_suppkey, 'https://m.example/' || f || s_suppkey || '.png' AS url, CASE WHEN f = 'a' THEN s_name WHEN f = 'j' THEN 'photo' ELSE '' END AS alt, CASE WHEN f = 'a' THEN s_nationkey ELSE 0 END AS width, source, selector
+FROM supplier, (VALUES ('a', 'img', 'img.big.one'), ('b', 'img', 'img.big.one'), ('l', 'img', '#lazy'), ('p', 'picture', 'picture.p'), ('s', 'background-inline', 'div'), ('c', 'background-css', '<style>'), ('j', 'jsonld', '<json-ld>'), ('i', 'jsonld', '<json-ld>'),
+('w', 'inline-script', '<inline-script>')) t(f, source, selector) WHERE f <> 'b' OR s_suppkey % 2 = 0 ORDER BY ALL""".replace("f = 'a' THEN s_name", "f IN ('a', 'b') THEN s_name").replace("f = 'a' THEN s_nationkey", "f IN ('a', 'b') THEN s_nationkey"))
+def h20_image_sources(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey").cast("string")
+    at = lambda name: cat("https://m.example/", name, k, ".png")
+    html = cat("<style>.x { color: red; background-image: url('", at("c"), "') }</style><img class='big one' alt='", esc("s_name"), "' width='", F.col("s_nationkey").cast("string"), "' src='/a", k, ".png'",
+               F.when(F.col("s_suppkey") % 2 == 0, cat(" srcset='a", k, ".png 1x, b", k, ".png 2x'")).otherwise(""), "><img id=lazy data-src='l", k, ".png'><img src='data:image/png;base64,x'><picture class=p><source data-srcset='p", k, ".png 2x'></picture>",
+               "<div style=\"background-image: url(s", k, '.png)"></div><script type="application/ld+json">[{"image": {"contentUrl": "', at("j"), '", "name": "photo"}}, {"x": "', at("i"), '", "y": "https://m.example/page"}]</script>',
+               "<script>var state = {src: '", at("w"), "', again: '", at("a"), "'}</script><script src='", at("never"), "'></script>")
+    s = table(spark, d, "supplier").select("s_suppkey", html.alias("html"), F.lit("https://m.example/page").alias("url"))
+    return M.with_images(s).select("s_suppkey", F.inline("images")).drop("height")
+
+
+@query("SELECT p_partkey, p_size % 9 >= 3 AND p_partkey % 5 > 1 AS readable FROM part")
+def h14_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs of 240 characters, three of which make a page readable, in an article, in a list or marked as remarks."""
+    p = F.repeat(cat("<p>", F.repeat(F.lit("words, yes. "), F.lit(20)), "</p>"), (F.col("p_size") % 9).cast("int"))
+    k = F.col("p_partkey") % 5
+    html = F.when(k == 0, cat("<ul><li>", p, "</li></ul>")).when(k == 1, F.replace(p, F.lit("<p>"), F.lit("<p class=remark>"))).when(k == 2, F.replace(p, F.lit("<p>"), F.lit("<p class='remark text'>"))).otherwise(p)
+    pages = table(spark, d, "part").select("p_partkey", cat("<body><div>", html, "</div></body>").alias("html"))
+    return M.with_article(pages, gate=True).select("p_partkey", F.col("article").isNotNull().alias("readable"))
+
+
 @query("SELECT p_partkey, p_size AS width FROM part WHERE p_size BETWEEN 10 AND 30 AND regexp_matches(p_type, '(?i)a')")
 def h21_image_filter(spark: SparkSession, d: str) -> DataFrame:
     i = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("width"), F.col("p_type").alias("alt"))

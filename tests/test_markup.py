@@ -81,3 +81,16 @@ def test_deep_pages():
     page = "<div>" * 5000 + "<p>deep <b>text</b></p>" + "</div>" * 5000 + "<p>after</p>"
     assert read.to_markdown(page).split("\n\n") == ["deep text", "after"]
     assert "x" in read.to_markdown("<ul><li>" * 3000 + "x") and "x" in read.to_markdown("<b><i>" * 3000 + "x")
+
+
+def test_images_of_odd_pages():
+    assert read.images("", "https://a.example/") == []
+    assert read.images("<img src='http://[bad'><img src=''><style>x{background-image:url(a.png)}</style>", "https://a.example/b/")[0]["url"] == "https://a.example/b/a.png"
+    deep = "[" * 50_000 + "]" * 50_000
+    assert read.images(f'<script type="application/ld+json">{deep}</script><script type="application/ld+json">{{no</script>', "") == []
+
+
+def test_paragraphs_of_lists_make_no_article():
+    text = "<p>" + "words and " * 60 + "</p>"
+    assert read.readable(read.parse(f"<div>{text}</div>")) and not read.readable(read.parse(f"<ul><li>{text}</li></ul>"))
+    assert read.readable(read.parse("<div>" + "words and " * 60 + "<br>more</div>"))
