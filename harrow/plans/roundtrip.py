@@ -150,13 +150,16 @@ def h02_markdown(spark: SparkSession, d: str) -> DataFrame:
     return M.with_markdown(g.select("n_regionkey", html.alias("html"))).select("n_regionkey", "markdown")
 
 
-@query("SELECT doc_id, lang AS title, true AS has_text FROM documents WHERE length(text) > 3000")
+@query("""SELECT p_brand, 'All of ' || p_brand AS title, 'by ' || p_brand AS byline, '2024-01-02' AS published,
+'# All of ' || p_brand || chr(10) || chr(10) || string_agg('Part ' || p_partkey || ' is ' || p_name || ', and it is sold, now and then, in size ' || p_size, chr(10) || chr(10) ORDER BY p_partkey) AS content FROM part GROUP BY p_brand""")
 def h14_article(spark: SparkSession, d: str) -> DataFrame:
-    ps = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("<p>"), esc(x))), "")
-    docs = table(spark, d, "documents").where("length(text) > 3000")
-    html = cat("<body><nav><a href=/>home</a></nav><article><h1>", esc("lang"), "</h1>", ps, "<p>, , , , , ", esc(F.regexp_replace("text", "\n", " ")), "</article><div class=comments><p>nice, nice, nice, nice and a long comment</div>")
-    out = M.with_article(docs.select("doc_id", html.alias("html")), gate=False)
-    return out.select("doc_id", "article.title", (F.length("article.content") > 50).alias("has_text"))
+    """A brand's parts as an article among a menu, a byline and comments."""
+    p = cat("<p>Part ", esc("p_partkey"), " is ", esc("p_name"), ", and it is sold, now and then, in size ", esc("p_size"), "</p>")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", p.alias("p")))), lambda x: x["p"]), "")
+    html = cat("<head><meta property='article:published_time' content='2024-01-02'></head><body><nav><a href=/>home</a></nav><div class=byline>by ", esc("p_brand"), "</div><article><h1>All of ", esc("p_brand"), "</h1>", body,
+               "</article><div class=comments><p>nice, nice, nice, nice and a long comment</div>")
+    pages = table(spark, d, "part").groupBy("p_brand").agg(html.alias("html"))
+    return recipes.news_article(pages, "p_brand").drop("site_name")
 
 
 @query("SELECT s_suppkey, 'https://m.example/' || s_suppkey || '/' || f AS url FROM supplier, (VALUES ('og.png'), ('a.jpg'), ('b.jpg'), ('lazy.gif'), ('bg.png'), ('v.mp4')) t(f)")
@@ -296,10 +299,10 @@ def s17_search_results(spark: SparkSession, d: str) -> DataFrame:
     return out.select("s_suppkey", "i.title", F.url_decode(F.regexp_extract("i.url", "uddg=([^&]*)", 1)).alias("url"))
 
 
-@query("WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey * 3 + k AS dst FROM part, (VALUES (1), (2)) t(k) WHERE p_partkey * 3 + k <= 400), r AS (SELECT CAST(1 AS BIGINT) AS n, 0 AS depth UNION ALL SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.n WHERE r.depth < 3) SELECT 'https://x.example/n/' || n AS url, depth FROM r")
+@query("WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey * 3 + k AS dst FROM part, (VALUES (1), (2)) t(k)), r AS (SELECT CAST(1 AS BIGINT) AS n, 0 AS depth UNION ALL SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.n WHERE r.depth < 3) SELECT 'https://x.example/n/' || n AS url, depth FROM r")
 def g02_crawl(spark: SparkSession, d: str) -> DataFrame:
     """Every page within three links of a seed, in best-first waves over a tree of links."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("n"), F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).where("n * 3 + k <= 400")
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("n"), F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
     at = lambda c: cat("https://x.example/n/", c.cast("string"))
     edges = p.select(at(F.col("n")).alias("src"), at(F.col("n") * 3 + F.col("k")).alias("dst"), F.lit("").alias("anchor"), F.col("k").alias("pos"))
     seed = spark.createDataFrame([("https://x.example/n/1",)], "url string")
