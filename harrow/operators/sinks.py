@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,3 +47,14 @@ def write_snapshot(df: DataFrame, root: str, version: int) -> str:
     path = f"{root.rstrip('/')}/v={version}"
     df.write.mode("errorifexists").parquet(path)
     return path
+
+
+def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    """The newest snapshot that was written whole; one without its success mark is not there yet."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
+    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = files.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top, "v=*/_SUCCESS")) or []
+    versions = [int(f.getPath().getParent().getName()[2:]) for f in whole]
+    if not versions:
+        raise FileNotFoundError(f"no snapshot below {root}")
+    return spark.read.parquet(f"{root.rstrip('/')}/v={max(versions)}")

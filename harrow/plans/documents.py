@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from harrow.operators import listings as P
 from harrow.operators import sinks as K
 from harrow.plans.registry import doubles, query
 from harrow.plans.roundtrip import cat
-from harrow.session import table
+from harrow.session import passing, shared_dir, table
 
 
 @query("""SELECT user_id, line, string_agg(CAST(event_id AS VARCHAR), ' ' ORDER BY event_id) AS text FROM (SELECT *, CAST(sum(CAST(fresh AS INT)) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS line FROM
@@ -265,3 +267,12 @@ def p27_normalise_records(spark: SparkSession, d: str) -> DataFrame:
     kinds = {"v": "video", "o": "post", "p": "profile", "i": "photos"}
     r = table(spark, d, "part").select("p_partkey", j.alias("j")).select("p_partkey", *[R.normalised(F.col("j"), kind).alias(a) for a, kind in kinds.items()])
     return r.select("p_partkey", "v.title", "v.views", "o.score", "p.name", "p.subscribers", "p.verified", "i.followers")
+
+
+@query("SELECT n_nationkey, n_name || '!' AS n_name FROM nation")
+def k11_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Two snapshots of a table, of which readers see the second."""
+    n, root = table(spark, d, "nation").select("n_nationkey", "n_name"), passing(spark, f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}")
+    K.write_snapshot(n, root, 9)
+    K.write_snapshot(n.select("n_nationkey", cat(F.col("n_name"), "!").alias("n_name")), root, 10)
+    return K.read_snapshot(spark, root)

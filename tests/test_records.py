@@ -145,3 +145,14 @@ def test_seo_audit_of_empty_pages(spark):
     rows = spark.createDataFrame([("a", ""), ("b", None), ("c", "<title>x")], "url string, html string")
     got = {r["url"]: r for r in recipes.seo_page_audit(rows).collect()}
     assert len(got) == 3 and got["a"].title is None and got["b"].h1 is None and got["c"].title == "x"
+
+
+def test_snapshot_without_a_mark_is_not_seen(spark, tmp_path):
+    root = f"file://{tmp_path}/state"
+    with pytest.raises(FileNotFoundError):
+        sinks.read_snapshot(spark, root)
+    for v in (9, 10):
+        sinks.write_snapshot(spark.range(v), root, v)
+    assert sinks.read_snapshot(spark, root).count() == 10
+    (tmp_path / "state" / "v=10" / "_SUCCESS").unlink()
+    assert sinks.read_snapshot(spark, root).count() == 9
