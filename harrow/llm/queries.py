@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from harrow.llm import chat_format, decontamination, html_text, language_id, quality_model, quality_rules, secret_scan, sentence_pieces, similarity_join, token_counts
+from harrow.llm import chat_format, collocations, decontamination, filter_audit, html_text, language_id, quality_model, quality_rules, secret_scan, sentence_pieces, similarity_join, token_counts, toxicity
 from harrow.session import table
 
 
@@ -50,13 +51,28 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.predict(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.withColumn("n_passages", F.size("passages").cast("long")).drop("passages")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_model, op2_token_counts, op3_similarity_join, op4_chat_format, op5_quality_rules, op6_html_text, op7_decontamination, op8_language_id,
-        op9_sentence_pieces, op10_secret_scan,
+        op9_sentence_pieces, op10_secret_scan, op11_toxicity, op12_collocations, op13_filter_audit,
     )
 }
 SQL: dict[str, str] = {
     "op3_similarity_join": similarity_join.SQL, "op4_chat_format": chat_format.SQL, "op5_quality_rules": quality_rules.SQL, "op7_decontamination": decontamination.SQL,
+    "op12_collocations": collocations.SQL, "op13_filter_audit": filter_audit.SQL,
 }
