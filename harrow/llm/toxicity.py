@@ -41,7 +41,7 @@ from harrow.llm import arrays as A
 from harrow.session import durable, ship
 
 STEM = 4
-MASS, COST = 10.0, 0.2
+MASS, COST = 10.0, 0.4
 LEAST = 3
 IDS, BYTES, LONGEST = 200_000, 24 << 20, 1 << 20
 EXPECTED = 0.05
