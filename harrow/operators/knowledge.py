@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harrow.operators.scans import PER_CHUNK, busy_breakers
+
 ALPHA = 0.3
 NEVER, LONG_AGO = 2000, 30
 
@@ -101,6 +103,13 @@ def prune(known: DataFrame, key: str, now: Column, most: int = NEVER, days: int
     return fresh.orderBy(F.col("last_updated").desc(), key).limit(most)
 
 
+def breakers(events: DataFrame, key: str, order: list[str], at: str, ok: str, fails: int = 5, wait: float = 60.0, probes: int = 3, per_chunk: int = PER_CHUNK) -> DataFrame:
+    """As ``circuit``, with the events of keys that have more than ``per_chunk`` of them in chunks of many tasks."""
+    n = events.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > per_chunk).select(key)
+    rest = circuit(events.join(n, key, "left_anti"), key, order, at, ok, fails, wait, probes)
+    return rest.unionByName(busy_breakers(events.join(n, key, "left_semi"), key, order, at, ok, fails, wait, probes, per_chunk))
+
+
 def circuit(events: DataFrame, key: str, order: list[str], at: str, ok: str, fails: int = 5, wait: float = 60.0, probes: int = 3) -> DataFrame:
     """(key, state, failures, opened) of each key's breaker after its events, as a fold in order. ``at``: seconds.
 

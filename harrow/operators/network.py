@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harrow.operators.scans import PER_CHUNK, queue_pairs
+
 # Static files, trackers and header prefixes that are noise.
 STATIC = r"(?i)\.(js|css|png|jpg|jpeg|gif|svg|ico|woff|woff2|ttf|eot|map)(\?|$)"
 TRACKERS = (
@@ -46,12 +48,16 @@ def query_params(url: Column) -> Column:
     return F.str_to_map(F.regexp_extract(url, r"\?([^#]*)", 1), F.lit("&"), F.lit("="))
 
 
-def pair_requests(requests: DataFrame, responses: DataFrame, url: str, at: str) -> DataFrame:
-    """(url, request, response, duration): the n-th response of a URL answers its n-th request."""
-    w = Window.partitionBy(url).orderBy(at, "id")
-    a = requests.select(url, F.col("id").alias("request"), F.col(at).alias("t0"), F.row_number().over(w).alias("k"))
-    b = responses.select(url, F.col("id").alias("response"), F.col(at).alias("t1"), F.row_number().over(w).alias("k"))
-    return a.join(b, [url, "k"], "left").select(url, "request", "response", (F.col("t1") - F.col("t0")).alias("duration"))
+def pair_requests(requests: DataFrame, responses: DataFrame, url: str, at: str, per_chunk: int = PER_CHUNK) -> DataFrame:
+    """(url, request, response, duration): a response answers the oldest request of its URL that has none by then.
+
+    A response when no request is outstanding is dropped; at one instant requests come first, then the order of ids.
+    """
+    log = requests.select(url, F.col("id"), F.col(at), F.lit(True).alias("__asks")).unionByName(responses.select(url, F.col("id"), F.col(at), F.lit(False).alias("__asks")))
+    log = queue_pairs(log.withColumn("__last", ~F.col("__asks")), url, at, [at, "__last", "id"], "__asks", per_chunk)
+    a = log.where("__asks").select(url, "__k", F.col("id").alias("request"), F.col(at).alias("t0"))
+    b = log.where("not __asks and __k is not null").select(url, "__k", F.col("id").alias("response"), F.col(at).alias("t1"))
+    return a.join(b, [url, "__k"], "left").select(url, "request", "response", (F.col("t1") - F.col("t0")).alias("duration"))
 
 
 def socket_summary(messages: DataFrame, connection: str, order: list[str], most: int) -> DataFrame:

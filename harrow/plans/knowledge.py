@@ -112,7 +112,7 @@ FROM (SELECT r.user_id, e.k, r.state, r.bad, r.probes, r.since, r.opened, e.t, e
 
 def breakers(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").cast("double").alias("t"), (F.col("event_id") % 4 == 0).alias("good"))
-    return K.circuit(e.withColumn("at", F.col("t")), "user_id", ["t", "event_id"], "at", "good")
+    return K.breakers(e.withColumn("at", F.col("t")), "user_id", ["t", "event_id"], "at", "good")
 
 
 @query(f"{FSM} SELECT user_id, arg_max(state, k) AS state, arg_max(bad, k) AS failures, arg_max(opened, k) AS opened FROM r GROUP BY user_id")
@@ -120,6 +120,13 @@ def a09_circuit_breaker(spark: SparkSession, d: str) -> DataFrame:
     return breakers(spark, d)
 
 
+@query(f"{FSM.replace('user_id', 'event_type')} SELECT event_type, arg_max(state, k) AS state, arg_max(bad, k) AS failures, arg_max(opened, k) AS opened FROM r GROUP BY event_type")
+def a09_busy_breakers(spark: SparkSession, d: str) -> DataFrame:
+    """A few keys with all events, each key's in chunks."""
+    e = table(spark, d, "events").select("event_type", "event_id", F.col("ts").cast("timestamp").cast("double").alias("t"), (F.col("event_id") % 4 == 0).alias("good"))
+    return K.breakers(e.withColumn("at", F.col("t")), "event_type", ["t", "event_id"], "at", "good", per_chunk=400)
+
+
 @query(f"{FSM} SELECT user_id % 20 AS host, count(*) FILTER (state = 'open') AS open_circuits, count(*) FILTER (state = 'open') >= 3 AS blocked FROM (SELECT user_id, arg_max(state, k) AS state FROM r GROUP BY user_id) GROUP BY user_id % 20")
 def a10_domain_circuit(spark: SparkSession, d: str) -> DataFrame:
     b = breakers(spark, d).groupBy((F.col("user_id") % 20).alias("host")).agg(F.count_if(F.col("state") == "open").alias("open_circuits"))

@@ -53,14 +53,27 @@ def n05_params_and_preview(spark: SparkSession, d: str) -> DataFrame:
     return l.select("event_id", F.try_element_at(N.query_params(F.col("url")), F.lit("a")).alias("a"), F.substring("props", 1, 5).alias("preview"))
 
 
-@query("""WITH e AS (SELECT user_id % 30 AS url, event_id AS id, epoch(ts) AS t, event_id % 2 = 0 AS req FROM events),
-a AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY t, id) AS k FROM e WHERE req), b AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY t, id) AS k FROM e WHERE NOT req)
-SELECT a.url, a.id AS request, b.id AS response, b.t - a.t AS duration FROM a LEFT JOIN b USING (url, k)""")
+PAIRED = """WITH RECURSIVE e AS (SELECT {url} AS url, event_id AS id, epoch(ts) AS t, event_id % 2 = 0 AS req FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY t, NOT req, id) AS i FROM e),
+q AS (SELECT url, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS waiting, false AS hit FROM (SELECT DISTINCT url FROM e)
+UNION ALL SELECT q.url, o.i, CASE WHEN req THEN waiting + 1 ELSE greatest(waiting - 1, 0) END, NOT req AND waiting > 0 FROM q JOIN o ON o.url = q.url AND o.i = q.i + 1),
+a AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY i) AS k FROM o WHERE req), b AS (SELECT o.*, row_number() OVER (PARTITION BY o.url ORDER BY o.i) AS k FROM o JOIN q USING (url, i) WHERE hit)
+SELECT a.url, a.id AS request, b.id AS response, b.t - a.t AS duration FROM a LEFT JOIN b USING (url, k)"""
+
+
+@query(PAIRED.format(url="user_id % 30"))
 def s14_request_pairs(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select((F.col("user_id") % 30).alias("url"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").cast("double").alias("t"))
     return N.pair_requests(e.where("id % 2 = 0"), e.where("id % 2 = 1"), "url", "t")
 
 
+@query(PAIRED.format(url="event_type"))
+def s14_busy_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """A few URLs with all requests, each URL's log in chunks."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("url"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").cast("double").alias("t"))
+    return N.pair_requests(e.where("id % 2 = 0"), e.where("id % 2 = 1"), "url", "t", per_chunk=500)
+
+
 @query("""SELECT c.user_id, coalesce(sent, 0) AS sent, coalesce(received, 0) AS received FROM (SELECT DISTINCT user_id FROM events) c LEFT JOIN
 (SELECT user_id, count(*) FILTER (event_id % 2 = 0) AS sent, count(*) FILTER (event_id % 2 = 1) AS received FROM (SELECT * FROM events ORDER BY ts, event_id LIMIT 500) GROUP BY user_id) USING (user_id)""")
 def r04_socket_summary(spark: SparkSession, d: str) -> DataFrame:
