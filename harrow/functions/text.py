@@ -19,20 +19,50 @@ def trim(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s\x{00A0}\x{FEFF}]+|[\s\x{00A0}\x{FEFF}]+$", "")
 
 
+def up_to_last(text: Column, end: str) -> Column:
+    """``text`` up to its last match of the pattern ``end``; empty without one. What follows cannot hold a closed element, and would be scanned once for each that it opens."""
+    return once(text, lambda x: F.left(x, F.length(x) - F.length(F.regexp_replace(x, f"(?is)^.*{end}", ""))))
+
+
+def inner_body(html: Column) -> Column:
+    """What is between the first body tag and the end tag after it; null without both. Linear however the page is broken."""
+    rest = F.get(F.split(F.get(F.split(html, "(?i)<body", 2), F.lit(1)), ">", 2), F.lit(1))
+    return once(F.split(rest, "(?i)</body>", 2), lambda x: F.when(F.size(x) > 1, F.get(x, F.lit(0))))
+
+
 def body(html: Column) -> Column:
-    return F.when(html.rlike(BODY), F.regexp_extract(html, BODY, 1)).otherwise(html)
+    return F.coalesce(inner_body(html), html)
+
+
+def without_element(text: Column, pattern: str, end: str) -> Column:
+    """``text`` without the elements of ``pattern``, which ends with ``end``."""
+    return once(text, lambda x: once(up_to_last(x, end), lambda head: F.concat(F.regexp_replace(head, pattern, ""), F.substr(x, F.length(head) + 1))))
+
+
+def without_scripts(text: Column) -> Column:
+    return without_element(text, SCRIPT, "</script>")
+
+
+def without_tags(text: Column, by: str = "") -> Column:
+    def cut(x: Column) -> Column:
+        tail = F.substring_index(x, ">", -1)  # holds no whole tag
+        return F.concat(F.regexp_replace(F.left(x, F.length(x) - F.length(tail)), TAG, by), tail)
+
+    return once(text, cut)
+
+
+def text_of(html: Column) -> Column:
+    """Without scripts, styles and tags, trimmed."""
+    return trim(without_tags(without_element(without_scripts(html), STYLE, "</style>")))
 
 
 def body_text(html: Column) -> Column:
-    out = body(html)
-    for pattern in (SCRIPT, STYLE, TAG):
-        out = F.regexp_replace(out, pattern, "")
-    return trim(out)
+    return text_of(body(html))
 
 
 def sanitize(html: Column) -> Column:
     """Tags out, six entities decoded (&amp; first), white space collapsed."""
-    out = F.regexp_replace(html, TAG, "")
+    out = without_tags(html)
     for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")):
         out = F.replace(out, F.lit(entity), F.lit(char))
     return trim(F.regexp_replace(out, r"\s+", " "))
@@ -40,7 +70,7 @@ def sanitize(html: Column) -> Column:
 
 def crude(html: Column, cut: int = 500_000, size: int = 120_000) -> Column:
     """Tags to spaces, white space collapsed, of the first ``cut`` characters; at most ``size``."""
-    return F.substring(trim(F.regexp_replace(F.regexp_replace(F.substring(html, 1, cut), TAG, " "), r"\s+", " ")), 1, size)
+    return F.substring(trim(F.regexp_replace(without_tags(F.substring(html, 1, cut), " "), r"\s+", " ")), 1, size)
 
 
 def truncated(text: Column, size: int, mark: str) -> Column:
@@ -48,7 +78,7 @@ def truncated(text: Column, size: int, mark: str) -> Column:
 
 
 def title(html: Column) -> Column:
-    return F.regexp_extract(html, r"(?i)<title[^>]*>(.*?)</title>", 1)
+    return F.regexp_extract(up_to_last(html, "</title>"), r"(?i)<title[^>]*>(.*?)</title>", 1)
 
 
 def contains_any(text: Column, words) -> Column:

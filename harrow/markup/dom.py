@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from html import unescape
+from html import unescape as decoded
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "textarea", "title", "noscript_raw"))
@@ -16,8 +16,54 @@ IMPLIED = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "optgroup"}),
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
 }
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")  # where quotes do not match
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+LONG_REFERENCE = re.compile(r"&#0*+([0-9]*+);?")
+
+
+def unescape(text: str) -> str:
+    """Character references decoded; numbers too long to be a character's are one that is replaced."""
+    if "&" not in text:
+        return text
+    return decoded(LONG_REFERENCE.sub(lambda m: m[0] if len(m[0]) < 20 else f"&#{m[1] or 0};" if len(m[1]) < 10 else "\ufffd", text))
+
+
+def without_tags(text: str) -> str:
+    """``text`` without what is between < and the next >."""
+    out, at = [], 0
+    while (begin := text.find("<", at)) >= 0 and (end := text.find(">", begin)) >= 0:
+        out.append(text[at:begin])
+        at = end + 1
+    return "".join([*out, text[at:]])
+
+
+def whole(text: str | None, default: int, most: int = 1 << 31) -> int:
+    """The whole number that ``text`` is, in ASCII digits; ``default`` for anything else and beyond ``most``."""
+    return int(text) if text and len(text) < 12 and text.isascii() and text.isdigit() and int(text) <= most else default
+
+
+def next_token(html: str, at: int, tag: re.Pattern) -> tuple[int, int, re.Match | None, re.Pattern]:
+    """(start, end, tag, pattern) of the next comment, declaration (no tag) or tag from ``at``; start -1 when none is left.
+
+    Once a tag's quotes do not match, tags end at the next > for the rest of the page, so that nothing is scanned twice.
+    """
+    while (stop := html.find("<", at)) >= 0:
+        after = html[stop + 1 : stop + 2]
+        if after in ("!", "?") and after:
+            if html.startswith("<!--", stop):
+                end = html.find("-->", stop + 4)
+                return stop, end + 3 if end >= 0 else len(html), None, tag
+            end = html.find(">", stop)
+            return (stop, end + 1, None, tag) if end >= 0 else (-1, -1, None, tag)
+        if m := tag.match(html, stop):
+            return stop, m.end(), m, tag
+        if html.find(">", stop) < 0:
+            break  # neither this one ends nor any other
+        if tag is TAG and (after == "/" or after.isascii() and after.isalpha()) and (m := LOOSE_TAG.match(html, stop)):
+            return stop, m.end(), m, LOOSE_TAG
+        at = stop + 1
+    return -1, -1, None, tag
 
 
 class Node:
@@ -66,7 +112,7 @@ DEEPEST = 200  # as in browsers, what is nested deeper becomes a sibling there
 
 def parse(html: str) -> Node:
     root = Node("#document", {}, None)
-    here, at, end = root, 0, len(html)
+    here, at, end, tag = root, 0, len(html), TAG
     depths, over = {id(root): 0}, []  # of open elements; names of those that are open beyond the deepest
 
     def close(names: set[str], stop: set[str]) -> None:
@@ -80,14 +126,13 @@ def parse(html: str) -> Node:
             here = last.parent
 
     while at < end:
-        m = TOKEN.search(html, at)
-        stop = m.start() if m else end
+        stop, after, m, tag = next_token(html, at, tag)
+        if stop < 0:
+            stop = after = end
         if stop > at:
             here.children.append(unescape(html[at:stop]))
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
+        at = after
+        if m is None:
             continue
         name = m[2].lower()
         if m[1]:

@@ -7,7 +7,7 @@ import re
 from collections import defaultdict
 from urllib.parse import urljoin
 
-from harrow.markup.dom import Node, first, parse, select
+from harrow.markup.dom import Node, first, parse, select, whole
 
 # What is no content, by selector.
 NOISE = (
@@ -79,7 +79,7 @@ def _blocks(n: Node) -> str:
         return "\n\n* * *\n\n"
     if n.name in ("ul", "ol"):
         items = [c for c in n.elements() if c.name == "li"]
-        begin = int(n.attrs.get("start") or 1) if (n.attrs.get("start") or "1").isdigit() else 1
+        begin = whole(n.attrs.get("start"), 1)
         lines = []
         for k, li in enumerate(items):
             mark = "-   " if n.name == "ul" else f"{begin + k}.  "
@@ -342,7 +342,7 @@ def images(html: str, base: str) -> list[dict]:
 
     def add(url: str | None, source: str, selector: str, n: Node | None = None, alt: str = "") -> None:
         if url and url not in found:
-            size = {k: int(n.attrs[k]) if n is not None and n.attrs.get(k, "").isdecimal() else 0 for k in ("width", "height")}
+            size = {k: whole(n.attrs.get(k), 0) if n is not None else 0 for k in ("width", "height")}
             found[url] = {"url": url, "alt": n.attrs.get("alt", "") if n is not None else alt, **size, "selector": selector, "source": source}
 
     def full(href: str | None) -> str | None:

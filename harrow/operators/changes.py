@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,24 +37,37 @@ def change_payloads(watched: DataFrame, key: str, at: str, diff: Column | None =
     return watched.where("changed").select(key, F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"))
 
 
-def removed_added(before: Column, after: Column) -> tuple[Column, Column]:
-    """Lines of each side that the other lacks, in order, repeated ones kept."""
-    a, b = X.line_array(F.coalesce(before, F.lit(""))), X.line_array(F.coalesce(after, F.lit("")))
-    return F.filter(a, lambda x: ~F.array_contains(b, x)), F.filter(b, lambda x: ~F.array_contains(a, x))
+def line_sets(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
+    """(key, removed, added, n_before, n_after) of pairs of texts: the lines of each side that the other lacks, in order, repeated ones kept.
 
+    ``key`` names a pair. Lines are grouped by pair and line, so that the work grows with their number; null is an empty text.
+    """
+    sides = F.array(*[F.struct(F.lit(n).alias("side"), X.line_array(F.coalesce(F.col(c), F.lit(""))).alias("lines")) for n, c in enumerate((before, after))])
+    lines = pairs.select(key, F.inline(sides)).select(key, "side", F.posexplode("lines").alias("place", "line"))
+    # one side's places of a line in a pair; those of a line that both sides have are dropped before they meet again
+    own = lines.groupBy(key, "line").agg(F.min("side").alias("side"), F.max("side").alias("most"), F.collect_list("place").alias("places"))
+    own = own.where("side = most").select(key, "side", "line", F.explode("places").alias("place"))
+    kept = lambda n: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == n, F.struct("place", "line")))), lambda x: x["line"])
+    found = own.groupBy(key).agg(kept(0).alias("removed"), kept(1).alias("added"))
+    size = lambda c: F.size(X.line_array(F.coalesce(F.col(c), F.lit(""))))
+    none = F.array().cast("array<string>")
+    all_pairs = pairs.select(key, size(before).alias("n_before"), size(after).alias("n_after"), (F.coalesce(F.col(before), F.lit("")) == "").alias("was_empty"))
+    out = all_pairs.join(found, key, "left")
+    return out.select(key, F.coalesce("removed", none).alias("removed"), F.coalesce("added", none).alias("added"), "n_before", "n_after", "was_empty")
 
-def unified(before: Column, after: Column, most: int = 200) -> Column:
-    removed, added = removed_added(before, after)
+
+def unified(removed: Column, added: Column, most: int = 200) -> Column:
+    """The two lists of ``line_sets`` as one text of at most ``most`` lines."""
     lines = F.concat(F.transform(removed, lambda x: F.concat(F.lit("- "), x)), F.transform(added, lambda x: F.concat(F.lit("+ "), x)))
     more = F.size(lines) - most
     shown = F.array_join(F.slice(lines, 1, most), "\n")
     return F.when(more > 0, F.concat(shown, F.lit("\n... "), more.cast("string"), F.lit(" more"))).otherwise(shown)
 
 
-def change_percent(before: Column, after: Column) -> Column:
-    removed, added = removed_added(before, after)
-    lines = F.greatest(F.size(X.line_array(F.coalesce(before, F.lit("")))), F.size(X.line_array(F.coalesce(after, F.lit("")))), F.lit(1))
-    return F.when(F.coalesce(before, F.lit("")) == "", 100.0).otherwise((F.size(removed) + F.size(added)) / (2.0 * lines) * 100)
+def change_percent() -> Column:
+    """Of a row of ``line_sets``."""
+    lines = F.greatest("n_before", "n_after", F.lit(1))
+    return F.when(F.col("was_empty"), 100.0).otherwise((F.size("removed") + F.size("added")) / (2.0 * lines) * 100)
 
 
 def digest(changes: DataFrame, topics: DataFrame, threshold: float) -> DataFrame:
@@ -70,42 +84,67 @@ def digest_markdown(changes: DataFrame, topics: DataFrame, threshold: float) ->
     return joined.groupBy("topic").agg(F.array_join(F.concat(F.array(F.concat(F.lit("## "), F.first("topic"))), F.array_sort(F.collect_list(line))), "\n").alias("markdown"))
 
 
+def _row(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``b`` and every prefix of ``a``, 64 places of ``a`` at a time.
+
+    Bit i of ``v`` is 0 where the length grows from the prefix of i places to that of i + 1.
+    """
+    at: dict[int, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    every = v = (1 << len(a)) - 1
+    for y in b:
+        u = v & at.get(y, 0)
+        v = ((v + u) | (v - u)) & every
+    grows = np.unpackbits(np.frombuffer((every & ~v).to_bytes(len(a) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: len(a)]
+    return np.concatenate(([0], np.cumsum(grows, dtype=np.int64)))
+
+
+def common_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, in order, in memory that grows with the lines and not with their product.
+
+    The second list is halved where it is; the first is cut where the lengths of both halves' subsequences add up to most.
+    """
+    found: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, j, k, l = todo.pop()
+        while i < j and k < l and a[i] == b[k]:
+            found.append((i, k))
+            i, k = i + 1, k + 1
+        while i < j and k < l and a[j - 1] == b[l - 1]:
+            j, l = j - 1, l - 1
+            found.append((j, l))
+        if i == j or k == l:
+            continue
+        if l - k == 1:
+            if b[k] in a[i:j]:
+                found.append((a.index(b[k], i, j), k))
+            continue
+        mid = (k + l) // 2
+        total = _row(a[i:j], b[k:mid]) + _row(a[i:j][::-1], b[mid:l][::-1])[::-1]
+        cut = i + int(total.argmax())
+        todo += [(cut, j, mid, l), (i, cut, k, mid)]
+    return sorted(found)
+
+
 def edit_script(a: list[str], b: list[str]) -> tuple[list[str], int, int, int]:
-    """Shortest line edit script: (script, added, removed, kept), by furthest-reaching paths."""
-    n, m = len(a), len(b)
-    far, trace = {1: 0}, []
-    for d in range(n + m + 1):
-        trace.append(dict(far))
-        for k in range(-d, d + 1, 2):
-            x = far[k + 1] if k == -d or (k != d and far.get(k - 1, -1) < far.get(k + 1, -1)) else far[k - 1] + 1
-            while x < n and x - k < m and a[x] == b[x - k]:
-                x += 1
-            far[k] = x
-            if x >= n and x - k >= m:
-                return _walk_back(a, b, trace, d)
-    raise AssertionError("a path always ends")
-
-
-def _walk_back(a, b, trace, d):
-    x, y, out = len(a), len(b), []
-    for step in range(d, -1, -1):
-        far, k = trace[step], x - y
-        down = k == -step or (k != step and far.get(k - 1, -1) < far.get(k + 1, -1))
-        before = k + 1 if down else k - 1
-        px = far[before] if step else 0
-        py = px - before if step else 0
-        while x > px and y > py:
-            x, y = x - 1, y - 1
-            out.append("  " + a[x])
-        if step:
-            if down:
-                y -= 1
-                out.append("+ " + b[y])
-            else:
-                x -= 1
-                out.append("- " + a[x])
-    out.reverse()
-    return out, sum(s[0] == "+" for s in out), sum(s[0] == "-" for s in out), sum(s[0] == " " for s in out)
+    """Shortest line edit script: (script, added, removed, kept); removed lines come before added ones.
+
+    Common ends are kept at once, and lines that one side lacks cannot be; the rest is ``common_lines``.
+    """
+    code: dict[str, int] = {}
+    x, y = ([code.setdefault(s, len(code)) for s in lines] for lines in (a, b))
+    left, right = set(x), set(y)
+    ia, ib = [i for i, s in enumerate(x) if s in right], [i for i, s in enumerate(y) if s in left]
+    kept = [(ia[i], ib[k]) for i, k in common_lines([x[i] for i in ia], [y[i] for i in ib])]
+    out, at, to = [], 0, 0
+    for i, k in [*kept, (len(a), len(b))]:
+        out += ["- " + s for s in a[at:i]] + ["+ " + s for s in b[to:k]]
+        if i < len(a):
+            out.append("  " + a[i])
+        at, to = i + 1, k + 1
+    return out, len(b) - len(kept), len(a) - len(kept), len(kept)
 
 
 def line_diff(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:

@@ -78,7 +78,7 @@ def is_blocked(html: Column, status: Column, headers: Column) -> Column:
             .when((x["size"] > 5000) & (x["links"] > 10), False)
             .when(x["challenge"], True)
             .when(small & x["phrase"] & (x["protected"] | (x["size"] < 1000)), True)
-            .otherwise(html.rlike(r"(?i)<title[^>]*>.*?</title>") & (x["size"] < 50) & (status >= 400))
+            .otherwise(X.up_to_last(html, "</title>").rlike(r"(?i)<title[^>]*>.*?</title>") & (x["size"] < 50) & (status >= 400))
         )
 
     return X.once(X.once(X.body_text(html), facts), verdict)
@@ -89,8 +89,8 @@ def is_captcha(html: Column) -> Column:
 
 
 def needs_scripts(html: Column) -> Column:
-    inner = X.trim(F.regexp_replace(F.regexp_extract(html, X.BODY, 1), X.SCRIPT, ""))
-    return (html.rlike(X.BODY) & (F.length(inner) < 100)) | X.contains_any(html, SHELLS)
+    small = X.once(X.inner_body(html), lambda x: F.coalesce(F.length(X.trim(X.without_scripts(x))) < 100, F.lit(False)))
+    return small | X.contains_any(html, SHELLS)
 
 
 def _fires(rule, html: Column, headers: Column, cookies: Column) -> Column:
@@ -145,11 +145,9 @@ def protection(pages: DataFrame, key: str, html: str, headers: str, cookies: str
 
 def unknown_signals(html: Column) -> Column:
     def facts(inner: Column) -> Column:
-        text = inner
-        for p in (X.SCRIPT, X.STYLE, X.TAG):
-            text = F.regexp_replace(text, p, "")
+        text = X.text_of(F.coalesce(inner, F.lit("")))
         scripts = F.size(F.regexp_extract_all(inner, F.lit("(?i)(<script)"), F.lit(1)))
-        return F.struct(F.length(X.trim(text)).alias("size"), scripts.alias("scripts"), inner.contains("<noscript>").alias("fallback"), html.rlike(X.BODY).alias("has"))
+        return F.struct(F.length(text).alias("size"), scripts.alias("scripts"), inner.contains("<noscript>").alias("fallback"), inner.isNotNull().alias("has"))
 
     def found(x: Column) -> Column:
         return F.array(
@@ -158,7 +156,7 @@ def unknown_signals(html: Column) -> Column:
             F.when(html.contains("window.location") & html.contains("document.cookie"), "JS redirect with cookie manipulation"),
         )
 
-    return F.filter(X.once(X.once(F.regexp_extract(html, X.BODY, 1), facts), found), lambda x: x.isNotNull())
+    return F.filter(X.once(X.once(X.inner_body(html), facts), found), lambda x: x.isNotNull())
 
 
 def cookie_names(headers: Column) -> Column:

@@ -21,6 +21,10 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.col("text").alias("before")).join(after, "doc_id")
 
 
+def sets(spark: SparkSession, d: str) -> DataFrame:
+    return C.line_sets(pairs(spark, d), "doc_id", "before", "after")
+
+
 SNAPS = "SELECT user_id AS url, event_id, ts, event_type AS body FROM events"
 WATCH = f"""SELECT url, event_id, body, sha256(body) AS hash, lag(body) OVER w IS NULL AS first_run, coalesce(lag(body) OVER w <> body, false) AS changed, count(*) OVER (w ROWS UNBOUNDED PRECEDING) AS checks FROM ({SNAPS}) WINDOW w AS (PARTITION BY url ORDER BY ts, event_id)"""
 
@@ -38,27 +42,25 @@ def c03_watch(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", "hash", "first_run", "changed", "checks", "changes", F.col("last_changed.checks").alias("last_changed"))
 
 
-@query(f"""SELECT doc_id, CASE WHEN len(l) > 20 THEN array_to_string(l[1:20], chr(10)) || chr(10) || '... ' || (len(l) - 20) || ' more' ELSE array_to_string(l, chr(10)) END AS diff
+@query(f"""SELECT doc_id, CASE WHEN len(l) > 200 THEN array_to_string(l[1:200], chr(10)) || chr(10) || '... ' || (len(l) - 200) || ' more' ELSE array_to_string(l, chr(10)) END AS diff
 FROM (SELECT doc_id, list_concat(list_transform(r, lambda s: '- ' || s), list_transform(a, lambda s: '+ ' || s)) AS l FROM ({DIFF}))""")
 def c04_line_diff(spark: SparkSession, d: str) -> DataFrame:
-    return pairs(spark, d).select("doc_id", C.unified(F.col("before"), F.col("after"), 20).alias("diff"))
+    return sets(spark, d).select("doc_id", C.unified(F.col("removed"), F.col("added")).alias("diff"))
 
 
 @query(f"SELECT doc_id, array_to_string(r, chr(10)) AS removed, array_to_string(a, chr(10)) AS added, CAST(len(r) AS INT) AS n_removed, CAST(len(a) AS INT) AS n_added FROM ({DIFF})")
 def c05_line_sets(spark: SparkSession, d: str) -> DataFrame:
-    r, a = C.removed_added(F.col("before"), F.col("after"))
-    return pairs(spark, d).select("doc_id", F.array_join(r, "\n").alias("removed"), F.array_join(a, "\n").alias("added"), F.size(r).alias("n_removed"), F.size(a).alias("n_added"))
+    return sets(spark, d).select("doc_id", *[F.array_join(c, "\n").alias(c) for c in ("removed", "added")], *[F.size(c).alias(f"n_{c}") for c in ("removed", "added")])
 
 
 @query(f"SELECT doc_id, {PCT} AS pct FROM ({DIFF})")
 def c06_change_percent(spark: SparkSession, d: str) -> DataFrame:
-    return pairs(spark, d).select("doc_id", C.change_percent(F.col("before"), F.col("after")).cast("double").alias("pct"))
+    return sets(spark, d).select("doc_id", C.change_percent().cast("double").alias("pct"))
 
 
 def topic_changes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    changes = pairs(spark, d).select(
-        F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), (F.col("before") != F.col("after")).alias("changed"), C.change_percent(F.col("before"), F.col("after")).cast("double").alias("pct")
-    )
+    changed = pairs(spark, d).select("doc_id", (F.col("before") != F.col("after")).alias("changed")).join(sets(spark, d), "doc_id")
+    changes = changed.select(F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), "changed", C.change_percent().cast("double").alias("pct"))
     topics = table(spark, d, "documents").select(
         F.col("lang").alias("topic"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.when(F.col("lang") == "de", 99.0).alias("min_change_pct")
     )
