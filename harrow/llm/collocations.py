@@ -2,10 +2,12 @@
 
 Texts are lower-cased (A-Z), broken into pieces at ``[.,;:!?`` and line ends ``]`` and into words at spaces and tabs;
 everything is counted for each language. Words of at least ``least`` occurrences get codes; pieces break at all others,
-as no phrase with one of them can be frequent. Every 2 to 5 consecutive codes are a fixed-width binary key. A task takes
+as no phrase with one of them can be frequent. Every two consecutive codes are a fixed-width binary key. A task takes
 about ``CHUNK`` bytes of text at once, radix-sorts the keys (16 bits a pass, last word first), counts equal runs, and
 sends what is left as compressed columns, one row for each range of keys; so a key that a third of all places hold is
-one key of each chunk. A range is one task's: it sorts again, adds up the runs and keeps frequent keys.
+one key of each chunk. A range is one task's: it sorts again, adds up the runs and keeps frequent keys. A second pass
+does the same for 3 to 5 codes, with pieces broken between words that are no frequent pair as well (for the same reason;
+the pairs are a bitmap of ``BITS``, whose false positives only add keys that are not frequent).
 
 Ranges divide the unit interval as an arithmetic coder does: a key lies at its first word's cumulative share, plus that
 word's share times the place of the next word in its language, and so on. So no sampling pass is needed, and a frequent
@@ -68,14 +70,17 @@ class Chunk:
     def distinct(self) -> pa.Array:
         return strings(self.data, self.starts[self.first], self.ends[self.first])
 
-    def grams(self, codes: np.ndarray, frequent: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-        """For 2 to LONGEST words: columns of the distinct n-grams of frequent words within pieces, sorted, and their counts."""
+    def grams(self, codes: np.ndarray, frequent: np.ndarray, pairs: Bitmap | None) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+        """Columns of the distinct n-grams of frequent words within pieces, sorted, and their counts: pairs, or given those that may be frequent, longer ones of them."""
         word, use = codes[self.which], frequent[self.which]
         edge = self.new | ~use
         edge[1:] |= ~use[:-1]
+        if pairs is not None and len(edge) > 1:
+            at = np.flatnonzero(~edge[1:])
+            edge[1 + at] = ~pairs.has(mixed([word[at], word[at + 1]]))
         begins = np.append(np.flatnonzero(edge), len(edge))
         left = np.where(use, np.repeat(begins[1:], np.diff(begins)) - np.arange(len(edge)), 0) if len(edge) else np.zeros(0, np.int64)
-        for k in range(2, LONGEST + 1):
+        for k in (2,) if pairs is None else range(3, LONGEST + 1):
             at = np.flatnonzero(left >= k)
             yield counted([word[at + j] for j in range(k)], np.ones(len(at), dtype=np.int64))
 
@@ -111,6 +116,52 @@ def counted(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray],
     return [c[at] for c in columns], np.add.reduceat(n[order], at) if len(at) else n[:0]
 
 
+def mixed(columns: list[np.ndarray]) -> np.ndarray:
+    """A hash of each key."""
+    out = A.splitmix(columns[0])
+    for c in columns[1:]:
+        out = A.splitmix(out + c.astype(A.U))
+    return out
+
+
+class Bitmap:
+    """A set of hashes within a fixed number of bits; it may take a hash for one of the set that is not."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes % A.U(8 * len(self.bits))
+        return (self.bits[place >> A.U(3)] >> (place & A.U(7)).astype(np.uint8)) & 1 == 1
+
+
+def bitmap(df: DataFrame, bits: int, hashes) -> Bitmap:
+    """The bitmap of ``hashes(batch)`` of all rows; at most a row for each of its bytes comes to the driver."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = hashes(batch) % A.U(bits)
+            byte, at = np.unique(place >> A.U(3), return_inverse=True)
+            value = np.zeros(len(byte), dtype=np.uint8)
+            np.bitwise_or.at(value, at, (1 << (place & A.U(7)).astype(np.uint8)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array(byte.astype(np.int64)), pa.array(value.astype(np.int32))], names=["byte", "value"])
+
+    found = df.mapInArrow(marked, "byte long, value int").groupBy("byte").agg(F.bit_or("value").alias("value")).toArrow()
+    table = np.zeros(bits >> 3, dtype=np.uint8)
+    table[found.column("byte").to_numpy()] = found.column("value").to_numpy().astype(np.uint8)
+    return Bitmap(table)
+
+
+def planes(columns: list[np.ndarray]) -> bytes:
+    """Whole numbers byte by byte: of sorted keys most planes are runs."""
+    return b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns)
+
+
+def from_planes(data: bytes, k: int, size: int, kind) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(k, wide, size).transpose(0, 2, 1)).view(kind).reshape(k, size)
+
+
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Chunk]]:
     """Chunks of one language each from rows (lang, text), some batches at once."""
 
@@ -205,31 +256,27 @@ class Dictionary:
         return np.clip((at * n).astype(np.int64), 0, n - 1)
 
 
-class Bitmap:
+class Hashes:
     """Codes of words as hashes, and a bitmap of fixed size with all frequent ones."""
 
     kind = np.uint64
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+    def __init__(self, words: Bitmap):
+        self.words = words
 
     def codes(self, lang: str, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         code = word_codes(np.asarray(chunk.hashes, dtype=A.U), lang)
-        place = code % A.U(8 * len(self.bits))
-        return code, (self.bits[place >> A.U(3)] >> (place & A.U(7)).astype(np.uint8)) & 1 == 1
+        return code, self.words.has(code)
 
     def ranges(self, columns: list[np.ndarray], n: int) -> np.ndarray:
-        mixed = columns[0]
-        for c in columns[1:]:
-            mixed = A.splitmix(mixed) + c
-        return ((A.splitmix(mixed) >> A.U(32)) * A.U(n) >> A.U(32)).astype(np.int64)
+        return ((mixed(columns) >> A.U(32)) * A.U(n) >> A.U(32)).astype(np.int64)
 
 
 def word_codes(hashes: np.ndarray, lang: str) -> np.ndarray:
     return A.splitmix(hashes ^ A.splitmix(np.array([of_language(lang)], dtype=A.U))[0])
 
 
-def coder(words: DataFrame, dictionary_bytes: int, bits: int) -> tuple[Dictionary | Bitmap, DataFrame]:
+def coder(words: DataFrame, dictionary_bytes: int, bits: int) -> tuple[Dictionary | Hashes, DataFrame]:
     """What encodes words in tasks, and (code, lang, word, n)."""
     spark = words.sparkSession
     size = words.agg(F.sum(F.octet_length("word") + 32)).first()[0] or 0
@@ -248,47 +295,36 @@ def coder(words: DataFrame, dictionary_bytes: int, bits: int) -> tuple[Dictionar
 
     codes = words.mapInArrow(coded, "code long, lang string, word string, n long")
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = batch.column(0).to_numpy().view(A.U) % A.U(bits)
-            byte, at = np.unique(place >> A.U(3), return_inverse=True)
-            value = np.zeros(len(byte), dtype=np.uint8)
-            np.bitwise_or.at(value, at, (1 << (place & A.U(7)).astype(np.uint8)).astype(np.uint8))
-            yield pa.RecordBatch.from_arrays([pa.array(byte.astype(np.int64)), pa.array(value.astype(np.int32))], names=["byte", "value"])
-
-    found = codes.mapInArrow(marked, "byte long, value int").groupBy("byte").agg(F.bit_or("value").alias("value")).toArrow()  # at most a row for each byte of the bitmap
-    table = np.zeros(bits >> 3, dtype=np.uint8)
-    table[found.column("byte").to_numpy()] = found.column("value").to_numpy().astype(np.uint8)
-    return Bitmap(table), codes
+    return Hashes(bitmap(codes, bits, lambda batch: batch.column(0).to_numpy().view(A.U))), codes
 
 
-def count_grams(docs: DataFrame, own: Dictionary | Bitmap, ranges: int, least: int, text_col: str, lang_col: str) -> DataFrame:
-    """(codes, a): n-grams of 2 to LONGEST frequent words with at least ``least`` occurrences."""
-    given = docs.sparkSession.sparkContext.broadcast(own)
+def count_grams(docs: DataFrame, own: Dictionary | Hashes, pairs: Bitmap | None, ranges: int, least: int, text_col: str, lang_col: str) -> DataFrame:
+    """(codes, a): pairs of frequent words with at least ``least`` occurrences; given those, n-grams of 3 to LONGEST words."""
+    given = docs.sparkSession.sparkContext.broadcast((own, pairs))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, pack = given.value, zstandard.ZstdCompressor(level=1).compress
+        (own, pairs), pack = given.value, zstandard.ZstdCompressor(level=1).compress
         for lang, chunk in chunks(batches):
             codes, frequent = own.codes(lang, chunk)
-            for k, (columns, n) in enumerate(chunk.grams(codes, frequent), 2):
+            for columns, n in chunk.grams(codes, frequent, pairs):
                 if not len(n):
                     continue
                 to = own.ranges(columns, ranges)
                 order = np.argsort(to, kind="stable")
                 columns, n, to = [c[order] for c in columns], n[order].astype(np.uint32), to[order]
                 cut = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to)).tolist()
-                rows = [(int(to[a]), b - a, pack(b"".join(c[a:b].tobytes() for c in columns)), pack(n[a:b].tobytes())) for a, b in zip(cut, cut[1:], strict=False)]
+                rows = [(int(to[a]), b - a, pack(planes([c[a:b] for c in columns])), pack(planes([n[a:b]]))) for a, b in zip(cut, cut[1:], strict=False)]
                 to_, size, keys, counts = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(to_, pa.int32()), pa.array([k] * len(rows), pa.int32()), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["range", "k", "size", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(to_, pa.int32()), pa.array([len(columns)] * len(rows), pa.int32()), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["range", "k", "size", "keys", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, unpack = given.value.kind, zstandard.ZstdDecompressor().decompress
+        kind, unpack = given.value[0].kind, zstandard.ZstdDecompressor().decompress
         held: dict[tuple[int, int], list] = {}
         for batch in batches:
             for r, k, size, keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.setdefault((r, k), []).append((size, keys, n))
         for r, k in sorted(held):
-            every = [(np.frombuffer(unpack(keys), dtype=kind).reshape(k, size), np.frombuffer(unpack(n), dtype=np.uint32)) for size, keys, n in held.pop((r, k))]
+            every = [(from_planes(unpack(keys), k, size, kind), from_planes(unpack(n), 1, size, np.uint32)[0]) for size, keys, n in held.pop((r, k))]
             columns, n = counted([np.concatenate([x[0][j] for x in every]) for j in range(k)], np.concatenate([x[1] for x in every]).astype(np.int64))
             keep = np.flatnonzero(n >= least)
             codes = np.stack([c[keep] for c in columns], axis=1).astype(A.U).view(np.int64).ravel()
@@ -298,6 +334,10 @@ def count_grams(docs: DataFrame, own: Dictionary | Bitmap, ranges: int, least: i
     return written(sent.repartitionById(ranges, "range").mapInArrow(A.tidied(count), "codes array<long>, a long"), "phrases")
 
 
+def pair_hashes(kind):
+    return lambda batch: mixed(list(batch.column(0).flatten().to_numpy().view(A.U).astype(kind).reshape(-1, 2).T))
+
+
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, text_col: str = "text", lang_col: str = "lang", dictionary_bytes: int = DICTIONARY, bits: int = BITS, per_range: int = RANGE) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of the first ``top`` phrases of each language."""
     ship(docs.sparkSession)
@@ -305,7 +345,10 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, text_col:
     words, totals = every.where("word is not null and n >= %d" % least), every.where("word is null").select("lang", F.col("n").alias("n"))
     own, codes = coder(words, dictionary_bytes, bits)
     occurrences = words.agg(F.sum("n")).first()[0] or 0
-    phrases = count_grams(docs, own, max(1, math.ceil((LONGEST - 1) * occurrences / per_range)), least, text_col, lang_col)
+    ranges = max(1, math.ceil(occurrences / per_range))
+    two = count_grams(docs, own, None, ranges, least, text_col, lang_col)
+    more = count_grams(docs, own, bitmap(two, bits, pair_hashes(own.kind)), 3 * ranges, least, text_col, lang_col)
+    phrases = two.unionByName(more)
 
     inner = phrases.where("size(codes) > 2").select(F.explode(F.array(F.expr("slice(codes, 1, size(codes) - 1)"), F.expr("slice(codes, 2, size(codes) - 1)"))).alias("codes"), "a")
     kept = phrases.join(inner, ["codes", "a"], "left_anti")
