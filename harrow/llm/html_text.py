@@ -11,9 +11,11 @@ What a page says of its parts weighs in, and is weighed against what the parts h
   unless they hold most of the page's running text (``SHARE`` times what the rest holds), as a wrapper of the whole page
   does. Names that only contain such a word ("has-sidebar", "copyright-law") say nothing.
 * In an article or main element that holds a fair part of the running text, blocks need fewer stop words, its borders
-  count as decided neighbours that are main text, and what lies outside is out.
+  count as decided neighbours that are main text, what lies outside is out, and one or two linked blocks in a row are
+  ambiguous (a paragraph or an item that is a link); three are a list of links.
+* Where no block is long enough to be main text and no part is out, as on a page of one line, ambiguous blocks stay.
 
-Character references are decoded, white space within a block becomes one space, blocks are joined in page order by
+Character references are decoded (a number too long to be a character's is one that is replaced), white space within a block becomes one space, blocks are joined in page order by
 an empty line. Reading takes time in proportion to the page, however its markup is broken: a tag without an end is the
 end of the page, and once quotes do not match, tags end at the next ``>``.
 
@@ -24,7 +26,6 @@ other than the three are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from harrow.llm import arrays as A
+from harrow.markup.dom import unescape
 from harrow.session import ship
 
 # Frequent function words.
@@ -187,7 +189,7 @@ class Reader:
 
     def flush(self) -> None:
         if self.text:
-            joined = " ".join(entities.unescape("".join(self.text)).split())
+            joined = " ".join(unescape("".join(self.text)).split())
             if joined:
                 self.blocks.append(Block(joined, min(self.linked, len(joined)), self.heading, self.outside, self.article, self.part))
                 self.heading = 0
@@ -198,7 +200,7 @@ class Reader:
         if piece and not self.left_out:
             self.text.append(piece)
             if self.link:
-                self.linked += len(" ".join(entities.unescape(piece).split()))
+                self.linked += len(" ".join(unescape(piece).split()))
 
     def ends(self, name: str, at: int) -> int:
         """The place behind the end tag of an element of plain text, -1 where it has none."""
@@ -357,6 +359,7 @@ def stop_share(text: str) -> float:
 
 GOOD, BAD, OPEN = 1, 0, -1
 LONG, SHORT, HIGH, LOW, LINKS = 140, 70, 0.3, 0.12, 0.4
+LIST = 3  # linked blocks in a row that are a list of links
 
 
 def cut_parts(found: list[Block], parts: list[Part], running: list[int]) -> list[bool]:
@@ -467,9 +470,28 @@ def second_pass(found: list[Block], first: list[int], out: list[bool], contained
     return labels
 
 
+def single_links(found: list[Block], first: list[int], out: list[bool]) -> list[int]:
+    """Within an article link density judges lists of links: fewer than ``LIST`` linked blocks in a row are ambiguous."""
+    labels, run = list(first), []
+    for i, b in enumerate([*found, None]):
+        own = b is not None and b.article and not out[i]
+        if own and not b.heading and b.linked > LINKS * len(b.text):
+            run.append(i)
+        elif own or b is None:
+            if len(run) < LIST:
+                for k in run:
+                    labels[k] = OPEN
+            run = []
+    return labels
+
+
 def labels(found: list[Block], parts: list[Part]) -> list[int]:
-    """Both passes over a page's blocks."""
+    """Both passes over a page's blocks. Where nothing says what main text is and no part is out, ambiguous blocks stay."""
     first, out, contained = first_pass(found, parts)
+    if contained:
+        first = single_links(found, first, out)
+    elif GOOD not in first and not any(out):
+        return [GOOD if x == OPEN else x for x in first]
     return second_pass(found, first, out, contained)
 
 
