@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harrow.functions import text as X
 from harrow.functions import url as U
-from harrow.session import durable
+from harrow.session import durable, passing, shared_dir
 
 # Paths and anchor texts that score.
 CONTENT = (r"/blog/", r"/article", r"/post/", r"/news/", r"/story/", r"/guide/", r"/tutorial/", r"/docs?/", r"/learn/", r"/\d{4}/\d{2}/")
@@ -44,36 +45,95 @@ def links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     return each.groupBy(key, url, "target").agg(F.min("pos").alias("pos"), F.min_by("anchor", "pos").alias("anchor"))
 
 
-def sequence(wave: int, depth: Column, src: Column, pos: Column, dst: Column) -> Column:
-    """When a URL was found, as a value to sort by: no numbering, so no task sees a whole wave."""
-    return F.struct(F.lit(wave).alias("wave"), depth.cast("int").alias("depth"), src.alias("src"), pos.cast("int").alias("pos"), dst.alias("dst")).alias("seq")
+class Frontier:
+    """The queue of a crawl as parts in the shared folder, one for each score and wave that found it.
 
+    Parts are in the queue's order among themselves (higher scores, then later waves), so a wave reads the first ones
+    that hold a batch and rewrites what is left of the last; no other part is touched.
+    """
+
+    COLUMNS = "url string, depth int, points int, wave int, place int, pos int"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at = spark, passing(spark, f"{shared_dir(spark)}/crawl-{uuid.uuid4().hex}")
+        self.parts: dict[tuple[int, int], tuple[str, int]] = {}
+        self.written = 0
+
+    def add(self, fresh: DataFrame, wave: int) -> None:
+        path = f"{self.at}/wave-{wave}"
+        fresh.withColumn("score", F.col("points")).write.partitionBy("score").parquet(path)
+        found = self.spark.read.schema(f"{self.COLUMNS}, score int").parquet(path).groupBy("score").count().collect()  # a row for each score that occurs
+        for r in found:
+            self.parts[r["score"], wave] = (f"{path}/score={r['score']}", r["count"])
+            self.written += r["count"]
+
+    def rows(self, keys: list[tuple[int, int]]) -> DataFrame:
+        return self.spark.read.schema(self.COLUMNS).parquet(*(self.parts[k][0] for k in keys))
+
+    def take(self, most: int, visited: DataFrame, wave: int) -> DataFrame | None:
+        """(url, depth, place): the first ``most`` URLs that were not visited, which leave the queue."""
+        order, chosen, n = sorted(self.parts, reverse=True), [], 0
+        while True:
+            while order and n < most:
+                chosen.append(order.pop(0))
+                n += self.parts[chosen[-1]][1]
+            if not chosen:
+                return None
+            left = self.rows(chosen).join(visited, "url", "left_anti").groupBy("url").agg(F.max(F.struct("points", "wave", "place", "pos", "depth")).alias("m"))
+            first = durable(left.orderBy(F.desc("m"), F.desc("url")).limit(most))
+            n = first.count()
+            if n == most or not order:
+                break
+        rest = self.rows(chosen[-1:]).join(visited, "url", "left_anti").join(first.select("url"), "url", "left_anti")
+        path = f"{self.at}/left-{wave}"
+        rest.write.parquet(path)
+        left_over = self.spark.read.schema(self.COLUMNS).parquet(path).count()
+        last = chosen[-1]
+        for k in chosen:
+            del self.parts[k]
+        if left_over:
+            self.parts[last] = (path, left_over)
+            self.written += left_over
+        if not n:
+            return None
+        return first.select("url", "m.depth", F.row_number().over(Window.orderBy(F.desc("m"), F.desc("url"))).alias("place"))
 
-def crawl(pages: DataFrame, edges: DataFrame, seed: DataFrame, max_pages: int, max_depth: int, batch: int) -> DataFrame:
+
+def crawl(pages: DataFrame, edges: DataFrame, seed: DataFrame, max_pages: int, max_depth: int, batch: int, edge_parts: int = 64) -> DataFrame:
     """Best-first waves over a table of edges (src, dst, anchor, pos): (url, depth, wave, place).
 
-    Every wave takes the ``batch`` best of the frontier (highest score, newest first among equals), then adds their unseen
-    same-origin targets. What is carried between waves is checkpointed; the URLs seen are kept in parts, one a wave, which
-    are put together every ``PARTS`` waves, so neither a wave's plan nor what it writes grows with the crawl.
+    Every wave takes the ``batch`` best of the queue (highest score, newest first among equals; a URL counts at its best
+    place), then adds their same-origin targets that were not visited. A wave costs its batch and what it finds: the queue
+    is ``Frontier``, and edges are stored once by a hash of their source in ``edge_parts``, of which a wave reads its own.
     """
-    frontier = durable(seed.select("url", F.lit(0).alias("depth"), F.lit(200).alias("score"), sequence(0, F.lit(0), F.lit(""), F.lit(0), F.col("url"))))
-    seen, out, done, wave = [frontier.select("url")], None, 0, 0
+    spark = edges.sparkSession
+    frontier = Frontier(spark)
+    stored = f"{frontier.at}/edges"
+    spread = edges.select("src", "dst", "anchor", F.col("pos").cast("int").alias("pos"), F.pmod(F.xxhash64("src"), F.lit(edge_parts)).cast("int").alias("part"))
+    spread.repartition("part").write.partitionBy("part").parquet(stored)
+    links_of = spark.read.schema("src string, dst string, anchor string, pos int, part int").parquet(stored)
+    start = seed.select("url", F.lit(0).alias("depth"), F.lit(200).alias("points"), F.lit(0).alias("wave"), F.lit(0).alias("place"), F.lit(0).alias("pos"))
+    frontier.add(start, 0)
+    visited, out, done, wave = [seed.select("url").limit(0)], None, 0, 0
     while done < max_pages:
-        take = durable(frontier.orderBy(F.col("score").desc(), F.col("seq").desc(), "url").limit(min(batch, max_pages - done)))
-        n = take.count()
-        if not n:
+        take = frontier.take(min(batch, max_pages - done), reduce(DataFrame.unionByName, visited), wave)
+        if take is None:
             break
-        part = take.select("url", "depth", F.lit(wave).alias("wave"), F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("seq").desc(), "url")).alias("place"))
+        take = durable(take)
+        done, wave = done + take.count(), wave + 1
+        part = take.select("url", "depth", F.lit(wave - 1).alias("wave"), "place")
         out = part if out is None else out.unionByName(part)
-        done, wave = done + n, wave + 1
-        found = take.where(F.col("depth") < max_depth).join(edges, F.col("url") == F.col("src")).where(U.same_origin(F.col("src"), F.col("dst")))
-        found = found.groupBy("dst").agg(F.min(F.struct("depth", "src", "pos", "anchor")).alias("m")).join(reduce(DataFrame.unionByName, seen).withColumnRenamed("url", "dst"), "dst", "left_anti")
-        depth = F.col("m.depth") + 1
-        seq = sequence(wave, F.col("m.depth"), F.col("m.src"), F.col("m.pos"), F.col("dst"))
-        fresh = found.select(F.col("dst").alias("url"), depth.alias("depth"), score(F.col("dst"), depth, F.col("m.anchor")).alias("score"), seq)
-        fresh = durable(fresh)
-        frontier = durable(frontier.join(take.select("url"), "url", "left_anti").unionByName(fresh))
-        seen.append(fresh.select("url"))
-        if len(seen) > PARTS:
-            seen = [durable(reduce(DataFrame.unionByName, seen))]
-    return out if out is not None else frontier.select("url", "depth", F.lit(0).alias("wave"), F.lit(0).alias("place")).limit(0)
+        visited.append(take.select("url"))
+        if len(visited) > PARTS:
+            visited = [durable(reduce(DataFrame.unionByName, visited))]
+        own = take.where(F.col("depth") < max_depth).withColumn("__part", F.pmod(F.xxhash64("url"), F.lit(edge_parts)).cast("int"))
+        which = [r[0] for r in own.select("__part").distinct().collect()]  # at most edge_parts
+        if not which:
+            continue
+        found = own.join(links_of.where(F.col("part").isin(which)), F.col("url") == F.col("src")).where(U.same_origin(F.col("src"), F.col("dst")))
+        depth = F.col("depth") + 1
+        found = found.select("dst", depth.cast("int").alias("depth"), score(F.col("dst"), depth, F.col("anchor")).cast("int").alias("points"), "place", "pos")
+        found = found.join(reduce(DataFrame.unionByName, visited).withColumnRenamed("url", "dst"), "dst", "left_anti")
+        best = found.groupBy("dst").agg(F.max(F.struct("points", "place", "pos", "depth")).alias("m"))
+        frontier.add(best.select(F.col("dst").alias("url"), "m.depth", "m.points", F.lit(wave).alias("wave"), "m.place", "m.pos"), wave)
+    return out if out is not None else seed.select("url", F.lit(0).alias("depth"), F.lit(0).alias("wave"), F.lit(0).alias("place")).limit(0)
