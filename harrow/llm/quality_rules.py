@@ -5,7 +5,8 @@ ends where its text ends), with the longest common prefixes of neighbouring suff
 array is a string that occurs at its suffixes and no longer one does at all of them; where the words before them differ
 as well, it is a maximal repeat. The spans of the maximal repeats of ``min_repeat`` words or more are united; a text is
 rejected when they cover more than ``max_covered`` per cent of its word characters or one is longer than ``max_repeat``
-words. Words longer than 64 bytes count as one symbol per 16 bytes, so that unspaced text repeats within words as well.
+words. A tenth of the characters in repeats of 10 words is the limit that published corpora use; the base bounds repeats
+of 3 words by half, so a text can pass it and be rejected here. Words longer than 64 bytes count as one symbol per 16 bytes, so that unspaced text repeats within words as well.
 
 A block of texts (about 1 MB, or one longer text) holds some 50 bytes a word, and 4 more for each doubling, of which
 there are about log2 of the longest repeat's words: a text that repeats itself throughout costs the most.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from harrow.llm import arrays as A
 from harrow.session import ship
 
-MIN_REPEAT, MAX_COVERED, MAX_REPEAT = 10, 40, 60  # words, per cent of word characters, words
+MIN_REPEAT, MAX_COVERED, MAX_REPEAT = 10, 10, 40  # words, per cent of word characters, words
 SYMBOLS = A.table_of(*((ord(c), ord(c)) for c in "#*$%&|<>"))
 SPACE = " \t\n\x0b\x0c\r"
 
