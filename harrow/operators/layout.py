@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harrow.functions import text as X
+
 
 def lines(items: DataFrame, page: str, order: str, text: str, y: str, ends: str, jump: float = 2.0) -> DataFrame:
     """(page, line, text): a new line after an item that ends one, or where y moves by more than ``jump``."""
@@ -39,25 +41,62 @@ def confidence(text: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), printable / n * F.least(F.lit(1.0), n / 50.0)))
 
 
-# Roles that always get a reference, and those that get one unless only interactive ones are asked for.
+# Roles that always get a reference, those that get one unless only interactive ones are asked for, and those that only group.
 INTERACTIVE = ("button", "link", "textbox", "checkbox", "radio", "combobox", "listbox", "menuitem", "option", "searchbox", "slider", "spinbutton", "switch", "tab", "treeitem")
 CONTENT = ("heading", "cell", "article", "region", "navigation", "img", "figure", "blockquote", "code")
 
 
+STRUCTURAL = ("generic", "group", "list", "table", "row", "rowgroup", "columnheader", "rowheader", "presentation", "none", "separator", "toolbar", "banner", "contentinfo", "main", "complementary", "form")
+
+
 def tree_lines(text: Column) -> Column:
-    """An array of (indent, role, name) of an accessibility tree's lines."""
-    pattern = r'^(\s*)- ([a-z]+)(?: "([^"]*)")?'
-    return F.transform(
-        F.split(text, "\n"), lambda l: F.struct(F.length(F.regexp_extract(l, r"^(\s*)", 1)).alias("indent"), F.regexp_extract(l, pattern, 2).alias("role"), F.regexp_extract(l, pattern, 3).alias("name"))
-    )
+    """An array of (line, indent, role, name, attributes, raw) of an accessibility tree's lines.
+
+    A line is ``- role "name" attributes``, ``- role:``, ``- text: content`` or ``- content``, the last two of role text; lines
+    without the dash are left out.
+    """
+    named, bare = r'^(\w+)\s+"([^"]*)"(.*)$', r"^(\w+):?\s*$"
+
+    def parts(raw: Column, n: Column) -> Column:
+        rest = F.regexp_replace(raw, r"^\s+", "")
+        x = F.substr(rest, F.lit(3))
+        whole, alone = x.rlike(named), x.rlike(bare)
+        plain = F.when(x.startswith("text:"), F.substr(x, F.lit(6))).otherwise(F.regexp_replace(x, ":$", ""))
+        return F.when(
+            rest.startswith("- "),
+            F.struct(
+                n.alias("line"), (F.length(raw) - F.length(rest)).alias("indent"), F.when(whole, F.regexp_extract(x, named, 1)).when(alone, F.regexp_extract(x, bare, 1)).otherwise("text").alias("role"),
+                F.when(whole, F.regexp_extract(x, named, 2)).when(alone, "").otherwise(X.trim(plain)).alias("name"), F.when(whole, X.trim(F.regexp_extract(x, named, 3))).otherwise("").alias("attributes"), raw.alias("raw"),
+            ),
+        )
+
+    return F.filter(F.transform(F.split(text, "\n"), parts), lambda x: x.isNotNull())
+
+
+def selector(role: Column, name: Column, nth: Column) -> Column:
+    """How a page's script finds an element of a role and name, the ``nth`` of equal ones."""
+    given = F.when(name != "", F.concat(F.lit(", { name: '"), F.replace(name, F.lit("'"), F.lit("\\'")), F.lit("', exact: true }"))).otherwise("")
+    return F.concat(F.lit("getByRole('"), role, F.lit("'"), given, F.lit(")"), F.when(nth.isNotNull(), F.concat(F.lit(".nth("), nth.cast("string"), F.lit(")"))).otherwise(""))
 
 
 def references(tree: DataFrame, page: str, line: str, interactive: bool = False) -> DataFrame:
-    """Lines that get a reference (e1, e2, ...), numbered in order; ``nth`` only where role and name repeat."""
+    """Lines that get a reference (e1, e2, ...), numbered in order, with a selector; ``nth`` only where role and name repeat."""
     roles = INTERACTIVE if interactive else (*INTERACTIVE, *CONTENT)
     kept = tree.where(F.col("role").isin(*roles))
     same = Window.partitionBy(page, "role", "name")
-    return kept.select(
+    kept = kept.select(
         page, line, "role", "name", F.concat(F.lit("e"), F.row_number().over(Window.partitionBy(page).orderBy(line)).cast("string")).alias("ref"),
         F.when(F.count(F.lit(1)).over(same) > 1, F.row_number().over(same.orderBy(line)) - 1).alias("nth"),
     )
+    return kept.withColumn("selector", selector(F.col("role"), F.col("name"), F.col("nth")))
+
+
+def annotated(pages: DataFrame, page: str, text: str, interactive: bool = True, compact: bool = True) -> DataFrame:
+    """(page, line, text): a tree's lines with references put in; ``compact`` leaves out structural lines without children."""
+    raw = pages.select(page, F.posexplode(F.split(text, "\n")).alias("line", "raw"))
+    parsed = pages.select(page, F.inline(tree_lines(F.col(text)))).drop("raw")
+    refs = references(parsed, page, "line", interactive).select(page, "line", "ref")
+    x = raw.join(parsed, [page, "line"], "left").join(refs, [page, "line"], "left")
+    marked = F.concat(F.repeat(F.lit(" "), F.col("indent")), F.lit("- "), "role", F.when(F.col("name") != "", F.concat(F.lit(' "'), "name", F.lit('"'))).otherwise(""), F.lit(" [ref="), "ref", F.lit("]"), F.when(F.col("attributes") != "", F.concat(F.lit(" "), "attributes")).otherwise(""))
+    kept = F.col("ref").isNotNull() | F.when(F.col("role").isNull(), X.trim(F.col("raw")) != "").otherwise(F.lit(not compact) | ~F.col("role").isin(*STRUCTURAL))
+    return x.where(kept).select(page, "line", F.coalesce(marked, F.col("raw")).alias("text"))

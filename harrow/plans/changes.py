@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.operators import changes as C
+from harrow.operators import lookups as J
 from harrow.plans.registry import query
 from harrow.session import table
 
@@ -108,3 +109,13 @@ FROM (SELECT url, ts, sha256(body) AS hash, body, lag(body) OVER (PARTITION BY u
 def k12_change_payloads(spark: SparkSession, d: str) -> DataFrame:
     snaps = table(spark, d, "events").select(F.col("user_id").alias("url"), "event_id", "ts", F.col("event_type").alias("body"))
     return C.change_payloads(C.watch(snaps, "url", ["ts", "event_id"], "body"), "url", "ts")
+
+
+@query("""WITH f AS (SELECT user_id, event_id, epoch(ts) AS t FROM events WHERE event_id % 2 = 0), s AS (SELECT user_id, event_id AS snap, epoch(ts) AS t, event_type AS body FROM events WHERE event_id % 2 = 1),
+u AS (SELECT user_id, t, max(snap) AS snap FROM s GROUP BY user_id, t)
+SELECT f.event_id, CASE WHEN f.t - u.t <= 86400 THEN u.snap END AS snap, CASE WHEN f.t - u.t <= 86400 THEN s.body END AS body FROM f ASOF LEFT JOIN u ON f.user_id = u.user_id AND f.t >= u.t LEFT JOIN s USING (snap)""")
+def c09_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """The latest snapshot of another feed at the time of each fetch, at most a day old."""
+    e = table(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp").cast("double"))
+    snaps = e.where("event_id % 2 = 1").select("user_id", "t", F.col("event_id").alias("snap"), F.col("event_type").alias("body"))
+    return J.as_of(e.where("event_id % 2 = 0").select("event_id", "user_id", "t"), snaps, "user_id", "t", ["snap", "body"], ["snap"], 86400.0, per_chunk=50).select("event_id", "snap", "body")

@@ -41,35 +41,61 @@ def h32_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tree(spark: SparkSession, d: str) -> DataFrame:
-    line = cat(F.repeat(F.lit("  "), (F.col("n_nationkey") % 3).cast("int")), "- ", F.element_at(F.array(*[F.lit(x) for x in ("button", "link", "heading", "generic", "navigation", "main", "code", "listitem")]), F.col("n_nationkey") % 8 + 1), ' "', F.substring("n_name", 1, 1), '" [x=1]')
+    """Every region's nations as lines of a tree, of every shape that a line can have."""
+    name = F.substring("n_name", 1, 1)
+    role = F.element_at(F.array(*[F.lit(x) for x in ("button", "link", "heading", "generic", "navigation", "main", "code", "listitem")]), F.col("n_nationkey") % 8 + 1)
+    shape = F.col("n_nationkey") % 6
+    line = F.when(shape == 0, cat("- text:  ", F.col("n_name"), " ")).when(shape == 1, cat("- ", role, ":")).when(shape == 2, cat("- ", F.col("n_name"), " and, more:")).when(shape == 3, "no dash").otherwise(cat("- ", role, ' "', name, '" [x=1]'))
+    line = cat(F.repeat(F.lit("  "), (F.col("n_nationkey") % 3).cast("int")), line)
     t = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
-    return t.select("n_regionkey", F.posexplode(L.tree_lines(F.col("text"))).alias("line", "x")).select("n_regionkey", "line", "x.*")
+    return t
 
 
-TREE = "SELECT n_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INT) AS line, CAST(2 * (n_nationkey % 3) AS INT) AS indent, ['button', 'link', 'heading', 'generic', 'navigation', 'main', 'code', 'listitem'][n_nationkey % 8 + 1] AS role, substr(n_name, 1, 1) AS name FROM nation"
+TREE = """SELECT n_regionkey, line, CAST(2 * (k % 3) AS INT) AS indent, CASE k % 6 WHEN 0 THEN 'text' WHEN 2 THEN 'text' ELSE r END AS role,
+CASE k % 6 WHEN 0 THEN n_name WHEN 1 THEN '' WHEN 2 THEN n_name || ' and, more' ELSE substr(n_name, 1, 1) END AS name, CASE WHEN k % 6 > 3 THEN '[x=1]' ELSE '' END AS attributes, k
+FROM (SELECT *, n_nationkey AS k, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INT) AS line, ['button', 'link', 'heading', 'generic', 'navigation', 'main', 'code', 'listitem'][n_nationkey % 8 + 1] AS r FROM nation) WHERE k % 6 <> 3"""
+REFS = f"""SELECT n_regionkey, line, role, name, 'e' || row_number() OVER (PARTITION BY n_regionkey ORDER BY line) AS ref, CAST(CASE WHEN count(*) OVER (PARTITION BY n_regionkey, role, name) > 1
+THEN row_number() OVER (PARTITION BY n_regionkey, role, name ORDER BY line) - 1 END AS INT) AS nth, indent, attributes FROM ({TREE})"""
 
 
-@query(TREE)
+@query(f"SELECT n_regionkey, line, indent, role, name, attributes FROM ({TREE})")
 def h26_tree_lines(spark: SparkSession, d: str) -> DataFrame:
-    return tree(spark, d)
+    return tree(spark, d).select("n_regionkey", F.inline(L.tree_lines(F.col("text")))).drop("raw")
 
 
-@query(f"""SELECT n_regionkey, line, role, name, 'e' || row_number() OVER (PARTITION BY n_regionkey ORDER BY line) AS ref, CAST(CASE WHEN count(*) OVER (PARTITION BY n_regionkey, role, name) > 1
-THEN row_number() OVER (PARTITION BY n_regionkey, role, name ORDER BY line) - 1 END AS INT) AS nth FROM ({TREE}) WHERE role NOT IN ('generic', 'main', 'listitem')""")
+@query(f"""SELECT n_regionkey, line, role, name, ref, nth, 'getByRole(''' || role || '''' || CASE WHEN name = '' THEN '' ELSE ', {{ name: ''' || name || ''', exact: true }}' END || ')' || coalesce('.nth(' || nth || ')', '') AS selector
+FROM ({REFS} WHERE role NOT IN ('generic', 'main', 'listitem', 'text'))""")
 def h27_references(spark: SparkSession, d: str) -> DataFrame:
-    return L.references(tree(spark, d), "n_regionkey", "line")
+    lines = tree(spark, d).select("n_regionkey", F.inline(L.tree_lines(F.col("text"))))
+    return L.references(lines, "n_regionkey", "line")
 
 
-@query("SELECT n_nationkey, '--- a' || n_nationkey || ' ---' || chr(10) || n_name || chr(10) || '--- end a' || n_nationkey || ' ---' AS text FROM nation")
+@query(f"""SELECT n_regionkey, line, repeat(' ', indent) || '- ' || role || CASE WHEN name = '' THEN '' ELSE ' "' || name || '"' END || ' [ref=' || ref || ']' || CASE WHEN attributes = '' THEN '' ELSE ' ' || attributes END AS text FROM ({REFS} WHERE role IN ('button', 'link'))
+UNION ALL SELECT n_regionkey, line, repeat(' ', indent) || CASE k % 6 WHEN 0 THEN '- text:  ' || name || ' ' WHEN 1 THEN '- ' || role || ':' WHEN 2 THEN '- ' || name || ':' ELSE '- ' || role || ' "' || name || '" [x=1]' END
+FROM ({TREE}) WHERE role NOT IN ('button', 'link', 'generic', 'main') UNION ALL SELECT n_regionkey, line, repeat(' ', 2 * CAST(n_nationkey % 3 AS INT)) || 'no dash' FROM
+(SELECT *, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INT) AS line FROM nation) WHERE n_nationkey % 6 = 3""")
+def h27_compact_tree(spark: SparkSession, d: str) -> DataFrame:
+    return L.annotated(tree(spark, d), "n_regionkey", "text")
+
+
+@query("SELECT n_nationkey, '<boundary:a' || n_nationkey || '>' || chr(10) || n_name || chr(10) || '</boundary:a' || n_nationkey || '>' AS text FROM nation")
 def h28_boundary(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("n_nationkey").cast("string")
-    return table(spark, d, "nation").select("n_nationkey", cat("--- a", k, " ---\n", F.col("n_name"), "\n--- end a", k, " ---").alias("text"))
+    return table(spark, d, "nation").select("n_nationkey", K.wrapped(F.col("n_name"), cat("a", F.col("n_nationkey").cast("string"))).alias("text"))
+
+
+@query("SELECT count(*) AS markers, max(16) AS size FROM nation")
+def h28_markers(spark: SparkSession, d: str) -> DataFrame:
+    """Every row's marker is another one."""
+    m = table(spark, d, "nation").select(K.random_marker().alias("m"))
+    return m.agg(F.count_distinct("m").alias("markers"), F.max(F.length("m")).alias("size"))
 
 
 @query("SELECT c_custkey, c_name AS first FROM customer")
 def k01_row_array(spark: SparkSession, d: str) -> DataFrame:
     rows = F.array(F.struct(F.col("c_name").alias("n")))
-    j = F.when(F.col("c_custkey") % 2 == 0, F.to_json(F.struct(F.lit(1).alias("results"), rows.alias("items")))).otherwise(F.to_json(F.struct(rows.alias("results"), F.array(F.lit(1)).alias("items"))))
+    odd = F.array(F.struct(F.lit("no").alias("n")))
+    j = F.when(F.col("c_custkey") % 3 == 0, F.to_json(F.struct(F.lit(1).alias("results"), rows.alias("items")))).when(F.col("c_custkey") % 3 == 1, F.to_json(F.struct(odd.alias("aa"), rows.alias("results"), F.array(F.lit(1)).alias("items"))))
+    j = F.coalesce(j, F.to_json(F.struct(F.lit(2).alias("total"), rows.alias("zz"), odd.alias("aa"))))  # no known key: the first that holds an array, in the order of the text
     return table(spark, d, "customer").select("c_custkey", K.row_array(j).alias("a")).select("c_custkey", F.get_json_object("a", "$[0].n").alias("first"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harrow.operators import caches as H
 from harrow.operators import knowledge as K
 from harrow.plans.registry import doubles, query
 from harrow.session import table
@@ -166,6 +167,29 @@ def a16_recent_entries(spark: SparkSession, d: str) -> DataFrame:
     return ranked.join(F.broadcast(newest)).where("newest - t <= 86400 * 10").select("user_id", "event_id")
 
 
+HELD = """SELECT user_id % 20 AS g, event_type || user_id % 7 AS k, event_id, epoch(ts) AS t, event_id % 3 <> 0 AS stored FROM events"""
+
+
+def uses(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    key = F.concat("event_type", (F.col("user_id") % 7).cast("string"))
+    return e.select((F.col("user_id") % 20).alias("g"), key.alias("k"), "event_id", F.col("ts").cast("timestamp").cast("double").alias("t"), (F.col("event_id") % 3 != 0).alias("stored"))
+
+
+@query(f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY t, event_id) AS i FROM ({HELD})),
+p AS (SELECT a.event_id, a.g, a.i, a.t, max(b.i) AS prev_i, arg_max(b.t, b.i) AS prev_t FROM e a LEFT JOIN e b ON b.g = a.g AND b.k = a.k AND b.stored AND b.i < a.i GROUP BY ALL),
+n AS (SELECT p.event_id, count(DISTINCT c.k) AS between_ FROM p LEFT JOIN e c ON c.g = p.g AND c.stored AND c.i > p.prev_i AND c.i < p.i GROUP BY p.event_id)
+SELECT event_id, coalesce(prev_i IS NOT NULL AND between_ < 6 AND t - prev_t <= 43200, false) AS hit FROM p JOIN n USING (event_id)""")
+def a16_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """Every lookup in stores of six entries and half a day, which two of three events write: fewer than six other keys were written since."""
+    return H.lookups(uses(spark, d), "g", "k", ["t", "event_id"], "t", 6, 43200.0, "stored", per_chunk=200).select("event_id", "hit")
+
+
+@query(f"""SELECT g, k, event_id FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY t DESC, event_id DESC) AS r FROM (SELECT g, k, max(t) AS t, arg_max(event_id, (t, event_id)) AS event_id FROM ({HELD}) WHERE stored GROUP BY g, k)) WHERE r <= 6""")
+def a16_contents(spark: SparkSession, d: str) -> DataFrame:
+    return H.contents(uses(spark, d).where("stored"), "g", "k", ["t", "event_id"], 6).select("g", "k", "event_id")
+
+
 @query("SELECT c_custkey, count(*) >= 15 AS stale, bool_or(o_orderkey % 4 <> 0) AS valid FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def a17_session_state(spark: SparkSession, d: str) -> DataFrame:
     from harrow.operators import cookies

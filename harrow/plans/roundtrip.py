@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harrow.markup import frames as M
 from harrow.operators import graph as G
 from harrow.operators import recipes
+from harrow.operators import sinks as K
 from harrow.plans.registry import query
 from harrow.session import passing, shared_dir, table
 from harrow.sources import urls as S
@@ -275,19 +276,21 @@ def s08_feed_images(spark: SparkSession, d: str) -> DataFrame:
     return feed(spark, d).groupBy("image").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT n_regionkey, '# Feed' || chr(10) || string_agg('- [' || title || '](' || link || ')', chr(10) ORDER BY link) AS markdown FROM ({FEED}) GROUP BY n_regionkey")
+@query(f"""SELECT n_regionkey, '# Feed & co' || chr(10) || chr(10) || 'Source: https://x.example/' || chr(10) || chr(10) || string_agg('## ' || title || chr(10) || '- Link: ' || link || chr(10) || '- Categories: ' || category || chr(10) || '- Image: ' || image || chr(10) || chr(10) || 'text' || chr(10), chr(10) ORDER BY n_nationkey) AS markdown
+FROM (SELECT f.*, CAST(substr(link, 19) AS INT) AS n_nationkey FROM ({FEED}) f) GROUP BY n_regionkey""")
 def k08_feed_markdown(spark: SparkSession, d: str) -> DataFrame:
-    line = F.struct("link", cat("- [", F.col("title"), "](", F.col("link"), ")").alias("t"))
-    return feed(spark, d).groupBy("n_regionkey").agg(cat("# Feed\n", F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"]), "\n")).alias("markdown"))
+    entries = F.transform(F.array_sort(F.collect_list(F.struct(F.regexp_extract("link", r"(\d+)$", 1).cast("int").alias("k"), F.struct("title", "link", "published", "creator", "summary", "categories", "image").alias("e")))), lambda x: x["e"])
+    return feed(spark, d).groupBy("n_regionkey").agg(K.feed_markdown(F.lit("Feed & co"), F.lit("https://x.example/"), entries).alias("markdown"))
 
 
-@query("SELECT o_custkey, o_orderkey AS id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 4")
+@query("SELECT o_custkey, o_orderkey AS id, n > 4 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE r <= 4")
 def s11_json_truncation(spark: SparkSession, d: str) -> DataFrame:
-    """The first four children of each listing's JSON."""
-    body = F.to_json(F.struct(F.struct(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("id")))).alias("children")).alias("data")))
-    j = table(spark, d, "orders").groupBy("o_custkey").agg(body.alias("body"))
-    kids = F.from_json("body", "data struct<children:array<struct<id:long>>>")["data"]["children"]
-    return j.select("o_custkey", F.explode(F.slice(kids, 1, 4)).alias("c")).select("o_custkey", "c.id")
+    """The first four items of each listing's JSON: an array for every second customer, a forum's listing for the others."""
+    kids = F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("id"))))
+    body = F.when(F.col("o_custkey") % 2 == 0, F.to_json(kids)).otherwise(F.to_json(F.struct(F.lit("Listing").alias("kind"), F.struct(F.lit("t3").alias("after"), kids.alias("children")).alias("data"))))
+    j = table(spark, d, "orders").groupBy("o_custkey").agg(body.alias("body")).select("o_custkey", K.truncated_json(F.col("body"), 4).alias("x"))
+    items = F.coalesce(F.from_json("x.json", "struct<data:struct<after:string,children:array<struct<id:long>>>>")["data"]["children"], F.from_json("x.json", "array<struct<id:long>>"))
+    return j.select("o_custkey", F.explode(items).alias("c"), "x.truncated").select("o_custkey", "c.id", "truncated")
 
 
 @query("SELECT s_suppkey, s_name || ' <1>' AS title, 'https://shop.example/' || s_suppkey || '?a=b c' AS url FROM supplier")
@@ -309,13 +312,15 @@ def g02_crawl(spark: SparkSession, d: str) -> DataFrame:
     return G.crawl(pages=edges, edges=edges, seed=seed, max_pages=1000, max_depth=3, batch=50).select("url", "depth")
 
 
-@query("SELECT 1 AS place, 'https://x.example/a' AS url UNION ALL SELECT 2, 'https://x.example/blog/c' UNION ALL SELECT 3, 'https://x.example/tag/y' UNION ALL SELECT 4, 'https://x.example/tag/x'")
+@query("""SELECT p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END, p_partkey DESC) AS INT) AS place, p_partkey FROM part""")
 def g03_queue_ties(spark: SparkSession, d: str) -> DataFrame:
-    """Among equal scores the newest goes first."""
-    rows = [("https://x.example/a", "https://x.example/tag/x", "", 0), ("https://x.example/a", "https://x.example/tag/y", "", 1), ("https://x.example/a", "https://x.example/blog/c", "", 2)]
-    edges = spark.createDataFrame(rows, "src string, dst string, anchor string, pos int")
-    out = G.crawl(edges, edges, spark.createDataFrame([("https://x.example/a",)], "url string"), 10, 1, 1)
-    return out.select((F.col("wave") + 1).cast("int").alias("place"), "url")
+    """Each brand's seed links to its parts in order: higher scores first, and among equal ones the newest."""
+    host = cat("https://", F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]", ""), ".example/")
+    p = table(spark, d, "part").select("p_brand", "p_partkey", host.alias("src"), F.concat(host, F.when(F.col("p_partkey") % 3 == 0, "blog/").otherwise("tag/"), F.col("p_partkey").cast("string")).alias("dst"))
+    edges = p.select("src", "dst", F.lit("").alias("anchor"), F.col("p_partkey").cast("int").alias("pos"))
+    out = G.crawl(edges, edges, p.select(F.col("src").alias("url")).distinct(), 1 << 30, 1, 1 << 20)
+    order = F.row_number().over(Window.partitionBy("p_brand").orderBy("wave", "place")).cast("int")
+    return out.where("depth = 1").withColumnRenamed("url", "dst").join(p, "dst").select("p_brand", order.alias("place"), "p_partkey")
 
 
 @query("""SELECT n_nationkey, CASE n_nationkey % 2 WHEN 0 THEN '<body><p>' || n_name || '</p><ul><li>x' || n_nationkey || '</li></ul></body>' ELSE n_name || chr(10) || chr(10) || '-   x' || n_nationkey END AS signature FROM nation""")

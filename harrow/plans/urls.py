@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.functions import url as U
+from harrow.operators import lookups as J
 from harrow.plans.registry import names, query
 from harrow.session import table
 
@@ -82,6 +83,25 @@ def u10_allow_list(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", U.allowed(U.host(F.col("url")), ["*.example.com", "therha.example.net"]).alias("allowed"))
 
 
+@query(f"""WITH h AS (SELECT page_id, {HOST} AS h, url FROM pages), r AS (SELECT DISTINCT CASE WHEN page_id % 3 = 0 THEN '*.' || regexp_replace(h, '^[^.]*\\.', '') WHEN page_id % 3 = 1 THEN upper(h) ELSE 'x.' || h END AS p FROM h WHERE page_id % 5 = 0)
+SELECT page_id, bool_or(coalesce(lower(p) = h OR (p LIKE '*.%' AND (h = substr(p, 3) OR ends_with(h, substr(p, 2)))), false)) AS allowed FROM h LEFT JOIN r ON true GROUP BY page_id""")
+def u10_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Hosts against a table of rules, which some pages' hosts make."""
+    h = table(spark, d, "pages").select("page_id", U.host(F.col("url")).alias("h"))
+    k = F.col("page_id") % 3
+    rules = h.where("page_id % 5 = 0").select(F.when(k == 0, F.concat(F.lit("*."), F.regexp_replace("h", r"^[^.]*\.", ""))).when(k == 1, F.upper("h")).otherwise(F.concat(F.lit("x."), "h")).alias("pattern"))
+    return J.allowed_by(h, "h", rules).select("page_id", "allowed")
+
+
+@query(f"""WITH h AS (SELECT page_id, {HOST} AS h, {PATH} AS p FROM pages), r AS (SELECT DISTINCT h, substr(p, 1, CAST(1 + page_id % 9 AS BIGINT)) AS p, page_id % 2 = 0 AS a FROM h WHERE page_id % 4 = 0)
+SELECT page_id, coalesce(arg_max(a, (len(r.p), a)) FILTER (r.p IS NOT NULL), true) AS allowed FROM h LEFT JOIN r ON r.h = h.h AND starts_with(h.p, r.p) GROUP BY page_id""")
+def u10_path_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Paths against a table of rules by host, which some pages' paths make: the longest decides."""
+    h = table(spark, d, "pages").select("page_id", U.host(F.col("url")).alias("h"), U.path(F.col("url")).alias("p"))
+    rules = h.where("page_id % 4 = 0").select(F.col("h").alias("host"), F.expr("substr(p, 1, cast(1 + page_id % 9 as int))").alias("path"), (F.col("page_id") % 2 == 0).alias("allow")).distinct()
+    return J.path_rules(h, "h", "p", rules).select("page_id", "allowed")
+
+
 SHAPES = ("https://www.youtube.com/watch?v=abc", "https://youtu.be/abc", "https://m.tiktok.com/@a/1", "https://a.example/x/y.MP4", "https://a.example/y.html", "no url")
 
 
