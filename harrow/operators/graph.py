@@ -137,3 +137,17 @@ def crawl(pages: DataFrame, edges: DataFrame, seed: DataFrame, max_pages: int, m
         best = found.groupBy("dst").agg(F.max(F.struct("points", "place", "pos", "depth")).alias("m"))
         frontier.add(best.select(F.col("dst").alias("url"), "m.depth", "m.points", F.lit(wave).alias("wave"), "m.place", "m.pos"), wave)
     return out if out is not None else seed.select("url", F.lit(0).alias("depth"), F.lit(0).alias("wave"), F.lit(0).alias("place")).limit(0)
+
+
+SKETCH = 14  # 2**14 entries: counts up to that are exact, beyond it the standard error is 0.8 %
+
+
+def sketches(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, n, sketch): rows and a mergeable sketch of the distinct values of each group, to be stored."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.theta_sketch_agg(value, SKETCH).alias("sketch"))
+
+
+def rollup_sketches(stored: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, distinct): every level of ``keys`` from stored sketches, without the rows."""
+    out = stored.rollup(*keys).agg(F.sum("n").alias("n"), F.theta_union_agg("sketch", SKETCH).alias("sketch"))
+    return out.select(*keys, "n", F.theta_sketch_estimate("sketch").alias("distinct"))

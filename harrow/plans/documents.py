@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harrow.functions import records as R
+from harrow.functions import tables as T
+from harrow.operators import commits as V
 from harrow.operators import layout as L
 from harrow.operators import listings as P
 from harrow.operators import sinks as K
 from harrow.plans.registry import doubles, query
 from harrow.plans.roundtrip import cat
 from harrow.session import passing, shared_dir, table
+from harrow.sources import logs as Q
 
 
 @query("""SELECT user_id, line, string_agg(CAST(event_id AS VARCHAR), ' ' ORDER BY event_id) AS text FROM (SELECT *, CAST(sum(CAST(fresh AS INT)) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS line FROM
@@ -34,6 +37,17 @@ def h31_tables(spark: SparkSession, d: str) -> DataFrame:
     return t.select("user_id", "table", "event_id", F.size("cells").alias("n"))
 
 
+@query(f"""WITH c AS (SELECT *, CAST(sum(CAST(n < 2 OR p IS NULL OR p <> n AS INT)) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS run FROM (SELECT *, lag(n) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM ({ROWED})))
+SELECT user_id, run AS "table", event_id, CAST(n AS INT) AS n FROM (SELECT *, count(*) OVER (PARTITION BY user_id, run) AS size FROM c WHERE n >= 2) WHERE size >= 2""")
+def h31_table_function(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a table function from SQL: one pass over each page's rows, no windows."""
+    text = F.expr("CASE WHEN event_id % 4 = 0 THEN 'single line' WHEN event_type = 'error' THEN concat('a b   ', event_id, '\\tx') ELSE concat(event_id, '    y') END")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("page"), F.col("event_id").alias("line"), text.alias("text"))
+    T.register(spark)
+    found = spark.sql("SELECT * FROM text_tables(TABLE({rows}) PARTITION BY page ORDER BY line)", rows=rows)
+    return found.select(F.col("page").alias("user_id"), "table", F.col("line").alias("event_id"), F.size("cells").alias("n"))
+
+
 @query(f"""SELECT doc_id, CASE WHEN n = 0 THEN 0.0 ELSE least(1.0, length(regexp_replace(t, '{L.ODD}', '', 'g')) / n * least(1.0, n / 50.0)) END AS confidence
 FROM (SELECT *, length(t) + length(regexp_replace(t, '{L.WIDE}', '', 'g')) AS n FROM (SELECT doc_id, regexp_replace(text, '{L.ENDS}', '', 'g') AS t FROM documents))""")
 def h32_confidence(spark: SparkSession, d: str) -> DataFrame:
@@ -302,3 +316,29 @@ def k11_snapshot(spark: SparkSession, d: str) -> DataFrame:
     K.write_snapshot(n, root, 9)
     K.write_snapshot(n.select("n_nationkey", cat(F.col("n_name"), "!").alias("n_name")), root, 10)
     return K.read_snapshot(spark, root)
+
+
+@query("SELECT n_nationkey, n_name || '!?' AS n_name FROM nation")
+def k11_commits(spark: SparkSession, d: str) -> DataFrame:
+    """Two changes of a state table, each of the version before it."""
+    n, root = table(spark, d, "nation").select("n_nationkey", "n_name"), passing(spark, f"{shared_dir(spark)}/state-{uuid.uuid4().hex}")
+    V.commit(n, root, 0)
+    for mark in "!?":
+        V.update(spark, root, lambda old, mark=mark: old.withColumn("n_name", cat(F.col("n_name"), mark)))
+    return V.read(spark, root)
+
+
+@query("SELECT event_id, 'https://h' || (user_id % 30) || '.example/' || event_type AS url, event_id % 5 * 100 AS status FROM events WHERE event_type = 'error' AND event_id % 5 > 1")
+def s12_request_log(spark: SparkSession, d: str) -> DataFrame:
+    """Events written as log lines and read back by the source, which tests the method as it reads."""
+    Q.register(spark)
+    path = passing(spark, f"{shared_dir(spark)}/log-{uuid.uuid4().hex}")
+    url = cat("https://h", (F.col("user_id") % 30).cast("string"), ".example/", F.col("event_type"))
+    e = table(spark, d, "events").select(url.alias("url"), F.col("event_type").alias("method"), (F.col("event_id") % 5 * 100).alias("status"), F.col("event_id").cast("double").alias("ts"))
+    e.select(F.to_json(F.struct("*")).alias("value")).write.option("lineSep", "\n").format("text").save(f"{path}/raw")
+    return log_of(spark, path).where("method = 'error' and status > 100").select(F.col("ts").cast("long").alias("event_id"), "url", "status")
+
+
+def log_of(spark: SparkSession, path: str) -> DataFrame:
+    """The source reads files by their ending; Spark's text files have another one."""
+    return spark.read.format("request_log").option("ending", ".txt").load(f"{path}/raw")

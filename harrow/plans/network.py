@@ -47,10 +47,10 @@ def n04_headers(spark: SparkSession, d: str) -> DataFrame:
     return one.select("user_id", F.element_at("h", F.lit("X-Token")).alias("token"), F.try_element_at("h", F.lit("Authorization")).alias("signed"), F.size("h").alias("kept"))
 
 
-@query(f"SELECT event_id, CASE WHEN contains(url, '?a=') THEN '1' END AS a, substr(props, 1, 5) AS preview FROM ({LOG_SQL}) JOIN (SELECT event_id, props FROM events) USING (event_id)")
+@query(f"SELECT event_id, CASE WHEN contains(url, '?a=') THEN '1' END AS a, substr(props, 1, 500) AS preview FROM ({LOG_SQL}) JOIN (SELECT event_id, props FROM events) USING (event_id)")
 def n05_params_and_preview(spark: SparkSession, d: str) -> DataFrame:
     l = log(spark, d).join(table(spark, d, "events").select("event_id", "props"), "event_id")
-    return l.select("event_id", F.try_element_at(N.query_params(F.col("url")), F.lit("a")).alias("a"), F.substring("props", 1, 5).alias("preview"))
+    return l.select("event_id", F.try_element_at(N.query_params(F.col("url")), F.lit("a")).alias("a"), F.substring("props", 1, 500).alias("preview"))
 
 
 PAIRED = """WITH RECURSIVE e AS (SELECT {url} AS url, event_id AS id, epoch(ts) AS t, event_id % 2 = 0 AS req FROM events),

@@ -11,7 +11,7 @@ from harrow.operators import classify as C
 from harrow.operators import graph as G
 from harrow.plans.registry import doubles, names, query
 from harrow.plans.urls import HOST, NORMAL, PATH, SCHEME
-from harrow.session import table
+from harrow.session import table, written
 
 TRIM = r"'^[\s\x{00A0}\x{FEFF}]+|[\s\x{00A0}\x{FEFF}]+$'"
 
@@ -202,6 +202,14 @@ def g05_host_rollup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select(U.host(u).alias("host"), F.coalesce(F.get(U.segments(u), F.lit(0)), F.lit("")).alias("seg")).rollup("host", "seg").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ROLLUP (event_type, day)")
+def g05_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Users by kind and day, and by kind over all days, from sketches that are stored and merged without the events."""
+    e = table(spark, d, "events").select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), "user_id")
+    stored = written(G.sketches(e, ["event_type", "day"], "user_id"), "sketches")
+    return G.rollup_sketches(stored, ["event_type", "day"]).withColumnRenamed("distinct", "users")
+
+
 @query(f"""SELECT p.page_id, {NORMAL} AS url, {TITLE} AS title, length(t) AS n_text, CAST(coalesce(n, 0) AS BIGINT) AS n_links, {BLOCK_SQL.replace('status', '200')} AS blocked, {sql_score('url', '0')} AS score
 FROM (SELECT *, len(regexp_extract_all(html, '(?i)<a\\s')) AS links, {sql_any('html', C.SCRIPTS)} AS p, regexp_matches({TITLE}, '(?i){'|'.join(C.TITLES)}') AS c, {sql_any('lower(t)', C.BLOCKED)} AS f FROM (SELECT *, {sql_text('html')} AS t FROM pages)) p
 LEFT JOIN (SELECT page_id, count(*) AS n FROM ({LINKS}) GROUP BY page_id) l ON l.page_id = p.page_id""")

@@ -31,3 +31,18 @@ def st3_watch_state(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, count(*) AS n, round(list_reduce(list(value ORDER BY ts, event_id), lambda acc, x: acc * 0.7 + x * 0.3), 6) AS avg FROM events GROUP BY user_id")
 def st4_outcome_state(spark: SparkSession, d: str) -> DataFrame:
     return S.drained(S.folded(S.events(spark, d))).select("user_id", "n", F.round("avg", 6).alias("avg"))
+
+
+@query("""SELECT user_id, event_id, coalesce(t - last_value(CASE WHEN stored THEN t END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 172800, false) AS hit
+FROM (SELECT user_id, event_id, epoch(ts) AS t, event_id % 3 <> 0 AS stored FROM events)""")
+def st5_store_with_a_life(spark: SparkSession, d: str) -> DataFrame:
+    e = S.events(spark, d).select("user_id", "event_id", F.col("ts").cast("double").alias("t"), (F.col("event_id") % 3 != 0).alias("stored"))
+    return S.drained(S.stored(e, 172800.0))
+
+
+@query("""SELECT user_id, event_id, CAST(count(*) FILTER (event_id % 2 = 0) OVER w AS BIGINT) AS sent, CAST(count(*) FILTER (event_id % 2 = 1) OVER w AS BIGINT) AS received FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 7""")
+def s15_capped_messages(spark: SparkSession, d: str) -> DataFrame:
+    """The first seven messages of each capture, as they come."""
+    e = S.events(spark, d).select("user_id", "event_id", F.col("ts").cast("double").alias("t"), F.when(F.col("event_id") % 2 == 0, "sent").otherwise("received").alias("direction"))
+    return S.drained(S.capped(e, 7))
