@@ -19,11 +19,6 @@ def trim(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s\x{00A0}\x{FEFF}]+|[\s\x{00A0}\x{FEFF}]+$", "")
 
 
-def up_to_last(text: Column, end: str) -> Column:
-    """``text`` up to its last match of the pattern ``end``; empty without one. What follows cannot hold a closed element, and would be scanned once for each that it opens."""
-    return once(text, lambda x: F.left(x, F.length(x) - F.length(F.regexp_replace(x, f"(?is)^.*{end}", ""))))
-
-
 def inner_body(html: Column) -> Column:
     """What is between the first body tag and the end tag after it; null without both. Linear however the page is broken."""
     rest = F.get(F.split(F.get(F.split(html, "(?i)<body", 2), F.lit(1)), ">", 2), F.lit(1))
@@ -34,26 +29,25 @@ def body(html: Column) -> Column:
     return F.coalesce(inner_body(html), html)
 
 
-def without_element(text: Column, pattern: str, end: str) -> Column:
-    """``text`` without the elements of ``pattern``, which ends with ``end``."""
-    return once(text, lambda x: once(up_to_last(x, end), lambda head: F.concat(F.regexp_replace(head, pattern, ""), F.substr(x, F.length(head) + 1))))
+def without(text: Column, flags: str, opening: str, rest: str) -> Column:
+    """``text`` without the matches of ``opening`` and ``rest``.
 
+    The first opening that has no end takes what follows with it and puts it back, so nothing is scanned twice.
+    """
+    return F.regexp_replace(text, f"(?{flags}){opening}(?:{rest}|(?<=({opening}))(.*+))", "$1$2")
 
-def without_scripts(text: Column) -> Column:
-    return without_element(text, SCRIPT, "</script>")
 
+def without_scripts(text: Column) -> Column:
+    return without(text, "is", "<script", ".*?</script>")
 
-def without_tags(text: Column, by: str = "") -> Column:
-    def cut(x: Column) -> Column:
-        tail = F.substring_index(x, ">", -1)  # holds no whole tag
-        return F.concat(F.regexp_replace(F.left(x, F.length(x) - F.length(tail)), TAG, by), tail)
 
-    return once(text, cut)
+def without_tags(text: Column) -> Column:
+    return without(text, "s", "<", "[^>]*+>")
 
 
 def text_of(html: Column) -> Column:
     """Without scripts, styles and tags, trimmed."""
-    return trim(without_tags(without_element(without_scripts(html), STYLE, "</style>")))
+    return trim(without_tags(without(without_scripts(html), "is", "<style", ".*?</style>")))
 
 
 def body_text(html: Column) -> Column:
@@ -70,7 +64,12 @@ def sanitize(html: Column) -> Column:
 
 def crude(html: Column, cut: int = 500_000, size: int = 120_000) -> Column:
     """Tags to spaces, white space collapsed, of the first ``cut`` characters; at most ``size``."""
-    return F.substring(trim(F.regexp_replace(without_tags(F.substring(html, 1, cut), " "), r"\s+", " ")), 1, size)
+
+    def spaced(x: Column) -> Column:
+        tail = F.substring_index(x, ">", -1)  # holds no whole tag
+        return F.concat(F.regexp_replace(F.left(x, F.length(x) - F.length(tail)), TAG, " "), tail)
+
+    return F.substring(trim(F.regexp_replace(once(F.substring(html, 1, cut), spaced), r"\s+", " ")), 1, size)
 
 
 def truncated(text: Column, size: int, mark: str) -> Column:
@@ -78,7 +77,8 @@ def truncated(text: Column, size: int, mark: str) -> Column:
 
 
 def title(html: Column) -> Column:
-    return F.regexp_extract(up_to_last(html, "</title>"), r"(?i)<title[^>]*>(.*?)</title>", 1)
+    """The first title on one line; without an end tag no place is tried."""
+    return F.when(html.rlike("(?i)</title>"), F.regexp_extract(html, r"(?i)<title[^>]*>(.*?)</title>", 1)).otherwise("")
 
 
 def contains_any(text: Column, words) -> Column:

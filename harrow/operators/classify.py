@@ -78,7 +78,7 @@ def is_blocked(html: Column, status: Column, headers: Column) -> Column:
             .when((x["size"] > 5000) & (x["links"] > 10), False)
             .when(x["challenge"], True)
             .when(small & x["phrase"] & (x["protected"] | (x["size"] < 1000)), True)
-            .otherwise(X.up_to_last(html, "</title>").rlike(r"(?i)<title[^>]*>.*?</title>") & (x["size"] < 50) & (status >= 400))
+            .otherwise(html.rlike(r"(?i)</title>") & html.rlike(r"(?i)<title[^>]*>.*?</title>") & (x["size"] < 50) & (status >= 400))
         )
 
     return X.once(X.once(X.body_text(html), facts), verdict)

@@ -85,10 +85,10 @@ def test_native_text_equals_the_patterns(spark):
     parts = ["<body>", "<BODY a='1'>", "</body>", "</Body>", "<script>", "<script x", "</script>", "</SCRIPT>", "<style>", "</style>", "<p>", "</p>", "a", "İ", "b\n", "<", ">", "漢"]
     pages = ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(1500)]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i long, html string")
-    got = df.select("i", X.inner_body(F.col("html")).alias("body"), X.body_text(F.col("html")).alias("text"), X.without_tags(F.col("html"), " ").alias("spaced")).collect()
+    got = df.select("i", X.inner_body(F.col("html")).alias("body"), X.body_text(F.col("html")).alias("text"), X.without_tags(F.col("html")).alias("bare"), X.crude(F.col("html")).alias("spaced"), X.title(F.col("html")).alias("title")).collect()
     for row in got:
         body, text = plain_text(pages[row.i])
-        assert row.body == body and row.text == text and row.spaced == re.sub(r"<[^>]*>", " ", pages[row.i]), pages[row.i]
+        assert row.body == body and row.text == text and row.bare == re.sub(r"<[^>]*>", "", pages[row.i]) and row.spaced == " ".join(re.sub(r"<[^>]*>", " ", pages[row.i]).split()), pages[row.i]
 
 
 def test_native_text_takes_linear_time(spark):
