@@ -204,10 +204,10 @@ def g05_host_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ROLLUP (event_type, day)")
 def g05_sketches(spark: SparkSession, d: str) -> DataFrame:
-    """Users by kind and day, and by kind over all days, from sketches that are stored and merged without the events."""
+    """Users by kind and day, and by kind over all days, from distinct users that are stored and merged without the events."""
     e = table(spark, d, "events").select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), "user_id")
-    stored = written(G.sketches(e, ["event_type", "day"], "user_id"), "sketches")
-    return G.rollup_sketches(stored, ["event_type", "day"]).withColumnRenamed("distinct", "users")
+    stored = written(G.distinct_values(e, ["event_type", "day"], "user_id"), "distinct")
+    return G.rollup_distinct(stored, ["event_type", "day"], "user_id").withColumnRenamed("distinct", "users")
 
 
 @query(f"""SELECT p.page_id, {NORMAL} AS url, {TITLE} AS title, length(t) AS n_text, CAST(coalesce(n, 0) AS BIGINT) AS n_links, {BLOCK_SQL.replace('status', '200')} AS blocked, {sql_score('url', '0')} AS score
