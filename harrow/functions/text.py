@@ -14,6 +14,11 @@ def once(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def fixed(number: Column, digits: int) -> Column:
+    """A number with so many decimals as C's printf rounds it: by its exact binary value, ties to the even digit."""
+    return F.call_function("format_number", number.cast("double"), F.lit("0." + "0" * digits))
+
+
 def trim(text: Column) -> Column:
     """Strip all white space at both ends, not the space alone."""
     return F.regexp_replace(text, r"^[\s\x{00A0}\x{FEFF}]+|[\s\x{00A0}\x{FEFF}]+$", "")

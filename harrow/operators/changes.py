@@ -80,7 +80,7 @@ def digest(changes: DataFrame, topics: DataFrame, threshold: float) -> DataFrame
 def digest_markdown(changes: DataFrame, topics: DataFrame, threshold: float) -> DataFrame:
     joined = topics.join(changes, "url").withColumn("least", F.coalesce("min_change_pct", F.lit(threshold)))
     joined = joined.where(F.col("changed") & (F.col("pct") >= F.col("least")))
-    line = F.concat(F.lit("- "), F.col("url"), F.lit(" ("), F.format_string("%.1f", F.col("pct")), F.lit("%)"))
+    line = F.concat(F.lit("- "), F.col("url"), F.lit(" ("), X.fixed(F.col("pct"), 1), F.lit("%)"))
     return joined.groupBy("topic").agg(F.array_join(F.concat(F.array(F.concat(F.lit("## "), F.first("topic"))), F.array_sort(F.collect_list(line))), "\n").alias("markdown"))
 
 

@@ -29,3 +29,18 @@ def test_distinct_users_are_exact_beyond_a_sketch(spark, tmp_path):
 def test_a_url_that_is_done_leaves_other_rows_of_it(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (3, "a"), (4, "a"), (5, "b"), (7, None), (9, None), (11, "c"), (None, "d")], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
     assert same_as_sql(spark, tmp_path, "j01_pending") == 4
+
+
+def test_decimals_are_those_of_printf(spark):
+    from harrow.functions import text as X
+
+    values = [k / 1024 * 7 for k in range(3000)] + [k / 20 for k in range(2001)] + [100 * k / 257 for k in range(300)] + [0.0, 8.6e9 + 0.25]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", X.fixed(F.col("v"), 1).alias("one"), X.fixed(F.col("v"), 2).alias("two")).collect()
+    assert [(r.one, r.two) for r in rows] == [("%.1f" % r.v, "%.2f" % r.v) for r in rows]
+
+
+def test_digest_rounds_as_its_sql(spark, tmp_path):
+    lines = lambda n, mark: "\n".join(f"{mark if k < n else ''}{k}" for k in range(400))
+    texts = [lines(0, "x") if k % 2 else lines(390 + k // 2, f"n{k} ") for k in range(20)]
+    spark.createDataFrame([(k, x, "en") for k, x in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert same_as_sql(spark, tmp_path, "k09_digest_markdown") == 1
