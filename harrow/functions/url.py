@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from harrow.functions import text as X
+
 # Query parameters that only track.
 TRACKING = (
     "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "fbclid", "fb_action_ids", "fb_action_types", "fb_source", "fb_ref",
@@ -178,7 +180,7 @@ def file_name(name: Column) -> Column:
 
 def file_size(n: Column) -> Column:
     steps = (("B", 1), ("KB", 1 << 10), ("MB", 1 << 20), ("GB", 1 << 30))
-    out = F.format_string("%.1fGB", n / steps[3][1])
-    out = F.when(n < 1 << 30, F.format_string("%.1fMB", n / steps[2][1])).otherwise(out)
-    out = F.when(n < 1 << 20, F.format_string("%.1fKB", n / steps[1][1])).otherwise(out)
+    out = F.concat(X.fixed(n / steps[3][1], 1), F.lit("GB"))
+    out = F.when(n < 1 << 30, F.concat(X.fixed(n / steps[2][1], 1), F.lit("MB"))).otherwise(out)
+    out = F.when(n < 1 << 20, F.concat(X.fixed(n / steps[1][1], 1), F.lit("KB"))).otherwise(out)
     return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit("B"))).otherwise(out)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harrow.functions import text as X
 from harrow.operators import caches as H
 from harrow.operators import knowledge as K
 from harrow.plans.registry import doubles, query
@@ -98,7 +99,7 @@ WHERE contains(domain, '1') AND success_count + fail_count >= 5 ORDER BY success
 def a08_report(spark: SparkSession, d: str) -> DataFrame:
     k = K.fold(outcomes(spark, d), "domain", ["ts", "event_id"]).withColumn("requests", F.col("success_count") + F.col("fail_count"))
     k = k.where(F.col("domain").contains("1") & (F.col("requests") >= 5))
-    return k.select("domain", "requests", F.format_string("%.1f%%", F.col("success_count") / F.col("requests") * 100).alias("success_rate"), "avg_response_time_ms").orderBy(F.col("requests").desc(), "domain").limit(20)
+    return k.select("domain", "requests", F.concat(X.fixed(F.col("success_count") / F.col("requests") * 100, 1), F.lit("%")).alias("success_rate"), "avg_response_time_ms").orderBy(F.col("requests").desc(), "domain").limit(20)
 
 
 BREAK = """SELECT user_id, event_id, epoch(ts) AS t, event_id % 4 = 0 AS good FROM events"""

@@ -44,3 +44,9 @@ def test_digest_rounds_as_its_sql(spark, tmp_path):
     texts = [lines(0, "x") if k % 2 else lines(390 + k // 2, f"n{k} ") for k in range(20)]
     spark.createDataFrame([(k, x, "en") for k, x in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     assert same_as_sql(spark, tmp_path, "k09_digest_markdown") == 1
+
+
+def test_file_sizes_round_as_their_sql(spark, tmp_path):
+    rows = spark.range(3000).select((F.col("id") + 1).alias("doc_id"), F.concat(F.lit("a/b c"), F.col("id")).alias("text"), (F.col("id") * 64).alias("n_chars"))
+    rows.unionByName(rows.select("doc_id", "text", (F.col("n_chars") * 1024 * 32).alias("n_chars"))).write.parquet(str(tmp_path / "documents.parquet"))
+    assert same_as_sql(spark, tmp_path, "k13_file_names") == 6000
