@@ -91,6 +91,20 @@ def with_patterns(df: DataFrame, html: str = "html", out: str = "patterns") -> D
     return each(df, [html], "array<struct<selector:string,fields:string,count:int,score:int>>", made, out)
 
 
+def listing_patterns(pages: DataFrame, keys: list[str], page: str, html: str = "html", least: int = 3, out: str = "patterns") -> DataFrame:
+    """(keys, patterns): those of ``with_patterns`` over all pages of a listing as if they were one, without one task holding it."""
+    kind = "array<struct<selector:string,mark:string,n:int,place:int,turn:int,fields:string,points:int>>"
+    parts = each(pages.select(*keys, F.col(page).alias("__page"), html), [html], kind, _guard(read.pattern_parts), "__part")
+    parts = parts.select(*keys, "__page", F.inline("__part"))
+    marks = parts.groupBy(*keys, "selector", "mark").agg(F.sum("n").alias("n"), F.min(F.struct("__page", "place", "turn", "fields", "points")).alias("at"))
+    first = F.min(F.struct("at.__page", "at.place", "at.turn", "at.fields", "at.points", "n")).alias("first")
+    found = marks.groupBy(*keys, "selector").agg(F.sum("n").cast("int").alias("count"), first)
+    found = found.where((F.col("count") >= least) & (F.col("first.n") * 2 >= F.col("count")) & F.col("first.fields").isNotNull())
+    found = found.withColumn("score", (F.col("count") + F.col("first.points")).cast("int"))
+    row = F.struct((-F.col("score")).alias("less"), "first.__page", "first.place", F.struct("selector", F.col("first.fields").alias("fields"), "count", "score").alias("p"))
+    return found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["p"]).alias(out))
+
+
 def with_article(df: DataFrame, html: str = "html", gate: bool = True, out: str = "article") -> DataFrame:
     return each(df, [html], "struct<title:string,byline:string,published:string,site_name:string,content:string>", _guard(lambda x: read.article(x, gate)), out)
 

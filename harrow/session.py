@@ -113,9 +113,9 @@ def forget(df: DataFrame) -> None:
 ROWS = 2_500  # that a task of readers in Python is given
 
 
-def spread(df: DataFrame, key: str, rows: int = ROWS) -> DataFrame:
-    """``df`` dealt out by ``key``, ``rows`` to a task: small rows that become pages are few splits of a file, whatever their number."""
-    return df.repartition(max(1, -(-df.count() // rows)), key)
+def spread(df: DataFrame, *keys: str, rows: int = ROWS) -> DataFrame:
+    """``df`` dealt out by ``keys``, ``rows`` to a task: small rows that become pages are few splits of a file, whatever their number."""
+    return df.repartition(max(1, -(-df.count() // rows)), *keys)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

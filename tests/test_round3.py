@@ -59,3 +59,34 @@ def test_pages_of_small_rows_are_many_tasks(spark, tmp_path, name):
     part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     assert registry.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 3
     assert same_as_sql(spark, tmp_path, name) == 6000
+
+
+def cards(spark, path, n):
+    """Parts of two brands, the last of a page among others of the next, the second brand's all far apart."""
+    key = F.when(F.col("id") % 2 == 0, F.col("id") * 20).otherwise(F.col("id") * 6000)
+    part = spark.range(n).select(key.alias("p_partkey"), F.concat(F.lit("n & "), F.col("id")).alias("p_name"), F.concat(F.lit("Brand#"), F.col("id") % 2).alias("p_brand"), F.lit("LARGE").alias("p_type"), (F.col("id") % 50).cast("int").alias("p_size"), F.lit(1.5).alias("p_retailprice"))
+    part.write.parquet(f"{path}/part.parquet")
+
+
+def test_no_page_of_a_listing_holds_the_table(spark, tmp_path):
+    from harrow.plans import roundtrip
+
+    cards(spark, tmp_path, 2000)
+    pages = roundtrip.listing(spark, str(tmp_path)).select(F.length("html").alias("n"))
+    assert pages.agg(F.max("n")).first()[0] < 100_000
+
+
+def test_patterns_of_pages_are_those_of_one_page(spark):
+    from harrow.markup import frames as M
+
+    card = lambda k: f"<div class=c><h2><a href=/{k}>t</a></h2>" + ("<p>s</p>" if k % 3 != 1 else "<b>s</b>") + "</div><i class='a b'>x</i>" + ("<em class=e><time>1</time></em>" if k > 9 else "")
+    pages = [("".join(card(k) for k in range(a, b)), a) for a, b in ((0, 1), (1, 2), (2, 9), (9, 10), (10, 14))]
+    whole = M.with_patterns(spark.createDataFrame([("".join(h for h, _ in pages),)], "html string")).first().patterns
+    split = M.listing_patterns(spark.createDataFrame([(1, a, h) for h, a in pages], "key int, page long, html string"), ["key"], "page").first().patterns
+    assert len(whole) == 2 and split == whole
+
+
+@pytest.mark.parametrize("name", ["h18_preview"])
+def test_pages_of_a_listing_give_what_one_page_gave(spark, tmp_path, name):
+    cards(spark, tmp_path, 2000)
+    assert same_as_sql(spark, tmp_path, name) in (2, 6)
