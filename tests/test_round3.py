@@ -86,7 +86,7 @@ def test_patterns_of_pages_are_those_of_one_page(spark):
     assert len(whole) == 2 and split == whole
 
 
-@pytest.mark.parametrize("name", ["h18_preview", "h16_patterns"])
+@pytest.mark.parametrize("name", ["h18_preview", "h16_patterns", "h17_pagination"])
 def test_pages_of_a_listing_give_what_one_page_gave(spark, tmp_path, name):
     cards(spark, tmp_path, 2000)
     assert same_as_sql(spark, tmp_path, name) in (2, 6)
