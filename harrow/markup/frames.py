@@ -86,6 +86,12 @@ def with_single(df: DataFrame, fields: dict[str, str], html: str = "html", out:
     return each(df, [html], "struct<" + ",".join(f"`{k}`:string" for k in fields) + ">", _guard(lambda x: read.single(x, fields)), out)
 
 
+def with_page(df: DataFrame, selector: str, fields: dict[str, str], own: dict[str, str], html: str = "html", out: str = "read") -> DataFrame:
+    """A struct of items, as of ``with_items``, and item, as of ``with_single``."""
+    kind = "struct<items:array<struct<" + ",".join(f"`{k}`:string" for k in fields) + ">>,item:struct<" + ",".join(f"`{k}`:string" for k in own) + ">>"
+    return each(df, [html], kind, _guard(lambda x: read.page(x, selector, fields, own)), out)
+
+
 def with_patterns(df: DataFrame, html: str = "html", out: str = "patterns") -> DataFrame:
     made = _guard(lambda x: [p | {"fields": json.dumps(p["fields"], sort_keys=True)} for p in read.patterns(x)])
     return each(df, [html], "array<struct<selector:string,fields:string,count:int,score:int>>", made, out)

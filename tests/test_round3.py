@@ -90,3 +90,11 @@ def test_patterns_of_pages_are_those_of_one_page(spark):
 def test_pages_of_a_listing_give_what_one_page_gave(spark, tmp_path, name):
     cards(spark, tmp_path, 2000)
     assert same_as_sql(spark, tmp_path, name) in (2, 6)
+
+
+def test_pages_that_links_follow_are_parsed_once(spark, tmp_path):
+    orders = spark.range(40_001).select(F.col("id").alias("o_orderkey"), (F.col("id") % 4001).alias("o_custkey"))
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    plan = registry.QUERIES["h13_paginated"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan  # the pages were read before the links were followed, not again for each of them
+    assert same_as_sql(spark, tmp_path, "h13_paginated") == 24_006
