@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,9 +14,9 @@ from harrow.markup import feeds, read
 from harrow.session import ship
 
 
-def each(df: DataFrame, columns: list[str], kind: str | T.DataType, f: Callable, out: str) -> DataFrame:
-    """``df`` with a column made from the values of ``columns`` in each row."""
-    return _made(df, columns, kind, lambda *lists: [f(*row) for row in zip(*lists, strict=True)], out)
+def each(df: DataFrame, columns: list[str], kind: str | T.DataType, f: Callable, out: str, drop: Sequence[str] = ()) -> DataFrame:
+    """``df`` without ``drop``, with a column made from the values of ``columns`` in each row."""
+    return _made(df, columns, kind, lambda *lists: [f(*row) for row in zip(*lists, strict=True)], out, drop)
 
 
 def each_batch(df: DataFrame, column: str, kind: str | T.DataType, f: Callable, out: str) -> DataFrame:
@@ -24,10 +24,11 @@ def each_batch(df: DataFrame, column: str, kind: str | T.DataType, f: Callable,
     return _made(df, [column], kind, f, out)
 
 
-def _made(df: DataFrame, columns: list[str], kind: str | T.DataType, f: Callable, out: str) -> DataFrame:
+def _made(df: DataFrame, columns: list[str], kind: str | T.DataType, f: Callable, out: str, drop: Sequence[str] = ()) -> DataFrame:
     ship(df.sparkSession)
     made = T._parse_datatype_string(kind) if isinstance(kind, str) else kind
-    schema = T.StructType([*df.schema.fields, T.StructField(out, made)])
+    kept = [i for i, c in enumerate(df.columns) if c not in drop]
+    schema = T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(out, made)])
     at = [df.columns.index(c) for c in columns]
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -36,7 +37,7 @@ def _made(df: DataFrame, columns: list[str], kind: str | T.DataType, f: Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = f(*(batch.column(i).to_pylist() for i in at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, arrow)], names=[x.name for x in schema.fields])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(values, arrow)], names=[x.name for x in schema.fields])
 
     return df.mapInArrow(run, schema)
 
@@ -62,18 +63,21 @@ def with_signature(df: DataFrame, mode: str = "readability", html: str = "html",
     return each(df, [html], "string", _guard(made), out)
 
 
-STRUCTURED = (
-    "json_ld array<string>, open_graph map<string,string>, twitter_cards map<string,string>, microdata array<string>, "
-    "meta struct<title:string,description:string,canonical:string,language:string,author:string>"
-)
+STRUCTURED = {
+    "json_ld": "array<string>", "open_graph": "map<string,string>", "twitter_cards": "map<string,string>", "microdata": "array<string>",
+    "meta": "struct<title:string,description:string,canonical:string,language:string,author:string>",
+}
 
 
-def with_structured(df: DataFrame, html: str = "html", out: str = "data") -> DataFrame:
+def with_structured(df: DataFrame, html: str = "html", out: str = "data", parts: Sequence[str] = tuple(STRUCTURED), keep: bool = True) -> DataFrame:
+    """A struct of ``parts``: only those are read from the tree. Without ``keep`` the pages do not leave the reader again."""
+    maps = [k for k in parts if STRUCTURED[k].startswith("map")]
+
     def made(x: str):
-        got = read.structured(x)
-        return got | {k: list(got[k].items()) for k in ("open_graph", "twitter_cards")}
+        got = read.structured(x, parts)
+        return got | {k: list(got[k].items()) for k in maps}
 
-    return each(df, [html], f"struct<{STRUCTURED.replace('json_ld ', 'json_ld:').replace('open_graph ', 'open_graph:').replace('twitter_cards ', 'twitter_cards:').replace('microdata ', 'microdata:').replace('meta struct', 'meta:struct')}>", _guard(made), out)
+    return each(df, [html], "struct<" + ",".join(f"{k}:{STRUCTURED[k]}" for k in parts) + ">", _guard(made), out, () if keep else (html,))
 
 
 def with_items(df: DataFrame, selector: str, fields: dict[str, str], html: str = "html", out: str = "items") -> DataFrame:

@@ -98,3 +98,31 @@ def test_pages_that_links_follow_are_parsed_once(spark, tmp_path):
     plan = registry.QUERIES["h13_paginated"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan  # the pages were read before the links were followed, not again for each of them
     assert same_as_sql(spark, tmp_path, "h13_paginated") == 24_006
+
+
+PAGE = (
+    "<html lang=en><title>a &amp; b<i></title><meta name=description content='d'><meta property=og:title content=o><meta name=twitter:card content=c><link rel=canonical href=/c>"
+    "<script type='application/ld+json'>[{\"a\": 1}, 2]</script><script>x</script><div itemscope itemtype=T><b itemprop=n>v</b><i itemscope itemprop=m>w</i>"
+)
+
+
+@pytest.mark.parametrize("page", [PAGE, PAGE[:-40], "", "<", "<meta name=og:x content=''><html>"])
+def test_parts_of_structured_data_are_those_of_the_whole(page):
+    from harrow.markup import read
+
+    whole = read.structured(page)
+    assert list(whole) == ["json_ld", "open_graph", "twitter_cards", "microdata", "meta"]
+    assert all(read.structured(page, [k]) == {k: v} for k, v in whole.items())
+
+
+@pytest.mark.parametrize(("name", "parts"), [("h07_structured_data", ("json_ld", "meta"))])
+def test_only_the_parts_that_are_asked_for_are_read(spark, tmp_path, monkeypatch, name, parts):
+    from harrow.markup import frames as M
+
+    part = spark.range(300).select(F.col("id").alias("p_partkey"), F.concat(F.lit("n & "), F.col("id")).alias("p_name"), F.lit("Brand#1").alias("p_brand"), F.lit("LARGE").alias("p_type"), (F.col("id") % 50).cast("int").alias("p_size"))
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    made, real = [], M.with_structured
+    monkeypatch.setattr(M, "with_structured", lambda *a, **k: made.append(real(*a, **k)) or made[-1])
+    assert same_as_sql(spark, tmp_path, name) == 300
+    assert made[0].columns == ["p_partkey", "data"]  # pages do not come back from the reader
+    assert tuple(made[0].schema["data"].dataType.names) == parts
